@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, matroska, packing, topk, urlfilter
+from . import bpe, matroska, packing, topk, urlfilter, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, at = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, at).drop("target_uri")
+
+
 #: Fixed values of the query: (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -37,9 +42,20 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
 
 SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        best AS (SELECT html, max(page_id) AS best FROM p GROUP BY html),
+        hex AS (SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS h, best FROM p JOIN best USING (html))
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                   (CAST('0x' || substr(h || '00000', 1 + (5 * k) // 4, 3) AS INTEGER) >> (12 - 5 - (5 * k) % 4)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+        FROM hex
+    """,
     "op5_url_filter": """
         WITH cut AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
