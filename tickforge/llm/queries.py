@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, matroska, packing, topk, urlfilter, warc
+from . import bpe, matroska, packing, simhash, topk, urlfilter, warc
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, at = warc.archive_pages(table(spark, sf_dir, "pages"))
     return warc.read_records(index, at).drop("target_uri")
@@ -42,7 +47,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
 
 SQL: dict[str, str] = {
     "op4_warc": """
