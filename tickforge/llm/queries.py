@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, matroska, packing, simhash, topk, urlfilter, warc
-from .common import table
+from . import bpe, matroska, packing, quality, simhash, topk, urlfilter, warc
+from .common import remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    found = quality.score(docs.select("doc_id", "text"), ranking)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,7 +54,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
 
 SQL: dict[str, str] = {
     "op4_warc": """
