@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, matroska, packing, quality, simhash, topk, urlfilter, warc
+from . import bpe, langid, matroska, packing, quality, simhash, topk, urlfilter, warc
 from .common import remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, remainder(F.col("doc_id"), 4) != 2)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, at = warc.archive_pages(table(spark, sf_dir, "pages"))
     return warc.read_records(index, at).drop("target_uri")
@@ -54,7 +61,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_language, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
 
 SQL: dict[str, str] = {
     "op4_warc": """
