@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, matroska, packing, quality, simhash, topk, urlfilter, warc
+from . import bpe, langid, lm, matroska, packing, quality, simhash, topk, urlfilter, warc
 from .common import remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,11 +57,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_language, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_language, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op9_lm, op10_matroska)}
 
 SQL: dict[str, str] = {
     "op4_warc": """
