@@ -206,16 +206,18 @@ def identify(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id
     for und) and, if asked for, spans (array of first_word, end_word, lang), of each whole text."""
     extra = ", spans array<struct<first_word:int,end_word:int,lang:string>>" if spans else ""
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"lang_pred string, score double{extra}"])
+    cols = [F.col(c) for c in keep] + ([] if "text" in keep else [F.col("text").cast("string").alias("\x00text")])
+    at, name = (keep.index("text"), "text") if "text" in keep else (len(keep), "\x00text")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most SLOTS x most_languages floats
 
     def run(batches):
         own = Labeller(sent.value)
-        for b in rows_of(batches, "\x00text"):
-            got = own.label(texts_of(b.column(len(keep))))
-            cols = [pa.array([g[0] for g in got], pa.string()), pa.array([min(1.0, max(0.0, g[1])) for g in got], pa.float64())]
+        for b in rows_of(batches, name):
+            got = own.label(texts_of(b.column(at)))
+            made = [pa.array([g[0] for g in got], pa.string()), pa.array([min(1.0, max(0.0, g[1])) for g in got], pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
-                cols.append(pa.array([[{"first_word": lo, "end_word": hi, "lang": own.model.names[x]} for lo, hi, x in g[2]] for g in got], kind))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*keep, "lang_pred", "score", *(["spans"] if spans else [])])
+                made.append(pa.array([[{"first_word": lo, "end_word": hi, "lang": own.model.names[x]} for lo, hi, x in g[2]] for g in got], kind))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=[*keep, "lang_pred", "score", *(["spans"] if spans else [])])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("\x00text")).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(run, schema)
