@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market
+from . import market, validation
 
-_MODULES = (market,)
+_MODULES = (market, validation)
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
