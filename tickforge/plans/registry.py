@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, validation
+from . import market, research, validation
 
-_MODULES = (market, validation)
+_MODULES = (market, validation, research)
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
