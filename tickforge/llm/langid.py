@@ -92,7 +92,7 @@ class Languages:
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """words x languages: scores, the best 0; languages that the script rules out far below."""
         s = np.zeros((len(words), len(self.names)))
-        if not words:
+        if not words or not self.names:
             return s
         for slots, ends in grams(words):
             sums = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(self.table[slots], axis=0, dtype="f8")])
@@ -108,8 +108,8 @@ class Languages:
             return []
         one = int(s.sum(0).argmax())
         c = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s - s[:, one : one + 1], axis=0)])
-        if float((c - np.minimum.accumulate(c, axis=0)).max()) <= switch:
-            return [(0, len(s), one)]  # no run of words gains a switch's penalty in any other language
+        if float((c - np.minimum.accumulate(c, axis=0)).max()) <= switch / 2:
+            return [(0, len(s), one)]  # no run of words gains half a switch's penalty in another language, so no path of several gains
         best, back, langs = list(s[0]), [], range(s.shape[1])
         for row in s[1:].tolist():
             top = max(best)

@@ -137,7 +137,8 @@ def top_k(df: DataFrame, is_query, k: int = 5, vector: str = "embedding", key: s
                 d = r["dim"]
                 ids, uids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["uids"], "<i8"), np.frombuffer(r["vectors"], "<f8").reshape(r["n"], d)
                 qids, quids, q = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_uids"], "<i8"), np.frombuffer(r["q_vectors"], "<f8").reshape(r["q_n"], d)
-                p, xp = np.frombuffer(r["pivots"], "<f8").reshape(-1, d) if d else np.zeros((1, 0)), np.frombuffer(r["distances"], "<f8").reshape(-1, r["n"])
+                xp = np.frombuffer(r["distances"], "<f8").reshape(-1, r["n"])
+                p = np.frombuffer(r["pivots"], "<f8").reshape(len(xp), d)
                 got = np.array(search_block(ids, uids, x, r["large"], p, xp, r["longest"], quids, q, r["q_large"], k, step, scale), dtype=object).reshape(-1, 3)
                 i, j = got[:, 0].astype("i8"), got[:, 1].astype("i8")
                 yield pa.RecordBatch.from_arrays([pa.array(quids[i]), pa.array(qids[i]), pa.array(ids[j]), pa.array(uids[j]), pa.array(got[:, 2].tolist(), pa.int64())], names=["query_uid", "query_id", "vec_id", "uid", "score"])
