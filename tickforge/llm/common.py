@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,6 +78,22 @@ def texts_of(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def squeeze(x: bytes) -> bytes:
+    """Compressed bytes, with their own length before."""
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def unsqueeze(x: bytes) -> bytes:
+    n = int.from_bytes(x[:8], "little")
+    return pa.decompress(x[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b""
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most_bytes: int = 8 << 20, most_rows: int = 4096) -> DataFrame:
     """fn over bounded slices of df's Arrow batches."""
 
