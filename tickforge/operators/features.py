@@ -36,13 +36,21 @@ def ema(df: DataFrame, x: str, spans: dict[str, int]) -> DataFrame:
     return ewm(df, {name: (x, 2 / (span + 1), 0) for name, span in spans.items()})
 
 
-def rsi(df: DataFrame, window: int = 14, name: str = "rsi") -> DataFrame:
-    """Wilder's index, from position `window` on; 100 without losses."""
+def moves(df: DataFrame) -> DataFrame:
+    """_up and _down: gains and losses from the close before."""
     change = F.col("close") - lagged("close")
-    df = df.withColumn("_up", F.greatest(change, F.lit(0.0))).withColumn("_down", F.greatest(-change, F.lit(0.0)))
-    df = ewm(df, {"_up_mean": ("_up", 1 / window, 1), "_down_mean": ("_down", 1 / window, 1)})
+    return df.withColumn("_up", F.greatest(change, F.lit(0.0))).withColumn("_down", F.greatest(-change, F.lit(0.0)))
+
+
+def rsi_value(window: int) -> Column:
     value = F.when(F.col("_down_mean") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("_up_mean", "_down_mean")))
-    return df.withColumn(name, F.when(F.col("pos") >= window, value)).drop("_up", "_down", "_up_mean", "_down_mean")
+    return F.when(F.col("pos") >= window, value)
+
+
+def rsi(df: DataFrame, window: int = 14, name: str = "rsi") -> DataFrame:
+    """Wilder's index, from position `window` on; 100 without losses."""
+    df = ewm(moves(df), {"_up_mean": ("_up", 1 / window, 1), "_down_mean": ("_down", 1 / window, 1)})
+    return df.withColumn(name, rsi_value(window)).drop("_up", "_down", "_up_mean", "_down_mean")
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -145,10 +153,13 @@ def feature_names(c: FeatureConfig = FeatureConfig()) -> list[str]:
 
 def build_features(bars: DataFrame, c: FeatureConfig = FeatureConfig()) -> DataFrame:
     """symbol, pos, ts and the 16 features in their fixed order."""
-    df = rsi(bars, c.rsi, "_rsi")
-    df = macd(df, *c.macd)
+    fast, slow, signal = c.macd
+    df = ewm(true_range(moves(bars)), {  # all means of inputs in one pass, then the mean of their difference
+        "_up_mean": ("_up", 1 / c.rsi, 1), "_down_mean": ("_down", 1 / c.rsi, 1), "_fast": ("close", 2 / (fast + 1), 0), "_slow": ("close", 2 / (slow + 1), 0), "_atr": ("tr", 1 / c.atr, 0),
+    })
+    df = ewm(df.withColumn("_macd", F.col("_fast") - F.col("_slow")), {"_signal": ("_macd", 2 / (signal + 1), 0)})
+    df = df.withColumns({"_rsi": rsi_value(c.rsi), "macd_hist": F.col("_macd") - F.col("_signal"), "atr": F.when(F.col("pos") >= c.atr - 1, F.col("_atr"))})
     df = bollinger(df, *c.bollinger)
-    df = atr(df, c.atr)
     df = rolling_volatility(df, c.volatility, periods_per_year(c.interval, c.session_hours, c.days), "realized_vol")
     window, least = c.extreme
     close = F.col("close")
