@@ -435,3 +435,12 @@ def test_sweep_keeps_errors_and_first_of_ties(spark):
     table = t.sweep(spark, bars, "donchian", [{"window": 10}, {"window": 10}, {"window": True}, {}, {"window": 500}], Costs(), MES).orderBy("combo_id").collect()
     assert [r["error"] for r in table] == [0, 0, 1, 1, 0] and table[4]["n_trades"] == 0
     assert t.best_combo(spark.createDataFrame(table[:2] + table[2:4])) == 0
+
+
+@pytest.mark.parametrize("signal,combos", [("donchian", [{"window": 5}, {"window": 20}, {"window": 5}]), ("ma_cross", [{"fast": 3, "slow": 9, "vol_window": 5, "target": 0.0005}])])
+def test_sparse_trades_are_the_dense_ones(spark, signal, combos):
+    bars, pairs = synthetic_bars(spark, 150), list(enumerate(combos))
+    dense = t.trades(t.causal(t.signal_over_grid(bars, signal, pairs)), MES, 2.0)
+    sparse = t.grid_trades(bars, signal, pairs, MES, 2.0)
+    order = lambda df: sorted(map(tuple, df.select(dense.columns).collect()))
+    assert order(sparse) == order(dense) and dense.count() > 3

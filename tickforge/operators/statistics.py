@@ -67,7 +67,7 @@ def pbo_splits(perf: DataFrame, slices: int) -> DataFrame:
     rows = [(k, s, s in half) for k, half in enumerate(halves(slices)) for s in range(slices)]
     plan = F.broadcast(spark.createDataFrame(rows, "split int, slice_id int, inside boolean"))  # C(slices, half) * slices rows
     met = perf.join(plan, "slice_id").groupBy("split", "inside", "config_id")
-    ratio = met.agg(F.coalesce(F.try_divide(F.avg("perf"), F.nullif(F.stddev_samp("perf"), F.lit(0.0))), F.lit(0.0)).alias("sr"))
+    ratio = met.agg(F.round(F.coalesce(F.try_divide(F.avg("perf"), F.nullif(F.stddev_samp("perf"), F.lit(0.0))), F.lit(0.0)), 12).alias("sr"))  # so that sums in another order are equals
     first = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("sr"), "config_id"))
     best = ratio.filter("inside").withColumn("_k", first).filter("_k = 1").select("split", F.col("config_id").alias("best_config"), F.col("sr").alias("is_sharpe"))
     out = ratio.filter("NOT inside").select("split", "config_id", "sr")

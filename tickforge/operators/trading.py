@@ -55,26 +55,41 @@ def bad_params(signal: str, params: dict) -> str | None:
     return None
 
 
-def signal_over_grid(bars: DataFrame, signal: str, combos: list[tuple[int, dict]]) -> DataFrame:
-    """(combo_id, symbol, pos, ts, open, raw) for all combinations at once: one scan and sort of the bars, a column for each
-    combination, unpivoted."""
+def _signal_columns(bars: DataFrame, signal: str, combos: list[tuple[int, dict]]) -> tuple[DataFrame, dict[int, str]]:
+    """bars with a column for each distinct raw target, over one sort, and each combination's column."""
     if signal == "donchian":
         windows = sorted({int(p["window"]) for _, p in combos})
         df = bars.withColumns({f"_c{w}": donchian(w) for w in windows})
-        df = df.withColumns({f"_s{w}": held_state(f"_c{w}") for w in windows})
-        column = {k: f"_s{int(p['window'])}" for k, p in combos}
-    elif signal == "ma_cross":
+        return df.withColumns({f"_s{w}": held_state(f"_c{w}") for w in windows}), {k: f"_s{int(p['window'])}" for k, p in combos}
+    if signal == "ma_cross":
         from .features import log_returns
 
         df = log_returns(bars)
-        df = df.withColumns({f"_s{k}": ma_cross(int(p["fast"]), int(p["slow"]), int(p["vol_window"]), float(p["target"])) for k, p in combos})
-        column = {k: f"_s{k}" for k, _ in combos}
-    else:
-        raise ValueError(f"unknown signal {signal}")
+        return df.withColumns({f"_s{k}": ma_cross(int(p["fast"]), int(p["slow"]), int(p["vol_window"]), float(p["target"])) for k, p in combos}), {k: f"_s{k}" for k, _ in combos}
+    raise ValueError(f"unknown signal {signal}")
+
+
+def signal_over_grid(bars: DataFrame, signal: str, combos: list[tuple[int, dict]]) -> DataFrame:
+    """(combo_id, symbol, pos, ts, open, raw) for all combinations at once: one scan and sort of the bars, a column for each
+    combination, unpivoted."""
+    df, column = _signal_columns(bars, signal, combos)
     each = F.array(*(F.struct(F.lit(k).cast("long").alias("combo_id"), F.col(c).alias("raw")) for k, c in column.items()))
     return df.select("symbol", "pos", "ts", "open", F.explode(each).alias("s")).select("s.combo_id", "symbol", "pos", "ts", "open", "s.raw")
 
 
+def grid_trades(bars: DataFrame, signal: str, combos: list[tuple[int, dict]], instrument: Instrument, qty: float = 1.0) -> DataFrame:
+    """trades(causal(signal_over_grid(...))), without a row for each bar and combination: only bars where a combination's
+    position changes are unpivoted."""
+    df, column = _signal_columns(bars, signal, combos)
+    w = by_time()
+    names = sorted(set(column.values()))
+    df = df.withColumns({f"{c}_h": F.coalesce(F.lag(c, 1).over(w), F.lit(0.0)) for c in names} | {f"{c}_b": F.coalesce(F.lag(c, 2).over(w), F.lit(0.0)) for c in names} | {"_last": F.max(F.struct("pos", "ts", "open")).over(Window.partitionBy("symbol"))})
+    moved = F.array_compact(F.array(*(F.when(F.col(f"{c}_h") != F.col(f"{c}_b"), F.struct(F.lit(k).cast("long").alias("combo_id"), F.col(f"{c}_h").alias("held"))) for k, c in column.items())))
+    starts = df.select("symbol", "pos", "ts", "open", "_last", F.explode(moved).alias("s")).select("s.combo_id", "symbol", "pos", "ts", "open", "_last", "s.held")
+    starts = starts.withColumn("_exit", F.coalesce(F.lead(F.struct("pos", "ts", "open"), 1).over(_w(KEYS)), F.col("_last")))
+    return _round_turns(starts.filter((F.col("held") != 0) & (F.col("_exit.pos") > F.col("pos"))), instrument, qty, KEYS)
+
+
 def causal(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """held: the raw target of the bar before, 0 at first."""
     return df.withColumn("held", F.coalesce(F.lag("raw", 1).over(_w(keys)), F.lit(0.0)))
@@ -92,6 +107,10 @@ def trades(df: DataFrame, instrument: Instrument, qty: float = 1.0, keys: tuple[
         .withColumn("_exit", F.coalesce("_next", "_last"))
         .filter((F.col("held") != 0) & (F.col("_exit.pos") > F.col("pos")))
     )
+    return _round_turns(starts, instrument, qty, keys)
+
+
+def _round_turns(starts: DataFrame, instrument: Instrument, qty: float, keys: tuple[str, ...]) -> DataFrame:
     size = F.abs(F.col("held")) * F.lit(float(qty))
     gross = F.signum("held") * (F.col("_exit.open") - F.col("open")) * F.lit(instrument.multiplier) * size
     return starts.select(
@@ -195,7 +214,7 @@ def sweep(spark: SparkSession, bars: DataFrame, signal: str, combos: list[dict],
     zeros = [F.lit(0.0).alias(m) if m != "n_trades" else F.lit(0).cast("long").alias(m) for m in METRICS]
     if not good:
         return grid.select("combo_id", *zeros, "error")
-    log = trades(causal(signal_over_grid(bars, signal, good)), instrument)
+    log = grid_trades(bars, signal, good, instrument)
     if in_test is not None:
         log = log.join(in_test.select("symbol", F.col("pos").alias("entry_pos")).distinct(), ["symbol", "entry_pos"], "left_semi").select(*log.columns)
     now = metrics(apply_costs(log, costs, instrument), ("combo_id",))

@@ -54,7 +54,7 @@ _FEATURES = f.FeatureConfig(frac_threshold=1e-3)
 
 
 def _log(spark: SparkSession, d: str, combos=((0, {"window": WINDOW}),)) -> DataFrame:
-    return t.trades(t.causal(t.signal_over_grid(event_bars(spark, d), "donchian", list(combos))), MES)
+    return t.grid_trades(event_bars(spark, d), "donchian", list(combos), MES)
 
 
 def donchian_trades(spark: SparkSession, d: str) -> DataFrame:

@@ -147,7 +147,7 @@ def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials
     best = max(good, key=lambda r: (r["sharpe_net"], -r["combo_id"]))
     k = int(best["combo_id"])
     ran = [(j, p) for j, (p, r) in enumerate(zip(grid, rows, strict=True)) if r["error"] == 0]
-    log = t.apply_costs(t.trades(t.causal(t.signal_over_grid(bars, config.strategy, ran)), instrument, config.qty), costs, instrument).cache()
+    log = t.apply_costs(t.grid_trades(bars, config.strategy, ran, instrument, config.qty), costs, instrument).cache()
     own = log.filter(F.col("combo_id") == k)
     m = statistics.moments("net_pnl_usd")
     flat = own.agg(t.sharpe("net_pnl_usd").alias("sharpe"), *(m[c].alias(c) for c in ("n", "skew", "kurt", "dev")))

@@ -10,6 +10,7 @@ from ..operators import account, crossval, labels, reconcile, statistics, stitch
 from ..operators import trading as t
 from ..operators.features import trailing_volatility
 from ..sources.bars import DAILY_SQL, EVENT_SQL, event_bars, lineitem_bars
+from . import market
 from .market import GRID, MES, WINDOW, _full, _lag, _SHARPE, donchian_ctes, rounded
 
 COSTS = Costs()
@@ -80,8 +81,7 @@ def walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _priced(spark: SparkSession, d: str, windows: list[int]) -> DataFrame:
-    held = t.causal(t.signal_over_grid(event_bars(spark, d), "donchian", [(k, {"window": w}) for k, w in enumerate(windows)]))
-    return t.apply_costs(t.trades(held, MES), COSTS, MES)
+    return t.apply_costs(t.grid_trades(event_bars(spark, d), "donchian", [(k, {"window": w}) for k, w in enumerate(windows)], MES), COSTS, MES)
 
 
 def return_moments(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +216,7 @@ def fill_reconciliation(spark: SparkSession, d: str) -> DataFrame:
 def netted_positions(spark: SparkSession, d: str) -> DataFrame:
     o = _table(spark, d, "orders")
     fills = o.select(F.col("o_custkey").cast("string").alias("instrument"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderpriority") < "3", 2.0).otherwise(-1.0).alias("qty"), F.col("o_totalprice").alias("price"))
-    return rounded(reconcile.net_positions(fills), 2)
+    return rounded(reconcile.net_positions(fills), 6)
 
 
 def order_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +263,7 @@ _SLICES = f"""edges AS (SELECT k AS slice_id, CAST(trunc(700 * k / 8.0) AS BIGIN
     got AS (SELECT combo_id, slice_id, avg(net_pnl_usd) AS perf FROM priced JOIN edges ON entry_pos >= lo AND entry_pos < hi GROUP BY 1, 2),
     perf AS (SELECT config_id, e.slice_id, coalesce(perf, 0.0) AS perf FROM range({len(GRID)}) c(config_id) CROSS JOIN edges e LEFT JOIN got g ON g.combo_id = c.config_id AND g.slice_id = e.slice_id),
     plan(split, slice_id, inside) AS (VALUES {", ".join(f"({k}, {s}, {s in half})" for k, half in enumerate(statistics.halves(8)) for s in range(8))}),
-    ratio AS (SELECT split, inside, config_id, {_SHARPE.format(x="perf")} AS sr FROM perf JOIN plan USING (slice_id) GROUP BY 1, 2, 3),
+    ratio AS (SELECT split, inside, config_id, round({_SHARPE.format(x="perf")}, 12) AS sr FROM perf JOIN plan USING (slice_id) GROUP BY 1, 2, 3),
     best AS (SELECT split, config_id, sr FROM ratio WHERE inside QUALIFY row_number() OVER (PARTITION BY split ORDER BY sr DESC, config_id) = 1),
     ranked AS (SELECT b.split, b.config_id AS best_config, b.sr AS is_sharpe, o.sr AS oos_sharpe, 1 + count(*) FILTER (WHERE x.sr < o.sr) AS rank, count(*) AS n
         FROM best b JOIN ratio o ON o.split = b.split AND NOT o.inside AND o.config_id = b.config_id JOIN ratio x ON x.split = b.split AND NOT x.inside GROUP BY 1, 2, 3, 4)"""
@@ -333,7 +333,9 @@ SQL = {
     "overfitting": f"WITH {donchian_ctes(GRID)}, {_SLICES} SELECT round(avg(CASE WHEN 2 * rank < n + 1 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS splits FROM ranked",
     "bootstrap_interval": f"""WITH {donchian_ctes([WINDOW])}, {_INDEXED}, reps AS (SELECT rep, {_SHARPE.format(x="b.net_pnl_usd")} AS sr FROM range(200) r(rep) CROSS JOIN nn CROSS JOIN ix a JOIN ix b ON b.idx = (a.idx * 7919 + rep * 104729 + 7) % n GROUP BY rep)
         SELECT round(quantile_cont(sr, 0.05), 6) AS lo, round(quantile_cont(sr, 0.95), 6) AS hi, count(*) AS reps FROM reps""",
-    "red_flags": None,
+    "red_flags": f"""SELECT combo_id, concat_ws(',', CASE WHEN sharpe_net * 16 > 3 THEN 'SHARPE_IMPLAUSIBLE:warn' END, CASE WHEN win_rate > 0.7 AND max_drawdown < 1000 THEN 'SMOOTH_HIGH_WINRATE:warn' END,
+        CASE WHEN NOT (sharpe_net <= 0 OR sharpe_delay1 >= 0.5 * sharpe_net) THEN 'EDGE_FAILS_DELAY:fail' END, CASE WHEN NOT (sharpe_gross <= 0 OR sharpe_net >= 0.5 * sharpe_gross) THEN 'EDGE_FAILS_COSTS:fail' END) AS flags
+        FROM ({market.SQL["sweep_grid"]}) WHERE error = 0""",
     "classifier_metrics": """WITH o AS (SELECT l_returnflag = 'N' AS y, l_extendedprice % 1000 / 1000 AS p FROM lineitem), r AS (SELECT *, (rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0) AS rk, greatest(1e-7, least(1 - 1e-7, p)) AS c FROM o)
         SELECT round(avg(CASE WHEN (p >= 0.5) = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
             round((sum(CASE WHEN y THEN rk ELSE 0 END) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0) / (count(*) FILTER (y) * count(*) FILTER (NOT y)), 6) AS auc,
@@ -355,6 +357,12 @@ SQL = {
         p AS (SELECT instrument, sum(qty) AS b, coalesce(sum(qty) FILTER (o_orderstatus <> 'P'), 0) AS l FROM f GROUP BY instrument)
         SELECT 'missing_locally' AS kind, CAST(fill_id AS VARCHAR) AS ref, instrument AS detail FROM f WHERE o_orderstatus = 'P'
         UNION ALL SELECT 'position', instrument, concat_ws(' ', 'broker', b, 'local', l) FROM p WHERE b <> l""",
+    "netted_positions": """WITH f AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument, o_orderkey AS seq, CASE WHEN o_orderpriority < '3' THEN 2.0 ELSE -1.0 END::DOUBLE AS qty, o_totalprice AS price FROM orders),
+        b AS (SELECT instrument, list_concat([{'q': 0.0::DOUBLE, 'p': 0.0::DOUBLE, 'r': 0.0::DOUBLE}], list({'q': qty, 'p': price, 'r': 0.0::DOUBLE} ORDER BY seq)) AS fills FROM f GROUP BY instrument),
+        s AS (SELECT instrument, list_reduce(fills, lambda s, x: {'q': s.q + x.q,
+            'p': CASE WHEN s.q = 0 OR sign(s.q) = sign(x.q) THEN (s.q * s.p + x.q * x.p) / (s.q + x.q) WHEN s.q + x.q = 0 THEN 0.0 WHEN sign(s.q + x.q) = sign(s.q) THEN s.p ELSE x.p END,
+            'r': s.r + CASE WHEN s.q = 0 OR sign(s.q) = sign(x.q) THEN 0.0 ELSE least(abs(x.q), abs(s.q)) * sign(s.q) * (x.p - s.p) END}) AS s FROM b)
+        SELECT instrument, round(s.q, 6) AS qty, round(s.p, 6) AS avg_px, round(s.r, 6) AS realized FROM s""",
     "order_rates": f"SELECT event_id, {_RATE} AS n FROM events",
     "rolling_monitor": """WITH e AS (SELECT user_id, event_id, value % 50 - 25 AS s, value - 100 AS p FROM events)
         SELECT event_id AS seq, count(*) OVER w AS n, round(avg(abs(s)) OVER w, 9) AS mean_slippage,
@@ -366,4 +374,3 @@ SQL = {
 }
 SQL |= {f"account_{p}": f"WITH {account_sql(r)} SELECT path_id, survived, hit_target, bust_reason, days_elapsed FROM outcomes" for p, r in PRESETS.items()}
 SQL |= {f"stitched_{a}": _stitched_sql(a) for a in stitch.ADJUSTMENTS}
-SQL = {k: v for k, v in SQL.items() if v}
