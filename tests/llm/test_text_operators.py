@@ -233,8 +233,10 @@ def test_viterbi_is_the_best_path():
         for _ in range(40):
             s = rng.normal(0, 4, (n, 3))
             best = max(sum(s[t, x] for t, x in enumerate(p)) - 3.0 * sum(a != b for a, b in itertools.pairwise(p)) for p in itertools.product(range(3), repeat=n))
-            spans = model.path(s, 3.0)
+            spans = model.paths([s[:1], s, np.zeros((0, 3))], 3.0, cells=n)[1]
             got = sum(s[lo:hi, x].sum() for lo, hi, x in spans) - 3.0 * (len(spans) - 1)
+            together = [spans, *model.paths([rng.normal(0, 4, (9, 3)), s], 3.0)[1:]]
+            assert together[0] == together[1]
             assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] and a[2] != b[2] for a, b in itertools.pairwise(spans))
             assert got == pytest.approx(best)
 

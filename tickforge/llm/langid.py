@@ -102,29 +102,51 @@ class Languages:
         s[~self.fits[np.fromiter(map(script, words), "i8", len(words))]] = -40.0
         return s
 
-    def path(self, s: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int, int]]:
-        """Spans (first word, end, language) of the best path through the scores of words x languages."""
-        if not len(s):
-            return []
-        one = int(s.sum(0).argmax())
-        c = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s - s[:, one : one + 1], axis=0)])
-        if float((c - np.minimum.accumulate(c, axis=0)).max()) <= switch / 2:
-            return [(0, len(s), one)]  # no run of words gains half a switch's penalty in another language, so no path of several gains
-        best, back, langs = list(s[0]), [], range(s.shape[1])
-        for row in s[1:].tolist():
-            top = max(best)
-            k = best.index(top)
-            from_top = top - switch
-            back.append([x if best[x] >= from_top else k for x in langs])
-            best = [(b if b >= from_top else from_top) + r for b, r in zip(best, row, strict=True)]
-        x, end, spans = best.index(max(best)), len(s), []
-        for t in range(len(back) - 1, -1, -1):
-            y = back[t][x]
-            if y != x:
-                spans.append((t + 1, end, x))
-                x, end = y, t + 1
-        spans.append((0, end, x))
-        return spans[::-1]
+    def paths(self, scores: list[np.ndarray], switch: float = SWITCH, cells: int = 60_000) -> list[list[tuple[int, int, int]]]:
+        """For each text's scores (words x languages) the spans (first word, end, language) of its best path."""
+        out: list = [[] for _ in scores]
+        left = []
+        for i, s in enumerate(scores):
+            if not len(s):
+                continue
+            one = int(s.sum(0).argmax())
+            c = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s - s[:, one : one + 1], axis=0)])
+            if float((c - np.minimum.accumulate(c, axis=0)).max()) <= switch / 2:
+                out[i] = [(0, len(s), one)]  # no run of words gains half a switch's penalty in another language, so no path of several gains
+            else:
+                left.append(i)
+        left.sort(key=lambda i: -len(scores[i]))
+        while left:  # texts of like length side by side, as many as the longest allows
+            n = max(1, cells // len(scores[left[0]]))
+            now, left = left[:n], left[n:]
+            for i, labels in zip(now, _best_paths([scores[i] for i in now], switch), strict=True):
+                cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+                out[i] = [(lo, hi, int(labels[lo])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+
+def _best_paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
+    """Viterbi over several texts at once, a step a word; the first text is the longest. Behind a text's end all languages score
+    0, so that its path stays."""
+    n, m, k = len(scores[0]), len(scores), scores[0].shape[1]
+    s = np.zeros((n, m, k))
+    for j, x in enumerate(scores):
+        s[: len(x), j] = x
+    best, rows = s[0].copy(), np.arange(m)
+    stays, tops = np.zeros((n, m, k), bool), np.zeros((n, m), np.int16)
+    for t in range(1, n):
+        top = best.argmax(1)
+        least = (best[rows, top] - switch)[:, None]
+        np.greater_equal(best, least, out=stays[t])
+        tops[t] = top
+        np.maximum(best, least, out=best)
+        best += s[t]
+    labels = np.zeros((n, m), np.int16)
+    now = labels[n - 1] = best.argmax(1)
+    for t in range(n - 1, 0, -1):
+        now = np.where(stays[t][rows, now], now, tops[t])
+        labels[t - 1] = now
+    return [labels[: len(x), j] for j, x in enumerate(scores)]
 
 
 class Labeller:
@@ -149,11 +171,12 @@ class Labeller:
             fresh = list(place)[known:] if known else list(place)
             self.scores = np.concatenate([self.scores, self.model.word_scores(fresh)])
         out = []
-        for t, ws, ids in zip(texts, words, at, strict=True):
-            if not ws or not self.model.names or not has_letter(t):
+        named = [bool(ws) and bool(self.model.names) and has_letter(t) for t, ws in zip(texts, words, strict=True)]
+        paths = self.model.paths([self.scores[ids if ok else []] for ids, ok in zip(at, named, strict=True)])
+        for ws, ok, spans in zip(words, named, paths, strict=True):
+            if not ok:
                 out.append(("und", 0.0, [], ws))
                 continue
-            spans = self.model.path(self.scores[ids])
             if len(spans) == 1:
                 out.append((self.model.names[spans[0][2]], 1.0, spans, ws))
                 continue
