@@ -444,3 +444,27 @@ def test_sparse_trades_are_the_dense_ones(spark, signal, combos):
     sparse = t.grid_trades(bars, signal, pairs, MES, 2.0)
     order = lambda df: sorted(map(tuple, df.select(dense.columns).collect()))
     assert order(sparse) == order(dense) and dense.count() > 3
+
+
+def test_research_run(spark, tmp_path):
+    from tickforge.config import RunConfig
+    from tickforge.plans.research import history, read_report, run_pipeline
+
+    bars, trials = synthetic_bars(spark, 400), TrialStore(spark, f"file://{tmp_path}/trials")
+    run = RunConfig(grid={"window": [5, 10, 0]}, bootstrap=40, paths=30, days=5)
+    report = run_pipeline(spark, bars, run, trials, created_at="2024-01-01")
+    assert report.trials == trials.count("donchian") == 3 and [r["error"] for r in report.table] == [0, 0, 1]
+    report.write(tmp_path / "runs" / "a")
+    got = read_report(tmp_path / "runs" / "a")
+    assert got["verdict.json"]["decision"] == report.verdict.decision and report.verdict.decision in got["report.md"]
+    (tmp_path / "runs" / "b").mkdir()
+    (tmp_path / "runs" / "b" / "verdict.json").write_text("{broken")
+    assert [r["decision"] for r in history(tmp_path / "runs")] == ["incomplete", report.verdict.decision]
+
+
+def test_verdict_gates():
+    from tickforge.plans.research import decide
+
+    assert decide(0.95, 0.5, 0.9, [("SHARPE_IMPLAUSIBLE", "warn")]).decision == "GO"
+    for bad in ((0.94, 0.5, 0.9, []), (0.95, 0.51, 0.9, []), (0.95, 0.5, 0.89, []), (1, 0, 1, [("EDGE_FAILS_COSTS", "fail")])):
+        assert decide(*bad).decision == "NO-GO"
