@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import sys
 import unicodedata
 from functools import lru_cache
@@ -48,10 +49,33 @@ def splitter() -> re.Pattern:
     return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
-@lru_cache(1)
-def odd_space() -> re.Pattern:
-    """A space at an end of the text or beside other white space."""
-    return re.compile(f"^ | $|[{WHITE}] | [{WHITE}]")
+def id_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: White space of the pre-split, as characters.
+SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
+
+
+def by_single_spaces(text: str, known: dict[str, bytes], spaced, whole) -> bytes:
+    """The ids of a text. Where each space stands alone between two other characters, the pre-split cuts before it, so what
+    follows a space is looked up in known, and else made by spaced(part); the rest, or any other text, by whole(text)."""
+    head, *parts = text.split(" ")
+    if not parts:
+        return whole(text)
+    got = list(map(known.get, parts))
+    if not head or head[-1] in SPACES:
+        return whole(text)
+    for i in [k for k, x in enumerate(got) if x is None] if None in got else ():
+        p = parts[i]
+        if p and p[0] not in SPACES and p[-1] not in SPACES:
+            got[i] = spaced(p)
+        elif p and p[0] not in SPACES and i == len(parts) - 1:
+            got[i] = whole(" " + p)
+        else:
+            return whole(text)
+    return b"".join([whole(head), *got])
 
 
 def byte_letters() -> dict[str, int]:
@@ -171,7 +195,7 @@ class Automaton:
     def word(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is None:
-            got = np.array(self.walk(word.encode()), "<u4").tobytes()
+            got = id_bytes(self.walk(word.encode()))
             if len(word) <= 48:
                 if len(self.known) >= 300_000:
                     self.known.clear()
@@ -191,14 +215,7 @@ class Automaton:
         return got
 
     def plain(self, text: str) -> bytes:
-        """As piece(); where each space stands alone between two other characters, the words between are looked up whole."""
-        if not text or odd_space().search(text):
-            return self.piece(text)
-        head, *parts = text.split(" ")
-        got = list(map(self.parts.get, parts))
-        if None in got:
-            got = [self.parts.get(p) or self.spaced(p) for p in parts]
-        return b"".join([self.piece(head), *got])
+        return by_single_spaces(text, self.parts, self.spaced, self.piece)
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
