@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def _pack(rows: int, scale: float, pivots: int):
             v = np.array([g[2] for g in got], "f8").reshape(len(got), dim)
             large = bool(v.size) and not (np.abs(v).max(initial=0) * scale) ** 2 * max(1, dim) < EXACT / 4
             x = v if large else np.floor(v * scale)
-            part = made[dim] = made.get(dim, -1) + 1
+            part = made[dim] = made.get(dim, (TaskContext.get().partitionId() << 32) - 1) + 1
             p, table, longest = pivot_table(x, pivots) if pivots and not large else (np.empty(0), np.empty(0), 0.0)
             return pa.RecordBatch.from_pylist([{"dim": dim, "part": part, "pivots": p.tobytes(), "distances": table.tobytes(), "longest": longest, "ids": np.array([g[0] for g in got], "<i8").tobytes(), "uids": np.array([g[1] for g in got], "<i8").tobytes(), "vectors": x.astype("<f8").tobytes(), "large": large, "n": len(got)}], schema=schema)
 
@@ -119,13 +120,14 @@ def top_k(df: DataFrame, is_query, k: int = 5, vector: str = "embedding", key: s
     flat, flat_at = materialize(df.filter(fit).select(F.col(key).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")), "vectors")
     flat = flat.withColumn("uid", F.monotonically_increasing_id())
     base, base_at = materialize(flat.select("id", "uid", "v").mapInArrow(_pack(rows, scale, pivots), PACKED), "candidates")
-    ask, ask_at = materialize(flat.filter("asks").select("id", "uid", "v").coalesce(8).mapInArrow(_pack(queries, scale, 0), PACKED), "queries")
+    asked = flat.filter("asks").select("id", "uid", "v")
+    ask, _ = materialize(asked.coalesce(max(8, asked.count() // (8 * queries))).mapInArrow(_pack(queries, scale, 0), PACKED), "queries")
     discard(spark, flat_at)
-    # Every block of candidates goes to each block of queries of its number of components, by an equi-join on their place.
-    ask = ask.select("dim", *(F.col(c).alias(f"q_{c}") for c in ("ids", "uids", "vectors", "large", "n")))
-    ask, numbered_at = materialize(ask.withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy("q_n", F.xxhash64("q_uids")))), "queries")
-    discard(spark, ask_at)
-    places = {r["dim"]: r["n"] for r in ask.groupBy("dim").count().withColumnRenamed("count", "n").collect()}
+    # Every block of candidates goes to each block of queries of its number of components, by an equi-join on their place. Only
+    # the blocks' names are numbered in order.
+    numbers = ask.select("dim", F.col("part").alias("q_part")).withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy("q_part")))
+    ask = ask.select("dim", *(F.col(c).alias(f"q_{c}") for c in ("part", "ids", "uids", "vectors", "large", "n"))).join(numbers, ["dim", "q_part"]).drop("q_part")
+    places = {r["dim"]: r["n"] for r in numbers.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not places:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     times = F.create_map(*(F.lit(x) for kv in places.items() for x in kv))
