@@ -110,7 +110,7 @@ class Languages:
             if not len(s):
                 continue
             one = int(s.sum(0).argmax())
-            c = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s - s[:, one : one + 1], axis=0)])
+            c = np.concatenate([np.zeros((1, s.shape[1])), np.cumsum(s - s[:, one : one + 1], axis=0, dtype="f8")])
             if float((c - np.minimum.accumulate(c, axis=0)).max()) <= switch / 2:
                 out[i] = [(0, len(s), one)]  # no run of words gains half a switch's penalty in another language, so no path of several gains
             else:
@@ -152,13 +152,13 @@ def _best_paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
 class Labeller:
     """Spans of texts; scores of words are kept from text to text."""
 
-    def __init__(self, model: Languages, most: int = 500_000):
+    def __init__(self, model: Languages, most: int = 200_000):
         self.model, self.most = model, most
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = defaultdict(count().__next__)
-        self.scores = np.zeros((0, len(self.model.names)))
+        self.scores = np.zeros((0, len(self.model.names)), "f4")
 
     def label(self, texts: list[bytes | None]) -> list[tuple[str, float, list[tuple[int, int, int]], list[bytes]]]:
         """(language or und, share of the letters in it, spans, words) of each text."""
@@ -169,7 +169,7 @@ class Labeller:
         at = [[place[w] for w in ws] for ws in words]
         if len(place) > known:
             fresh = list(place)[known:] if known else list(place)
-            self.scores = np.concatenate([self.scores, self.model.word_scores(fresh)])
+            self.scores = np.concatenate([self.scores, self.model.word_scores(fresh).astype("f4")])
         out = []
         named = [bool(ws) and bool(self.model.names) and has_letter(t) for t, ws in zip(texts, words, strict=True)]
         paths = self.model.paths([self.scores[ids if ok else []] for ids, ok in zip(at, named, strict=True)])
@@ -235,7 +235,7 @@ def identify(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id
 
     def run(batches):
         own = Labeller(sent.value)
-        for b in rows_of(batches, name):
+        for b in rows_of(batches, name, 4 << 20):
             got = own.label(texts_of(b.column(at)))
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([min(1.0, max(0.0, g[1])) for g in got], pa.float64())]
             if spans:
