@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm import langid, packing, quality, simhash
+from tickforge.llm import langid, packing, quality, shingles
 from tickforge.llm.common import discard, materialize, remainder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,12 +32,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document of the smallest doc_id; of rows that repeat a doc_id, or have none
-    and no duplicate that has one, a single row."""
-    known = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
-    found = simhash.near_duplicates(docs).filter(known("doc_id") == known("component_id")).select(known("doc_id").alias("place")).distinct()
-    kept = docs.withColumn("place", known("doc_id")).join(found, "place", "left_semi")
-    return kept.dropDuplicates(["place"]).select(*COLUMNS)
+    """One row of each component of near copies, the one of the smallest doc_id: texts whose sets of five-word shingles have a
+    similarity of 0.8 or more."""
+    return shingles.one_of_each(docs, COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +44,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality_classifier", quality_classifier), ("language_id", language_id), ("near_dedup", near_dedup), ("best_fit_packing", best_fit_packing)]
 
-#: Learned scores and fingerprints aren't within SQL; tests hold each stage against a plain version.
+#: Learned scores and similarities aren't within SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
