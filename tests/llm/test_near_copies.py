@@ -1,5 +1,6 @@
-"""The pipeline's near_dedup stage against all pairs' similarity of five-word shingles."""
+"""The pipeline's near_dedup stage against all pairs' similarity of five-word shingles, and rows without an own doc_id."""
 
+import collections
 import itertools
 import random
 
@@ -57,3 +58,18 @@ def test_keeps_one_of_each_component_of_similar_texts(spark, texts):
     assert 30 < len(set(roots)) < len(texts) - 20
     got = kept(spark, list(enumerate(texts)))
     assert sorted(i for i, _ in got) == sorted(set(roots))
+
+
+def test_rows_are_told_apart_by_text_not_by_id(spark, texts):
+    roots = plain_roots(texts)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts)]
+    got = kept(spark, rows + rows[:20])
+    place = collections.defaultdict(set)
+    for r, t in zip(roots, texts, strict=True):
+        place[t].add(r)
+    assert sorted(r for _, t in got for r in place[t]) == sorted(set(roots))
+    best = {}
+    for r, (i, _) in zip(roots, rows, strict=True):
+        best[r] = min(best.get(r, 1 << 62), 1 << 62 if i is None else i)
+    for i, t in got:
+        assert (1 << 62 if i is None else i) == best[min(place[t])]
