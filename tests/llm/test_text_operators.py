@@ -304,3 +304,32 @@ def test_matroska_reads_lacing_unknown_sizes_and_cues():
         with pytest.raises((ValueError, IndexError)):
             matroska.read(bad)
     assert matroska.read(b"").packets == []
+
+
+def test_many_languages_take_bounded_memory():
+    """A slice of distinct words with 100 languages stays under 200 MB, a long text of mixed ones too."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    names = [f"l{k:03d}" for k in range(100)]
+    model = langid.Languages(names, rng.normal(-9, 2, (langid.slots_for(100), 100)).astype("f4"), np.ones((len(langid.NAMES), 100), bool))
+    own = langid.Labeller(model)
+    text = b" ".join(b"w%x" % k for k in rng.integers(0, 1 << 40, 90_000).tolist())
+    tracemalloc.start()
+    first = own.label([text[: 1 << 20], b"one", None])
+    own.label([text[500:], text[: 1 << 19]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    spans = first[0][2]
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(spans))
+
+
+def test_word_scores_in_chunks_are_those_of_each_word(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = langid.Languages(["a", "b", "c"], rng.normal(-9, 2, (langid.SLOTS, 3)).astype("f4"), np.ones((len(langid.NAMES), 3), bool))
+    words = ["".join(rng.choice(list("abcdé"), rng.integers(1, 12))).encode() for _ in range(300)] + [b"x" * 5000]
+    alone = np.concatenate([model.word_scores([w]) for w in words])
+    for step in (langid.STEP, 30, 3):
+        monkeypatch.setattr(langid, "STEP", step)
+        assert np.allclose(model.word_scores(words), alone, atol=1e-2)
