@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickforge.llm import langid, packing, quality, shingles
+from tickforge.llm import langid, packing, quality, simhash
 from tickforge.llm.common import discard, materialize, remainder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies, the one of the smallest doc_id: texts whose sets of five-word shingles have a
-    similarity of 0.8 or more."""
-    return shingles.one_of_each(docs, COLUMNS)
+    similarity of 0.8 or more. Texts without words (null ones too) are copies of each other."""
+    return simhash.one_of_each(docs, COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,124 +1,177 @@
-"""Near copies by the Jaccard similarity of word shingles: an exact join of sets by their rarest members.
+"""Sets of word shingles: hashes, the order of shingles from rare to frequent ones, and an exact join of similar sets.
 
-All texts have one order of shingles, from rare to frequent ones. Two sets with a similarity of 4/5 or more share at least
-4/5 of the larger one, so they share a shingle among the first fifth (and one more) of each: those are the keys that
-sets meet by. The order is by a hashed count of each shingle over all texts and then by hash; collisions of the counts only
-change the order, never what meets. Each pair that meets is verified by its whole sets.
-
-Sets of a key first meet the smallest one alone, which joins large groups of near copies; only what isn't connected then is
-paired out.
+Two sets with a similarity of 4/5 or more share at least 4/5 of the larger one, so in any order of all shingles they share
+one among the first fifth (and one more) of each. The order here goes from rare to frequent by a sketch of hashed counts over
+all texts, and then by hash. Collisions in the sketch change only the order, and so the cost, never what meets: a shingle
+whose slot was counted once is in no other text and need not be a key at all.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialize, rows_of, squeeze, texts_of, unsqueeze
-from .components import components
+from .common import discard, materialize, rows_of, squeeze, texts_of, unsqueeze
 
 #: Words of a shingle, and the least similarity (a fraction) of near copies.
 WIDTH, ALIKE = 5, (4, 5)
-#: Hashed counts that order shingles, whatever the input: 16 MB a task.
-SLOTS, CHUNK = 1 << 22, 1 << 18
+#: Slots of the sketch, two bits each (16 MB in a task, whatever the input), slots of a chunk, and shingles that a task sorts at once.
+SLOTS, CHUNK, SORTED = 1 << 26, 1 << 16, 1 << 21
+#: Words hashed at once; longer words than MOST_BYTES stand for themselves by a digest.
+STEP, MOST_BYTES = 1 << 14, 1 << 10
+
+
+@lru_cache(1)
+def _bytes_and_base() -> tuple[np.ndarray, np.uint64, np.uint64]:
+    """A random number for each byte, an odd base, and its inverse modulo 2^64."""
+    rng = np.random.default_rng(20)
+    base = int(rng.integers(0, 1 << 62)) * 2 + 1
+    return rng.integers(0, 1 << 63, 256, dtype="u8") * np.uint64(2) + np.uint64(1), np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+
 
+_POWERS: list[np.ndarray] = []
 
-def shingles(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
-    """The distinct XXH64 of a text's word shingles, rising; of the whole sequence if there are fewer words; none of none."""
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        _, base, inverse = _bytes_and_base()
+        size = max(1 << 16, 1 << n.bit_length())
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, "u8")]), dtype="u8") for x in (base, inverse)]
+    return _POWERS[0], _POWERS[1]
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles (A-Z in lower case), rising; of the whole sequence if there are
+    fewer words; none of none. A hash is a polynomial over the bytes, taken from running sums, and mixed."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, "u8")
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) < width:
-        return np.array([digest(joined, seed)], "u8")
-    stops = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1) - 1
-    starts = np.concatenate([[0], stops[:-width] + 1]).tolist()
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops[width - 1 :].tolist(), strict=True)], "u8"))
+    if len(text) > MOST_BYTES:
+        words = [w if len(w) <= MOST_BYTES else xxhash.xxh3_128_digest(w) for w in words]
+    values, _, _ = _bytes_and_base()
+    width, out = min(width, len(words)), []
+    for lo in range(0, len(words) - width + 1, STEP):
+        part = words[lo : lo + STEP + width - 1]
+        b = np.frombuffer(b" ".join(part), "u1")
+        sizes = np.fromiter(map(len, part), "i8", len(part)) + 1
+        stops = np.cumsum(sizes)
+        starts = (stops - sizes)[: len(part) - width + 1]
+        up, down = _powers(len(b) + 1)
+        sums = np.zeros(len(b) + 1, "u8")
+        np.cumsum(values[b] * up[: len(b)], out=sums[1:])
+        x = (sums[stops[width - 1 :] - 1] - sums[starts]) * down[starts]
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
+        out.append(x ^ x >> np.uint64(33))
+    x = np.sort(out[0] if len(out) == 1 else np.concatenate(out))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def sketch(df: DataFrame, text: str = "text") -> np.ndarray:
+    """By slot of hashed shingles how many texts have them, in two bits (four slots a byte): 0 once at most, 1 to 3 by how
+    far beyond the mean of the slots. Counts are summed by chunks of slots, a chunk at a time."""
 
+    def partial(batches):
+        held, n = [], 0
 
-def levels(df: DataFrame, text: str = "text") -> np.ndarray:
-    """By slot of hashed shingles, a step of the logarithm of how often texts have them."""
+        def flush():
+            x = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.diff(x >> 16, prepend=-1))
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True):
+                own = x[lo:hi] & (CHUNK - 1)
+                yield int(x[lo] >> 16), squeeze(np.diff(own, prepend=0).astype("<u2").tobytes())
+
+        def rows():
+            got = list(flush())
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["chunk", "slots"])
 
-    def partial(batches):
-        total = np.zeros(SLOTS, "u4")
         for b in rows_of(batches, text):
             for t in texts_of(b.column(0)):
-                np.add.at(total, shingles(t or b"") & np.uint64(SLOTS - 1), 1)
-        for k, lo in enumerate(range(0, SLOTS, CHUNK)):
-            if total[lo : lo + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([squeeze(total[lo : lo + CHUNK].tobytes())], pa.binary())], names=["chunk", "n"])
-
-    def whole(key, t):
-        total = np.zeros(CHUNK, "u8")
-        for x in t["n"]:
-            total += np.frombuffer(unsqueeze(x.as_py()), "u4")
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([(4 * np.log2(np.maximum(total, 1))).astype("u1").tobytes()], pa.binary())})
-
-    out = np.zeros(SLOTS, "u1")
-    for r in df.select(F.col(text).cast("string").alias(text)).mapInArrow(partial, "chunk int, n binary").groupBy("chunk").applyInArrow(whole, "chunk int, n binary").collect():  # a byte a slot
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["n"], "u1")
+                h = shingles(t or b"")
+                held.append((h & np.uint64(SLOTS - 1)).astype("i8"))
+                n += len(h)
+                if n >= SORTED:
+                    yield rows()
+                    held, n = [], 0
+        if n:
+            yield rows()
+
+    def counted(batches):
+        now, total = None, np.zeros(CHUNK, "i8")
+
+        def row():
+            mean = total.mean()
+            level = np.searchsorted([1.5, 2 * mean + 8, 8 * mean + 64], total).astype("u1").reshape(-1, 4)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(level << np.array([0, 2, 4, 6], "u1")).sum(1, dtype="u1").tobytes()], pa.binary())], names=["chunk", "levels"])
+
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if now is not None and k != now:
+                    yield row()
+                    total[:] = 0
+                now = k
+                total += np.bincount(np.cumsum(np.frombuffer(unsqueeze(x.as_py()), "<u2"), dtype="i8"), minlength=CHUNK)
+        if now is not None:
+            yield row()
+
+    out = np.zeros(SLOTS // 4, "u1")
+    spread = df.select(F.col(text).cast("string").alias(text)).mapInArrow(partial, "chunk int, slots binary").repartition("chunk").sortWithinPartitions("chunk")
+    for r in spread.mapInArrow(counted, "chunk int, levels binary").collect():  # SLOTS / 4 bytes, whatever the input
+        out[r["chunk"] * CHUNK // 4 : (r["chunk"] + 1) * CHUNK // 4] = np.frombuffer(r["levels"], "u1")
     return out
 
 
-def _shingled(df: DataFrame, columns: tuple[str, ...], level: np.ndarray) -> DataFrame:
-    """The columns (text among them), the 128-bit digest of each row's set, its size, and its rarest shingles."""
-    sent, at = df.sparkSession.sparkContext.broadcast(level), columns.index("text")
+def levels_of(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(SLOTS - 1)
+    return levels[at >> np.uint64(2)] >> (2 * (at & np.uint64(3))).astype("u1") & 3
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        level, digest, size, rare = sent.value, [], [], []
-        for t in texts_of(b.column(at)):
-            h = shingles(t or b"")
-            n = len(h)
-            digest.append(xxhash.xxh3_128_digest(h.tobytes()))
-            size.append(n)
-            rare.append(h[np.lexsort((h, level[h & np.uint64(SLOTS - 1)]))][: n - -(-n * ALIKE[0] // ALIKE[1]) + 1].view("i8"))
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(digest, pa.binary()), pa.array(size, pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=[*columns, "digest", "size", "rare"])
 
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "digest binary, size int, rare array<long>"])
-    return map_batches(df.select(*columns), fn, schema)
+def marks_of(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """Of a set (rising hashes): the shingles that it meets others by, which are those of the first ones in the order that are
+    in other texts too; how many of its shingles are in no other text; and for the rest the parities of how many have each
+    of 256 hash values, as bits of four numbers."""
+    level, n = levels_of(h, levels), len(h)
+    at = np.flatnonzero(level)
+    alone = n - len(at)
+    most = max(0, n - -(-n * ALIKE[0] // ALIKE[1]) + 1 - alone) if n else 0
+    odd = np.bincount((h[at] >> np.uint64(40) & np.uint64(255)).astype("i8"), minlength=256) & 1
+    return h[at[np.argsort(level[at], kind="stable")[:most]]], alone, np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
 
 
-def _verified(pairs: DataFrame, shingled: DataFrame) -> tuple[DataFrame, str]:
-    """The pairs (u, v) of digests whose sets are alike, and the table's place."""
-    spark = pairs.sparkSession
-    pairs, pairs_at = materialize(pairs, "met")
-    needed = pairs.select(F.col("u").alias("digest")).union(pairs.select(F.col("v").alias("digest"))).distinct()
+#: What tells of two sets whether they can be alike.
+MARKS = ("size", "alone", "odd0", "odd1", "odd2", "odd3")
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or b"").view("i8") for t in texts_of(b.column(1))], pa.list_(pa.int64()))], names=["digest", "h"])
 
-    texts = shingled.join(needed, "digest", "left_semi").select("digest", "text").dropDuplicates(["digest"])
-    sets, sets_at = materialize(map_batches(texts, fn, "digest binary, h array<long>"), "sets")
-    both = F.size(F.array_intersect("a.h", "b.h"))
-    alike = pairs.join(sets.alias("a"), F.col("u") == F.col("a.digest")).join(sets.alias("b"), F.col("v") == F.col("b.digest"))
-    out = materialize(alike.filter(both * (ALIKE[0] + ALIKE[1]) >= (F.size("a.h") + F.size("b.h")) * ALIKE[0]).select("u", "v"), "alike")
-    discard(spark, pairs_at, sets_at)
-    return out
+def may_be_alike(a: str, b: str):
+    """Whether the marks of two sets leave room for the similarity: shingles that one set alone has, and each hash value that
+    one has an odd and the other an even number of, are differences, which are to be at most a ninth of both sizes."""
+    own = lambda x, c: F.col(f"{x}.{c}")
+    apart = own(a, "alone") + own(b, "alone") + sum((F.bit_count(own(a, c).bitwiseXOR(own(b, c))) for c in MARKS[2:]), F.lit(0))
+    return apart * (ALIKE[1] + ALIKE[0]) <= (own(a, "size") + own(b, "size")) * (ALIKE[1] - ALIKE[0])
+
+
+def sets_of(texts: DataFrame) -> DataFrame:
+    """(digest, h) of rows (digest, text)."""
 
+    def fn(batches):
+        for b in rows_of(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or b"").view("i8") for t in texts_of(b.column(1))], pa.list_(pa.int64()))], names=["digest", "h"])
 
-def one_of_each(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """One row of each component of near copies, whose sets of shingles have a similarity of ALIKE or more: one with the
-    smallest doc_id, or with none where all have none. Rows are told apart by their texts, never by doc_id. Texts without
-    words are copies of each other. The columns include doc_id and text."""
-    spark = df.sparkSession
-    shingled, _ = materialize(_shingled(df, columns, levels(df)), "shingled")
-    sets, sets_at = materialize(shingled.select("digest", "size", "rare").dropDuplicates(["digest"]), "classes")
-    keys = sets.select("digest", "size", F.explode("rare").alias("key"))
-    shared, shared_at = materialize(keys.join(keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "key"), "shared")
-    discard(spark, sets_at)
-    near = lambda a, b: (F.col(f"{a}.size") * ALIKE[1] >= F.col(f"{b}.size") * ALIKE[0]) & (F.col(f"{b}.size") * ALIKE[1] >= F.col(f"{a}.size") * ALIKE[0])
-    hub = shared.groupBy("key").agg(F.min(F.struct("digest", "size")).alias("m")).select("key", "m.*")
-    first, first_at = _verified(hub.alias("a").join(shared.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & near("a", "b")).select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v")).distinct(), shingled)
-    joined, joined_at = components(first)
-    rooted = shared.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    rest = rooted.alias("a").join(rooted.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.root") != F.col("b.root")) & near("a", "b"))
-    second, second_at = _verified(rest.select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v")).distinct(), shingled)
-    discard(spark, shared_at, *joined_at)
-    nodes, _ = components(first.union(second))
-    discard(spark, first_at, second_at)
-    members = shingled.select("doc_id", "digest").join(nodes.withColumnRenamed("node", "digest"), "digest", "left")
-    chosen = members.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m")).select(F.col("m.digest").alias("own"), F.col("m.doc_id").alias("place"))
-    return shingled.join(chosen, (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("place")), "left_semi").dropDuplicates(["digest"]).select(*columns)
+    return texts.select("digest", "text").mapInArrow(fn, "digest binary, h array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs (u, v) of digests whose whole sets are alike, and the table's place. A pair without both sets isn't."""
+    pairs, at = materialize(pairs.distinct(), "met")
+    both = F.size(F.array_intersect("a.h", "b.h"))
+    met = pairs.join(sets.alias("a"), F.col("u") == F.col("a.digest")).join(sets.alias("b"), F.col("v") == F.col("b.digest"))
+    out = materialize(met.filter(both * (ALIKE[0] + ALIKE[1]) >= (F.size("a.h") + F.size("b.h")) * ALIKE[0]).select("u", "v"), "alike")
+    discard(pairs.sparkSession, at)
+    return out

@@ -9,10 +9,15 @@ principle an equal segment beside one with at most one error in one of these pai
 Keys with many fingerprints (a large group of near copies) aren't paired out: their fingerprints meet in the words that
 are one bit away or none, of which two fingerprints share one exactly if they differ in at most 2 bits. Such a word has
 65 neighbours at most, so this is linear, and exact too.
+
+one_of_each keeps one text of each component of near copies: fingerprints of five-word shingles that are joined so are
+verified by the similarity of the whole sets. Since texts that are 4/5 alike differ in up to a dozen bits, which no number
+of keys could cover, a join of the sets by their rarest shingles adds exactly the links that fingerprints miss.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import discard, map_batches, materialize, texts_of
 from .components import components
 
@@ -45,10 +51,15 @@ def fingerprint(text: bytes, width: int = WORDS, seed: int = 42) -> int:
         stops = np.cumsum(sizes) - 1
         starts, ends = np.concatenate([[0], stops[:-width] + 1]).tolist(), stops[width - 1 :].tolist()
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    votes, n = np.zeros(64, "i8"), len(starts)
-    for lo in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[lo : lo + (1 << 16)], ends[lo : lo + (1 << 16)], strict=True)], "<u8")
-        votes += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+    return majority((np.array([digest(joined[a:b], seed) for a, b in zip(starts[lo : lo + (1 << 16)], ends[lo : lo + (1 << 16)], strict=True)], "<u8") for lo in range(0, len(starts), 1 << 16)))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are set in more than half of all hashes, given in parts."""
+    votes, n = np.zeros(64, "i8"), 0
+    for h in hashes:
+        votes += np.unpackbits(h.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+        n += len(h)
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
 
 
@@ -165,3 +176,67 @@ def near_duplicates(df: DataFrame, width: int = WORDS, crowd: int = CROWD, text:
     ids, _ = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "members")
     discard(spark, classes_at, *nodes_at)
     return docs.join(ids, "fp", "left").select(key, "fp", "component_id")
+
+
+def _shingled(df: DataFrame, columns: tuple[str, ...], levels: np.ndarray) -> DataFrame:
+    """The columns (text among them) and, of each row: its number, the digest of its set of shingles, the SimHash of the
+    set, the shingles that it meets others by, and its MARKS."""
+    sent, at = df.sparkSession.sparkContext.broadcast(levels), columns.index("text")
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        digest, fp, keys, numbers = [], [], [], []
+        for t in texts_of(b.column(at)):
+            h = shingles.shingles(t or b"")
+            digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+            fp.append(majority(h[lo : lo + (1 << 16)] for lo in range(0, len(h), 1 << 16)))
+            own, alone, odd = shingles.marks_of(h, sent.value)
+            keys.append(own.view("i8"))
+            numbers.append((len(h), alone, *odd.tolist()))
+        made = [pa.array(digest, pa.binary()), pa.array(np.array(fp, "u8").view("i8")), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, np.array(numbers, "i8").reshape(-1, len(shingles.MARKS)).T.copy())]
+        return pa.RecordBatch.from_arrays([*b.columns, *made], names=[*columns, "near_row", "digest", "fp", "keys", *shingles.MARKS])
+
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "near_row long, digest binary, fp long, keys array<long>", *(f"{c} long" for c in shingles.MARKS)])
+    return map_batches(df.select(*columns, F.monotonically_increasing_id().alias("near_row")), fn, schema)
+
+
+def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) -> DataFrame:
+    """One row of each component of near copies, whose sets of five-word shingles have a similarity of 4/5 or more: one with
+    the smallest doc_id, or with none where all have none. Rows are told apart by themselves, never by doc_id. Null texts
+    and others without words are copies of each other. The columns include doc_id and text; an empty table gives an empty one.
+
+    Candidates are fingerprints within 2 bits (by Golay keys), and for each key of the rarest shingles its most common set with
+    all others; then, of those sets of a key that aren't connected with that one, all with whatever else the key has.
+    Pairs whose MARKS rule the similarity out never leave the join; each other candidate is verified by the whole sets."""
+    spark = df.sparkSession
+    docs, _ = materialize(_shingled(df, columns, shingles.sketch(df)), "shingled")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")).alias("best")
+    classes, classes_at = materialize(docs.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), own, *(F.first(c).alias(c) for c in shingles.MARKS)), "classes")
+    marks = classes.select("digest", *shingles.MARKS)
+
+    keys = classes.select("digest", F.explode("keys").alias("key"))
+    twice = keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    shared, shared_at = materialize(keys.join(twice, "key").join(marks, "digest"), "shared")
+    needed = classes.join(shared.select("digest").distinct(), "digest", "left_semi").select(F.col("best.near_row").alias("near_row"))  # alike sets share a key
+    sets, sets_at = materialize(shingles.sets_of(docs.join(needed, "near_row", "left_semi")), "sets")
+
+    alike = classes.groupBy("fp").agg(F.min("digest").alias("first"))
+    edges, linked_at = links(classes.select("fp").distinct(), crowd)
+    met = edges.join(alike.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(alike.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    met = met.union(classes.join(alike, "fp").select(F.col("first").alias("a"), F.col("digest").alias("b")))
+    hubs = shared.groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("size"), "digest", *shingles.MARKS)).alias("hub")).select("key", "hub.*")
+    met = met.union(hubs.alias("a").join(shared.alias("b"), (F.col("a.key") == F.col("b.key")) & shingles.may_be_alike("a", "b")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")))
+    first, first_at = shingles.verified(met.filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), sets)
+    discard(spark, *linked_at)
+    joined, joined_at = components(first)
+    rooted, rooted_at = materialize(shared.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted")
+    main = rooted.groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("size"), "digest", "root")).alias("hub")).select("key", F.col("hub.root").alias("main"))
+    apart = rooted.join(main, "key").filter("root != main")
+    rest = apart.alias("a").join(rooted.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & shingles.may_be_alike("a", "b"))
+    second, second_at = shingles.verified(rest.select(F.least("a.digest", "b.digest").alias("u"), F.greatest("a.digest", "b.digest").alias("v")), sets)
+    discard(spark, shared_at, sets_at, rooted_at, *joined_at)
+    nodes, nodes_at = components(first.union(second))
+    discard(spark, first_at, second_at)
+    chosen = classes.join(nodes.withColumnRenamed("node", "digest"), "digest", "left").groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("best").alias("best"))
+    chosen, _ = materialize(chosen.select(F.col("best.near_row").alias("near_row")), "chosen")
+    discard(spark, classes_at, *nodes_at)
+    return docs.join(chosen, "near_row", "left_semi").select(*columns)
