@@ -468,3 +468,118 @@ def test_verdict_gates():
     assert decide(0.95, 0.5, 0.9, [("SHARPE_IMPLAUSIBLE", "warn")]).decision == "GO"
     for bad in ((0.94, 0.5, 0.9, []), (0.95, 0.51, 0.9, []), (0.95, 0.5, 0.89, []), (1, 0, 1, [("EDGE_FAILS_COSTS", "fail")])):
         assert decide(*bad).decision == "NO-GO"
+
+
+def test_segments_are_those_of_a_full_search():
+    rng = np.random.default_rng(11)
+    for k in range(300):
+        n, least, jump = int(rng.integers(4, 60)), int(rng.integers(1, 6)), int(rng.choice([1, 1, 1, 3]))
+        cost = ("l2", "normal")[k % 2]
+        x = np.repeat(rng.normal(0, 3, n), rng.integers(1, 9, n))[:n] + rng.normal(0, 1, n)
+        penalty = float(rng.uniform(0.5, 12))
+        y = x - x[0]
+        s, q = np.concatenate([[0.0], np.cumsum(y)]), np.concatenate([[0.0], np.cumsum(y * y)])
+        price = regimes.COSTS[cost]
+        best, pieces = {0: -penalty}, {0: 0}
+        got = regimes.segments(x, penalty, least, jump, cost)
+        for t_ in range(1, n + 1):
+            found = [(best[a] + float(price(s, q, np.array([a]), t_)[0]), a) for a in sorted(best) if t_ - a >= least]
+            want = 1
+            if found:
+                low, a = min(found)
+                want = pieces[a] + 1
+                if t_ % jump == 0:
+                    best[t_], pieces[t_] = low + penalty, want
+            assert got[t_ - 1] == (want if t_ >= 2 * least else 1), (k, t_)
+
+
+def test_detectors(spark):
+    rng = np.random.default_rng(4)
+    calm, wild = rng.normal(0, 0.001, 150), rng.normal(0, 0.02, 150)
+    close = 100 * np.exp(np.cumsum(np.concatenate([calm, wild, calm])))
+    bars = make_bars(spark, close.tolist())
+    d = regimes.detector("hmm", states=2)
+    with pytest.raises(ValueError):
+        d.proba(bars)
+    d.fit(bars.filter("pos < 300"))
+    got = [(r["regime"], p["proba"]) for r, p in zip(d.regimes(bars).orderBy("pos").collect(), d.proba(bars).orderBy("pos").collect(), strict=True)]
+    assert got[0] == (-1, None) and np.mean([g[0] for g in got[20:150]]) < 0.1 and np.mean([g[0] for g in got[170:300]]) > 0.9
+    assert all(abs(sum(p) - 1) < 1e-9 for _, p in got[1:])
+    prefix = d.regimes(bars.filter("pos < 200")).orderBy("pos").collect()
+    assert [r["regime"] for r in prefix] == [g[0] for g in got[:200]]  # the past alone
+    c = regimes.detector("change_points", penalty=500.0).fit(bars)
+    rows = c.proba(bars).orderBy("pos").collect()
+    labels_ = [r["regime"] for r in c.regimes(bars).orderBy("pos").collect()]
+    assert [r["proba"].index(1.0) for r in rows] == labels_ and labels_ == (regimes.segments(close, 500.0) - 1).tolist() and max(labels_) > 0
+    with pytest.raises(ValueError):
+        regimes.register_detector("hmm", None)
+    assert regimes.hmm_regimes(bars, 2, 300).count() == 450
+
+
+def test_block_lengths_use_all_trades(spark):
+    rng = np.random.default_rng(8)
+    for n, span in ((3, 16), (40, 16), (3000, 200), (20_000, 1 << 16)):
+        e = rng.normal(0, 1, n)
+        x = np.array([e[max(0, k - 6) : k + 1].sum() for k in range(n)]) + (np.arange(n) > 0.6 * n)
+        log = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "net_pnl_usd": x})).repartition(3)
+        size, cov = account.autocovariances(log, span=span)
+        assert size == n
+        if n >= 4:
+            c = x - x.mean()
+            assert np.allclose(cov, [c[: n - k] @ c[k:] / n for k in range(len(cov))], atol=1e-8)
+        assert account.block_length(log) == account.default_block(x)
+        want = account.optimal_block(x, True)
+        assert statistics.bootstrap_block(log) == (max(1, round(want)) if math.isfinite(want) else 1)
+    flat = spark.createDataFrame([(k, 1.0) for k in range(30)], "idx long, net_pnl_usd double")
+    assert account.block_length(flat) == 1 and account.block_length(flat.filter("false")) == 1
+
+
+def test_dense_index(spark):
+    from tickforge.operators.order import dense_index
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(50_000), f"s{rnd.randrange(3)}", k) for k in range(500)]
+    df = spark.createDataFrame(rows, "entry_pos long, symbol string, k long")
+    got = dense_index(df, (F.col("entry_pos") / 4096).cast("long"), ["entry_pos", "symbol", "k"]).orderBy("idx").collect()
+    assert [r["idx"] for r in got] == list(range(500)) and [(r["entry_pos"], r["symbol"], r["k"]) for r in got] == sorted(rows)
+
+
+def test_signals_can_be_added(spark):
+    from tickforge.operators import trading
+
+    up = trading.simple_signal(lambda p: F.when(F.col("close") > p["level"], 1.0).otherwise(0.0), {"level": 0}, fractions=("level",))
+    if "above" not in trading.SIGNALS:
+        trading.register_signal("above", up)
+    with pytest.raises(ValueError):
+        trading.register_signal("above", up)
+    bars = make_bars(spark, [1, 3, 3, 1, 3, 1])
+    raw = trading.signal_over_grid(bars, "above", [(0, {"level": 2.5}), (1, {"level": 9.0})]).orderBy("combo_id", "pos").collect()
+    assert [r["raw"] for r in raw] == [0, 1, 1, 0, 1, 0] + [0] * 6
+    assert trading.bad_params("above", {}) and trading.bad_params("above", {"level": 1.5}) is None
+
+
+def test_shared_folder_is_made_on_a_local_master_alone():
+    from tickforge import session
+
+    class Conf:
+        def __init__(self, path=None):
+            self.path = path
+
+        def get(self, key, default=None):
+            return self.path
+
+        def set(self, key, value):
+            self.path = value
+
+    class Fake:
+        def __init__(self, master, path=None):
+            self.conf, self.sparkContext = Conf(path), self
+            self.master, self.path = master, path
+
+        def getConf(self):
+            return Conf(self.path)
+
+    assert session.shared_dir(Fake("local[2]")).startswith("file://")
+    assert session.shared_dir(Fake("spark://x", "hdfs://a/b/")) == "hdfs://a/b"
+    with pytest.raises(ValueError):
+        session.shared_dir(Fake("spark://x"))

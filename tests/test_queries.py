@@ -3,7 +3,11 @@
 import collections
 import importlib.util
 import math
+import os
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -51,7 +55,28 @@ def test_entry_imports():
 
     names = set(e.queries())
     assert set(registry.QUERIES) <= names and set(e.oracle_sql()) <= names
-    assert ("pipeline" in names) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    there = all(importlib.util.find_spec(m) is not None for m in ("tickforge.llm", "corpus_pipeline", "public_tokenizers"))
+    assert ("pipeline" in names) == there
+
+
+@pytest.mark.parametrize("hidden", ["tickforge.llm", "corpus_pipeline", "public_tokenizers"])
+def test_entry_imports_without(hidden):
+    """In a process that can't import what is hidden, the engine's queries are all there."""
+    code = f"""
+import sys
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name == {hidden!r}:
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as e
+from tickforge.plans import registry
+names = set(e.queries())
+assert set(registry.QUERIES) <= names and set(e.oracle_sql()) <= names
+assert "pipeline" not in names
+"""
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, env={**os.environ, "PYTHONPATH": str(root)}, timeout=300)
 
 
 def test_leaks_are_the_only_mismatches(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,16 +63,18 @@ def trades_per_day(log: DataFrame, ts: str = "exit_ts") -> int:
     return 1 if mean is None else max(1, round(mean))
 
 
-def optimal_block(x: np.ndarray, stationary: bool = False) -> float:
-    """The automatic block length of Politis and White with the correction of Patton, Politis and White."""
-    x = np.asarray(x, "f8")
-    n = len(x)
-    if n < 4 or not np.isfinite(x).all() or x.std() == 0:
-        return float("nan")
-    e = x - x.mean()
+def _lags(n: int) -> tuple[int, int]:
+    """How many autocovariances in a row are to be flat, and the largest lag, for a series of n."""
     reach = max(5, int(math.ceil(math.sqrt(math.log10(n)))))
-    most = int(math.ceil(math.sqrt(n))) + reach
-    cov = np.array([float(e[: n - k] @ e[k:]) / n for k in range(min(most, n - 1) + 1)])
+    return reach, min(int(math.ceil(math.sqrt(n))) + reach, n - 1)
+
+
+def block_of(n: int, cov: np.ndarray, stationary: bool = False) -> float:
+    """The automatic block length of Politis and White with the correction of Patton, Politis and White, from autocovariances
+    (NaN where there are none)."""
+    if n < 4 or not np.isfinite(cov).all() or cov[0] <= 0:
+        return float("nan")
+    reach, _ = _lags(n)
     limit = 2 * math.sqrt(math.log10(n) / n)
     flat = np.abs(cov[1:] / cov[0]) < limit
     m = next((k + 1 for k in range(len(flat) - reach + 1) if flat[k : k + reach].all()), None)
@@ -87,10 +90,54 @@ def optimal_block(x: np.ndarray, stationary: bool = False) -> float:
     return min(b, math.ceil(min(3 * math.sqrt(n), n / 3)))
 
 
+def optimal_block(x: np.ndarray, stationary: bool = False) -> float:
+    """block_of for a series at hand."""
+    x = np.asarray(x, "f8")
+    n = len(x)
+    if n < 4 or not np.isfinite(x).all() or x.std() == 0:
+        return float("nan")
+    e = x - x.mean()
+    return block_of(n, np.array([float(e[: n - k] @ e[k:]) / n for k in range(_lags(n)[1] + 1)]), stationary)
+
+
+def autocovariances(log: DataFrame, value: str = "net_pnl_usd", span: int = 1 << 16) -> tuple[int, np.ndarray]:
+    """How many rows log (idx from 0, value) has, and the autocovariances of value at all lags that block_of needs: all rows
+    count. Stretches of idx are summed by task, each with the rows behind it that its lags reach; the driver gets a row a lag,
+    some square root of the number of rows."""
+    n, mean, low, high = log.agg(F.count("*"), F.avg(value), F.min(value), F.max(value)).first()
+    if n < 4 or low == high or not math.isfinite(mean):
+        return n, np.full(1, math.nan)
+    most = _lags(n)[1]
+    span = max(span, most)
+    at = F.floor(F.col("idx") / span)
+    reached = F.when(F.col("idx") % span < most, F.array(at, at - 1)).otherwise(F.array(at))  # a row also ends pairs that begin in the stretch before
+    rows = log.select("idx", F.col(value).cast("double").alias("x"), F.explode(reached).alias("part")).filter("part >= 0")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        pdf = pdf.sort_values("idx")
+        e, own = pdf["x"].to_numpy() - mean, int((pdf["idx"] < (part + 1) * span).sum())
+        size = 1 << (len(e) + most).bit_length()
+        both = np.fft.irfft(np.fft.rfft(e, size) * np.conj(np.fft.rfft(e[:own], size)), size)[: most + 1]
+        return pd.DataFrame({"lag": np.arange(most + 1), "total": both})
+
+    got = rows.groupBy("part").applyInPandas(run, "lag long, total double").groupBy("lag").agg(F.sum("total").alias("total")).orderBy("lag").toPandas()
+    return n, got["total"].to_numpy() / n
+
+
 def default_block(x: np.ndarray) -> int:
     """1 for fewer than 16 values or where the rule has no result; within 1 and their number."""
-    b = optimal_block(x) if len(x) >= 16 else float("nan")
-    return int(min(max(1, round(b)), len(x))) if math.isfinite(b) else 1
+    return _within(optimal_block(x) if len(x) >= 16 else math.nan, len(x))
+
+
+def block_length(log: DataFrame) -> int:
+    """default_block of all trades of log (idx, net_pnl_usd)."""
+    n, cov = autocovariances(log)
+    return _within(block_of(n, cov) if n >= 16 else math.nan, n)
+
+
+def _within(b: float, n: int) -> int:
+    return int(min(max(1, round(b)), n)) if math.isfinite(b) else 1
 
 
 def resample(log: DataFrame, n: int, paths: int, length: int, block: int, seed: int, start: Column | None = None) -> DataFrame:
@@ -140,7 +187,7 @@ def survival(log: DataFrame, rules: AccountRules, paths: int = 1_000, days: int
     if not n:
         return log.sparkSession.createDataFrame([(float(s), paths, 1.0, 0.0, None) for s in sizes], "contracts double, n_paths long, p_survival double, p_target double, median_days_to_target double")
     per_day = trades_per_day(log)
-    block = block or default_block(log.orderBy("idx").limit(10_000).toPandas()["net_pnl_usd"].to_numpy())
+    block = block or block_length(log)
     one = to_days(resample(log, n, paths, days * per_day, block, seed), per_day)
     each = one.withColumn("contracts", F.explode(F.array(*(F.lit(float(s)) for s in sizes))))
     scaled = each.select("contracts", "path_id", "day", *((F.col(c) * F.col("contracts")).alias(c) for c in ("realized", "lo", "hi")))

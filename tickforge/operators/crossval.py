@@ -6,7 +6,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,37 +31,42 @@ def groups(labels: DataFrame, n: int, k: int, first: int = 0) -> DataFrame:
     return labels.withColumn("grp", F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / max(1, size))).cast("int"))
 
 
-def _blocks(cut: DataFrame) -> DataFrame:
-    """A row for each group: its first and last pos and the envelope of its intervals."""
-    return cut.groupBy("grp").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("t0").alias("b0"), F.max("t1").alias("b1"))
+def _blocks(cut: DataFrame) -> list:
+    """Of each group (a few rows) the first and last pos and the envelope of its intervals."""
+    return cut.groupBy("grp").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("t0").alias("b0"), F.max("t1").alias("b1")).orderBy("grp").collect()
 
 
-def _assign(cut: DataFrame, tests: DataFrame, embargo: int) -> DataFrame:
-    """tests (fold, grp): the groups tested in each fold. A row trains in a fold unless it is tested there, overlaps the
-    envelope of a tested group (closed intervals), or is among the `embargo` rows after one."""
-    blocks = tests.join(_blocks(cut), "grp")
-    few = F.broadcast(blocks.withColumnRenamed("grp", "tested"))  # a row for each fold and tested group
-    met = cut.select("pos", "t0", "t1", "grp").join(few)
-    inside = F.col("grp") == F.col("tested")
-    out = (F.col("t0") <= F.col("b1")) & (F.col("t1") >= F.col("b0")) | (F.col("pos") > F.col("hi")) & (F.col("pos") <= F.col("hi") + embargo)
-    got = met.groupBy("fold", "pos").agg(F.max(inside.cast("int")).alias("inside"), F.max(out.cast("int")).alias("out"))
-    return got.filter("inside = 1 OR out = 0").select(F.col("fold").cast("int").alias("fold"), "pos", F.when(F.col("inside") == 1, "test").otherwise("train").alias("role"))
+def _roles(rows: DataFrame, roles: list[Column]) -> DataFrame:
+    """(fold, pos, role) from the role of a row in each fold, null for none: no join and no shuffle."""
+    each = F.array(*(F.when(r.isNotNull(), F.struct(F.lit(k).alias("fold"), "pos", r.alias("role"))) for k, r in enumerate(roles)))
+    return rows.select(F.explode(F.array_compact(each)).alias("r")).select("r.fold", "r.pos", "r.role")
+
+
+def _assign(cut: DataFrame, tests: list[tuple[int, ...]], embargo: int) -> DataFrame:
+    """tests: the groups tested in each fold. A row trains in a fold unless it is tested there, overlaps the envelope of a
+    tested group (closed intervals), or is among the `embargo` rows after one. Bounds of groups are literals in the plan."""
+    blocks = {r["grp"]: r for r in _blocks(cut)}
+    roles = []
+    for fold in tests:
+        out = F.lit(False)
+        for b in (blocks[g] for g in fold if g in blocks):
+            out = out | (F.col("t0") <= F.lit(b["b1"])) & (F.col("t1") >= F.lit(b["b0"])) | (F.col("pos") > b["hi"]) & (F.col("pos") <= b["hi"] + embargo)
+        roles.append(F.when(F.col("grp").isin(*fold), "test").when(~out, "train"))
+    return _roles(cut, roles)
 
 
 def purged_kfold(labels: DataFrame, n: int, k: int = 5, embargo: float = 0.0) -> DataFrame:
     """k folds of n rows; the embargo is the whole part of n times its share."""
     if k < 2 or k > n:
         raise ValueError(f"{k} folds of {n} rows")
-    spark = labels.sparkSession
-    return _assign(groups(labels, n, k), spark.range(k).select(F.col("id").cast("int").alias("fold"), F.col("id").cast("int").alias("grp")), int(n * embargo))
+    return _assign(groups(labels, n, k), [(g,) for g in range(k)], int(n * embargo))
 
 
 def combinatorial(labels: DataFrame, n: int, k: int = 6, tested: int = 2, embargo: float = 0.0) -> DataFrame:
     """Every choice of `tested` of k groups, in lexicographic order, is a fold."""
     if not 0 < tested < k:
         raise ValueError(f"{tested} of {k} groups")
-    pairs = [(f, g) for f, combo in enumerate(itertools.combinations(range(k), tested)) for g in combo]
-    return _assign(groups(labels, n, k), labels.sparkSession.createDataFrame(pairs, "fold int, grp int"), int(n * embargo))
+    return _assign(groups(labels, n, k), list(itertools.combinations(range(k), tested)), int(n * embargo))
 
 
 def n_paths(k: int, tested: int) -> int:
@@ -77,10 +82,8 @@ def walk_forward(labels: DataFrame, n: int, k: int = 5, min_train: int | None =
     if not 0 < first <= n - k:
         raise ValueError(f"{first} rows to train on of {n}")
     tail = groups(labels.filter(F.col("pos") >= first), n - first, k, first)
-    blocks = _blocks(tail).select(F.col("grp").alias("fold"), "lo", "hi", "b0")
-    met = labels.select("pos", "t0", "t1").join(F.broadcast(blocks), F.col("pos") <= F.col("hi"))  # k rows of blocks
-    role = F.when(F.col("pos") >= F.col("lo"), "test").when(F.col("t1") < F.col("b0"), "train")
-    return met.select(F.col("fold").cast("int").alias("fold"), "pos", role.alias("role")).filter(F.col("role").isNotNull())
+    role = lambda b: F.when(F.col("pos").between(b["lo"], b["hi"]), "test").when((F.col("pos") < b["lo"]) & (F.col("t1") < F.lit(b["b0"])), "train")
+    return _roles(labels, [role(b) for b in _blocks(tail)])
 
 
 def scheme(kind: str, **settings) -> str:

@@ -103,18 +103,20 @@ def periods_per_year(interval: str, session_hours: float = 23.0, days: int = 252
     return session_hours * 60 / minutes[interval] * days
 
 
-def ffd_weights(d: float, threshold: float = 1e-4, most: int = 10_000) -> list[float]:
-    """Weights of fixed-width fractional differencing, the newest value's first, up to the first below the threshold."""
+def ffd_weights(d: float, threshold: float = 1e-4, most: int = 100_000) -> list[float]:
+    """Weights of fixed-width fractional differencing, the newest value's first, up to the first below the threshold.
+    More than `most` of them (a threshold that asks for wider windows than a plan can hold) are an error."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
     w = [1.0]
-    while len(w) < most:
+    while True:
         k = len(w)
         nxt = -w[-1] * (d - k + 1) / k
         if abs(nxt) < threshold:
-            break
+            return w
+        if k == most:
+            raise ValueError(f"more than {most} weights for d {d} and threshold {threshold}")
         w.append(nxt)
-    return w
 
 
 def frac_diff(x: str = "close", d: float = 0.4, threshold: float = 1e-4) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,22 +28,39 @@ def reconcile(broker_fills: DataFrame, local_fills: DataFrame, broker: DataFrame
     return fills.union(places).withColumnRenamed("instrument", "detail")
 
 
+POSITIONS = "instrument string, qty double, avg_px double, realized double"
+
+
 def net_positions(fills: DataFrame) -> DataFrame:
     """(instrument, qty, avg_px, realized) of signed fills (instrument, seq, qty, price): a fill in the position's direction
-    moves the average price, one against it realizes, and what passes zero opens anew. A fold over each instrument's fills in
-    order; an instrument's own book is one account's fills."""
-    state = F.struct(F.lit(0.0).alias("qty"), F.lit(0.0).alias("avg_px"), F.lit(0.0).alias("realized"))
-
-    def step(s, f):
-        q, p = f["qty"].cast("double"), f["price"].cast("double")
-        same = (s["qty"] == 0) | (F.signum(s["qty"]) == F.signum(q))
-        now = s["qty"] + q
-        closed = F.least(F.abs(q), F.abs(s["qty"])) * F.signum(s["qty"])
-        avg = F.when(same, F.coalesce(F.try_divide(s["qty"] * s["avg_px"] + q * p, now), F.lit(0.0))).when(F.signum(now) == F.signum(s["qty"]), s["avg_px"]).when(now == 0, F.lit(0.0)).otherwise(p)
-        return F.struct(now.alias("qty"), avg.alias("avg_px"), (s["realized"] + F.when(same, F.lit(0.0)).otherwise(closed * (p - s["avg_px"]))).alias("realized"))
-
-    book = fills.groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("seq", "qty", "price"))).alias("fills"))
-    return book.select("instrument", F.aggregate("fills", state, step).alias("s")).select("instrument", "s.qty", "s.avg_px", "s.realized")
+    moves the average price, one against it realizes, and what passes zero opens anew.
+
+    Fills are dealt by instrument and sorted by it and seq; a fold runs along them, batch by batch, with one instrument's
+    state, so that no book is ever held whole."""
+
+    def run(batches):
+        name, qty, avg, won = None, 0.0, 0.0, 0.0
+        none = True
+        for b in batches:
+            out = []
+            for who, q, px in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if none or who != name:
+                    if not none:
+                        out.append((name, qty, avg, won))
+                    name, qty, avg, won, none = who, 0.0, 0.0, 0.0, False
+                now = qty + q
+                if qty == 0 or (qty > 0) == (q > 0):
+                    avg = (qty * avg + q * px) / now if now else 0.0
+                else:
+                    won += min(abs(q), abs(qty)) * (1 if qty > 0 else -1) * (px - avg)
+                    avg = 0.0 if now == 0 else avg if (now > 0) == (qty > 0) else px
+                qty = now
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.string(), *[pa.float64()] * 3), strict=True)], names=["instrument", "qty", "avg_px", "realized"])
+        if not none:
+            yield pa.RecordBatch.from_pylist([{"instrument": name, "qty": qty, "avg_px": avg, "realized": won}])
+
+    rows = fills.select("instrument", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"), "seq").filter("qty <> 0")
+    return rows.repartition("instrument").sortWithinPartitions("instrument", "seq", "qty", "price").select("instrument", "qty", "price").mapInArrow(run, POSITIONS)
 
 
 def mark_to_market(positions: DataFrame, closes: DataFrame, balance: float, multiplier: float) -> DataFrame:

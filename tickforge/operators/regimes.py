@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -80,60 +81,146 @@ def _returns(pdf: pd.DataFrame) -> np.ndarray:
         return np.concatenate([[np.nan], np.diff(np.log(close))])
 
 
-def hmm_regimes(bars: DataFrame, states: int = 2, train: int | None = None, seed: int = 7) -> DataFrame:
-    """(symbol, pos, regime, p_high): the model is fitted to the first `train` bars (default: all), states are by rising variance;
-    -1 and null where there is no return."""
+PARAMETERS = "symbol string, start array<double>, step array<array<double>>, mean array<double>, var array<double>"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x = _returns(pdf)
-        m = fit_hmm(x if train is None else x[:train], states, seed)
-        p = filter_hmm(m, x)[:, np.argsort(m.var, kind="stable")]
-        seen = np.isfinite(p[:, 0])
-        regime = np.where(seen, np.argmax(np.where(np.isfinite(p), p, -1), axis=1), -1)
-        return pd.DataFrame({"symbol": pdf["symbol"], "pos": pdf["pos"], "regime": regime.astype("i4"), "p_high": [float(v) if np.isfinite(v) else None for v in p[:, -1]]})
 
-    return bars.select("symbol", "pos", "close").groupBy("symbol").applyInPandas(run, "symbol string, pos long, regime int, p_high double")
+def _model(row) -> Hmm:
+    return Hmm(*(np.array([list(v) for v in row[c]] if c == "step" else list(row[c]), "f8") for c in ("start", "step", "mean", "var")))
 
 
-def segments(x: np.ndarray, penalty: float, least: int = 5) -> np.ndarray:
-    """By prefix, the number of segments of the best cut of x[: t + 1] into pieces of `least` values or more with the smallest sum
-    of squared deviations plus the penalty for each cut (1 where a prefix is shorter than two pieces). Pruned: a start that
-    can't win again is dropped, so the pass over all prefixes is one search."""
-    n = len(x)
+class HmmDetector:
+    """Regimes of log returns: fit learns a model of each symbol, regimes and proba filter forward with it. States are by
+    rising variance; a bar without a return has regime -1 and no probabilities, and so has a symbol that wasn't fitted."""
+
+    def __init__(self, states: int = 2, seed: int = 7, rounds: int = 50, tolerance: float = 1e-4, least_var: float = 1e-8):
+        if states < 2 or rounds < 1 or least_var <= 0:
+            raise ValueError("at least two states, one round and a positive least variance are needed")
+        self.states, self.settings, self.models = states, (seed, rounds, tolerance, least_var), None
+
+    def fit(self, bars: DataFrame) -> HmmDetector:
+        """Learns from all of bars: give it history that ends before what is to be labelled."""
+        states, settings = self.states, self.settings
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            m = fit_hmm(_returns(pdf.sort_values("pos")), states, *settings)
+            order = np.argsort(m.var, kind="stable")
+            return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "start": [m.start[order].tolist()], "step": [m.step[order][:, order].tolist()], "mean": [m.mean[order].tolist()], "var": [m.var[order].tolist()]})
+
+        self.models = bars.select("symbol", "pos", "close").groupBy("symbol").applyInPandas(run, PARAMETERS)
+        return self
+
+    def proba(self, bars: DataFrame) -> DataFrame:
+        """(symbol, pos, proba: an array by state, null where there is no return), from the past alone."""
+        if self.models is None:
+            raise ValueError("the detector isn't fitted")
+
+        def run(pdf: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("pos")
+            p = filter_hmm(_model(models.iloc[0]), _returns(pdf)) if len(models) else np.full((len(pdf), 1), np.nan)
+            return pd.DataFrame({"symbol": pdf["symbol"], "pos": pdf["pos"], "proba": [row.tolist() if np.isfinite(row[0]) else None for row in p]})
+
+        return bars.select("symbol", "pos", "close").groupBy("symbol").cogroup(self.models.groupBy("symbol")).applyInPandas(run, "symbol string, pos long, proba array<double>")
+
+    def regimes(self, bars: DataFrame) -> DataFrame:
+        top = F.array_position("proba", F.array_max("proba")) - 1
+        return self.proba(bars).select("symbol", "pos", F.coalesce(top, F.lit(-1)).cast("int").alias("regime"))
+
+
+def hmm_regimes(bars: DataFrame, states: int = 2, train: int = 200, seed: int = 7) -> DataFrame:
+    """(symbol, pos, regime, p_high): the model is fitted to the first `train` bars of each symbol; -1 and null where there is no
+    return, p_high is the probability of the state of the largest variance."""
+    p = HmmDetector(states, seed).fit(bars.filter(F.col("pos") < train)).proba(bars)
+    top = F.array_position("proba", F.array_max("proba")) - 1
+    return p.select("symbol", "pos", F.coalesce(top, F.lit(-1)).cast("int").alias("regime"), F.element_at("proba", -1).alias("p_high"))
+
+
+def _square(s: np.ndarray, q: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
+    return q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a)
+
+
+def _normal(s: np.ndarray, q: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
+    return (b - a) * np.log(np.maximum(_square(s, q, a, b) / (b - a), 0) + 1e-6)
+
+
+#: The cost of a piece by model: squared deviations from its mean, or the normal likelihood of its mean and variance.
+COSTS = {"l2": _square, "normal": _normal}
+
+
+def segments(x: np.ndarray, penalty: float, least: int = 2, jump: int = 1, cost: str = "l2") -> np.ndarray:
+    """By prefix, the number of segments of the best cut of x[: t + 1], at multiples of `jump`, into pieces of `least` values or
+    more with the smallest sum of costs plus the penalty for each cut (1 where a prefix is shorter than two pieces).
+
+    A start that does worse at t than the best cut of t can never win once a piece fits behind t, so it is dropped from
+    t + least on: the pass over all prefixes is one exact search."""
+    n, price = len(x), COSTS[cost]
+    x = x - (x[0] if n else 0.0)  # sums of squares stay small
     s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
     best, pieces, out = np.full(n + 1, math.inf), np.zeros(n + 1, "i8"), np.ones(n, "i8")
     best[0] = -penalty
-    starts = np.array([0])
+    starts, until = np.array([0]), np.array([n + 1])
     for t in range(least, n + 1):
-        if t - least >= least:
-            starts = np.append(starts, t - least)
-        m = t - starts
-        cost = best[starts] + (q[t] - q[starts]) - (s[t] - s[starts]) ** 2 / m
-        k = int(np.argmin(cost))
-        best[t], pieces[t] = cost[k] + penalty, pieces[starts[k]] + 1
-        out[t - 1] = pieces[t] if t >= 2 * least else 1
-        starts = starts[cost <= best[t]]
+        if (t - least) % jump == 0 and t - least >= least:
+            starts, until = np.append(starts, t - least), np.append(until, n + 1)
+        keep = until > t
+        starts, until = starts[keep], until[keep]
+        total = best[starts] + price(s, q, starts, t)
+        k = int(np.argmin(total))
+        count = pieces[starts[k]] + 1
+        out[t - 1] = count if t >= 2 * least else 1
+        if t % jump == 0:
+            best[t], pieces[t] = total[k] + penalty, count
+            until = np.where(total > best[t], np.minimum(until, t + least), until)
     return out
 
 
-def change_points(bars: DataFrame, penalty: float = 10.0, least: int = 5) -> DataFrame:
-    """(symbol, pos, regime): segments so far less one, of each symbol's standardized log returns; only the past counts."""
+class ChangePoints:
+    """Regimes as the number of change points so far in each symbol's closes, searched anew on every prefix."""
+
+    def __init__(self, penalty: float, model: str = "l2", least: int = 2, jump: int = 1):
+        if penalty <= 0 or least < 1 or jump < 1:
+            raise ValueError("a positive penalty, and a least size and jump of 1 at least, are needed")
+        if model not in COSTS:
+            raise ValueError(f"unknown cost {model}")
+        self.settings, self.found = (penalty, least, jump, model), None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x = np.nan_to_num(_returns(pdf), nan=0.0, posinf=0.0, neginf=0.0) * 100
-        return pd.DataFrame({"symbol": pdf["symbol"], "pos": pdf["pos"], "regime": (segments(x, penalty, least) - 1).astype("i4")})
+    def regimes(self, bars: DataFrame) -> DataFrame:
+        settings = self.settings
 
-    return bars.select("symbol", "pos", "close").groupBy("symbol").applyInPandas(run, "symbol string, pos long, regime int")
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("pos")
+            return pd.DataFrame({"symbol": pdf["symbol"], "pos": pdf["pos"], "regime": (segments(pdf["close"].to_numpy("f8"), *settings) - 1).astype("i4")})
 
+        return bars.select("symbol", "pos", "close").groupBy("symbol").applyInPandas(run, "symbol string, pos long, regime int")
 
-class Detector:
-    """The protocol of regime detectors: regimes(bars) gives (symbol, pos, regime) from the past alone."""
+    def fit(self, bars: DataFrame) -> ChangePoints:
+        """Notes how many regimes each symbol's whole history has (symbol, n), which is all that is to be learned."""
+        self.found = self.regimes(bars).groupBy("symbol").agg((F.max_by("regime", "pos") + 1).alias("n"))
+        return self
 
-    def __init__(self, kind: str = "hmm", **settings):
-        self.run = {"hmm": hmm_regimes, "change_points": change_points}[kind]
-        self.settings = settings
+    def proba(self, bars: DataFrame) -> DataFrame:
+        """(symbol, pos, proba): 1 for the regime and 0 for the others, as many as the symbol ever has here or had in fit."""
+        seen = self.regimes(bars)
+        sizes = seen.groupBy("symbol").agg((F.max("regime") + 1).alias("k"))
+        if self.found is not None:
+            sizes = sizes.join(self.found, "symbol", "left").select("symbol", F.greatest("k", F.coalesce("n", F.lit(1))).alias("k"))
+        one = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda k: (k == F.col("regime")).cast("double"))
+        return seen.join(sizes, "symbol").select("symbol", "pos", one.alias("proba"))
 
-    def regimes(self, bars: DataFrame) -> DataFrame:
-        return self.run(bars, **self.settings).select("symbol", "pos", "regime")
+
+def change_points(bars: DataFrame, penalty: float = 10.0, least: int = 2) -> DataFrame:
+    """(symbol, pos, regime) of ChangePoints."""
+    return ChangePoints(penalty, least=least).regimes(bars)
+
+
+#: Detectors by name; any class with fit, regimes and proba can be added.
+DETECTORS = {"hmm": HmmDetector, "change_points": ChangePoints}
+
+
+def register_detector(name: str, make) -> None:
+    if name in DETECTORS:
+        raise ValueError(f"{name} is registered already")
+    DETECTORS[name] = make
+
+
+def detector(kind: str, **settings):
+    return DETECTORS[kind](**settings)

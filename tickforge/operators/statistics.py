@@ -7,7 +7,6 @@ import itertools
 import math
 from statistics import NormalDist
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,11 +101,11 @@ def bootstrap_sharpe(returns: DataFrame, n: int, reps: int = 1_000, confidence:
     return each.agg(F.percentile("sr", F.lit(tail)).alias("lo"), F.percentile("sr", F.lit(1 - tail)).alias("hi"), F.count("*").alias("reps"))
 
 
-def bootstrap_block(x: np.ndarray) -> int:
-    """The automatic mean block length, 1 at least."""
-    from .account import optimal_block
+def bootstrap_block(log: DataFrame, value: str = "net_pnl_usd") -> int:
+    """The automatic mean block length of all values of log (idx from 0, value), 1 at least."""
+    from .account import autocovariances, block_of
 
-    b = optimal_block(x, stationary=True)
+    b = block_of(*autocovariances(log, value), stationary=True)
     return max(1, round(b)) if math.isfinite(b) else 1
 
 

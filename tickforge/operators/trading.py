@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,35 +41,70 @@ def ma_cross(fast: int, slow: int, vol_window: int, target: float) -> Column:
     return F.coalesce(F.signum(sma("close", fast) - sma("close", slow)) * scale, F.lit(0.0))
 
 
-#: Signals by name: required parameters and their least values.
-SIGNALS = {"donchian": {"window": 1}, "ma_cross": {"fast": 1, "slow": 2, "vol_window": 2, "target": 0}}
+def _donchian_columns(bars: DataFrame, combos: list[tuple[int, dict]]) -> tuple[DataFrame, dict[int, str]]:
+    windows = sorted({int(p["window"]) for _, p in combos})
+    df = bars.withColumns({f"_c{w}": donchian(w) for w in windows})
+    return df.withColumns({f"_s{w}": held_state(f"_c{w}") for w in windows}), {k: f"_s{int(p['window'])}" for k, p in combos}
+
+
+def _ma_cross_columns(bars: DataFrame, combos: list[tuple[int, dict]]) -> tuple[DataFrame, dict[int, str]]:
+    from .features import log_returns
+
+    made = {f"_s{k}": ma_cross(int(p["fast"]), int(p["slow"]), int(p["vol_window"]), float(p["target"])) for k, p in combos}
+    return log_returns(bars).withColumns(made), {k: f"_s{k}" for k, _ in combos}
+
+
+@dataclass(frozen=True)
+class Signal:
+    """A signal that can be swept. columns(bars, combos) gives bars with a column for each distinct raw target, over one sort,
+    and each combination's column; least has the required parameters' least values; check says what else is wrong."""
+
+    columns: Callable[[DataFrame, list[tuple[int, dict]]], tuple[DataFrame, dict[int, str]]]
+    least: dict[str, float]
+    check: Callable[[dict], str | None] = lambda p: None
+    fractions: tuple[str, ...] = ()
+
+
+#: Signals by name.
+SIGNALS: dict[str, Signal] = {
+    "donchian": Signal(_donchian_columns, {"window": 1}),
+    "ma_cross": Signal(_ma_cross_columns, {"fast": 1, "slow": 2, "vol_window": 2, "target": 0}, lambda p: "fast isn't below slow" if p["fast"] >= p["slow"] else None, ("target",)),
+}
+
+
+def register_signal(name: str, signal: Signal) -> None:
+    """Adds a signal, which sweeps, trades and research runs then take by its name."""
+    if name in SIGNALS:
+        raise ValueError(f"{name} is registered already")
+    SIGNALS[name] = signal
+
+
+def simple_signal(generate: Callable[[dict], Column], least: dict[str, float], check: Callable[[dict], str | None] = lambda p: None, fractions: tuple[str, ...] = ()) -> Signal:
+    """A signal whose raw target is a column of the bars, made from a combination's parameters."""
+
+    def columns(bars: DataFrame, combos: list[tuple[int, dict]]) -> tuple[DataFrame, dict[int, str]]:
+        return bars.withColumns({f"_s{k}": generate(p) for k, p in combos}), {k: f"_s{k}" for k, _ in combos}
+
+    return Signal(columns, least, check, fractions)
 
 
 def bad_params(signal: str, params: dict) -> str | None:
-    """Why a combination can't be run, or None. Missing keys, booleans, values below the least, and fast >= slow are errors."""
-    for name, least in SIGNALS[signal].items():
+    """Why a combination can't be run, or None. Missing keys, booleans, values below the least, and what the signal's own check
+    finds are errors."""
+    known = SIGNALS[signal]
+    for name, least in known.least.items():
         if name not in params:
             return f"{name} is missing"
         v = params[name]
-        if isinstance(v, bool) or not isinstance(v, (int, float)) or v < least or (name != "target" and v != int(v)):
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or v < least or (name not in known.fractions and v != int(v)):
             return f"{name} is {v!r}"
-    if signal == "ma_cross" and params["fast"] >= params["slow"]:
-        return "fast isn't below slow"
-    return None
+    return known.check(params)
 
 
 def _signal_columns(bars: DataFrame, signal: str, combos: list[tuple[int, dict]]) -> tuple[DataFrame, dict[int, str]]:
-    """bars with a column for each distinct raw target, over one sort, and each combination's column."""
-    if signal == "donchian":
-        windows = sorted({int(p["window"]) for _, p in combos})
-        df = bars.withColumns({f"_c{w}": donchian(w) for w in windows})
-        return df.withColumns({f"_s{w}": held_state(f"_c{w}") for w in windows}), {k: f"_s{int(p['window'])}" for k, p in combos}
-    if signal == "ma_cross":
-        from .features import log_returns
-
-        df = log_returns(bars)
-        return df.withColumns({f"_s{k}": ma_cross(int(p["fast"]), int(p["slow"]), int(p["vol_window"]), float(p["target"])) for k, p in combos}), {k: f"_s{k}" for k, _ in combos}
-    raise ValueError(f"unknown signal {signal}")
+    if signal not in SIGNALS:
+        raise ValueError(f"unknown signal {signal}")
+    return SIGNALS[signal].columns(bars, combos)
 
 
 def signal_over_grid(bars: DataFrame, signal: str, combos: list[tuple[int, dict]]) -> DataFrame:

@@ -99,7 +99,8 @@ def sweep_best(spark: SparkSession, d: str) -> DataFrame:
 
 def slice_matrix(spark: SparkSession, d: str) -> DataFrame:
     log = t.apply_costs(_log(spark, d, [(k, {"window": w}) for k, w in enumerate(GRID)]), COSTS, MES)
-    return rounded(t.slice_performance(log, list(range(len(GRID))), 700, 8))
+    size = event_bars(spark, d).agg(F.max("pos") + 1).first()[0]
+    return rounded(t.slice_performance(log, list(range(len(GRID))), size, 8))
 
 
 def account_equity(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +154,16 @@ def trades_ctes() -> str:
         priced AS (SELECT *, 0.3 * qty AS commission_usd, 0.72 * qty AS fees_usd, 1.25 * qty AS spread_cost_usd, 1.25 * qty AS slippage_usd, gross_pnl_usd - 3.52 * qty AS net_pnl_usd FROM log)"""
 
 
+def event_ctes(qty: float) -> str:
+    """CTEs up to `event_log`, the trades of runs of one sign of the rounded target, from `held`."""
+    return f"""target AS (SELECT symbol, pos, open, round_even(held * {qty}, 0) AS target FROM held),
+        marked2 AS (SELECT *, sign(target) AS sg, CASE WHEN lag(sign(target)) OVER ({_W}) = sign(target) THEN 0 ELSE 1 END AS fresh FROM target),
+        runs AS (SELECT *, sum(fresh) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS run, max(pos) OVER (PARTITION BY symbol) AS last_pos, arg_max(open, pos) OVER (PARTITION BY symbol) AS last_open FROM marked2),
+        grouped AS (SELECT symbol, run, min(pos) AS entry_pos, arg_min(open, pos) AS entry_px, max(abs(target)) AS qty, min(sg) AS sg, min(last_pos) AS last_pos, min(last_open) AS last_open FROM runs GROUP BY symbol, run),
+        ended AS (SELECT *, coalesce(lead(entry_pos) OVER w, last_pos) AS exit_pos, coalesce(lead(entry_px) OVER w, last_open) AS exit_px FROM grouped WINDOW w AS (PARTITION BY symbol ORDER BY run)),
+        event_log AS (SELECT symbol, entry_pos, exit_pos, CASE WHEN sg > 0 THEN 'long' ELSE 'short' END AS side, qty, entry_px, exit_px, sg * (exit_px - entry_px) * 5.0 * qty AS gross_pnl_usd FROM ended WHERE sg <> 0 AND exit_pos > entry_pos)"""
+
+
 _SHARPE = "coalesce(CASE WHEN stddev_samp({x}) > 0 THEN avg({x}) / stddev_samp({x}) END, 0.0)"
 
 
@@ -212,15 +223,13 @@ SQL = {
         SELECT l.symbol, a.pos AS entry_pos, b.pos AS exit_pos, side, round(a.open, 6) AS entry_px, round(b.open, 6) AS exit_px,
             round(CASE WHEN side = 'long' THEN 1.0 ELSE -1.0 END * (b.open - a.open) * 5.0 * qty, 6) AS gross_pnl_usd
         FROM log l JOIN bars a ON a.symbol = l.symbol AND a.pos = l.entry_pos + 1 JOIN bars b ON b.symbol = l.symbol AND b.pos = l.exit_pos + 1""",
-    "event_path_trades": f"""WITH {_MA}, target AS (SELECT symbol, pos, open, round_even(held * 3.0, 0) AS target FROM held),
-        marked2 AS (SELECT *, sign(target) AS sg, CASE WHEN lag(sign(target)) OVER ({_W}) = sign(target) THEN 0 ELSE 1 END AS fresh FROM target),
-        runs AS (SELECT *, sum(fresh) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS run, max(pos) OVER (PARTITION BY symbol) AS last_pos, arg_max(open, pos) OVER (PARTITION BY symbol) AS last_open FROM marked2),
-        grouped AS (SELECT symbol, run, min(pos) AS entry_pos, arg_min(open, pos) AS entry_px, max(abs(target)) AS qty, min(sg) AS sg, min(last_pos) AS last_pos, min(last_open) AS last_open FROM runs GROUP BY symbol, run),
-        ended AS (SELECT *, coalesce(lead(entry_pos) OVER w, last_pos) AS exit_pos, coalesce(lead(entry_px) OVER w, last_open) AS exit_px FROM grouped WINDOW w AS (PARTITION BY symbol ORDER BY run))
-        SELECT symbol, entry_pos, exit_pos, CASE WHEN sg > 0 THEN 'long' ELSE 'short' END AS side, round(qty, 6) AS qty, round(entry_px, 6) AS entry_px, round(exit_px, 6) AS exit_px,
-            round(sg * (exit_px - entry_px) * 5.0 * qty, 6) AS gross_pnl_usd FROM ended WHERE sg <> 0 AND exit_pos > entry_pos""",
-    "path_parity": f"""WITH {donchian_ctes([WINDOW])} SELECT symbol, count(*) AS vector_trades, round(sum(net_pnl_usd), 6) AS vector_net, count(*) AS event_trades, round(sum(net_pnl_usd), 6) AS event_net,
-        CAST(0 AS BIGINT) AS trades_off, 0.0::DOUBLE AS net_off, TRUE AS agree FROM priced GROUP BY symbol""",
+    "event_path_trades": f"""WITH {_MA}, {event_ctes(3.0)}
+        SELECT symbol, entry_pos, exit_pos, side, round(qty, 6) AS qty, round(entry_px, 6) AS entry_px, round(exit_px, 6) AS exit_px, round(gross_pnl_usd, 6) AS gross_pnl_usd FROM event_log""",
+    "path_parity": f"""WITH {donchian_ctes([WINDOW])}, {event_ctes(1.0)},
+        a AS (SELECT symbol, count(*) AS n, sum(net_pnl_usd) AS net FROM priced GROUP BY symbol), b AS (SELECT symbol, count(*) AS n, sum(gross_pnl_usd - 3.52 * qty) AS net FROM event_log GROUP BY symbol),
+        m AS (SELECT symbol, coalesce(a.n, 0) AS an, coalesce(a.net, 0.0) AS anet, coalesce(b.n, 0) AS bn, coalesce(b.net, 0.0) AS bnet FROM a FULL JOIN b USING (symbol))
+        SELECT symbol, an AS vector_trades, round(anet, 6) AS vector_net, bn AS event_trades, round(bnet, 6) AS event_net, abs(an - bn) AS trades_off, round(abs(anet - bnet), 6) AS net_off,
+            abs(an - bn) <= an / 100.0 AND abs(anet - bnet) <= 1e-6 * greatest(1.0, abs(anet)) AS agree FROM m""",
     "sweep_grid": f"""WITH {donchian_ctes(GRID)}, {metrics_sql('combo_id')},
         late AS (SELECT l.combo_id, CASE WHEN side = 'long' THEN 1.0 ELSE -1.0 END * (b.open - a.open) * 5.0 * qty - 3.52 * qty AS net
             FROM log l JOIN bars a ON a.symbol = l.symbol AND a.pos = l.entry_pos + 1 JOIN bars b ON b.symbol = l.symbol AND b.pos = l.exit_pos + 1),
@@ -229,7 +238,7 @@ SQL = {
         SELECT CAST(g.combo_id AS BIGINT) AS combo_id, coalesce(n_trades, 0) AS n_trades, {", ".join(f"round(coalesce({m}, 0.0), 6) AS {m}" for m in t.METRICS if m != "n_trades")}, error
         FROM grid g LEFT JOIN combined c ON g.combo_id = c.combo_id LEFT JOIN late_s s ON g.combo_id = s.combo_id""",
     "sweep_best": f"WITH {donchian_ctes(GRID)}, {metrics_sql('combo_id')} SELECT CAST(combo_id AS BIGINT) AS combo_id, round(sharpe_net, 6) AS sharpe_net FROM combined ORDER BY combined.sharpe_net DESC, combo_id LIMIT 1",
-    "slice_matrix": f"""WITH {donchian_ctes(GRID)}, edges AS (SELECT k AS slice_id, CAST(trunc(700 * k / 8.0) AS BIGINT) AS lo, CAST(trunc(700 * (k + 1) / 8.0) AS BIGINT) AS hi FROM range(8) r(k)),
+    "slice_matrix": f"""WITH {donchian_ctes(GRID)}, edges AS (SELECT k AS slice_id, CAST(trunc(size * k / 8.0) AS BIGINT) AS lo, CAST(trunc(size * (k + 1) / 8.0) AS BIGINT) AS hi FROM range(8) r(k) CROSS JOIN (SELECT max(pos) + 1 AS size FROM bars)),
         configs AS (SELECT c AS config_id FROM range({len(GRID)}) r(c)),
         got AS (SELECT combo_id, slice_id, avg(net_pnl_usd) AS perf FROM priced JOIN edges ON entry_pos >= lo AND entry_pos < hi GROUP BY 1, 2)
         SELECT config_id, CAST(e.slice_id AS INTEGER) AS slice_id, round(coalesce(perf, 0.0), 6) AS perf FROM configs c CROSS JOIN edges e LEFT JOIN got g ON g.combo_id = c.config_id AND g.slice_id = e.slice_id""",

@@ -11,12 +11,13 @@ from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import INSTRUMENTS, PRESETS, Costs, FlagLimits, Gates, RunConfig, combinations, config_hash
 from ..operators import account, audit, crossval, features, labels, metamodel, regimes, statistics
 from ..operators import trading as t
+from ..operators.order import by_entry, dense_index
 from ..sources.bars import by_time, event_bars
 from ..sources.trials import TrialStore
 from ..streaming import live
@@ -153,11 +154,10 @@ def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials
     stats = statistics.deflated_sharpe(flat, max(1, n_trials)).first()
     perf = t.slice_performance(log, [j for j, _ in ran], size, config.partitions)
     overfit = statistics.pbo(perf, config.partitions).first()["pbo"] if len(ran) > 1 else 0.0
-    drawn = own.select((F.row_number().over(Window.orderBy("entry_pos", "symbol")) - 1).cast("long").alias("idx"), "net_pnl_usd", "exit_ts")
+    drawn = by_entry(own).select("idx", "net_pnl_usd", "exit_ts")
     survived = account.survival(drawn, rules, config.paths, config.days, config.seed).first()
-    x = drawn.orderBy("idx").limit(10_000).toPandas()["net_pnl_usd"].to_numpy()
     n = drawn.count()
-    ci = statistics.bootstrap_sharpe(drawn.select("idx", F.col("net_pnl_usd").alias("ret")), n, config.bootstrap, 0.95, statistics.bootstrap_block(x), config.seed).first() if n > 1 else {"lo": 0.0, "hi": 0.0}
+    ci = statistics.bootstrap_sharpe(drawn.select("idx", F.col("net_pnl_usd").alias("ret")), n, config.bootstrap, 0.95, statistics.bootstrap_block(drawn), config.seed).first() if n > 1 else {"lo": 0.0, "hi": 0.0}
     yearly = math.sqrt(max(1, n))
     flagged = statistics.red_flags(spark.createDataFrame([(float(stats["sharpe"]) * yearly, float(best["win_rate"]), float(best["max_drawdown"]), float(stats["dev"] or 0.0), float(best["sharpe_net"]), float(best["sharpe_gross"]), float(best["sharpe_delay1"]))], "sharpe double, win_rate double, max_drawdown double, volatility double, sharpe_net double, sharpe_gross double, sharpe_delay1 double"), FlagLimits()).first()
     flags = [(f["code"], f["severity"]) for f in flagged["flags"]]
@@ -201,8 +201,7 @@ def meta_model(spark: SparkSession, d: str) -> DataFrame:
     got = labels.model_meta_labels(labels.triple_barrier(events, bars, 0.5, 0.5, 10), primary)
     weights = labels.uniqueness_weights(got, bars).select("symbol", "pos", "weight")
     rows = metamodel.meta_features(bars, primary).join(got.select("symbol", "pos", "end_pos", F.col("meta").cast("double").alias("y")), ["symbol", "pos"]).join(weights, ["symbol", "pos"])
-    order = (F.row_number().over(Window.orderBy("pos", "symbol")) - 1).cast("long")
-    rows = rows.withColumn("t0", F.col("pos")).withColumn("t1", F.col("end_pos")).withColumn("pos", order).drop("symbol").cache()
+    rows = dense_index(rows.withColumn("t0", F.col("pos")).withColumn("t1", F.col("end_pos")), F.floor(F.col("pos") / 4096), ["pos", "symbol"]).drop("symbol", "pos").withColumnRenamed("idx", "pos")
     folds = crossval.purged_kfold(rows.select("pos", "t0", "t1"), rows.count(), 3, 0.01)
     return metamodel.fit(rows.select("pos", *metamodel.FEATURES, "y", "weight"), folds)[1]
 

@@ -9,6 +9,7 @@ from ..config import INSTRUMENTS, PRESETS, Costs, LiveLimits
 from ..operators import account, crossval, labels, reconcile, statistics, stitch
 from ..operators import trading as t
 from ..operators.features import trailing_volatility
+from ..operators.order import by_entry, dense_index
 from ..sources.bars import DAILY_SQL, EVENT_SQL, event_bars, lineitem_bars
 from . import market
 from .market import GRID, MES, WINDOW, _full, _lag, _SHARPE, donchian_ctes, rounded
@@ -57,8 +58,7 @@ def fixed_horizon(spark: SparkSession, d: str) -> DataFrame:
 def _intervals(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     o = _table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     day = F.unix_date(F.to_date("o_orderdate")).cast("long")
-    cut = o.select((F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")) - 1).cast("long").alias("pos"), day.alias("t0"), (day + 5).alias("t1"))
-    return cut, o.count()
+    return dense_index(o, F.to_date("o_orderdate"), ["o_orderdate", "o_orderkey"], "pos").select("pos", day.alias("t0"), (day + 5).alias("t1")), o.count()  # a bucket a day
 
 
 def _summary(folds: DataFrame) -> DataFrame:
@@ -95,18 +95,21 @@ def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.deflated_sharpe(flat, len(GRID)))
 
 
+def _sliced(spark: SparkSession, d: str) -> DataFrame:
+    size = event_bars(spark, d).agg(F.max("pos") + 1).first()[0]
+    return t.slice_performance(_priced(spark, d, GRID), list(range(len(GRID))), size, 8)
+
+
 def overfitting_splits(spark: SparkSession, d: str) -> DataFrame:
-    perf = t.slice_performance(_priced(spark, d, GRID), list(range(len(GRID))), 700, 8)
-    return rounded(statistics.pbo_splits(perf, 8))
+    return rounded(statistics.pbo_splits(_sliced(spark, d), 8))
 
 
 def overfitting(spark: SparkSession, d: str) -> DataFrame:
-    perf = t.slice_performance(_priced(spark, d, GRID), list(range(len(GRID))), 700, 8)
-    return rounded(statistics.pbo(perf, 8))
+    return rounded(statistics.pbo(_sliced(spark, d), 8))
 
 
 def _indexed(log: DataFrame) -> DataFrame:
-    return log.select((F.row_number().over(Window.orderBy("entry_pos", "symbol")) - 1).cast("long").alias("idx"), "net_pnl_usd", "exit_ts")
+    return by_entry(log).select("idx", "net_pnl_usd", "exit_ts")
 
 
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +262,7 @@ _FOLDS = """blocks AS (SELECT grp, min(pos) AS lo, max(pos) AS hi, min(t0) AS b0
     folds AS (SELECT CAST(fold AS INTEGER) AS fold, pos, CASE WHEN inside = 1 THEN 'test' ELSE 'train' END AS role FROM met WHERE inside = 1 OR out = 0)"""
 _SUMMARY = "SELECT fold, role, count(*) AS n, CAST(sum(pos) AS BIGINT) AS total, min(pos) AS first, max(pos) AS last FROM folds GROUP BY fold, role"
 
-_SLICES = f"""edges AS (SELECT k AS slice_id, CAST(trunc(700 * k / 8.0) AS BIGINT) AS lo, CAST(trunc(700 * (k + 1) / 8.0) AS BIGINT) AS hi FROM range(8) r(k)),
+_SLICES = f"""edges AS (SELECT k AS slice_id, CAST(trunc(size * k / 8.0) AS BIGINT) AS lo, CAST(trunc(size * (k + 1) / 8.0) AS BIGINT) AS hi FROM range(8) r(k) CROSS JOIN (SELECT max(pos) + 1 AS size FROM bars)),
     got AS (SELECT combo_id, slice_id, avg(net_pnl_usd) AS perf FROM priced JOIN edges ON entry_pos >= lo AND entry_pos < hi GROUP BY 1, 2),
     perf AS (SELECT config_id, e.slice_id, coalesce(perf, 0.0) AS perf FROM range({len(GRID)}) c(config_id) CROSS JOIN edges e LEFT JOIN got g ON g.combo_id = c.config_id AND g.slice_id = e.slice_id),
     plan(split, slice_id, inside) AS (VALUES {", ".join(f"({k}, {s}, {s in half})" for k, half in enumerate(statistics.halves(8)) for s in range(8))}),

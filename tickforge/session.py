@@ -32,9 +32,11 @@ def session(app: str = "tickforge", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where unset, as in tests, one made here."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where unset one made here, on a local master alone."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tickforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

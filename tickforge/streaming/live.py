@@ -104,16 +104,20 @@ class Risk:
         return (self.connected, self.halted, self.last_tick, self.day, self.day_pnl, self.balance, self.peak, self.position, self.recent, self.queued)
 
 
+def _gathered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, which come in no order; the stream's trigger bounds how many."""
+    held = [p for p in parts if len(p)]
+    return held[0] if len(held) == 1 else pd.concat(held)
+
+
 def risk_decisions(events: DataFrame, limits: LiveLimits = LiveLimits()) -> DataFrame:
     """Decisions on the orders in a stream of (account, ts, kind, order_id, qty, value); kind: tick, pnl, order, disconnect,
     reconnect, reset. Other kinds are ignored."""
 
     def run(key, parts: Iterator[pd.DataFrame], state):
         r = Risk(limits, *state.get) if state.exists else Risk(limits)
-        pdf = pd.concat(list(parts))
-        pdf = pdf.sort_values(["ts", "order_id"], kind="stable")
         out = []
-        for e in pdf.itertuples(index=False):
+        for e in _gathered(parts).sort_values(["ts", "order_id"], kind="stable").itertuples(index=False):
             at = int(e.ts.value // 1000)
             if e.kind == "tick":
                 r.tick(at)
@@ -129,7 +133,8 @@ def risk_decisions(events: DataFrame, limits: LiveLimits = LiveLimits()) -> Data
                 why = r.order(at, int(e.qty))
                 out.append((key[0], e.order_id, e.ts, why is None, why))
         state.update(r.values())
-        yield pd.DataFrame(out, columns=["account", "order_id", "ts", "approved", "reason"])
+        if out:
+            yield pd.DataFrame(out, columns=["account", "order_id", "ts", "approved", "reason"])
 
     return events.groupBy("account").applyInPandasWithState(run, DECISIONS, RISK_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -142,7 +147,7 @@ def live_monitor(fills: DataFrame, limits: LiveLimits = LiveLimits(), expected_m
     def run(key, parts: Iterator[pd.DataFrame], state):
         slips, pnls = (list(x) for x in state.get) if state.exists else ([], [])
         out = []
-        for f in pd.concat(list(parts)).sort_values("seq").itertuples(index=False):
+        for f in _gathered(parts).sort_values("seq").itertuples(index=False):
             slips, pnls = [*slips, abs(float(f.slippage_usd))][-window:], [*pnls, float(f.pnl_usd)][-window:]
             n = len(pnls)
             mean = sum(pnls) / n
@@ -152,7 +157,8 @@ def live_monitor(fills: DataFrame, limits: LiveLimits = LiveLimits(), expected_m
             why = "slippage" if slip > limits.slippage_usd else "sharpe" if sharpe is not None and sharpe < limits.sharpe_floor else "drift" if n >= least and abs(drift) > limits.drift_z else None
             out.append((key[0], f.seq, n, slip, sharpe, drift, why is not None, why))
         state.update((slips, pnls))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
 
     return fills.groupBy("strategy").applyInPandasWithState(run, ALERTS, "slips array<double>, pnls array<double>", "append", GroupStateTimeout.NoTimeout)
 
