@@ -129,12 +129,12 @@ class Languages:
             s[~self.fits[np.fromiter(map(script, words[a:z]), "i8", z - a)]] = -40.0
         return out
 
-    def paths(self, scores: list[np.ndarray], switch: float = SWITCH, cells: int = STEP // 16) -> list[list[tuple[int, int, int]]]:
+    def paths(self, scores: list[np.ndarray], switch: float = SWITCH, cells: int = STEP // 4) -> list[list[tuple[int, int, int]]]:
         """spans_of for texts whose words' scores (words x languages) are given."""
         ends = np.cumsum([len(s) for s in scores])
         return self.spans_of([np.arange(e - len(s), e) for s, e in zip(scores, ends, strict=True)], np.concatenate(scores), switch, cells)
 
-    def spans_of(self, ids: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH, cells: int = STEP // 16) -> list[list[tuple[int, int, int]]]:
+    def spans_of(self, ids: list[np.ndarray], scores: np.ndarray, switch: float = SWITCH, cells: int = STEP // 4) -> list[list[tuple[int, int, int]]]:
         """For each text, given as places of its words in scores (words x languages), the spans (first word, end, language)
         of its best path."""
         out: list = [[] for _ in ids]
@@ -295,9 +295,11 @@ def identify(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id
     at, name = (keep.index("text"), "text") if "text" in keep else (len(keep), "\x00text")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # CELLS floats, or LEAST_SLOTS a language beyond 2048 of them
 
+    most = max(1 << 20, min(4 << 20, (16 << 20) // max(1, len(model.names))))  # text bytes at once
+
     def run(batches):
         own = Labeller(sent.value)
-        for b in rows_of(batches, name, 1 << 20):
+        for b in rows_of(batches, name, most):
             got = own.label(texts_of(b.column(at)))
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([min(1.0, max(0.0, g[1])) for g in got], pa.float64())]
             if spans:

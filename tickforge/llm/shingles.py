@@ -8,6 +8,7 @@ whose slot was counted once is in no other text and need not be a key at all.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +21,9 @@ from .common import discard, materialize, rows_of, squeeze, texts_of, unsqueeze
 
 #: Words of a shingle, and the least similarity (a fraction) of near copies.
 WIDTH, ALIKE = 5, (4, 5)
-#: Slots of the sketch, two bits each (16 MB in a task, whatever the input), slots of a chunk, and shingles that a task sorts at once.
-SLOTS, CHUNK, SORTED = 1 << 26, 1 << 16, 1 << 21
+#: Slots of the sketch: twice as many as there are shingles within these powers of two (32 MB of bits in a task at most), slots of
+#: a chunk, slots that share one level, and shingles that a task sorts at once.
+LEAST, MOST, CHUNK, SHARED, SORTED = 22, 28, 1 << 16, 16, 1 << 21
 #: Words hashed at once; longer words than MOST_BYTES stand for themselves by a digest.
 STEP, MOST_BYTES = 1 << 14, 1 << 10
 
@@ -74,28 +76,42 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
-def sketch(df: DataFrame, text: str = "text") -> np.ndarray:
-    """By slot of hashed shingles how many texts have them, in two bits (four slots a byte): 0 once at most, 1 to 3 by how
-    far beyond the mean of the slots. Counts are summed by chunks of slots, a chunk at a time."""
+@dataclass
+class Sketch:
+    """Of hashed shingles: a bit by slot, whether more than one text has them, and two bits for each SHARED slots, how far
+    beyond the mean their texts are."""
+
+    again: np.ndarray
+    far: np.ndarray
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """0 where no other text has a shingle, else 1 to 4, rising with its texts."""
+        at = h & np.uint64(8 * len(self.again) - 1)
+        wide = at // np.uint64(SHARED)
+        far = self.far[wide >> np.uint64(2)] >> (2 * (wide & np.uint64(3))).astype("u1") & 3
+        return np.where(self.again[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1") & 1, far + 1, 0)
+
+
+def sketch(df: DataFrame, text: str = "text") -> Sketch:
+    """Counts of all texts' shingles by slot, summed by chunks of slots, a chunk at a time. Beyond 2^MOST slots they fill up: then
+    more shingles seem to be in other texts and become keys, a fifth of all at most."""
+    col = F.col(text).cast("string")
+    words = df.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()[0] // 6
+    slots = 1 << max(LEAST, min(MOST, (2 * words).bit_length()))
 
     def partial(batches):
         held, n = [], 0
 
-        def flush():
+        def rows():
             x = np.sort(np.concatenate(held))
             at = np.flatnonzero(np.diff(x >> 16, prepend=-1))
-            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True):
-                own = x[lo:hi] & (CHUNK - 1)
-                yield int(x[lo] >> 16), squeeze(np.diff(own, prepend=0).astype("<u2").tobytes())
-
-        def rows():
-            got = list(flush())
+            got = [(int(x[lo] >> 16), squeeze(np.diff(x[lo:hi] & (CHUNK - 1), prepend=0).astype("<u2").tobytes())) for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["chunk", "slots"])
 
         for b in rows_of(batches, text):
             for t in texts_of(b.column(0)):
                 h = shingles(t or b"")
-                held.append((h & np.uint64(SLOTS - 1)).astype("i8"))
+                held.append((h & np.uint64(slots - 1)).astype("i8"))
                 n += len(h)
                 if n >= SORTED:
                     yield rows()
@@ -107,9 +123,10 @@ def sketch(df: DataFrame, text: str = "text") -> np.ndarray:
         now, total = None, np.zeros(CHUNK, "i8")
 
         def row():
-            mean = total.mean()
-            level = np.searchsorted([1.5, 2 * mean + 8, 8 * mean + 64], total).astype("u1").reshape(-1, 4)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(level << np.array([0, 2, 4, 6], "u1")).sum(1, dtype="u1").tobytes()], pa.binary())], names=["chunk", "levels"])
+            wide = total.reshape(-1, SHARED).sum(1)
+            far = np.searchsorted([2 * wide.mean() + 8, 8 * wide.mean() + 64, 64 * wide.mean() + 512], wide).astype("u1").reshape(-1, 4)
+            bits = [np.packbits(total > 1, bitorder="little"), (far << np.array([0, 2, 4, 6], "u1")).sum(1, dtype="u1")]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in bits)], names=["chunk", "again", "far"])
 
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -121,23 +138,19 @@ def sketch(df: DataFrame, text: str = "text") -> np.ndarray:
         if now is not None:
             yield row()
 
-    out = np.zeros(SLOTS // 4, "u1")
-    spread = df.select(F.col(text).cast("string").alias(text)).mapInArrow(partial, "chunk int, slots binary").repartition("chunk").sortWithinPartitions("chunk")
-    for r in spread.mapInArrow(counted, "chunk int, levels binary").collect():  # SLOTS / 4 bytes, whatever the input
-        out[r["chunk"] * CHUNK // 4 : (r["chunk"] + 1) * CHUNK // 4] = np.frombuffer(r["levels"], "u1")
+    out = Sketch(np.zeros(slots // 8, "u1"), np.zeros(slots // SHARED // 4, "u1"))
+    spread = df.select(col.alias(text)).mapInArrow(partial, "chunk int, slots binary").repartition("chunk").sortWithinPartitions("chunk")
+    for r in spread.mapInArrow(counted, "chunk int, again binary, far binary").toLocalIterator():  # bits of all slots, whatever the input
+        for part, data in ((out.again, r["again"]), (out.far, r["far"])):
+            part[r["chunk"] * len(data) : (r["chunk"] + 1) * len(data)] = np.frombuffer(data, "u1")
     return out
 
 
-def levels_of(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    at = h & np.uint64(SLOTS - 1)
-    return levels[at >> np.uint64(2)] >> (2 * (at & np.uint64(3))).astype("u1") & 3
-
-
-def marks_of(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+def marks_of(h: np.ndarray, seen: Sketch) -> tuple[np.ndarray, int, np.ndarray]:
     """Of a set (rising hashes): the shingles that it meets others by, which are those of the first ones in the order that are
     in other texts too; how many of its shingles are in no other text; and for the rest the parities of how many have each
     of 256 hash values, as bits of four numbers."""
-    level, n = levels_of(h, levels), len(h)
+    level, n = seen.levels(h), len(h)
     at = np.flatnonzero(level)
     alone = n - len(at)
     most = max(0, n - -(-n * ALIKE[0] // ALIKE[1]) + 1 - alone) if n else 0

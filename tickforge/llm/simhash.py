@@ -178,10 +178,10 @@ def near_duplicates(df: DataFrame, width: int = WORDS, crowd: int = CROWD, text:
     return docs.join(ids, "fp", "left").select(key, "fp", "component_id")
 
 
-def _shingled(df: DataFrame, columns: tuple[str, ...], levels: np.ndarray) -> DataFrame:
+def _shingled(df: DataFrame, columns: tuple[str, ...], seen: shingles.Sketch) -> DataFrame:
     """The columns (text among them) and, of each row: its number, the digest of its set of shingles, the SimHash of the
     set, the shingles that it meets others by, and its MARKS."""
-    sent, at = df.sparkSession.sparkContext.broadcast(levels), columns.index("text")
+    sent, at = df.sparkSession.sparkContext.broadcast(seen), columns.index("text")  # 36 MB at most
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         digest, fp, keys, numbers = [], [], [], []
@@ -211,11 +211,11 @@ def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) ->
     docs, _ = materialize(_shingled(df, columns, shingles.sketch(df)), "shingled")
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")).alias("best")
     classes, classes_at = materialize(docs.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), own, *(F.first(c).alias(c) for c in shingles.MARKS)), "classes")
-    marks = classes.select("digest", *shingles.MARKS)
+    marks = classes.select(F.col("best.near_row").alias("near_row"), "digest", *shingles.MARKS)
 
-    keys = classes.select("digest", F.explode("keys").alias("key"))
+    keys = classes.select(F.col("best.near_row").alias("near_row"), F.explode("keys").alias("key"))
     twice = keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    shared, shared_at = materialize(keys.join(twice, "key").join(marks, "digest"), "shared")
+    shared, shared_at = materialize(keys.join(twice, "key").join(marks, "near_row").drop("near_row"), "shared")
     needed = classes.join(shared.select("digest").distinct(), "digest", "left_semi").select(F.col("best.near_row").alias("near_row"))  # alike sets share a key
     sets, sets_at = materialize(shingles.sets_of(docs.join(needed, "near_row", "left_semi")), "sets")
 
