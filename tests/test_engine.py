@@ -14,7 +14,7 @@ from tickforge.functions.recursive import ewm
 from tickforge.operators import account, audit, crossval, features, labels, reconcile, regimes, statistics, stitch
 from tickforge.operators import trading as t
 from tickforge.sources import bars as b
-from tickforge.sources.snapshots import DataIntegrityError, SnapshotExistsError, SnapshotMeta, SnapshotStore, reference_history, require_validation_grade, synthetic_bars, synthetic_minutes
+from tickforge.sources.snapshots import DataIntegrityError, SnapshotExistsError, SnapshotMeta, SnapshotStore, reference_history, require_validation_grade, synthetic_bars
 from tickforge.sources.trials import TrialStore
 from tickforge.sources.vendors import FileProvider, fetch_snapshot, fixed_point_bars, read_daily_csv, read_definitions, read_dev_csv
 from tickforge.streaming.live import Risk
@@ -310,7 +310,14 @@ def test_snapshots(spark, tmp_path):
     for bad in (SnapshotMeta("M", "s", "1d", "a", "b", False, "n"), SnapshotMeta("M", "s", "1d", "a", "b", True, "n")):
         with pytest.raises(DataIntegrityError):
             require_validation_grade(bad)
-    assert synthetic_minutes(5, 1) == synthetic_minutes(5, 1) != synthetic_minutes(5, 2)
+    again, other = (synthetic_bars(spark, 20_000, k).orderBy("pos").collect() for k in (7, 8))
+    rows = synthetic_bars(spark, 20_000).repartition(3).orderBy("pos").collect()
+    assert rows == again != other
+    assert all(r["low"] <= min(r["open"], r["close"]) and max(r["open"], r["close"]) <= r["high"] and 50 <= r["volume"] < 5000 for r in rows)
+    assert all(abs(a["close"] - c["open"]) < 1e-6 for a, c in zip(rows, rows[1:]))
+    gaps = [(c["ts"] - a["ts"]).total_seconds() for a, c in zip(rows, rows[1:])]
+    assert all(g == (3600 if (k + 1) % 1380 == 0 else 60) for k, g in enumerate(gaps))
+    assert abs(np.std(np.diff(np.log([r["close"] for r in rows]))) / 0.0009 - 1) < 0.05
     with pytest.raises(ValueError, match="unknown columns"):
         b.validate(bars.withColumn("x", F.lit(1)))
 

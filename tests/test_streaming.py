@@ -61,3 +61,56 @@ def test_codecs(spark):
     assert live.parse_acks(spark.createDataFrame([('{"orderId":3,"clOrdId":"x1","ordStatus":"Filled"}',)], "body string")).first()["status"] == "filled"
     with pytest.raises(Exception):
         live.parse_quotes(spark.createDataFrame([("{bad",)], "body string")).select(F.col("price")).collect()
+
+
+def test_submit_path(spark, tmp_path):
+    """Each id is sent once; a batch that broke off after its orders were recorded is replayed, and recover() sends what has no
+    answer."""
+    from tickforge.streaming.submit import Submitter
+
+    sent, broken = [], [True]
+    schema = "client_order_id string, seq long, qty int"
+    df = lambda rows: spark.createDataFrame(rows, schema)
+
+    def send(orders):
+        sent.extend(r["client_order_id"] for r in orders.collect())
+        if broken[0]:
+            raise RuntimeError("the line broke")
+        return orders.selectExpr("client_order_id", "qty < 5 AS accepted", "CASE WHEN qty >= 5 THEN 'too many' END AS reason", "seq AS order_id")
+
+    s = Submitter(spark, f"file://{tmp_path}", lambda o: o.selectExpr("*", "qty > 0 AS approved", "CASE WHEN qty <= 0 THEN 'sizing' END AS reason"), send)
+    rows = [("a", 2, 1), ("a", 1, 2), ("b", 3, 9), ("c", 4, 0)]
+    with pytest.raises(RuntimeError):
+        s.batch(df(rows), 0)
+    assert {r["client_order_id"] for r in s.pending(schema).collect()} == {"a", "b"}
+    broken[0] = False
+    s.batch(df(rows), 0)
+    s.batch(df(rows), 0)
+    s.batch(df([("a", 9, 1), ("d", 9, 1)]), 1)
+    want = {("a", True, None, 1), ("b", False, "too many", 3), ("c", False, "sizing", None), ("d", True, None, 9)}
+    assert {tuple(r) for r in s.acks().collect()} == want and sent == ["a", "b", "a", "b", "d"] and s.pending(schema).count() == 0
+    broken[0] = True
+    with pytest.raises(RuntimeError):
+        s.batch(df([("e", 1, 1)]), 2)
+    broken[0] = False
+    s.recover(schema)
+    assert {tuple(r) for r in s.acks().collect()} == want | {("e", True, None, 1)} and s.pending(schema).count() == 0
+
+
+def test_broker_formats(spark):
+    from tickforge.streaming.brokers import codec
+
+    one = spark.createDataFrame([("x", "{\"orderId\": 5}"), ("y", "{}")], "client_order_id string, body string")
+    t = codec("tradovate")
+    assert tuple(t.acks(one.filter("client_order_id = 'x'")).first()) == ("x", True, None, 5)
+    for bad in (t.acks(one), t.acks(spark.createDataFrame([("x", "{oops")], "client_order_id string, body string")), t.open_positions(spark.createDataFrame([("{}",)], "body string"))):
+        with pytest.raises(Exception):
+            bad.collect()
+    order = spark.createDataFrame([("x", "ES", "buy", 1, "limit", 5.0, None, False)], "client_order_id string, instrument string, side string, qty int, type string, limit_px double, stop_px double, is_automated boolean")
+    for name in ("tradovate", "projectx"):
+        with pytest.raises(Exception):
+            codec(name).orders(order, 1).collect()
+    p = codec("projectx")
+    assert tuple(p.acks(one).filter("client_order_id = 'y'").first()) == ("y", False, "rejected", None)
+    with pytest.raises(ValueError):
+        codec("other")

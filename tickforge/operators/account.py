@@ -179,7 +179,7 @@ def survival_report(outcomes: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     return flat.withColumns({"ci_lo": lo, "ci_hi": hi, "busts": busts}).drop("_b")
 
 
-def survival(log: DataFrame, rules: AccountRules, paths: int = 1_000, days: int = 30, seed: int = 7, contracts: list[float] | None = None, block: int | None = None) -> DataFrame:
+def survival(log: DataFrame, rules: AccountRules, paths: int = 1_000, days: int = 30, seed: int = 7, contracts: list[float] | None = None, block: int | None = None, start: Column | None = None) -> DataFrame:
     """A survival report by number of contracts. log (idx, net_pnl_usd, exit_ts, extremes if known) is drawn in blocks; all sizes
     share the drawn paths. Without trades every path survives."""
     sizes = contracts or [1.0]
@@ -188,7 +188,7 @@ def survival(log: DataFrame, rules: AccountRules, paths: int = 1_000, days: int
         return log.sparkSession.createDataFrame([(float(s), paths, 1.0, 0.0, None) for s in sizes], "contracts double, n_paths long, p_survival double, p_target double, median_days_to_target double")
     per_day = trades_per_day(log)
     block = block or block_length(log)
-    one = to_days(resample(log, n, paths, days * per_day, block, seed), per_day)
+    one = to_days(resample(log, n, paths, days * per_day, block, seed, start), per_day)
     each = one.withColumn("contracts", F.explode(F.array(*(F.lit(float(s)) for s in sizes))))
     scaled = each.select("contracts", "path_id", "day", *((F.col(c) * F.col("contracts")).alias(c) for c in ("realized", "lo", "hi")))
     return survival_report(simulate(scaled, rules, ("contracts", "path_id")), ("contracts",))

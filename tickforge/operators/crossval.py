@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def validate_intervals(labels: DataFrame) -> DataFrame:
-    """labels, after a look: none, an end before its start, or starts that go back are ValueErrors. One aggregation."""
+def interval_problems(labels: DataFrame) -> DataFrame:
+    """One row: how many intervals there are, how many end before they start, and how many starts go back."""
     after = labels.select((F.col("pos") - 1).alias("pos"), F.col("t0").alias("next_t0"))
     bad = labels.join(after, "pos", "left").select((F.col("t1") < F.col("t0")).alias("ends"), F.coalesce(F.col("next_t0") < F.col("t0"), F.lit(False)).alias("back"))
-    n, ends, back = bad.agg(F.count("*"), F.sum(F.col("ends").cast("int")), F.sum(F.col("back").cast("int"))).first()
+    return bad.agg(F.count("*").alias("n"), F.count_if("ends").alias("ends"), F.count_if("back").alias("back"))
+
+
+def validate_intervals(labels: DataFrame) -> DataFrame:
+    """labels, after a look: none, an end before its start, or starts that go back are ValueErrors. One aggregation."""
+    n, ends, back = interval_problems(labels).first()
     if not n:
         raise ValueError("there are no label intervals")
     if ends:
@@ -59,14 +64,14 @@ def purged_kfold(labels: DataFrame, n: int, k: int = 5, embargo: float = 0.0) ->
     """k folds of n rows; the embargo is the whole part of n times its share."""
     if k < 2 or k > n:
         raise ValueError(f"{k} folds of {n} rows")
-    return _assign(groups(labels, n, k), [(g,) for g in range(k)], int(n * embargo))
+    return _assign(groups(validate_intervals(labels), n, k), [(g,) for g in range(k)], int(n * embargo))
 
 
 def combinatorial(labels: DataFrame, n: int, k: int = 6, tested: int = 2, embargo: float = 0.0) -> DataFrame:
     """Every choice of `tested` of k groups, in lexicographic order, is a fold."""
     if not 0 < tested < k:
         raise ValueError(f"{tested} of {k} groups")
-    return _assign(groups(labels, n, k), list(itertools.combinations(range(k), tested)), int(n * embargo))
+    return _assign(groups(validate_intervals(labels), n, k), list(itertools.combinations(range(k), tested)), int(n * embargo))
 
 
 def n_paths(k: int, tested: int) -> int:
@@ -81,7 +86,7 @@ def walk_forward(labels: DataFrame, n: int, k: int = 5, min_train: int | None =
     first = n // (k + 1) if min_train is None else min_train
     if not 0 < first <= n - k:
         raise ValueError(f"{first} rows to train on of {n}")
-    tail = groups(labels.filter(F.col("pos") >= first), n - first, k, first)
+    tail = groups(validate_intervals(labels).filter(F.col("pos") >= first), n - first, k, first)
     role = lambda b: F.when(F.col("pos").between(b["lo"], b["hi"]), "test").when((F.col("pos") < b["lo"]) & (F.col("t1") < F.lit(b["b0"])), "train")
     return _roles(labels, [role(b) for b in _blocks(tail)])
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 import html
 import json
 import math
-import subprocess
 import uuid
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -21,9 +20,8 @@ from ..operators.order import by_entry, dense_index
 from ..sources.bars import by_time, event_bars
 from ..sources.trials import TrialStore
 from ..streaming import live
-
-ZERO = Costs(0.0, 0.0, 0.0, 0.0, "fixed", 0.0, 0)
-
+from .backtest import Strategy, three_ways
+from .manifest import Manifest, git_sha
 
 @dataclass(frozen=True)
 class Gate:
@@ -51,25 +49,6 @@ def decide(dsr: float, pbo: float, p_survival: float, flags: list[tuple[str, str
     return Verdict("GO" if all(g.passed for g in results) else "NO-GO", results, failed)
 
 
-@dataclass(frozen=True)
-class Manifest:
-    """What a run was made of."""
-
-    run_id: str
-    created_at: str
-    git_sha: str
-    seed: int
-    config_hash: str
-    snapshots: list[str] = field(default_factory=list)
-
-
-def git_sha() -> str:
-    try:
-        return subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=True, cwd=Path(__file__).parent, timeout=10).stdout.strip()
-    except (OSError, subprocess.SubprocessError):
-        return "unknown"
-
-
 @dataclass
 class Report:
     manifest: Manifest
@@ -124,16 +103,19 @@ def history(root: str | Path) -> list[dict]:
     return sorted(out, key=lambda r: r["created_at"], reverse=True)
 
 
-def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials: TrialStore | None = None, snapshots: tuple[str, ...] = (), created_at: str | None = None) -> Report:
-    """A research run over bars: all combinations in one plan, the best one priced net, gross and a bar late, and its
-    statistics. The driver gets one row for each combination and a few numbers."""
+def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials: TrialStore | None = None, snapshots: tuple[str, ...] = (), created_at: str | None = None, confirmations: TrialStore | None = None) -> Report:
+    """A research run over bars: all combinations in one plan, counting the trades that enter in test parts of purged folds;
+    the best one event-driven, net, gross and a bar late; and its statistics. Only the sweep's trials count as luck: the
+    confirming runs go to confirmations, if given. The driver gets one row for each combination and a few numbers."""
     instrument, costs, rules = INSTRUMENTS[config.instrument], Costs(), PRESETS[config.rules]
     grid = combinations(config.grid)
     run_id = uuid.uuid5(uuid.NAMESPACE_URL, config_hash("FE-TRIALCFG-v1", asdict(config))).hex
-    size = bars.groupBy("symbol").count().agg(F.max("count")).first()[0]
+    size = bars.agg(F.max("pos") + 1).first()[0]
     bars = bars.cache()
-    # The test parts of purged folds cover all bars, so every trade counts.
-    table = t.sweep(spark, bars, config.strategy, grid, costs, instrument).orderBy("combo_id").toPandas()
+    spans = bars.select("pos").distinct().select("pos", F.col("pos").alias("t0"), F.col("pos").alias("t1"))
+    folds = crossval.purged_kfold(spans, size, config.splits, config.embargo)
+    tested = bars.select("symbol", "pos").join(folds.filter("role = 'test'").select("pos").distinct(), "pos", "left_semi")
+    table = t.sweep(spark, bars, config.strategy, grid, costs, instrument, tested).orderBy("combo_id").toPandas()
     rows = table.to_dict("records")
     if trials is not None:
         trials.append([{
@@ -145,26 +127,27 @@ def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials
         raise ValueError("no combination ran")
     best = max(good, key=lambda r: (r["sharpe_net"], -r["combo_id"]))
     k = int(best["combo_id"])
+    runs = three_ways(bars, Strategy(config.strategy, grid[k], config.qty, config.seed, config.balance), costs, config.instrument, snapshots=snapshots, trials=confirmations, created_at=created_at)
+    net = runs["net"]
     ran = [(j, p) for j, (p, r) in enumerate(zip(grid, rows, strict=True)) if r["error"] == 0]
-    log = t.apply_costs(t.grid_trades(bars, config.strategy, ran, instrument, config.qty), costs, instrument).cache()
-    own = log.filter(F.col("combo_id") == k)
+    log = t.apply_costs(t.grid_trades(bars, config.strategy, ran, instrument, config.qty), costs, instrument)
     m = statistics.moments("net_pnl_usd")
-    flat = own.agg(t.sharpe("net_pnl_usd").alias("sharpe"), *(m[c].alias(c) for c in ("n", "skew", "kurt", "dev")))
+    flat = net.trades.agg(t.sharpe("net_pnl_usd").alias("sharpe"), *(m[c].alias(c) for c in ("n", "skew", "kurt", "dev")))
     n_trials = trials.count(config.strategy) if trials is not None else len(grid)
     stats = statistics.deflated_sharpe(flat, max(1, n_trials)).first()
     perf = t.slice_performance(log, [j for j, _ in ran], size, config.partitions)
     overfit = statistics.pbo(perf, config.partitions).first()["pbo"] if len(ran) > 1 else 0.0
-    drawn = by_entry(own).select("idx", "net_pnl_usd", "exit_ts")
+    drawn = by_entry(net.trades).select("idx", "net_pnl_usd", "exit_ts")
     survived = account.survival(drawn, rules, config.paths, config.days, config.seed).first()
-    n = drawn.count()
+    n = stats["n"]
     ci = statistics.bootstrap_sharpe(drawn.select("idx", F.col("net_pnl_usd").alias("ret")), n, config.bootstrap, 0.95, statistics.bootstrap_block(drawn), config.seed).first() if n > 1 else {"lo": 0.0, "hi": 0.0}
     yearly = math.sqrt(max(1, n))
-    flagged = statistics.red_flags(spark.createDataFrame([(float(stats["sharpe"]) * yearly, float(best["win_rate"]), float(best["max_drawdown"]), float(stats["dev"] or 0.0), float(best["sharpe_net"]), float(best["sharpe_gross"]), float(best["sharpe_delay1"]))], "sharpe double, win_rate double, max_drawdown double, volatility double, sharpe_net double, sharpe_gross double, sharpe_delay1 double"), FlagLimits()).first()
+    ratios = {way: runs[way].metrics["sharpe_net"] for way in runs}
+    flagged = statistics.red_flags(spark.createDataFrame([(float(stats["sharpe"]) * yearly, net.metrics["win_rate"], net.metrics["max_drawdown"], float(stats["dev"] or 0.0), ratios["net"], ratios["gross"], ratios["delayed"])], "sharpe double, win_rate double, max_drawdown double, volatility double, sharpe_net double, sharpe_gross double, sharpe_delay1 double"), FlagLimits()).first()
     flags = [(f["code"], f["severity"]) for f in flagged["flags"]]
-    numbers = {"dsr": round(float(stats["dsr"]), 6), "pbo": round(float(overfit), 6), "p_survival": round(float(survived["p_survival"]), 6), "sharpe": round(float(stats["sharpe"]), 6), "ci_lo": round(float(ci["lo"] or 0), 6), "ci_hi": round(float(ci["hi"] or 0), 6), "n_trades": n}
+    numbers = {"dsr": round(float(stats["dsr"]), 6), "pbo": round(float(overfit), 6), "p_survival": round(float(survived["p_survival"]), 6), "sharpe": round(float(stats["sharpe"]), 6), "ci_lo": round(float(ci["lo"] or 0), 6), "ci_hi": round(float(ci["hi"] or 0), 6), "n_trades": n, **{f"sharpe_{way}": round(v, 6) for way, v in ratios.items()}}
     bars.unpersist()
-    log.unpersist()
-    manifest = Manifest(run_id, created_at or datetime.now(UTC).isoformat(), git_sha(), config.seed, config_hash("FE-BACKTESTCFG-v1", asdict(config)), list(snapshots))
+    manifest = Manifest(run_id, created_at or datetime.now(UTC).isoformat(), git_sha(), config.seed, config_hash("FE-BACKTESTCFG-v1", asdict(config)), list(snapshots), [b.trial_id for b in runs.values()])
     return Report(manifest, decide(numbers["dsr"], numbers["pbo"], numbers["p_survival"], flags), grid[k], numbers, flags, n_trials, trials.list_hash(config.strategy) if trials is not None else config_hash("FE-TRIALLIST-v1", rows), rows)
 
 
