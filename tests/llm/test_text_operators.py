@@ -67,9 +67,13 @@ def test_gadgets_allow_what_merges_leave_apart():
 def test_round_trip_query(spark, rows):
     got = bpe.round_trip(documents(spark, rows), PATH).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
-    by = {i: t or "" for i, t in rows}
+    from tokenizers import Tokenizer
+
+    lib, by = Tokenizer.from_file(PATH), {i: t or "" for i, t in rows}
     for r in got:
-        assert r["decoded_sha256"] == hashlib.sha256(by[r["doc_id"]].encode()).hexdigest()
+        ids = lib.encode(by[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest() == hashlib.sha256(by[r["doc_id"]].encode()).hexdigest()
     ids = bpe.encode_documents(documents(spark, rows), PATH)
     back = {r["doc_id"]: r["text"] for r in bpe.decode_documents(ids, PATH).collect()}
     assert back == by
@@ -115,6 +119,23 @@ def test_crossover_keeps_every_piece_and_never_loses_to_best_fit():
     assert [sorted(map(sorted, p)) for p in packing._unflat(packing._flat(grown, 400), 400)] == [sorted(map(sorted, p)) for p in grown]
 
 
+def test_crossover_closes_half_the_gap_that_best_fit_leaves(spark):
+    rng = np.random.default_rng(0)
+    lengths = np.sort(rng.integers(400, 1400, 4096))[::-1]
+    island = packing.Island(lengths, 2048, 1)
+    plain = len(island.plain())
+    grown = island.breed(island.start(4), 60)
+    assert len(grown[0]) <= plain - (plain - island.least()) / 2 and island.crossed > 20
+    rows = spark.createDataFrame([(k, 0, 0, int(n), 0) for k, n in enumerate(rng.integers(400, 1400, 1500))], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(rows, block=800, generations=8).collect()
+    assert len(got) == 1500 and all(r["crossovers"] > 0 for r in got)
+    best = {}
+    for r in got:
+        best.setdefault(r["sequence_id"] >> 24, []).append(r["length"])
+    for block, sizes in best.items():
+        assert len({r["sequence_id"] for r in got if r["sequence_id"] >> 24 == block}) <= len(packing.Island(np.sort(sizes)[::-1], 2048, 0).plain())
+
+
 def plain_fingerprint(t):
     w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
     shingles = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] * bool(w)

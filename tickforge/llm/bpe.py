@@ -5,6 +5,10 @@ a merge (u, v) redirects all arcs u to a copy of their target without the arc v,
 beside every arc u. All arcs with one label have one target throughout, so a state is kept as (parent, label removed,
 time), the arcs of a state follow from its chain of parents, and rows of the transition table are filled as they are
 first used. A path's arc labels spell a text exactly if they are its BPE tokens.
+
+Words are read a byte at a time. A second table, compiled from the labels, goes from (longest label that may be under way,
+byte) to the next such place and names the labels that end there. Each prefix of a word has one path, so of those labels one
+alone has an arc from the state in which it would begin; that one is noted, and the word's labels are read off from its end.
 """
 
 from __future__ import annotations
@@ -102,10 +106,8 @@ class Automaton:
         for t, i in self.special.items():
             self.labels[i] = t.encode()
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.reach = [1] * 256  # by first byte, the longest label
-        for t in self.ids:
-            self.reach[t[0]] = max(self.reach[t[0]], len(t))
         self._compile([tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]], raw)
+        self._compile_bytes()
         self.known: dict[str, bytes] = {}  # ids by pre-split word
         self.parts: dict[str, bytes] = {}  # ids by what follows a single space, with the space
 
@@ -170,27 +172,59 @@ class Automaton:
             self.table[key] = got
         return got
 
+    def _compile_bytes(self) -> None:
+        """The trie of the labels as a table (place << 8 | byte) -> place, with each place's longest proper suffix in the trie and
+        the labels that end there, the longest first."""
+        down: dict[int, int] = {}
+        own, level = [-1], [0]
+        for t, i in sorted(self.ids.items(), key=lambda x: x[1]):
+            at = 0
+            for b in t:
+                nxt = down.get(at << 8 | b)
+                if nxt is None:
+                    nxt = down[at << 8 | b] = len(own)
+                    own.append(-1)
+                    level.append(level[at] + 1)
+                at = nxt
+            own[at] = i
+        size = [len(x) for x in self.labels]
+        suffix = [0] * len(own)
+        ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        for key, to in sorted(down.items(), key=lambda x: level[x[1]]):  # shorter places first
+            at, b = key >> 8, key & 255
+            if at:
+                f = suffix[at]
+                while f and f << 8 | b not in down:
+                    f = suffix[f]
+                suffix[to] = down.get(f << 8 | b, 0)
+            ends[to] = (((own[to], size[own[to]]),) if own[to] >= 0 else ()) + ends[suffix[to]]
+        self.down, self.suffix, self.ends = down, suffix, ends
+
+    def step(self, place: int, byte: int) -> int:
+        """The next place, by way of suffixes where the trie has none; entered in the table, which has as many entries as places
+        and bytes at most."""
+        got = self.down.get(place << 8 | byte)
+        if got is None:
+            got = self.down[place << 8 | byte] = self.step(self.suffix[place], byte) if place else 0
+        return got
+
     def walk(self, word: bytes) -> list[int]:
-        """The arc labels of the only path that spells the word: longest arc first, and no position tried twice."""
-        n, get, reach, allowed = len(word), self.ids.get, self.reach, self.allowed
-        path, ends, dead, i, e = [], [], set(), 0, min(n, reach[word[0]])
-        while i < n:
-            last = path[-1] if path else -1
-            while e > i:
-                t = get(word[i:e])
-                if t is not None and e not in dead and (last < 0 or allowed(last, t)):
+        """The arc labels of the only path that spells the word, one look at each byte."""
+        last, begins = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        down, ends, allowed, place = self.down.get, self.ends, self.allowed, 0
+        for j, b in enumerate(word, 1):
+            nxt = down(place << 8 | b)
+            place = self.step(place, b) if nxt is None else nxt
+            for t, n in ends[place]:
+                i = j - n
+                if not i or allowed(last[i], t):
+                    last[j], begins[j] = t, i
                     break
-                e -= 1
-            if e > i:
-                path.append(t)
-                ends.append(i)
-                i = e
-                e = min(n, i + reach[word[i]]) if i < n else n
-            else:
-                dead.add(i)
-                path.pop()
-                e, i = i - 1, ends.pop()
-        return path
+        out, j = [], len(word)
+        while j:
+            out.append(last[j])
+            j = begins[j]
+        return out[::-1]
 
     def word(self, word: str) -> bytes:
         got = self.known.get(word)
