@@ -1,10 +1,12 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm over islands.
 
 Documents are cut into pieces of at most `capacity` tokens. Pieces are dealt by hash into blocks of about `block`
-pieces, and each block has several islands, each with a population of packings of the block's pieces. In an epoch each
-island breeds: crossover injects whole well-filled bins of one parent into another, drops the bins that share a
-document with them, and gives the displaced documents to the best-fitting bins. Between epochs the elites of an island
-move to the next one. Blocks are independent, so the work is in proportion to the rows, and nothing is gathered.
+pieces, and each block has several islands, each with a population of packings of the block's pieces, made by best fit in
+noisy orders. In an epoch each island breeds: crossover injects whole well-filled bins of one parent into another, drops the
+bins that share a document with them and the emptiest others, exchanges what the rest hold for displaced documents that
+fill them better, and gives what is left over to the best-fitting bins. Between epochs the elites of an island move to the
+next one; the last epoch has one more guest, the packing by best fit in falling order, so that no result is worse than it.
+Blocks are independent, so the work is in proportion to the rows, and nothing is gathered.
 """
 
 from __future__ import annotations
@@ -97,7 +99,7 @@ class Island:
 
     def __init__(self, lengths: np.ndarray, capacity: int, seed: int):
         self.size, self.capacity = lengths.tolist(), capacity
-        self.rng = np.random.default_rng(seed)
+        self.rng, self.crossed = np.random.default_rng(seed), 0
 
     def fit(self, bins: list[list[int]], loose: list[int], order_noise: float = 0.0) -> list[list[int]]:
         """Give each loose piece, large ones first, to the fullest bin that it fits; where none does, to a new one."""
@@ -125,12 +127,33 @@ class Island:
         room = [self.capacity - sum(self.size[i] for i in b) for b in bins]
         return len(bins), -float(sum(r * r for r in room))
 
+    def exchange(self, bins: list[list[int]], loose: list[int]) -> tuple[list[list[int]], list[int]]:
+        """For each bin in turn, the exchange of one or two of its pieces for one loose piece that fills it most, if one does."""
+        size, capacity, out = self.size, self.capacity, []
+        pool = sorted((size[i], i) for i in loose)
+        for b in bins:
+            room = capacity - sum(size[i] for i in b)
+            if room and pool:
+                few = b[:6]
+                best, going, place = 0, None, 0
+                for x, i in enumerate(few):
+                    for out_size, gone in ((size[i], (i,)), *((size[i] + size[j], (i, j)) for j in few[:x])):
+                        at = bisect_left(pool, (out_size + room + 1, -1)) - 1
+                        if at >= 0 and pool[at][0] - out_size > best:
+                            best, going, place = pool[at][0] - out_size, gone, at
+                if going:
+                    new = pool.pop(place)[1]
+                    b = [*(i for i in b if i not in going), new]
+                    for i in going:
+                        insort(pool, (size[i], i))
+            out.append(b)
+        return out, [i for _, i in pool]
+
     def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
         """Inject b's well-filled bins into a; a's bins that share a piece with them go, and their other pieces are dealt out."""
-        full = [x for x in b if sum(self.size[i] for i in x) >= 0.99 * self.capacity]
-        if not full:
-            return a
-        take = [full[k] for k in self.rng.permutation(len(full))[: max(1, len(full) // 4)]]
+        filled = lambda x: sum(self.size[i] for i in x)
+        full = [x for x in b if filled(x) >= 0.99 * self.capacity] or sorted(b, key=filled)[-max(1, len(b) // 10) :]
+        take = [full[k] for k in self.rng.permutation(len(full))[: max(1, len(full) // 2)]]
         taken = {i for x in take for i in x}
         stay, loose = [], []
         for x in a:
@@ -138,13 +161,18 @@ class Island:
                 stay.append(x)
             else:
                 loose += [i for i in x if i not in taken]
-        poor = sorted(stay, key=lambda x: sum(self.size[i] for i in x))[: max(1, len(stay) // 50)]  # mutation: the emptiest bins are dealt anew too
-        gone = {id(x) for x in poor}
-        return self.fit([*take, *(x for x in stay if id(x) not in gone)], [*loose, *(i for x in poor for i in x)])
+        stay.sort(key=filled)
+        poor = max(1, len(stay) // 100)  # mutation: the emptiest bins are dealt anew too
+        stay, loose = self.exchange(stay[poor:], [*loose, *(i for x in stay[:poor] for i in x)])
+        self.crossed += 1
+        return self.fit([*take, *stay], loose)
 
     def start(self, population: int) -> list[list[list[int]]]:
         everything = list(range(len(self.size)))
-        return [self.fit([], everything, 0.05 * k) for k in range(population)]
+        return [self.fit([], everything, 0.2 * (k + 1)) for k in range(population)]
+
+    def plain(self) -> list[list[int]]:
+        return self.fit([], list(range(len(self.size))))
 
     def least(self) -> int:
         return -(-sum(self.size) // self.capacity)
@@ -178,12 +206,12 @@ def _unflat(data: bytes, n: int) -> list[list[list[int]]]:
     return out
 
 
-STATE = "block long, island int, n int, lengths binary, rows binary, packings binary"
+STATE = "block long, island int, n int, crossed int, lengths binary, rows binary, packings binary"
 
 
-def pack(df: DataFrame, capacity: int = 2048, block: int = 4096, islands: int = 2, population: int = 3, generations: int = 6, epochs: int = 2, key: str | None = None) -> DataFrame:
-    """Adds sequence_id (long) and offset (long) to pieces (doc_id, piece, start, length, ids_crc32), none longer than
-    capacity. Rows may repeat. Blocks get about `block` pieces each by a hash of key (a column that differs by row; by
+def pack(df: DataFrame, capacity: int = 2048, block: int = 4096, islands: int = 2, population: int = 4, generations: int = 5, epochs: int = 2, key: str | None = None) -> DataFrame:
+    """Adds sequence_id (long), offset (long) and crossovers (int, of its block) to pieces (doc_id, piece, start, length,
+    ids_crc32), none longer than capacity. Rows may repeat. Blocks get about `block` pieces each by a hash of key (a column that differs by row; by
     default of all columns), whatever the number of rows."""
     n = df.count()
     blocks = max(1, -(-n // block))
@@ -196,7 +224,7 @@ def pack(df: DataFrame, capacity: int = 2048, block: int = 4096, islands: int =
         with pa.ipc.new_stream(sink, t.schema) as w:
             w.write_table(t)
         return pa.table({
-            "block": [key[0].as_py()] * islands, "island": pa.array(range(islands), pa.int32()), "n": pa.array([t.num_rows] * islands, pa.int32()),
+            "block": [key[0].as_py()] * islands, "island": pa.array(range(islands), pa.int32()), "n": pa.array([t.num_rows] * islands, pa.int32()), "crossed": pa.array([0] * islands, pa.int32()),
             "lengths": pa.array([lengths.tobytes()] * islands, pa.binary()), "rows": pa.array([sink.getvalue().to_pybytes()] + [b""] * (islands - 1), pa.binary()),
             "packings": pa.array([b""] * islands, pa.binary()),
         })
@@ -206,13 +234,13 @@ def pack(df: DataFrame, capacity: int = 2048, block: int = 4096, islands: int =
             own = next(r for r in t.to_pylist() if r["lengths"])
             guests = [p for r in t.to_pylist() for p in _unflat(r["packings"], own["n"])]
             island = Island(np.frombuffer(own["lengths"], "<i4"), capacity, 7919 * key[0].as_py() + 31 * key[1].as_py() + epoch)
-            grown = island.breed(guests or island.start(population), generations)[:population]
-            home, k = key[1].as_py(), own["n"]
             last = epoch == epochs - 1
+            grown = island.breed([*(guests or island.start(population)), *([island.plain()] if last else [])], generations)[:population]
+            home, k = key[1].as_py(), own["n"]
             # One row keeps the island's pieces and population; the other carries the elite to the next island, or at the end to the first.
             out = [
-                {"block": own["block"], "island": home, "n": k, "lengths": own["lengths"], "rows": own["rows"], "packings": b"" if last else _flat(grown, k)},
-                {"block": own["block"], "island": 0 if last else (home + 1) % islands, "n": k, "lengths": b"", "rows": b"", "packings": _flat(grown[:1], k)},
+                {"block": own["block"], "island": home, "n": k, "crossed": own["crossed"] + island.crossed, "lengths": own["lengths"], "rows": own["rows"], "packings": b"" if last else _flat(grown, k)},
+                {"block": own["block"], "island": 0 if last else (home + 1) % islands, "n": k, "crossed": 0 if not last else own["crossed"] + island.crossed, "lengths": b"", "rows": b"", "packings": _flat(grown[:1], k)},
             ]
             return pa.Table.from_pylist(out, schema=t.schema)
 
@@ -222,6 +250,7 @@ def pack(df: DataFrame, capacity: int = 2048, block: int = 4096, islands: int =
         rows = t.to_pylist()
         own = next(r for r in rows if r["rows"])
         island = Island(np.frombuffer(own["lengths"], "<i4"), capacity, 0)
+        crossed = sum(r["crossed"] for r in rows if not r["lengths"])
         best = min((p for r in rows for p in _unflat(r["packings"], own["n"])), key=island.cost)
         with pa.ipc.open_stream(own["rows"]) as r:
             t = r.read_all()
@@ -231,13 +260,13 @@ def pack(df: DataFrame, capacity: int = 2048, block: int = 4096, islands: int =
             for i in b:
                 sequence[i], offset[i] = k, at
                 at += island.size[i]
-        return t.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 24))).append_column("offset", pa.array(offset))
+        return t.append_column("sequence_id", pa.array(sequence + (key[0].as_py() << 24))).append_column("offset", pa.array(offset)).append_column("crossovers", pa.array([crossed] * own["n"], pa.int32()))
 
     state = df.withColumn("block", F.pmod(F.xxhash64(*([key] if key else names)), F.lit(blocks))) if blocks > 1 else df.withColumn("block", F.lit(0).cast("long"))
     state = state.groupBy("block").applyInArrow(begin, STATE)
     for e in range(epochs):
         state = state.groupBy("block", "island").applyInArrow(live(e), STATE)
-    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, crossovers int"
     return state.filter(F.col("island") == 0).groupBy("block").applyInArrow(finish, out)
 
 
