@@ -195,7 +195,8 @@ def normalise(table: DataFrame, source: str, target: str) -> DataFrame:
         side.close()
         return pa.Table.from_pylist(index, schema=pa.schema([("archive", pa.string()), ("byte_start", pa.int64()), ("byte_size", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("digest", pa.string())]))
 
-    return table.groupBy("archive").applyInArrow(run, INDEX)
+    archives = max(1, table.select("archive").distinct().count())
+    return table.repartition(archives, "archive").groupBy("archive").applyInArrow(run, INDEX)  # as many tasks as archives, whatever the size of these rows
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
@@ -227,7 +228,9 @@ def read_records(index: DataFrame, root: str) -> DataFrame:
                 file.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=names)
 
-    return index.select("archive", "byte_start", "byte_size").mapInArrow(run, READ)
+    archives = max(1, index.select("archive").distinct().count())
+    places = index.select("archive", "byte_start", "byte_size").repartition(archives, "archive").sortWithinPartitions("archive", "byte_start")
+    return places.mapInArrow(run, READ)
 
 
 def archive_pages(df: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> tuple[DataFrame, str]:
@@ -236,6 +239,7 @@ def archive_pages(df: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BY
     spark = df.sparkSession
     source, target = new_path(spark, "monolithic"), new_path(spark, "archives")
     captured, captured_at = materialize(capture(df, source, archive_bytes), "captured")
-    index, _ = materialize(normalise(revisits(captured, least), source, target), "index")
-    discard(spark, source, captured_at)
+    marked, marked_at = materialize(revisits(captured, least), "marked")
+    index, _ = materialize(normalise(marked, source, target), "index")
+    discard(spark, source, captured_at, marked_at)
     return index, target
