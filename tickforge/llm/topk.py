@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 #: Rows of a block of candidates, queries of a block, pivots, and rows evaluated between two looks at the bounds.
-ROWS, QUERIES, PIVOTS, STEP = 8192, 1024, 48, 64
+ROWS, QUERIES, PIVOTS, STEP = 8192, 8192, 48, 64
 #: Doubles hold whole numbers up to this exactly; blocks whose sums could pass it are evaluated in whole numbers of any size.
 EXACT = float(1 << 53)
 
@@ -121,7 +121,7 @@ def top_k(df: DataFrame, is_query, k: int = 5, vector: str = "embedding", key: s
     flat = flat.withColumn("uid", F.monotonically_increasing_id())
     base, base_at = materialize(flat.select("id", "uid", "v").mapInArrow(_pack(rows, scale, pivots), PACKED), "candidates")
     asked = flat.filter("asks").select("id", "uid", "v")
-    ask, _ = materialize(asked.coalesce(max(8, asked.count() // (8 * queries))).mapInArrow(_pack(queries, scale, 0), PACKED), "queries")
+    ask, _ = materialize(asked.repartition(max(1, -(-asked.count() // queries))).mapInArrow(_pack(queries, scale, 0), PACKED), "queries")
     discard(spark, flat_at)
     # Every block of candidates goes to each block of queries of its number of components, by an equi-join on their place. Only
     # the blocks' names are numbered in order.
