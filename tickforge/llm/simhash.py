@@ -217,7 +217,8 @@ def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) ->
     twice = keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
     shared, shared_at = materialize(keys.join(twice, "key").join(marks, "near_row").drop("near_row"), "shared")
     needed = classes.join(shared.select("digest").distinct(), "digest", "left_semi").select(F.col("best.near_row").alias("near_row"))  # alike sets share a key
-    sets, sets_at = materialize(shingles.sets_of(docs.join(needed, "near_row", "left_semi")), "sets")
+    alone = (F.size("keys") == 0) & (F.col("size") > 0)  # a fifth of its shingles and more are in no other text, so it is like none
+    sets, sets_at = materialize(shingles.sets_of(docs.filter(~alone).join(needed, "near_row", "left_semi")), "sets")
 
     alike = classes.groupBy("fp").agg(F.min("digest").alias("first"))
     edges, linked_at = links(classes.select("fp").distinct(), crowd)
@@ -239,4 +240,4 @@ def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) ->
     chosen = classes.join(nodes.withColumnRenamed("node", "digest"), "digest", "left").groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("best").alias("best"))
     chosen, _ = materialize(chosen.select(F.col("best.near_row").alias("near_row")), "chosen")
     discard(spark, classes_at, *nodes_at)
-    return docs.join(chosen, "near_row", "left_semi").select(*columns)
+    return docs.filter(alone).select(*columns).union(docs.filter(~alone).join(chosen, "near_row", "left_semi").select(*columns))
