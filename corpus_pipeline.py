@@ -19,13 +19,15 @@ LEAST_SHARE = 0.35
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking, learned from the labels of documents outside the held-out fifth, accepts."""
+    """Documents that the ranking, learned from the labels of documents outside the held-out fifth, accepts. Null and empty texts
+    are scored like any other; rows that repeat share their fate; without labels every document stays."""
     ranking = quality.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
     return quality.score(docs, ranking, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages."""
+    """Documents mostly in one of the learned languages. Texts that are null, empty or without a letter go; rows that repeat share
+    their fate; where no document has a language, none stays."""
     model = langid.learn(docs, remainder(F.col("doc_id"), 4) != 2)
     found = langid.identify(docs, model, keep=COLUMNS)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
@@ -38,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' pieces, packed."""
+    """The kept documents' pieces, packed. A null or empty text is a piece of the end alone; each of repeated rows is packed."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -160,3 +160,14 @@ def test_pipeline(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in stages["near_dedup"](spark, odd, DATA).collect()) == ["5", "6"]
     for name in ("quality_classifier", "language_id", "best_fit_packing"):
         stages[name](spark, odd, DATA).collect()
+
+
+def test_stages_take_columns_that_clash_with_their_own(spark):
+    """Extra columns named like results or helpers of the operators change nothing."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = docs.withColumns({c: F.lit(7) for c in ("score", "predicted", "lang_pred", "digest", "keys", "near_row", "size", "fp", "piece", "row", "block", "x")})
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, docs, DATA), stage(spark, odd, DATA)
+        assert got.columns == want.columns
+        ids = lambda df: sorted(str(r["doc_id"]) for r in df.select("doc_id").collect())
+        assert ids(got) == ids(want), name

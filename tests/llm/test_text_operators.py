@@ -354,3 +354,68 @@ def test_word_scores_in_chunks_are_those_of_each_word(monkeypatch):
     for step in (langid.STEP, 30, 3):
         monkeypatch.setattr(langid, "STEP", step)
         assert np.allclose(model.word_scores(words), alone, atol=1e-2)
+
+
+def plain_ranking(good, bad, share):
+    """Newton steps on the same pairs, a pair at a time, and the threshold between the scores of all labelled rows."""
+    r = quality.learn(good, bad, share)
+    rng = np.random.default_rng(7)
+    g, b = r.expand(good), r.expand(bad)
+    n = quality.PAIRS * max(len(g), len(b))
+    pairs = [(g[i] - b[j]) / r.deviation for i, j in zip(rng.integers(0, len(g), n), rng.integers(0, len(b), n), strict=True)]
+    w = np.zeros(len(pairs[0]))
+    for _ in range(40):
+        slope, bend = -1e-3 * w, 1e-3 * np.eye(len(w))
+        for d in pairs:
+            p = 1 / (1 + math.exp(min(30, max(-30, float(d @ w)))))
+            slope += d * p / n
+            bend += np.outer(d, d) * p * (1 - p) / n
+        step = np.linalg.solve(bend, slope)
+        w += step * min(1.0, 5 / (1e-9 + np.abs(step).max()))
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
+def test_quality_is_the_plain_newton_search(spark):
+    rnd = random.Random(4)
+    good = [" ".join(rnd.choice("the of and house river stone. Garden letters, morning winter".split()) for _ in range(rnd.randrange(20, 90))) for _ in range(24)]
+    bad = [" ".join(rnd.choice("buy NOW !!! click | menu 777 the of".split()) for _ in range(rnd.randrange(5, 60))) for _ in range(12)]
+    docs = documents(spark, [*enumerate(good + bad), (3, good[3] + " zzz"), (900, "x" * 3_000_000), (901, None)])
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    marks = [(i, int(i < 24)) for i in range(36)]
+    model = quality.train(docs, spark.createDataFrame(marks, "doc_id long, quality int"), ~held)
+    ids = [i for i, _ in marks if zlib.crc32(str(i).encode()) % 5]
+    x = {i: quality.features((good + bad)[i].encode()) for i in ids}
+    a, b = (np.array([x[i] for i in ids if (i < 24) == side]) for side in (True, False))
+    assert np.allclose(model.weights, plain_ranking(a, b, len(b) / len(ids)), atol=1e-6)
+    raw = sorted(model.raw(np.array([*x.values(), quality.features((good[3] + " zzz").encode())])) if 3 in ids else model.raw(np.array(list(x.values()))))
+    k = next(k for k in range(len(raw)) if (k + 1) / len(raw) >= len(b) / len(ids))
+    assert raw[k] <= model.threshold <= raw[k + 1]
+    other = quality.train(docs, spark.createDataFrame([(i, q if zlib.crc32(str(i).encode()) % 5 else 1 - q) for i, q in marks], "doc_id long, quality int"), ~held)
+    assert (other.weights == model.weights).all() and other.threshold == model.threshold  # held-out labels say nothing
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    assert len(got) == 38 and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_of_very_long_texts_and_plain_word_scores(spark):
+    rnd = random.Random(7)
+    say = lambda ws, n: " ".join(rnd.choice(ws) for _ in range(n))
+    en, de = "the of and that is was for on are with".split(), "der die und in den von zu das mit sich".split()
+    docs = spark.createDataFrame([(k, say((en, de)[k % 2], 40), ("en", "de")[k % 2]) for k in range(60)], "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(True))
+    rows = [(0, say(en, 300_000)), (1, say(en, 60_000) + " " + say(de, 90_000)), (2, "x" * 2_000_000)]
+    got = {r["doc_id"]: r for r in langid.identify(documents(spark, rows), model, spans=True).collect()}
+    assert got[0]["lang_pred"] == "en" and got[1]["lang_pred"] == "de" and [s["end_word"] - s["first_word"] for s in got[1]["spans"]] == [60_000, 90_000]
+    # A word's score is half the sum of its n-grams' log likelihoods, the best language's taken off.
+    for w in (b"the", b"und", b"q"):
+        parts = b" " + w + b" "
+        grams = [parts[i : i + n] for n in langid.SIZES for i in range(len(parts) - n + 1) if not (n < 3 and parts[i : i + n].strip() == b"") and b" " not in parts[i : i + n][1:-1]]
+        total = np.zeros(len(model.names))
+        for g in grams:
+            h = 0
+            for k, c in enumerate(g, 1):
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (c + k * 256)
+            total += model.table[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 16]
+        want = np.maximum(total / 2 - (total / 2).max(), -20)
+        assert np.allclose(model.word_scores([w])[0], want, atol=1e-3), w

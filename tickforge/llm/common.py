@@ -21,16 +21,30 @@ def lower_ascii(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) one made here, on a local
+    master alone."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tickforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Tables and folders that results may still be read from.
+_KEPT: set[str] = set()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder and not discarded yet, once its results have been read."""
+    discard(spark, *_KEPT)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.add(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -43,9 +57,10 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables of the shared folder that nothing reads any more."""
-    for p in paths:
+    for p in list(paths):
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _KEPT.discard(p)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

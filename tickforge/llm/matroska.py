@@ -277,7 +277,8 @@ def features(samples: bytes, m: Media) -> str:
 
 def stored_features(df: DataFrame, frame: int = 576) -> DataFrame:
     """Stores each text of (doc_id, text) as store_texts() does, reads the file back by its packet table, and returns
-    digests: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    digests: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A null text is
+    stored like an empty one, equal texts alike; a repeated row gives a repeated result, an empty table an empty one."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import discard, map_batches, materialize, texts_of
 
 #: Labelled rows of each class that the ranking is learned from at most, pairs for each row, and the accepted score.
 SAMPLE, PAIRS, ACCEPT = 8_000, 6, 0.3
@@ -97,12 +97,11 @@ def learn(good: np.ndarray, bad: np.ndarray, bad_share: float, pairs: int = PAIR
         r.weights = r.weights + step * min(1.0, 5 / (1e-9 + float(np.abs(step).max())))
         if float(np.abs(step).max()) < 1e-4:
             break
-    sg, sb = np.sort(r.raw(good)), np.sort(r.raw(bad))
-    # The quantile of the mixture of both classes, in their shares, below which there are as many documents as bad labels.
-    s, weight = np.concatenate([sg, sb]), np.concatenate([np.full(len(sg), (1 - bad_share) / len(sg)), np.full(len(sb), bad_share / len(sb))])
-    order = np.argsort(s)
+    s = np.concatenate([r.raw(good), r.raw(bad)])
+    weight = np.concatenate([np.full(len(good), (1 - bad_share) / len(good)), np.full(len(bad), bad_share / len(bad))])
+    order = np.argsort(s, kind="stable")
     k = int(np.searchsorted(np.cumsum(weight[order]), bad_share))
-    lo, hi = s[order][max(0, min(k, len(s) - 1))], s[order][min(k + 1, len(s) - 1)]
+    lo, hi = s[order][min(k, len(s) - 1)], s[order][min(k + 1, len(s) - 1)]
     r.threshold, r.scale = float(lo + hi) / 2, 1.0
     return r
 
@@ -118,19 +117,45 @@ def feature_table(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, learns: Column, sample: int = SAMPLE) -> Ranking:
-    """Learns from documents (doc_id, text) with a label (doc_id, quality) whose doc_id `learns` accepts, at most `sample` of
-    each class by a hash of their id. Null labels are left out; of several labels of a document the largest counts."""
+    """Learns from documents (doc_id, text) with a label (doc_id, quality) whose doc_id `learns` accepts: the weights from at most
+    `sample` rows of each class by a hash of their id, the threshold from the scores of all of them. Null labels are left
+    out; of several labels of a document the largest counts, and of several texts of one doc_id the least."""
     marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learns).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     shares = {r["good"]: r["n"] for r in marked.groupBy((F.col("quality") >= 1).alias("good")).agg(F.count("*").alias("n")).collect()}
     chosen = None
     for good in (True, False):
         part = marked.filter((F.col("quality") >= 1) == F.lit(good)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    met = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * sample rows
-    got = feature_table(met, ("quality",)).toArrow()
+    met = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))  # at most 2 * sample rows
+    got = feature_table(met.select("quality", "text", "doc_id"), ("quality", "doc_id")).toArrow().sort_by("doc_id")
     x = np.array(got["x"].to_pylist(), "f8").reshape(-1, len(NAMES))
     q = got["quality"].to_numpy() >= 1
-    return learn(x[q], x[~q], shares.get(False, 0) / max(1, sum(shares.values())))
+    bad = shares.get(False, 0) / max(1, sum(shares.values()))
+    ranking = learn(x[q], x[~q], bad)
+    if shares.get(True) and shares.get(False):
+        ranking.threshold = accepting(docs, marked, ranking, bad)
+    return ranking
+
+
+def accepting(docs: DataFrame, marked: DataFrame, ranking: Ranking, bad: float) -> float:
+    """The score below which there is the share `bad` of all marked documents' scores: in the middle of the two scores there."""
+    spark = docs.sparkSession
+    own, at = materialize(raw_scores(docs, ranking).join(marked.select("doc_id"), "doc_id", "left_semi").select("raw"), "raw")
+    cut = own.agg(F.percentile_approx("raw", F.lit(bad), F.lit(100_000)).alias("cut")).first()["cut"]
+    lo, hi = own.agg(F.max(F.when(F.col("raw") <= cut, F.col("raw"))), F.min(F.when(F.col("raw") > cut, F.col("raw")))).first() if cut is not None else (None, None)
+    discard(spark, at)
+    return ranking.threshold if lo is None else lo if hi is None else (lo + hi) / 2
+
+
+def raw_scores(docs: DataFrame, ranking: Ranking) -> DataFrame:
+    """(doc_id, raw): the ranking's score of each whole text before the threshold."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([features(t or b"") for t in texts_of(b.column(1))], "f8").reshape(-1, len(NAMES))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ranking.raw(x) if len(x) else np.zeros(0))], names=["doc_id", "raw"])
+
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), fn, f"doc_id {kind}, raw double")
 
 
 def score(docs: DataFrame, ranking: Ranking, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
