@@ -16,7 +16,7 @@ from ..sources import snapshots, vendors
 from ..sources.bars import DAILY_SQL, EVENT_SQL, event_bars, lineitem_bars, resample, union_bars
 from ..sources.trials import TrialStore
 from ..streaming import brokers, live, submit
-from . import validation
+from . import research, validation
 from .backtest import Strategy, event_log
 from .market import GRID, MES, WINDOW, _SHARPE, donchian_ctes, event_ctes, rounded
 from .validation import COSTS, _contracts, _indexed, _priced, _stitched_sql, _table
@@ -403,6 +403,28 @@ def _survival_sql() -> str:
         SELECT contracts, n AS n_paths, round(p_, 6) AS p_survival, round(p_target, 6) AS p_target, round(med, 6) AS median_days_to_target, round(greatest(0.0, {edge("-")}), 6) AS ci_lo, round(least(1.0, {edge("+")}), 6) AS ci_hi FROM g"""
 
 
+def _risk_sql(r) -> str:
+    """The risk state folded along each account's events, in the order of time."""
+    stop, floor = r.daily_loss - r.daily_loss_buffer, f"s.peak - {r.trailing} + {r.trailing_margin}"
+    state = {"day": "-1::BIGINT", "won": "0.0::DOUBLE", "balance": f"{r.start}::DOUBLE", "peak": f"{r.start}::DOUBLE", "halted": "FALSE", "tick": "-1::BIGINT", "pos": "0::BIGINT", "recent": "[]::BIGINT[]", "made": "[]::STRUCT(id VARCHAR, why VARCHAR)[]"}
+    same = {k: f"s.{k}" for k in state}
+    struct = lambda **new: "{" + ", ".join(f"'{k}': {new.get(k, same[k])}" for k in state) + "}"
+    won = "(CASE WHEN e.us // 86400000000 = s.day THEN s.won ELSE 0.0 END + e.value)"
+    top = "greatest(s.peak, s.balance + e.value)"
+    stale = f"(s.tick < 0 OR e.us - s.tick > {r.stale_seconds * 1e6})"
+    recent = "list_filter(s.recent, lambda x: x > e.us - 60000000)"
+    why = f"""CASE WHEN s.halted THEN 'halted' WHEN {stale} THEN 'stale_data' WHEN len({recent}) >= {r.orders_per_minute} THEN 'order_rate' WHEN s.won <= -{stop} THEN 'daily_loss'
+        WHEN s.balance <= {floor} THEN 'trailing_drawdown' WHEN abs(s.pos + e.qty) > {r.max_contracts} THEN 'sizing' END"""
+    booked = struct(day="e.us // 86400000000", won=won, balance="s.balance + e.value", peak=top, halted=f"s.halted OR {won} <= -{stop} OR s.balance + e.value <= {top} - {r.trailing} + {r.trailing_margin}")
+    ordered = struct(halted=f"s.halted OR {stale}", pos=f"CASE WHEN {why} IS NULL THEN s.pos + e.qty ELSE s.pos END", recent=f"CASE WHEN {why} IS NULL THEN list_append({recent}, e.us) ELSE {recent} END", made=f"list_append(s.made, {{'id': e.id, 'why': {why}}})")
+    first = "{" + ", ".join(f"'{k}': {v}" for k, v in state.items()) + "}"
+    return f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS account, epoch_us(ts) AS us, ts, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS qty, value - 150 AS value,
+            CASE event_type WHEN 'purchase' THEN 'pnl' WHEN 'click' THEN 'tick' WHEN 'view' THEN 'tick' ELSE 'order' END AS kind FROM events),
+        b AS (SELECT account, list({{'us': us, 'id': id, 'qty': qty, 'value': value, 'kind': kind}} ORDER BY us, id) AS events FROM e GROUP BY account),
+        s AS (SELECT account, unnest(list_reduce(events, lambda s, e: CASE e.kind WHEN 'tick' THEN {struct(tick="e.us")} WHEN 'pnl' THEN {booked} ELSE {ordered} END, {first}).made) AS m FROM b)
+        SELECT s.account, m.id AS order_id, e.ts, m.why IS NULL AS approved, m.why AS reason FROM s JOIN e ON e.id = m.id"""
+
+
 def _interest() -> str:
     return validation._CONTRACT.replace("CAST(sum(l_quantity) AS DOUBLE) AS volume", "CAST(sum(l_orderkey % 97) AS DOUBLE) AS volume")
 
@@ -475,4 +497,5 @@ SQL = {
     "lookahead_audit": f"""WITH bars AS ({EVENT_SQL}), cuts AS (SELECT symbol, cut, CAST(floor(max(pos) * cut) AS BIGINT) AS spot, max(pos) AS last FROM bars CROSS JOIN (SELECT unnest([0.5, 0.75, 0.9])::DOUBLE AS cut) GROUP BY symbol, cut),
         ops AS (SELECT unnest(['feature.rsi', 'feature.window', 'leaky.next_close', 'signal.donchian']) AS operator, unnest([1, 2, 1, 1]) AS k)
         SELECT operator, cut, CAST(sum(spot + 1) * any_value(k) AS BIGINT) AS checked, CAST(CASE WHEN operator LIKE 'leaky%' THEN sum(CASE WHEN spot < last THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS mismatches FROM cuts CROSS JOIN ops GROUP BY operator, cut""",
+    "streaming_risk": _risk_sql(research.replace_limits()),
 }
