@@ -104,9 +104,11 @@ def unsqueeze(x: bytes) -> bytes:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that nothing refers to any more. References that Python gives up reach the JVM
+    with its next call, so the second round is the one that counts."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most_bytes: int = 8 << 20, most_rows: int = 4096) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import discard, map_batches, materialize, texts_of
+from .common import discard, map_batches, materialize, release, texts_of
 from .components import components
 
 #: Fixed value: the generator of the cyclic (23, 12) Golay code.
@@ -220,6 +220,7 @@ def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) ->
     alone = (F.size("keys") == 0) & (F.col("size") > 0)  # a fifth of its shingles and more are in no other text, so it is like none
     sets, sets_at = materialize(shingles.sets_of(docs.filter(~alone).join(needed, "near_row", "left_semi")), "sets")
 
+    release(spark)
     alike = classes.groupBy("fp").agg(F.min("digest").alias("first"))
     edges, linked_at = links(classes.select("fp").distinct(), crowd)
     met = edges.join(alike.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(alike.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
@@ -228,6 +229,7 @@ def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) ->
     met = met.union(hubs.alias("a").join(shared.alias("b"), (F.col("a.key") == F.col("b.key")) & shingles.may_be_alike("a", "b")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")))
     first, first_at = shingles.verified(met.filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), sets)
     discard(spark, *linked_at)
+    release(spark)
     joined, joined_at = components(first)
     rooted, rooted_at = materialize(shared.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted")
     main = rooted.groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("size"), "digest", "root")).alias("hub")).select("key", F.col("hub.root").alias("main"))
@@ -240,4 +242,5 @@ def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) ->
     chosen = classes.join(nodes.withColumnRenamed("node", "digest"), "digest", "left").groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("best").alias("best"))
     chosen, _ = materialize(chosen.select(F.col("best.near_row").alias("near_row")), "chosen")
     discard(spark, classes_at, *nodes_at)
+    release(spark)
     return docs.filter(alone).select(*columns).union(docs.filter(~alone).join(chosen, "near_row", "left_semi").select(*columns))
