@@ -590,3 +590,49 @@ def test_shared_folder_is_made_on_a_local_master_alone():
     assert session.shared_dir(Fake("spark://x", "hdfs://a/b/")) == "hdfs://a/b"
     with pytest.raises(ValueError):
         session.shared_dir(Fake("spark://x"))
+
+
+def test_meta_model_records(spark, tmp_path):
+    from tickforge.operators import metamodel
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (90, 5))
+    rows = spark.createDataFrame([(k, *map(float, v), float(v[0] + 0.3 * rng.normal() > 0), 1.0) for k, v in enumerate(x)] + [(90, None, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0)], "pos long, ret_1 double, ret_5 double, ret_20 double, vol_20 double, raw double, y double, weight double")
+    folds = crossval.purged_kfold(rows.select("pos", F.col("pos").alias("t0"), F.col("pos").alias("t1")), 91, 3)
+    trials = TrialStore(spark, f"file://{tmp_path}/trials")
+    got = metamodel.train(rows, folds, "logistic", folder=f"file://{tmp_path}/models", trials=trials, run_id="r1", scheme="PurgedKFold")
+    assert [(r["fold"], r["model"]) for r in got.per_fold] == [(k, m) for k in range(3) for m in metamodel.MODELS] and all(r["n_train"] + r["n_test"] == 90 for r in got.per_fold)
+    assert got.metrics["logistic"]["auc"] > 0.9 and got.metrics["boosted"]["n"] == 90
+    saved = trials.all().first()
+    assert saved["trial_id"] == "r1-meta" and saved["metrics"]["logistic_auc"] == pytest.approx(got.metrics["logistic"]["auc"])
+    both = [metamodel.predict(m, rows).orderBy("pos").select("p").collect() for m in (got.model, metamodel.load(got.artifact))]
+    assert both[0] == both[1] and len(both[0]) == 91
+    with pytest.raises(ValueError):
+        metamodel.train(rows.withColumn("y", F.lit(1.0)), folds)
+    one = folds.filter("role = 'train' OR fold = 0")
+    assert {r["fold"] for r in metamodel.train(rows, one).per_fold} == {0}
+
+
+def test_event_backtest_run(spark, tmp_path):
+    from tickforge.plans.backtest import Strategy, backtest_snapshot, three_ways
+
+    store, trials = SnapshotStore(spark, f"file://{tmp_path}/s"), TrialStore(spark, f"file://{tmp_path}/t")
+    bars = synthetic_bars(spark, 300)
+    cont = {"roll_rule": "volume"}
+    good = store.save(bars, SnapshotMeta("MES", "synthetic", "1m", "a", "b", True, "now", continuous=cont))
+    bad = store.save(bars, SnapshotMeta("MES", "dev", "1m", "a", "b", False, "now", continuous=cont))
+    s = Strategy("donchian", {"window": 10}, 2)
+    got = backtest_snapshot(store, good, s, trials=trials, created_at="2024-01-01")
+    rows = got.trades.orderBy("entry_pos").collect()
+    assert len(rows) == got.metrics["n_trades"] > 3 and got.manifest.trial_ids == [got.trial_id] and got.manifest.snapshots == [good] and trials.count("donchian") == 1
+    assert got.metrics["net_pnl"] == pytest.approx(sum(r["net_pnl_usd"] for r in rows)) and got.curve.count() == len(rows)
+    eq = 100_000 + np.cumsum([r["net_pnl_usd"] for r in rows])
+    assert got.metrics["drawdown_share"] == pytest.approx(float(np.max((np.maximum.accumulate(eq) - eq) / np.maximum.accumulate(eq))))
+    with pytest.raises(DataIntegrityError):
+        backtest_snapshot(store, bad, s)
+    with pytest.raises(ValueError):
+        backtest_snapshot(store, good, Strategy("donchian", {}))
+    ways = three_ways(bars, s, Costs(), "MES")
+    assert ways["gross"].metrics["net_pnl"] == pytest.approx(sum(r["gross_pnl_usd"] for r in rows))
+    late = {r["entry_pos"] for r in ways["delayed"].trades.collect()}
+    assert late <= {r["entry_pos"] + 1 for r in rows} and len(late) >= len(rows) - 1
