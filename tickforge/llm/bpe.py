@@ -226,6 +226,11 @@ class Automaton:
             j = begins[j]
         return out[::-1]
 
+    def forget(self) -> None:
+        """Empty the tables of words met."""
+        self.known.clear()
+        self.parts.clear()
+
     def word(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is None:
@@ -316,4 +321,4 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", last=lambda: automaton(path).forget())

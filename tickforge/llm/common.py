@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -88,6 +90,24 @@ def rows_of(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: i
             yield batch.slice(lo)
 
 
+#: Rows of an Arrow batch: texts come by thousands, and batches of more rows only cost memory on both sides.
+BATCH_ROWS = 2048
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends at most BATCH_ROWS rows at once to Python from now on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def tidy() -> None:
+    """At the end of a task: hand freed memory back, since the worker lives on between tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(col: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, null where null."""
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
@@ -111,11 +131,14 @@ def release(spark: SparkSession) -> None:
         spark._jvm.System.gc()
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most_bytes: int = 8 << 20, most_rows: int = 4096) -> DataFrame:
-    """fn over bounded slices of df's Arrow batches."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most_bytes: int = 8 << 20, most_rows: int = 4096, last: Callable[[], None] | None = None) -> DataFrame:
+    """fn over bounded slices of df's Arrow batches, and last() at the end of each task."""
 
     def run(batches):
         for b in rows_of(batches, text, most_bytes, most_rows):
             yield fn(b)
+        if last:
+            last()
+        tidy()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, texts_of
+from .common import rows_of, small_batches, texts_of, tidy
 
 #: Documents of each language that the table is counted from (in expectation), n-gram sizes, nats for a switch.
 SAMPLE, SIZES, SWITCH = 2_000, (1, 2, 3, 4), 8.0
@@ -306,5 +306,7 @@ def identify(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id
                 kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
                 made.append(pa.array([[{"first_word": lo, "end_word": hi, "lang": own.model.names[x]} for lo, hi, x in g[2]] for g in got], kind))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=[*keep, "lang_pred", "score", *(["spans"] if spans else [])])
+        del own
+        tidy()
 
-    return docs.select(*cols).mapInArrow(run, schema)
+    return small_batches(docs.select(*cols)).mapInArrow(run, schema)

@@ -91,7 +91,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> D
             names=["doc_id", "piece", "start", "length", "ids_crc32"],
         )
 
-    return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), fn, "doc_id long, piece int, start long, length long, ids_crc32 long", last=lambda: tokens(path).parts.clear())
 
 
 class Island:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, rows_of, squeeze, texts_of, unsqueeze
+from .common import discard, materialize, rows_of, small_batches, squeeze, texts_of, tidy, unsqueeze
 
 #: Words of a shingle, and the least similarity (a fraction) of near copies.
 WIDTH, ALIKE = 5, (4, 5)
@@ -118,6 +118,8 @@ def sketch(df: DataFrame, text: str = "text") -> Sketch:
                     held, n = [], 0
         if n:
             yield rows()
+        del held
+        tidy()
 
     def counted(batches):
         now, total = None, np.zeros(CHUNK, "i8")
@@ -139,7 +141,7 @@ def sketch(df: DataFrame, text: str = "text") -> Sketch:
             yield row()
 
     out = Sketch(np.zeros(slots // 8, "u1"), np.zeros(slots // SHARED // 4, "u1"))
-    spread = df.select(col.alias(text)).mapInArrow(partial, "chunk int, slots binary").repartition("chunk").sortWithinPartitions("chunk")
+    spread = small_batches(df.select(col.alias(text))).mapInArrow(partial, "chunk int, slots binary").repartition("chunk").sortWithinPartitions("chunk")
     for r in spread.mapInArrow(counted, "chunk int, again binary, far binary").toLocalIterator():  # bits of all slots, whatever the input
         for part, data in ((out.again, r["again"]), (out.far, r["far"])):
             part[r["chunk"] * len(data) : (r["chunk"] + 1) * len(data)] = np.frombuffer(data, "u1")
@@ -177,7 +179,7 @@ def sets_of(texts: DataFrame) -> DataFrame:
         for b in rows_of(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t or b"").view("i8") for t in texts_of(b.column(1))], pa.list_(pa.int64()))], names=["digest", "h"])
 
-    return texts.select("digest", "text").mapInArrow(fn, "digest binary, h array<long>")
+    return small_batches(texts.select("digest", "text")).mapInArrow(fn, "digest binary, h array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
