@@ -318,7 +318,7 @@ def broker_answers(spark: SparkSession, d: str) -> DataFrame:
 
 def broker_positions(spark: SparkSession, d: str) -> DataFrame:
     """Positions of customers as two brokers state them."""
-    net = _fills(spark, d).groupBy("instrument").agg(F.sum("qty").cast("int").alias("qty"), F.round(F.avg("price"), 4).alias("px"))
+    net = _fills(spark, d).groupBy("instrument").agg(F.sum("qty").cast("int").alias("qty"), F.max("price").alias("px"))
     a = net.select(F.to_json(F.struct(F.col("instrument").alias("symbol"), F.col("qty").alias("netPos"), F.col("px").alias("netPrice"))).alias("body"))
     b = net.select(F.to_json(F.struct(F.col("instrument").alias("contractId"), F.when(F.col("qty") > 0, 1).otherwise(2).alias("type"), F.abs("qty").alias("size"), F.col("px").alias("averagePrice"))).alias("body"))
     both = [brokers.codec(n).open_positions(x).withColumn("broker", F.lit(n)) for n, x in (("tradovate", a), ("projectx", b))]
@@ -487,8 +487,8 @@ SQL = {
         UNION ALL SELECT 'projectx', id, CASE WHEN buy THEN '0' ELSE '1' END, qty, limit_px, stop_px, 'true', '42' FROM f""",
     "broker_answers": """SELECT broker, CAST(o_orderkey AS VARCHAR) AS client_order_id, o_orderkey % 5 <> 0 AS accepted, CASE WHEN o_orderkey % 5 = 0 THEN 'no ' || o_orderkey END AS reason, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 10 END AS order_id
         FROM orders CROSS JOIN (SELECT unnest(['tradovate', 'projectx']) AS broker)""",
-    "broker_positions": """WITH n AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument, CAST(sum(CASE WHEN o_orderpriority < '3' THEN 2 ELSE -1 END) AS INTEGER) AS qty, round(avg(o_totalprice), 4) AS avg_px FROM orders GROUP BY 1)
-        SELECT broker, instrument, qty, avg_px FROM n CROSS JOIN (SELECT unnest(['tradovate', 'projectx']) AS broker) WHERE qty <> 0""",
+    "broker_positions": """WITH n AS (SELECT CAST(o_custkey AS VARCHAR) AS instrument, CAST(sum(CASE WHEN o_orderpriority < '3' THEN 2 ELSE -1 END) AS INTEGER) AS qty, max(o_totalprice) AS avg_px FROM orders GROUP BY 1)
+        SELECT broker, instrument, qty, round(avg_px, 4) AS avg_px FROM n CROSS JOIN (SELECT unnest(['tradovate', 'projectx']) AS broker) WHERE qty <> 0""",
     "broker_accounts": """SELECT broker, count(*) AS n, round(sum(c_acctbal), 3) AS balance, round(sum(c_acctbal + CASE WHEN broker = 'tradovate' AND c_custkey % 2 = 0 THEN c_custkey / 4.0 ELSE 0 END), 3) AS equity
         FROM customer CROSS JOIN (SELECT unnest(['tradovate', 'projectx']) AS broker) GROUP BY broker""",
     "quote_ticks": "SELECT CAST(user_id AS VARCHAR) AS instrument, count(*) AS n, round(sum(value), 6) AS total, min(CAST(floor(epoch(ts)) AS BIGINT)) AS first, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last FROM events GROUP BY 1",

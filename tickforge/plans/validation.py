@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import INSTRUMENTS, PRESETS, Costs, LiveLimits
+from ..config import PRESETS, Costs, LiveLimits
 from ..operators import account, crossval, labels, reconcile, statistics, stitch
 from ..operators import trading as t
 from ..operators.features import trailing_volatility
