@@ -1,4 +1,4 @@
-"""The queries op1 to op10, one for each operator, with production parameters over whole tables."""
+"""The queries op1 to op13, one for each operator, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, matroska, packing, quality, simhash, topk, urlfilter, warc
+from . import bpe, divergence, langid, lm, matroska, packing, quality, retrieval, simhash, topk, urlfilter, warc, whitening
 from .common import remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,19 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_language, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op9_lm, op10_matroska)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.pack_related(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_language, op4_warc, op5_url_filter, op6_packing, op7_topk, op8_bpe, op9_lm, op10_matroska, op11_divergence, op12_whitening, op13_retrieval)}
 
 SQL: dict[str, str] = {
     "op4_warc": """
@@ -109,4 +122,28 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
     """,
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM d),
+        c AS (SELECT row, lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING count(*) >= 30),
+        l AS (SELECT lang, sum(n) AS total, count(*) AS v FROM k GROUP BY lang),
+        counts AS (SELECT c.lang, c.source, c.term, sum(c.n) AS n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(counts.n, 0) AS n, 1 + (1000000000 * (coalesce(counts.n, 0) + 5)::HUGEINT) // (g.total + 5 * l.v) AS p,
+                   1 + (1000000000 * (k.n + 5)::HUGEINT) // (l.total + 5 * l.v) AS q
+            FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN counts ON counts.lang = g.lang AND counts.source = g.source AND counts.term = k.term
+        ), sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sums.value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+        ), every AS (
+            SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+        )
+        SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every QUALIFY part = 'pair' OR rank <= 50
+    """,
 }
