@@ -4,6 +4,7 @@ import json
 
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tickforge.config import LiveLimits
@@ -63,38 +64,160 @@ def test_codecs(spark):
         live.parse_quotes(spark.createDataFrame([("{bad",)], "body string")).select(F.col("price")).collect()
 
 
+ORDERS = "client_order_id string, seq long, qty int, ts timestamp"
+
+
+class Line:
+    """A submitter over a folder of order files, and what its broker has been sent. `breaks` names the write before which, or the send
+    after which, the process is killed; sends of an approved order count by id."""
+
+    def __init__(self, spark, path, keep=None):
+        from tickforge.streaming import submit
+
+        self.spark, self.path, self.breaks, self.sent, self.halted, self.files, line = spark, f"file://{path}", None, [], False, 0, self
+
+        class Killed(submit.Submitter):
+            def _write(self, df, kind, batch):
+                if line.breaks == kind:
+                    raise RuntimeError("killed")
+                return super()._write(df, kind, batch)
+
+        def send(orders):
+            line.sent.extend(r["client_order_id"] for r in orders.collect())
+            if line.breaks == "send":
+                raise RuntimeError("killed")
+            return orders.selectExpr("client_order_id", "qty < 5 AS accepted", "CASE WHEN qty >= 5 THEN 'too many' END AS reason", "seq AS order_id")
+
+        def decide(orders):
+            no = F.lit(self.halted) | (F.col("qty") <= 0)
+            return orders.withColumn("approved", ~no).withColumn("reason", F.when(no, "sizing"))
+
+        self.make = lambda: Killed(spark, f"{self.path}/records", decide, send, keep)
+
+    def put(self, *rows, folder="in"):
+        self.files += 1
+        self.spark.createDataFrame([(i, seq, qty, at(seq)) for i, seq, qty in rows], ORDERS).coalesce(1).write.parquet(f"{self.path}/{folder}/{self.files}")
+
+    def start(self, folder="in", checkpoint="checkpoint"):
+        self.make().start(self.spark.readStream.schema(ORDERS).option("maxFilesPerTrigger", 1).parquet(f"{self.path}/{folder}/*"), f"{self.path}/{checkpoint}")
+
+    def acks(self):
+        return sorted((tuple(r) for r in self.make().acks().collect()), key=str)
+
+    def pending(self):
+        return sorted(r["client_order_id"] for r in self.make().pending(ORDERS).collect())
+
+
 def test_submit_path(spark, tmp_path):
-    """Each id is sent once; a batch that broke off after its orders were recorded is replayed, and recover() sends what has no
-    answer."""
-    from tickforge.streaming.submit import Submitter
-
-    sent, broken = [], [True]
-    schema = "client_order_id string, seq long, qty int"
-    df = lambda rows: spark.createDataFrame(rows, schema)
-
-    def send(orders):
-        sent.extend(r["client_order_id"] for r in orders.collect())
-        if broken[0]:
-            raise RuntimeError("the line broke")
-        return orders.selectExpr("client_order_id", "qty < 5 AS accepted", "CASE WHEN qty >= 5 THEN 'too many' END AS reason", "seq AS order_id")
-
-    s = Submitter(spark, f"file://{tmp_path}", lambda o: o.selectExpr("*", "qty > 0 AS approved", "CASE WHEN qty <= 0 THEN 'sizing' END AS reason"), send)
-    rows = [("a", 2, 1), ("a", 1, 2), ("b", 3, 9), ("c", 4, 0)]
-    with pytest.raises(RuntimeError):
-        s.batch(df(rows), 0)
-    assert {r["client_order_id"] for r in s.pending(schema).collect()} == {"a", "b"}
-    broken[0] = False
-    s.batch(df(rows), 0)
-    s.batch(df(rows), 0)
-    s.batch(df([("a", 9, 1), ("d", 9, 1)]), 1)
-    want = {("a", True, None, 1), ("b", False, "too many", 3), ("c", False, "sizing", None), ("d", True, None, 9)}
-    assert {tuple(r) for r in s.acks().collect()} == want and sent == ["a", "b", "a", "b", "d"] and s.pending(schema).count() == 0
-    broken[0] = True
-    with pytest.raises(RuntimeError):
-        s.batch(df([("e", 1, 1)]), 2)
-    broken[0] = False
-    s.recover(schema)
-    assert {tuple(r) for r in s.acks().collect()} == want | {("e", True, None, 1)} and s.pending(schema).count() == 0
+    """Each id is sent once, over batches and restarts; an order without answer is pending until the next start."""
+    line = Line(spark, tmp_path)
+    line.put(("a", 2, 1), ("a", 1, 2), ("b", 3, 9), ("c", 4, 0))
+    line.breaks = "send"
+    with pytest.raises(StreamingQueryException):
+        line.start()
+    assert line.pending() == ["a", "b", "c"] and line.acks() == []
+    line.breaks = None
+    line.start()
+    line.start()
+    line.put(("a", 9, 1), ("d", 9, 1))
+    line.start()
+    want = [("a", True, None, 1), ("b", False, "too many", 3), ("c", False, "sizing", None), ("d", True, None, 9)]
+    assert line.acks() == want and sorted(line.sent) == ["a", "a", "b", "b", "d"] and line.pending() == []
+
+
+@pytest.mark.parametrize("kind", ["judged", "send", "acks"])
+def test_killed_between_two_writes(spark, tmp_path, kind):
+    """Wherever the process is killed, three recoveries send each order once more at the most, and answers stay."""
+    line = Line(spark, tmp_path)
+    line.put(("a", 1, 1))
+    line.start()
+    line.put(("b", 2, 1), ("c", 3, 0))
+    line.breaks = kind
+    with pytest.raises(StreamingQueryException):
+        line.start()
+    assert line.acks() == [("a", True, None, 1)] and line.pending() == ["b", "c"]
+    line.breaks = None
+    for _ in range(3):
+        line.make().recover(ORDERS)
+        assert line.acks() == [("a", True, None, 1), ("b", True, None, 2), ("c", False, "sizing", None)]
+    assert line.sent.count("a") == 1 and line.sent.count("b") == (1 if kind == "judged" else 2) and "c" not in line.sent
+
+
+def test_recovered_orders_are_judged_anew(spark, tmp_path):
+    line = Line(spark, tmp_path)
+    line.put(("a", 1, 1))
+    line.breaks = "send"
+    with pytest.raises(StreamingQueryException):
+        line.start()
+    line.breaks, line.halted = None, True
+    line.make().recover(ORDERS)
+    assert line.acks() == [("a", False, "sizing", None)]
+
+
+def test_lost_checkpoints_and_second_streams(spark, tmp_path):
+    """Orders that come again by another stream, or because a checkpoint was lost, have their answers already."""
+    import shutil
+
+    line = Line(spark, tmp_path)
+    line.put(("a", 1, 1), ("b", 2, 1))
+    line.start()
+    line.put(("b", 3, 1), ("z", 4, 1), folder="other")
+    line.start("other", "checkpoint-2")
+    shutil.rmtree(tmp_path / "checkpoint")
+    line.start()
+    for c in (tmp_path / "records/forward").iterdir():
+        shutil.rmtree(c)
+    line.start()
+    assert line.acks() == [("a", True, None, 1), ("b", True, None, 2), ("z", True, None, 4)] and sorted(line.sent) == ["a", "b", "z"]
+
+
+def test_a_batch_does_not_read_what_came_before(spark, tmp_path):
+    """A later batch touches its own folders and the names of epochs, whatever has been recorded."""
+    line = Line(spark, tmp_path)
+    for k in range(3):
+        line.put((f"o{k}", k, 1))
+        line.start()
+    s, seen = line.make(), []
+    s._read = lambda *a: seen.append(a)
+    s._batch(spark.createDataFrame([("n", 9, 1, at(9))], ORDERS), 77, s._names("acks")[0])
+    assert seen == [] and ("n", True, None, 9) in line.acks()
+
+
+def test_ids_are_forgotten(spark, tmp_path):
+    """With `keep` an id is new again once the orders' time is that far beyond its last one."""
+    line = Line(spark, tmp_path, keep="100 seconds")
+    for row in (("a", 0, 1), ("a", 60, 1), ("b", 150, 1), ("a", 155, 1), ("c", 400, 1), ("d", 401, 1), ("a", 500, 1)):
+        line.put(row)
+    line.start()
+    assert [(i, n) for i, _, _, n in line.acks()] == [("a", 0), ("a", 500), ("b", 150), ("c", 400), ("d", 401)]
+
+
+def test_stale_feeds(spark, tmp_path):
+    """A gap between two ticks, one that lasts to the end, and none for the account that ticks last."""
+    rows = [[("A", at(0)), ("B", at(1)), ("A", at(20))], [("B", at(21)), ("C", at(21))], [("C", at(40)), ("C", at(45)), ("C", at(50))]]
+    got = live.run_once(live.stale_feeds(feed(spark, tmp_path / "in", rows, "account string, ts timestamp"), 19.5), "stale")
+    second = lambda t: int(t.timestamp()) - 1_700_000_000
+    assert sorted((r["account"], second(r["last_tick"])) for r in got.collect()) == [("A", 0), ("A", 20), ("B", 1), ("B", 21)]
+
+
+def test_account_without_ticks_is_halted(spark, tmp_path):
+    """No order comes, and the halt is said by a timer; an order afterwards is refused."""
+    import time
+
+    tick = ("A", at(0), "tick", None, None, None)
+    stream = feed(spark, tmp_path / "in", [[tick]], EVENTS)
+    out = live.risk_decisions(stream, LiveLimits(stale_seconds=1.0), timer=True)
+    q = out.writeStream.format("memory").queryName("halts").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and not spark.table("halts").count():
+            time.sleep(0.3)
+        spark.createDataFrame([("A", at(1), "tick", None, None, None), ("A", at(1), "order", "o1", 1, None)], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/part-9")
+        while time.time() < end and spark.table("halts").count() < 2:
+            time.sleep(0.3)
+        assert [(r["account"], r["order_id"], r["approved"], r["reason"]) for r in spark.table("halts").collect()] == [("A", None, False, "stale_data"), ("A", "o1", False, "halted")]
+    finally:
+        q.stop()
 
 
 def test_broker_formats(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..config import PRESETS, config_hash
@@ -341,8 +342,9 @@ def quote_ticks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streaming_submit(spark: SparkSession, d: str) -> DataFrame:
-    """A stream of orders on its way to a broker that refuses every seventh customer: each id once, approved or not, with its
-    answer. A second pass over the same stream sends nothing; what stays without an answer is recovered."""
+    """Orders of two streams on their way to a broker that refuses every seventh customer: each id once, approved or not, with its answer. The
+    line breaks while the first stream's orders are sent; a new process, which starts with the second stream, sends them, and two more
+    recoveries send nothing."""
     e = live.event_stream(spark, d).select(F.concat_ws("-", "user_id", "event_type").alias("client_order_id"), F.col("event_id").alias("seq"), "user_id", "event_type")
 
     def decide(orders: DataFrame) -> DataFrame:
@@ -353,18 +355,35 @@ def streaming_submit(spark: SparkSession, d: str) -> DataFrame:
         no = F.col("user_id") % 7 == 0
         return orders.select("client_order_id", (~no).alias("accepted"), F.when(no, "refused").alias("reason"), F.when(~no, F.col("user_id")).cast("long").alias("order_id"))
 
+    def broken(orders: DataFrame) -> DataFrame:
+        raise ConnectionError("the line broke")
+
     path = new_path(spark, "submit")
-    s = submit.Submitter(spark, path, decide, send)
-    for k in range(2):
-        s.start(e, f"{path}-checkpoint-{k}").awaitTermination()
-    s.recover(e.schema)
-    return s.acks()
+    before, after = (submit.Submitter(spark, path, decide, f) for f in (broken, send))
+    before.accept(e.filter("event_id % 2 = 0"), f"{path}-checkpoint-0").awaitTermination()
+    try:
+        before.forward(e.schema)
+    except StreamingQueryException:
+        after.start(e.filter("event_id % 2 = 1"), f"{path}-checkpoint-1")
+    for _ in range(2):
+        after.recover(e.schema)
+    return after.acks()
+
+
+#: Seconds without an event after which a user's feed is stale.
+STALE = 6 * 3600
+
+
+def streaming_stale(spark: SparkSession, d: str) -> DataFrame:
+    """When each user's feed of events was stale: between two of its events, or at the end once the stream is that far."""
+    ticks = live.event_stream(spark, d).select(F.col("user_id").cast("string").alias("account"), F.col("ts").cast("timestamp").alias("ts"))
+    return live.run_once(live.stale_feeds(ticks, STALE), "stale").select("account", F.unix_millis("last_tick").alias("last_tick_ms"), F.unix_millis("stale_at").alias("stale_at_ms"))
 
 
 QUERIES = {q.__name__: q for q in (
     snapshot_round_trip, snapshot_listing, snapshot_union, synthetic_calendar, reference_bars, vendor_fixed_point, vendor_definitions, vendor_daily, vendor_development, fetched_series, roll_dates_open_interest, trial_list, trial_counts, normalized_sides,
     sampled_events, trades_a_day, gross_difference, event_backtest, sweep_tested, sharpe_errors, meta_features, annual_periods, bad_intervals, resampled_blocks, survival_arithmetic, autocovariance, simulated_fills, marked_positions, flattening_orders,
-    broker_orders, broker_answers, broker_positions, broker_accounts, quote_ticks, streaming_submit,
+    broker_orders, broker_answers, broker_positions, broker_accounts, quote_ticks, streaming_submit, streaming_stale,
 )}
 
 _R = "round({0}, 6) AS {0}"
@@ -498,4 +517,7 @@ SQL = {
         ops AS (SELECT unnest(['feature.rsi', 'feature.window', 'leaky.next_close', 'signal.donchian']) AS operator, unnest([1, 2, 1, 1]) AS k)
         SELECT operator, cut, CAST(sum(spot + 1) * any_value(k) AS BIGINT) AS checked, CAST(CASE WHEN operator LIKE 'leaky%' THEN sum(CASE WHEN spot < last THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS mismatches FROM cuts CROSS JOIN ops GROUP BY operator, cut""",
     "streaming_risk": _risk_sql(research.replace_limits()),
+    "streaming_stale": f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS account, epoch_ms(ts) AS ms, epoch_ms(max(ts) OVER ()) AS last FROM events),
+        n AS (SELECT *, lead(ms) OVER (PARTITION BY account ORDER BY ms) AS next FROM e)
+        SELECT account, ms AS last_tick_ms, ms + {STALE * 1000} AS stale_at_ms FROM n WHERE coalesce(next, last) - ms > {STALE * 1000}""",
 }

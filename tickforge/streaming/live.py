@@ -5,6 +5,7 @@ Rows of a micro-batch are handled in the order of their time."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..config import LiveLimits
 from ..session import new_path
 
-RISK_STATE = "connected boolean, halted boolean, last_tick long, day long, day_pnl double, balance double, peak double, position int, recent array<long>, queued boolean"
+RISK_STATE = "connected boolean, halted boolean, last_tick long, day long, day_pnl double, balance double, peak double, position int, recent array<long>, queued boolean, deadline long"
 DECISIONS = "account string, order_id string, ts timestamp, approved boolean, reason string"
 ALERTS = "strategy string, seq long, n int, mean_slippage double, sharpe double, drift_z double, shut_down boolean, reason string"
 MINUTE = 60_000_000
@@ -37,6 +38,8 @@ class Risk:
     position: int = 0
     recent: list[int] | None = None
     queued: bool = False
+    #: Milliseconds of the machine's clock at which the data are stale, if no tick comes; 0 while no timer runs.
+    deadline: int = 0
 
     def __post_init__(self) -> None:
         self.recent = list(self.recent or [])
@@ -101,7 +104,7 @@ class Risk:
         return None
 
     def values(self) -> tuple:
-        return (self.connected, self.halted, self.last_tick, self.day, self.day_pnl, self.balance, self.peak, self.position, self.recent, self.queued)
+        return (self.connected, self.halted, self.last_tick, self.day, self.day_pnl, self.balance, self.peak, self.position, self.recent, self.queued, self.deadline)
 
 
 def _gathered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -110,17 +113,32 @@ def _gathered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return held[0] if len(held) == 1 else pd.concat(held)
 
 
-def risk_decisions(events: DataFrame, limits: LiveLimits = LiveLimits()) -> DataFrame:
+def risk_decisions(events: DataFrame, limits: LiveLimits = LiveLimits(), timer: bool = False) -> DataFrame:
     """Decisions on the orders in a stream of (account, ts, kind, order_id, qty, value); kind: tick, pnl, order, disconnect,
-    reconnect, reset. Other kinds are ignored."""
+    reconnect, reset. Other kinds are ignored.
+
+    With timer, an account without a tick for limits.stale_seconds of the machine's clock is halted although no order comes, and a
+    row without order_id says so. Such a stream runs until it is stopped: its timers ask for a micro-batch again and again."""
+    patience = int(limits.stale_seconds * 1000)
 
     def run(key, parts: Iterator[pd.DataFrame], state):
         r = Risk(limits, *state.get) if state.exists else Risk(limits)
         out = []
+        if state.hasTimedOut:
+            r.deadline = 0
+            if not r.halted:
+                r.halted = True
+                out.append((key[0], None, pd.Timestamp(state.getCurrentProcessingTimeMs(), unit="ms"), False, "stale_data"))
+            state.update(r.values())
+            if out:
+                yield pd.DataFrame(out, columns=["account", "order_id", "ts", "approved", "reason"])
+            return
+        ticked = not state.exists
         for e in _gathered(parts).sort_values(["ts", "order_id"], kind="stable").itertuples(index=False):
             at = int(e.ts.value // 1000)
             if e.kind == "tick":
                 r.tick(at)
+                ticked = True
             elif e.kind == "pnl":
                 r.pnl(at, float(e.value))
             elif e.kind == "disconnect":
@@ -132,11 +150,42 @@ def risk_decisions(events: DataFrame, limits: LiveLimits = LiveLimits()) -> Data
             elif e.kind == "order":
                 why = r.order(at, int(e.qty))
                 out.append((key[0], e.order_id, e.ts, why is None, why))
+        if timer:
+            now = state.getCurrentProcessingTimeMs()
+            r.deadline = now + patience if ticked else r.deadline
+            if r.deadline and not r.halted:
+                state.setTimeoutDuration(max(1, r.deadline - now))
         state.update(r.values())
         if out:
             yield pd.DataFrame(out, columns=["account", "order_id", "ts", "approved", "reason"])
 
-    return events.groupBy("account").applyInPandasWithState(run, DECISIONS, RISK_STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("account").applyInPandasWithState(run, DECISIONS, RISK_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)
+
+
+def stale_feeds(ticks: DataFrame, seconds: float, delay: str = "0 seconds") -> DataFrame:
+    """(account, last_tick, stale_at) for each time that an account of (account, ts) had no tick for more than so many seconds, by the ticks' own
+    times: once its next tick shows it, or once the stream as a whole is that far. Ticks more than delay behind the latest
+    of the stream are left out, and times count in milliseconds."""
+    life = int(seconds * 1000)
+
+    def run(key, parts: Iterator[pd.DataFrame], state):
+        out = []
+        if state.hasTimedOut:
+            out.append(state.get[0])
+            state.remove()  # the next tick begins anew
+        else:
+            times = sorted(t.value // 1_000_000 for t in _gathered(parts)["ts"])
+            last = state.get[0] if state.exists else times[0]
+            for t in times:
+                if t - last > life:
+                    out.append(last)
+                last = max(last, t)
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last + life, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame({"account": key[0], "last_tick": pd.to_datetime(out, unit="ms"), "stale_at": pd.to_datetime([t + life for t in out], unit="ms")})
+
+    return ticks.withWatermark("ts", delay).groupBy("account").applyInPandasWithState(run, "account string, last_tick timestamp, stale_at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_monitor(fills: DataFrame, limits: LiveLimits = LiveLimits(), expected_mean: float = 0.0, expected_dev: float = 1.0) -> DataFrame:
@@ -145,10 +194,11 @@ def live_monitor(fills: DataFrame, limits: LiveLimits = LiveLimits(), expected_m
     window, least = limits.sharpe_window, limits.sharpe_samples
 
     def run(key, parts: Iterator[pd.DataFrame], state):
-        slips, pnls = (list(x) for x in state.get) if state.exists else ([], [])
+        slips, pnls = (deque(x, window) for x in (state.get if state.exists else ([], [])))
         out = []
         for f in _gathered(parts).sort_values("seq").itertuples(index=False):
-            slips, pnls = [*slips, abs(float(f.slippage_usd))][-window:], [*pnls, float(f.pnl_usd)][-window:]
+            slips.append(abs(float(f.slippage_usd)))
+            pnls.append(float(f.pnl_usd))
             n = len(pnls)
             mean = sum(pnls) / n
             dev = (sum((p - mean) ** 2 for p in pnls) / n) ** 0.5
@@ -156,7 +206,7 @@ def live_monitor(fills: DataFrame, limits: LiveLimits = LiveLimits(), expected_m
             slip, drift = sum(slips) / n, (mean - expected_mean) / (expected_dev / n**0.5) if expected_dev > 0 else 0.0
             why = "slippage" if slip > limits.slippage_usd else "sharpe" if sharpe is not None and sharpe < limits.sharpe_floor else "drift" if n >= least and abs(drift) > limits.drift_z else None
             out.append((key[0], f.seq, n, slip, sharpe, drift, why is not None, why))
-        state.update((slips, pnls))
+        state.update((list(slips), list(pnls)))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
 

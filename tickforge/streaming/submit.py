@@ -1,77 +1,148 @@
-"""The path of an order: once for each client_order_id, approved, recorded as pending, sent, and recorded as sent.
+"""The path of an order: accepted once for each client_order_id, recorded, judged, sent, and its answer recorded.
 
-Records are Parquet folders under one path, one for each micro-batch and step, which a batch that runs again replaces. An order
-that was recorded as pending and has no answer is what recover() sends again."""
+accept() is a stream whose state, kept by client_order_id, knows which ids have come; it appends first orders to the outbox, a file
+sink that commits each micro-batch once. forward() is a stream over the outbox: each of its micro-batches is judged, what is approved is
+sent, and the answers are written before the batch counts as done. So the outbox is written before anything is sent; a batch that broke
+off is judged and sent again by the next forward(), a batch whose answers are recorded never; and neither looks at what came
+before it. A broker that knows an id takes it once.
+
+A checkpoint carries a name of its own, its epoch. Only where there is more than one (one was lost, or orders come by another stream) is a
+batch compared with the answers of the other epochs.
+"""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 ACKS = "client_order_id string, accepted boolean, reason string, order_id long"
 
 
-class Submitter:
-    """decide(orders) adds approved and reason; send(orders) gives ACKS for approved orders, on the executors."""
-
-    def __init__(self, spark: SparkSession, path: str, decide: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame], DataFrame]):
-        self.spark, self.path, self.decide, self.send = spark, path.rstrip("/"), decide, send
-
-    def _read(self, kind: str, schema, but: str = "") -> DataFrame:
-        """Records of a kind, without those of the batch `but`."""
-        try:
-            got = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], schema)
-            raise
-        if "batch" not in got.columns:
-            return got
-        return (got.filter(~F.col("batch").cast("string").startswith(but)) if but else got).drop("batch")
-
-    def acks(self, but: str = "") -> DataFrame:
-        """Answers so far: of the broker, and of orders that weren't approved."""
-        return self._read("acks", ACKS, but)
+def first_orders(orders: DataFrame, keep: str | None = None) -> DataFrame:
+    """Of a stream's orders with one client_order_id the first to come, in a micro-batch the smallest by seq. Ids are remembered for good, or
+    for `keep` (such as "30 days") of the orders' time ts; orders that come later than that are dropped."""
+    names = orders.columns
+    life = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else 0
 
-    def pending(self, schema, but: str = "") -> DataFrame:
-        """Orders (of the schema) that were recorded before they were sent and have no answer."""
-        return self._read("pending", schema, but).join(self.acks().select("client_order_id"), "client_order_id", "left_anti")
+    def run(key, parts: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, best, last = state.exists, None, state.get[0] if state.exists else 0
+        for p in parts:
+            if not len(p):
+                continue
+            if life:
+                last = max(last, int(p["ts"].max().value // 1_000_000))
+            if not known:
+                r = p.iloc[[int(p["seq"].to_numpy().argmin())]]
+                best = r if best is None or r["seq"].iloc[0] < best["seq"].iloc[0] else best
+        state.update((last,))
+        if life:
+            state.setTimeoutTimestamp(max(last + life, state.getCurrentWatermarkMs() + 1))
+        if best is not None:
+            yield best[names]
+
+    rows = orders.withWatermark("ts", keep) if keep else orders
+    return rows.groupBy("client_order_id").applyInPandasWithState(run, orders.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout if keep else GroupStateTimeout.NoTimeout)
 
-    def _done(self, number: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/acks/batch={number}-sent/_SUCCESS")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def _write(self, df: DataFrame, kind: str, number: str) -> DataFrame:
-        at = f"{self.path}/{kind}/batch={number}"
+class Submitter:
+    """decide(orders) adds approved and reason; send(orders) gives ACKS for approved orders, on the executors. Orders have
+    client_order_id, seq and any other columns, and ts where ids are to be forgotten after `keep`."""
+
+    def __init__(self, spark: SparkSession, path: str, decide: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame], DataFrame], keep: str | None = None, files: int = 1000):
+        self.spark, self.path, self.decide, self.send, self.keep, self.files = spark, path.rstrip("/"), decide, send, keep, files
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def _names(self, kind: str) -> list[str]:
+        """The epochs that have records of a kind."""
+        fs, p = self._at(f"{self.path}/{kind}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _epoch(self, checkpoint: str) -> str:
+        """The name of a checkpoint, given to it when it is first used and lost with it."""
+        fs, p = self._at(f"{checkpoint}/epoch")
+        if not fs.exists(p):
+            name, out = uuid.uuid4().hex[:12], fs.create(p, False)
+            out.write(bytearray(name.encode()))
+            out.close()
+            return name
+        return self.spark.read.text(p.toString()).first()[0]
+
+    def _write(self, df: DataFrame, kind: str, batch: str) -> DataFrame:
+        at = f"{self.path}/{kind}/{batch}"
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def _pass(self, orders: DataFrame, number: str) -> None:
-        judged = self._write(self.decide(orders), "judged", number)
-        refused = judged.filter(~F.col("approved")).select("client_order_id", F.lit(False).alias("accepted"), "reason", F.lit(None).cast("long").alias("order_id"))
-        self._write(refused, "acks", f"{number}-refused")
-        pending = self._write(judged.filter("approved").select(*orders.columns), "pending", number)
-        self._write(self.send(pending).select("client_order_id", "accepted", "reason", "order_id"), "acks", f"{number}-sent")
-
-    def batch(self, orders: DataFrame, number: int, source: str = "a") -> None:
-        """A micro-batch of orders (client_order_id, seq, ...): of equal ids the first by seq, if no other batch has it. A batch
-        (of one source) that runs again does nothing once its answers are recorded, and else replaces its own records."""
-        name = f"{source}-{number:09d}"
-        if self._done(name):
+    def _read(self, kind: str, schema, names: list[str]) -> DataFrame:
+        out = self.spark.createDataFrame([], schema)
+        for name in names:
+            at = f"{self.path}/{kind}/{name}"
+            if kind == "acks" or self._exists(f"{at}/_spark_metadata"):
+                out = out.unionByName(self.spark.read.schema(schema).parquet(at).select(*out.columns))
+        return out
+
+    def acks(self) -> DataFrame:
+        """Answers so far: of the broker, and of orders that weren't approved."""
+        return self._read("acks", ACKS, self._names("acks"))
+
+    def pending(self, schema) -> DataFrame:
+        """Orders (of the schema) in the outbox that have no answer."""
+        return self._read("outbox", schema, self._names("outbox")).join(self.acks().select("client_order_id"), "client_order_id", "left_anti")
+
+    def _batch(self, orders: DataFrame, number: int, epoch: str) -> None:
+        """A micro-batch from the outbox. One whose answers are recorded is done; one that broke off replaces its own records."""
+        name = f"{epoch}/batch={number:09d}"
+        if self._exists(f"{self.path}/acks/{name}/_SUCCESS"):
             return
-        w = Window.partitionBy("client_order_id").orderBy("seq")
-        first = orders.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
-        known = self.acks(name).select("client_order_id").union(self._read("pending", orders.schema, name).select("client_order_id"))
-        self._pass(first.join(known, "client_order_id", "left_anti").select(*orders.columns), name)
-
-    def recover(self, schema, number: int = 0) -> None:
-        """After a restart: pending orders are judged anew and sent, if approved. A broker that knows an id takes it once."""
-        self._pass(self._write(self.pending(schema), "recovered", f"{number:09d}"), f"recover-{number:09d}")
-
-    def start(self, orders: DataFrame, checkpoint: str):
-        """A streaming query over all orders that there are now."""
-        source = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]  # batches are numbered anew with each checkpoint
-        return orders.writeStream.foreachBatch(lambda df, k: self.batch(df, k, source)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        others = [x for x in self._names("acks") if x != epoch]
+        if others:
+            w = Window.partitionBy("client_order_id").orderBy("seq")
+            first = orders.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+            orders = first.join(self._read("acks", ACKS, others).select("client_order_id"), "client_order_id", "left_anti").select(*orders.columns)
+        judged = self._write(self.decide(orders), "judged", name)
+        refused = judged.filter(~F.col("approved")).select("client_order_id", F.lit(False).alias("accepted"), "reason", F.lit(None).cast("long").alias("order_id"))
+        answers = self.send(judged.filter("approved").select(*orders.columns)).select("client_order_id", "accepted", "reason", "order_id")
+        self._write(answers.unionByName(refused), "acks", name)
+
+    def accept(self, orders: DataFrame, checkpoint: str, trigger: dict | None = None):
+        """A streaming query that appends each id's first order to the outbox; by default over all orders that there are now."""
+        at = f"{self.path}/outbox/{self._epoch(checkpoint)}"
+        return first_orders(orders, self.keep).writeStream.format("parquet").option("path", at).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+    def forward(self, schema, trigger: dict | None = None) -> list:
+        """Streaming queries over the outbox, one for each of its epochs: judge, send, record."""
+        queries = []
+        for source in self._names("outbox"):
+            if not self._exists(f"{self.path}/outbox/{source}/_spark_metadata"):
+                continue
+            checkpoint = f"{self.path}/forward/{source}"
+            epoch = f"{source}-{self._epoch(checkpoint)}"
+            rows = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files).parquet(f"{self.path}/outbox/{source}")
+            query = rows.writeStream.foreachBatch(lambda df, k, e=epoch: self._batch(df, k, e)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+            if trigger is None:
+                query.awaitTermination()  # one epoch after the other, so that the next knows its answers
+            queries.append(query)
+        return queries
+
+    def recover(self, schema) -> None:
+        """After a restart: what the outbox holds without an answer is judged anew and sent, if approved. Doing so again sends nothing."""
+        self.forward(schema)
+
+    def start(self, orders: DataFrame, checkpoint: str) -> None:
+        """All orders of the stream that there are now, accepted and forwarded."""
+        self.accept(orders, checkpoint).awaitTermination()
+        self.forward(orders.schema)
