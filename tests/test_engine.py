@@ -1,7 +1,11 @@
 """Hand-computed cases, published values and properties of the engine's operators."""
 
+import hashlib
+import json
 import math
 import random
+from dataclasses import replace
+from datetime import UTC
 
 import numpy as np
 import pandas as pd
@@ -14,6 +18,7 @@ from tickforge.functions.recursive import ewm
 from tickforge.operators import account, audit, crossval, features, labels, reconcile, regimes, statistics, stitch
 from tickforge.operators import trading as t
 from tickforge.sources import bars as b
+from tickforge.sources import snapshots
 from tickforge.sources.snapshots import DataIntegrityError, SnapshotExistsError, SnapshotMeta, SnapshotStore, reference_history, require_validation_grade, synthetic_bars
 from tickforge.sources.trials import TrialStore
 from tickforge.sources.vendors import FileProvider, fetch_snapshot, fixed_point_bars, read_daily_csv, read_definitions, read_dev_csv
@@ -322,6 +327,59 @@ def test_snapshots(spark, tmp_path):
         b.validate(bars.withColumn("x", F.lit(1)))
 
 
+def plain_flat_hash(rows, meta):
+    h = hashlib.sha256(b"FE-SNAPSHOT-v1\n")
+    h.update(b"index\0" + np.array([int(r["ts"].replace(tzinfo=UTC).timestamp()) * 10**9 for r in rows], "<i8").tobytes() + b"\ncols\0")
+    for c in ("open", "high", "low", "close", "volume"):
+        h.update(c.encode() + b"\0" + np.array([r[c] for r in rows], "<f8").tobytes() + b"\0")
+    h.update(b"\nmeta\0" + json.dumps({k: getattr(meta, k) for k in ("symbol_root", "source", "interval", "start", "end", "validation_grade", "continuous")}, sort_keys=True, separators=(",", ":")).encode())
+    return h.hexdigest()
+
+
+def plain_tree_hash(rows, meta, leaf, branch):
+    """The same digests by loops over sorted rows."""
+    step, keyed = leaf * 60 * 10**9, {}
+    for r in sorted(rows, key=lambda r: (r["symbol"], r["ts"])):
+        nanos = int(r["ts"].replace(tzinfo=UTC).timestamp()) * 10**9
+        keyed.setdefault((r["symbol"], nanos // step), []).append((nanos, *(r[c] for c in ("open", "high", "low", "close", "volume"))))
+    tops = {}
+    for (symbol, k), got in sorted(keyed.items()):
+        a = np.array(got, dtype=object)
+        data = a[:, 0].astype("<i8").tobytes() + b"".join(a[:, c].astype("<f8").tobytes() for c in range(1, 6))
+        tops.setdefault((symbol, k // branch), hashlib.sha256()).update(np.int64(k).tobytes() + hashlib.sha256(data).digest())
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":")).encode()
+    h = hashlib.sha256(b"tickforge-tree-v1\n" + dump(["open", "high", "low", "close", "volume"]))
+    for key, d in sorted(tops.items()):
+        h.update(b"\0" + dump(list(key)) + b"\0" + d.digest())
+    h.update(b"\nmeta\0" + dump({k: getattr(meta, k) for k in ("symbol_root", "source", "interval", "start", "end", "validation_grade", "continuous")}))
+    return h.hexdigest()
+
+
+def test_tree_hash(spark, tmp_path, monkeypatch):
+    """Equal for any partitions and order, by stretches that executors digest; each value counts, and the driver gets a row a branch."""
+    monkeypatch.setattr(snapshots, "LEAF_BARS", 64)
+    monkeypatch.setattr(snapshots, "BRANCH", 4)
+    bars = synthetic_bars(spark, 1500).unionByName(synthetic_bars(spark, 700, 3, symbol="MNQ")).cache()
+    meta = SnapshotMeta("MES", "synthetic", "1m", "a", "b", True, "now", continuous={"roll_rule": "volume"}, recipe="tree")
+    digest = snapshots.tree_hash(bars, meta)
+    assert digest == snapshots.tree_hash(bars.repartition(7, "close"), meta) == plain_tree_hash(bars.collect(), meta, 64, 4)
+    one = F.when((F.col("pos") == 900) & (F.col("symbol") == "MES"), F.col("close") * (1 + 1e-15)).otherwise(F.col("close"))
+    others = [bars.withColumn("close", one), bars.filter("pos < 1499"), bars.withColumn("symbol", F.lit("MES")), bars.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND")), bars.withColumn("open_interest", F.lit(1.0))]
+    assert len({digest, snapshots.tree_hash(bars, replace(meta, end="c")), *(snapshots.tree_hash(o, meta) for o in others)}) == 7
+    one = bars.filter("symbol = 'MES'")
+    assert snapshots.content_hash(one, meta) == plain_flat_hash(one.orderBy("ts").collect(), meta)
+    store = SnapshotStore(spark, f"file://{tmp_path}")
+    for recipe in ("tree", "flat"):
+        digest = store.save(one, replace(meta, source=recipe), recipe)
+        assert store.load(digest)[1].recipe == recipe and store.verify(digest)
+        files = spark.read.parquet(f"file://{tmp_path}/{digest}.parquet").withColumn("close", F.col("close") + 1).collect()
+        spark.createDataFrame(files, bars.drop("pos").schema).write.mode("overwrite").parquet(f"file://{tmp_path}/{digest}.parquet")
+        assert not store.verify(digest)
+    monkeypatch.setattr(snapshots, "FLAT_ROWS", 100)
+    with pytest.raises(ValueError, match="flat recipe"):
+        store.save(one, meta, "flat")
+
+
 def test_trials(spark, tmp_path):
     store = TrialStore(spark, f"file://{tmp_path}/trials")
     trial = lambda k, family="f": {"trial_id": f"t{k}", "run_id": "r", "strategy_family": family, "config_hash": "h", "params": {"w": k}, "metrics": {"s": 1.0}}
@@ -363,7 +421,10 @@ def test_fetch_saves_all_or_nothing(spark, tmp_path):
 
     store = SnapshotStore(spark, f"file://{tmp_path}")
     digest = fetch_snapshot(Source(), store, "X", "2024-01-01", "2024-02-01", "1d", "volume", "ratio", "test", "now")
-    assert store.load(digest)[0].count() == 20
+    back, meta = store.load(digest)
+    assert back.count() == 20
+    rolled = stitch.rolls(stitch.checked(bars, stitch.ordered(contracts)), "volume").orderBy("seq").collect()
+    assert meta.continuous["roll_dates"] == [str(r["roll_ts"].date()) for r in rolled] and meta.continuous["underlying_contracts"] == [r["symbol"] for r in contracts.orderBy("expiry").collect()]
 
 
 def test_regimes(spark):

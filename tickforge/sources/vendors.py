@@ -85,7 +85,7 @@ class FileProvider:
 
 def fetch_snapshot(provider: Provider, store, root: str, start: str, end: str, interval: str, rule: str, adjustment: str, source: str, as_of: str) -> str:
     """Fetches all contracts, stitches them and saves the series; nothing is saved unless all succeed."""
-    from ..operators.stitch import continuous
+    from ..operators.stitch import checked, continuous, ordered, rolls
     from .snapshots import SnapshotMeta
 
     contracts = provider.list_contracts(root, start, end)
@@ -96,6 +96,11 @@ def fetch_snapshot(provider: Provider, store, root: str, start: str, end: str, i
     for n in names:
         part = provider.fetch_bars(n, start, end, interval).withColumn("contract", F.lit(n))
         bars = part if bars is None else bars.unionByName(part, allowMissingColumns=True)
-    series = continuous(bars, contracts, rule, adjustment, symbol=root).drop("contract")
-    meta = SnapshotMeta(root, source, interval, start, end, True, as_of, continuous={"roll_rule": rule, "adjustment": adjustment, "roll_dates": [], "underlying_contracts": names})
-    return store.save(series, meta)
+    series = continuous(bars, contracts, rule, adjustment, symbol=root)
+    # A row for each contract that rolls into the next.
+    rolled = rolls(checked(bars, ordered(contracts)), rule).select("seq", F.date_format("roll_ts", "yyyy-MM-dd").alias("day")).orderBy("seq").collect()
+    used = {r["contract"] for r in series.select("contract").distinct().collect()}
+    if missing := [n for n in names if n not in used]:
+        raise ValueError(f"contracts without a session of their own: {missing}")
+    meta = SnapshotMeta(root, source, interval, start, end, True, as_of, continuous={"roll_rule": rule, "adjustment": adjustment, "roll_dates": [r["day"] for r in rolled], "underlying_contracts": names})
+    return store.save(series.drop("contract"), meta)
