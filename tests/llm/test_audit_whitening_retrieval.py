@@ -40,14 +40,14 @@ def plain_audit(rows, least, ranks):
     return out
 
 
-@pytest.mark.parametrize("entries,salted,memory", [(400_000, 4096, 64 << 20), (7, 3, 100)])
-def test_audit(spark, entries, salted, memory):
+@pytest.mark.parametrize("stretch,salted,memory", [(12 << 20, 4096, 64 << 20), (40, 1, 100)])
+def test_audit(spark, stretch, salted, memory):
     rnd = random.Random(5)
     vocabulary = ["the", "The", "año", "ano", "ß", "ẞ", "日本", "x1y", "a", "b", "Ünï", "zz\x7fz", "q\x00r"]
     rows = [(" ".join(rnd.choices(vocabulary, k=rnd.randrange(12))), rnd.choice(["en", "de", None]), rnd.choice(["s1", "s2", "é", "~", None])) for _ in range(150)]
     rows += [(None, "en", "quiet"), ("", "fr", "only"), ("lonely words", "xx", "a"), (None, "xx", "b"), ("long " * 30_000, "en", "s1"), *[("the same", "de", "s2")] * 40]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "text string, lang string, source string, term string, n int").repartition(5)
-    got = divergence.audit(df, 6, 4, entries, salted, memory).collect()
+    got = divergence.audit(df, 6, 4, stretch, salted, memory).collect()
     assert collections.Counter(map(tuple, got)) == plain_audit(rows, 6, 4)
     assert divergence.audit(df.filter("false")).count() == 0
 
@@ -173,6 +173,19 @@ def test_packing_of_the_table(spark):
     check_packing(queries.op13_retrieval(spark, DATA).collect(), rows, 4096, 2)
 
 
+def test_words_are_the_librarys():
+    """Parts that go to the merges directly have the library's ids, for any mixture of letters, marks, digits and white space."""
+    rnd, t = random.Random(9), Tokenizer.from_file(WORDS)
+    w = retrieval.Words(WORDS)
+    assert w.direct
+    pieces = ["'s", "'S", "''", "don't", "IT'LL", "é", "É", "Ñandú", "ß", "ẞ", "İ", "ΟΔΟΣ", "×", "÷", "ª", "²", "12", "_", "-", "...", "<|endoftext|>", "<|", "\u0301", "\u00a0", "\x1c", "\t", "\n", "  ", "日本", "🙂", "ÿ", "straße", "e\u0301", "word", "The", "\u2028", "\x7f", "\x00"]
+    for _ in range(3000):
+        text = "".join(rnd.choices(pieces, k=rnd.randrange(9)) + [rnd.choice(["", " "])] + rnd.choices(pieces, k=rnd.randrange(5)))
+        assert w.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in [r["text"] for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet'").df().to_dict("records")]:
+        assert w.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("shard", [1_000_000, 400])
 def test_packing_of_odd_rows(spark, shard):
     rows = [(1, None), (2, ""), (2, ""), (None, "no id"), (None, None), (3, "word " * 900), (4, "same text"), (4, "same text"), (4, "other text"), (5, "a\nb\tc d\x1ce  f\r\n"), (6, "<|endoftext|> It's <|startoftext|>x DON'T 12345 é É ẞ ΟΔΟΣ İ"), (7, "\ń mark"), (8, "w " * 63), (9, "日本語テキスト" * 40)]

@@ -1,6 +1,6 @@
 """Source divergence audit: how far the term frequencies of each source of a language are from those of the others.
 
-Sort-based streaming. Each task sorts its documents' terms and sends runs of (lang, term, source, documents of one stretch)
+Sort-based streaming. Each task sorts the terms of a stretch of its documents, as numbers, and sends runs of (lang, term, source, documents of one stretch)
 with their numbers of documents and occurrences, so a frequent term comes as a row a stretch and source. These rows are dealt by (lang,
 term) and sorted by (lang, term, source, stretch); one scan over the runs gives each term's document frequency and its counts by source,
 and keeps the terms that enough documents have. A second scan over the kept terms, behind a row that holds the language's
@@ -10,8 +10,6 @@ one language is many tasks, and memory is bounded by rows of one number a source
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,12 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, rows_of, small_batches, texts_of, tidy
+from .common import discard, materialize, rows_of, small_batches, tidy
 
 #: Fixed values of the audit: documents that a kept term is in, what is added to each count, the unit of p, ranks of terms.
 LEAST_DOCS, ADDED, UNIT, TERM_RANKS = 30, 5, 1_000_000_000, 50
-#: Entries of a task's table of terms before it is sorted and sent, kept terms of a salt, and bytes of pair sums held by a task.
-ENTRIES, TERMS_A_SALT, PAIR_BYTES = 400_000, 4096, 64 << 20
+#: Bytes of a stretch of texts, kept terms of a salt, the least number of salts, and bytes of pair sums held by a task.
+STRETCH_BYTES, TERMS_A_SALT, LEAST_SALTS, PAIR_BYTES = 12 << 20, 4096, 64, 64 << 20
 
 #: Bytes of terms (letters, lower-cased, and all beyond ASCII); any other byte is a gap.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -39,39 +37,55 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def words(text: bytes) -> list[bytes]:
-    """The terms of a text, in order, with repeats."""
-    return text.translate(FOLD).split()
-
-
-def term_runs(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
+def runs_of(lang: pa.Array, source: pa.Array, text: pa.Array, stretch: int) -> pa.RecordBatch:
+    """The runs of one stretch of documents: its terms as one column, sorted as numbers by (document, term) and then by (term, group)."""
+    text = pa.concat_arrays([text]) if text.offset else text
+    cut = np.frombuffer(text.buffers()[1], "i4")[: len(text) + 1].astype("i8")
+    data = np.frombuffer(bytes(memoryview(text.buffers()[2] or b"")[cut[0] : cut[-1]]).translate(FOLD), "u1")
+    cut -= cut[0]
+    inside = data != 32
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edge = cut[1:-1][(cut[1:-1] > 0) & (cut[1:-1] < len(data))]  # a term doesn't reach over the end of its text
+    begins[edge] |= inside[edge]
+    ends[edge - 1] |= inside[edge - 1]
+    start, size = np.flatnonzero(begins), np.flatnonzero(ends)
+    doc = np.searchsorted(cut, start, "right") - 1
+    size = size - start + 1
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype("i4")
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    pairs = np.sort(doc * max(1, len(coded.dictionary)) + coded.indices.to_numpy())
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    n = np.diff(np.append(first, len(pairs)))
+    doc, term = np.divmod(pairs[first], max(1, len(coded.dictionary)))
+    groups: dict[tuple[str, str], int] = {}
+    of = np.array([groups.setdefault(x, len(groups)) for x in zip(lang.to_pylist(), source.to_pylist(), strict=True)], "i8")
+    key = term * len(groups) + of[doc]
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    term, g = np.divmod(key[first], len(groups))
+    lang, source = (pa.array([x[k] for x in groups], pa.string()).take(pa.array(g)) for k in (0, 1))
+    docs = np.diff(np.append(first, len(key)))
+    n = np.add.reduceat(n, first) if len(first) else n
+    return pa.RecordBatch.from_arrays([lang, coded.dictionary.take(pa.array(term)).cast(pa.string()), source, pa.array(np.full(len(first), stretch, "i8")), pa.array(docs.astype("i8")), pa.array(n.astype("i8"))], schema=RUNS)
+
+
+def term_runs(docs: DataFrame, stretch_bytes: int = STRETCH_BYTES) -> DataFrame:
     """Rows (lang, term, source, stretch, docs, n) of (lang, source, text): the documents of one stretch of a task with the term, and its
-    occurrences there. A stretch ends when the task's table has `entries` terms, so memory is bounded whatever the texts."""
+    occurrences there. A stretch has about so many bytes of text, or one longer text."""
 
     def run(batches):
-        stretch = TaskContext.get().partitionId() << 32
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
-
-        def flush():
-            rows = sorted((lang, term, source, n, held[lang, source][1][term]) for lang, source in held for term, n in held[lang, source][0].items())
-            for lo in range(0, len(rows), 50_000):
-                lang, term, source, n, seen = (list(c) for c in zip(*rows[lo : lo + 50_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(source, pa.string()), pa.array([stretch] * len(n), pa.int64()), pa.array(seen, pa.int64()), pa.array(n, pa.int64())], schema=RUNS)
-
-        for b in rows_of(batches, most_rows=256):
-            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2)), strict=True):
-                got = words(text)
-                if got:
-                    n, seen = held.setdefault((lang, source), (Counter(), Counter()))
-                    before = len(n)
-                    n.update(got)
-                    seen.update(set(got))
-                    size += len(n) - before
-            if size >= entries:
-                yield from flush()
-                held, size, stretch = {}, 0, stretch + 1
-        yield from flush()
+        stretch, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in rows_of(batches, most_bytes=stretch_bytes):
+            size += b.column(2).nbytes
+            held.append(b)
+            if size >= stretch_bytes:
+                yield runs_of(*(pa.concat_arrays([x.column(k) for x in held]) for k in range(3)), stretch)
+                stretch, held, size = stretch + 1, [], 0
+        if held:
+            yield runs_of(*(pa.concat_arrays([x.column(k) for x in held]) for k in range(3)), stretch)
         tidy()
 
     return small_batches(docs).mapInArrow(run, _ddl(RUNS))
@@ -127,46 +141,56 @@ def scan_runs(least: int):
     return run
 
 
-def shares(counts, total: int, v: int) -> np.ndarray:
-    """1 + floor(UNIT * (count + ADDED) / (total + ADDED * v)) of each count, in whole numbers of any size where they need it."""
-    below = int(total) + ADDED * int(v)
-    if all(c < (1 << 63) // UNIT - ADDED for c in counts):
-        return 1 + UNIT * (np.asarray(counts, "i8") + ADDED) // below
-    return np.array([1 + UNIT * (int(c) + ADDED) // below for c in counts], "i8")
+def shares(counts, totals, v: int) -> np.ndarray:
+    """1 + floor(UNIT * (count + ADDED) / (total + ADDED * v)) of each count and total, in whole numbers of any size where they need it."""
+    counts, below = np.asarray(counts, "i8"), np.asarray(totals, "i8") + ADDED * int(v)
+    if counts.max(initial=0) < (1 << 63) // UNIT - ADDED:
+        return 1 + UNIT * (counts + ADDED) // below
+    return np.array([1 + UNIT * (int(c) + ADDED) // int(b) for c, b in zip(counts, np.broadcast_to(below, counts.shape), strict=True)], "i8")
 
 
 class Audit:
     """One language's groups, the sums over the terms seen so far, and each group's best terms."""
 
     def __init__(self, lang: str, sources: list[str], totals: list[int], v: int, ranks: int, most: int):
-        self.lang, self.sources, self.totals, self.v, self.ranks = lang, sources, [int(x) for x in totals], int(v), ranks
+        self.lang, self.sources, self.totals, self.v, self.ranks = lang, sources, np.array(totals, "i8"), int(v), ranks
         self.place = {s: k for k, s in enumerate(sources)}
-        self.whole = sum(self.totals)
-        self.absent = np.array([shares([0], t, self.v)[0] if self.v else 0 for t in self.totals], "i8")
-        self.most = max(1, most // (16 * max(1, len(sources))))
-        #: By source a: over the terms that a has, |p_a - p_b| beyond what it is where neither has the term; and the same over those that b has too.
-        self.sums: dict[int, np.ndarray] = {}
+        self.whole = int(self.totals.sum())
+        self.absent = shares(np.zeros(len(sources), "i8"), self.totals, self.v) if self.v else np.zeros(len(sources), "i8")
+        #: A row for each source a that has come, as many as fit: |p_a - p_b| beyond what it is where neither has the term, over the
+        #: terms that a has (back), and over those that b doesn't have (one).
+        most = min(len(sources), max(1, most // (16 * max(1, len(sources)))))
+        self.back, self.one = (np.zeros((most, len(sources)), "i8") for _ in range(2))
+        self.row, self.held = np.full(len(sources), -1), []
         self.best: dict[int, list[tuple[int, str]]] = {}
 
-    def base(self, a: int) -> np.ndarray:
-        return np.abs(self.absent[a] - self.absent)
+    def base(self, a) -> np.ndarray:
+        return np.abs(self.absent[a, None] - self.absent)
 
-    def term(self, term: str, sources: list[str], counts: list[int]) -> None:
+    def term(self, term: str, sources: list[str], counts: list[int]):
+        """Adds a term; yields sums of pairs where those of its sources don't fit beside them."""
         at = np.array([self.place[s] for s in sources])
-        p = np.array([shares([c], self.totals[a], self.v)[0] for a, c in zip(at.tolist(), counts, strict=True)], "i8")
+        p = shares(counts, self.totals[at], self.v)
         q = int(shares([sum(counts)], self.whole, self.v)[0])
         full = self.absent.copy()
         full[at] = p
-        for a, x in zip(at.tolist(), p, strict=True):
-            got = self.sums.setdefault(a, np.zeros((2, len(self.sources)), "i8"))
-            more = np.abs(x - full) - self.base(a)
-            got[0] += more
-            got[1][at] += more[at]
-            if x > q:
-                best = self.best.setdefault(a, [])
-                best.append((int(x) - q, term))
-                if len(best) >= 20 * self.ranks:
-                    self.cut(best)
+        for lo in range(0, len(at), len(self.one)):
+            own, x = at[lo : lo + len(self.one)], p[lo : lo + len(self.one)]
+            new = own[self.row[own] < 0]
+            if len(self.held) + len(new) > len(self.one):
+                yield from self.sums_out()
+                new = own
+            self.row[new] = len(self.held) + np.arange(len(new))
+            self.held += new.tolist()
+            more = np.abs(x[:, None] - full) - self.base(own)
+            self.back[self.row[own]] += more
+            more[:, at] = 0
+            self.one[self.row[own]] += more
+        for k in np.flatnonzero(p > q).tolist():
+            best = self.best.setdefault(int(at[k]), [])
+            best.append((int(p[k]) - q, term))
+            if len(best) >= 20 * self.ranks:
+                self.cut(best)
 
     def cut(self, best: list[tuple[int, str]]) -> None:
         best.sort(key=lambda r: -r[0])  # terms come in their order, and the sort is stable
@@ -184,16 +208,16 @@ class Audit:
     def all_pairs(self):
         """A row for each pair, with what it would sum to if no source had any term."""
         for a, s in enumerate(self.sources):
-            yield self.batch([s] * (len(self.sources) - 1), [x for x in self.sources if x != s], "pair", np.delete(self.v * self.base(a), a))
+            yield self.batch([s] * (len(self.sources) - 1), [x for x in self.sources if x != s], "pair", np.delete(self.v * self.base(np.array([a]))[0], a))
 
-    def sums_out(self, only_full: bool = False):
-        """The sums of pairs, once they fill the memory allowed or at the end."""
-        if only_full and len(self.sums) <= self.most:
-            return
-        for a, (one, both) in self.sums.items():
-            yield self._rows(a, one - both)
-            yield self._rows(a, one, back=True)
-        self.sums.clear()
+    def sums_out(self):
+        """The sums of pairs so far. A term that both have is in the rows of both, and counts for (a, b) by a's row alone."""
+        for k, a in enumerate(self.held):
+            yield self._rows(a, self.back[k])
+            yield self._rows(a, self.one[k], back=True)
+        self.one[: len(self.held)] = self.back[: len(self.held)] = 0
+        self.row[:] = -1
+        self.held = []
 
     def end(self):
         yield from self.sums_out()
@@ -217,15 +241,14 @@ def scan_terms(ranks: int, most: int):
                         yield from now.all_pairs()
                 else:
                     assert (r["lang"], r["salt"]) == key
-                    now.term(r["term"], r["sources"], r["counts"])
-                    yield from now.sums_out(only_full=True)
+                    yield from now.term(r["term"], r["sources"], r["counts"])
         if now:
             yield from now.end()
 
     return run
 
 
-def audit(df: DataFrame, least: int = LEAST_DOCS, ranks: int = TERM_RANKS, entries: int = ENTRIES, terms_a_salt: int = TERMS_A_SALT, pair_bytes: int = PAIR_BYTES) -> DataFrame:
+def audit(df: DataFrame, least: int = LEAST_DOCS, ranks: int = TERM_RANKS, stretch_bytes: int = STRETCH_BYTES, terms_a_salt: int = TERMS_A_SALT, pair_bytes: int = PAIR_BYTES) -> DataFrame:
     """lang, source, part, item, value, rank of (text, lang, source).
 
     A language keeps the terms that at least `least` of its documents have; every (lang, source) group that occurs, and the language
@@ -235,9 +258,9 @@ def audit(df: DataFrame, least: int = LEAST_DOCS, ranks: int = TERM_RANKS, entri
     of one source has none. Ties go to the item that is first in UTF-8. An empty table gives an empty result. Other columns are ignored."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     docs = df.select(text("lang"), text("source"), text("text"))
-    runs = term_runs(docs, entries).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "stretch")
+    runs = term_runs(docs, stretch_bytes).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "stretch")
     kept, kept_at = materialize(runs.mapInArrow(scan_runs(least), _ddl(KEPT)), "kept-terms")
-    salts = max(16, -(-kept.count() // terms_a_salt))
+    salts = max(LEAST_SALTS, -(-kept.count() // terms_a_salt))
 
     has = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("g")).groupBy("lang", F.col("g.sources").alias("source")).agg(F.sum("g.counts").alias("n"))
     groups = docs.select("lang", "source").distinct().join(has, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"))
