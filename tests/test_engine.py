@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickforge import config
 from tickforge.config import INSTRUMENTS, PRESETS, AccountRules, Costs
 from tickforge.functions.recursive import ewm
-from tickforge.operators import account, audit, crossval, features, labels, reconcile, regimes, statistics, stitch
+from tickforge.operators import account, audit, crossval, features, hidden, labels, reconcile, regimes, statistics, stitch
 from tickforge.operators import trading as t
 from tickforge.sources import bars as b
 from tickforge.sources import snapshots
@@ -430,12 +430,13 @@ def test_fetch_saves_all_or_nothing(spark, tmp_path):
 def test_regimes(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.001, 300), rng.normal(0, 0.02, 300)])
-    m = regimes.fit_hmm(x)
-    p = regimes.filter_hmm(m, np.concatenate([[np.nan], x]))
+    m = hidden.fit_returns(x)
+    p = hidden.filtered(m, np.concatenate([[np.nan], x]))
     assert np.isnan(p[0]).all() and np.allclose(p[1:].sum(1), 1)
-    high = int(np.argmax(m.var))
-    assert (p[50:300, high] < 0.5).mean() > 0.95 and (p[350:, high] > 0.5).mean() > 0.95
-    assert len(regimes.fit_hmm(np.array([1.0])).mean) == 2
+    assert (p[50:300, 1] < 0.5).mean() > 0.95 and (p[350:, 1] > 0.5).mean() > 0.95
+    for few in ([], [1.0], [np.nan]):
+        m = hidden.fit_returns(np.array(few))
+        assert np.allclose(m.step, 0.5) and np.isfinite(m.mean).all() and (m.var > 0).all()
     y = np.concatenate([np.zeros(30), np.full(30, 5.0)]) + rng.normal(0, 0.1, 60)
     seg = regimes.segments(y, 5.0, 5)
     assert seg[29] == 1 and seg[-1] == 2
@@ -561,6 +562,115 @@ def test_segments_are_those_of_a_full_search():
             assert got[t_ - 1] == (want if t_ >= 2 * least else 1), (k, t_)
 
 
+def plain_em(x, m, rounds, least_var):
+    """Expectation maximisation bar by bar, with the sums of each pair of states written out; gaps cut x into runs."""
+    k = len(m.mean)
+    for _ in range(rounds):
+        runs, likelihood = [], 0.0
+        for t, v in enumerate(x):
+            if np.isfinite(v):
+                if t and np.isfinite(x[t - 1]):
+                    runs[-1].append(v)
+                else:
+                    runs.append([v])
+        starts, moves, w, first, second = np.zeros(k), np.zeros((k, k)), np.zeros(k), np.zeros(k), np.zeros(k)
+        for run in runs:
+            e = [[math.exp(-0.5 * (v - m.mean[s]) ** 2 / m.var[s]) / math.sqrt(2 * math.pi * m.var[s]) for s in range(k)] for v in run]
+            a = [np.array([m.start[s] * e[0][s] for s in range(k)])]
+            for t in range(1, len(run)):
+                a.append(np.array([sum(a[-1][i] * m.step[i][s] for i in range(k)) * e[t][s] for s in range(k)]))
+            b = [np.ones(k)]
+            for t in range(len(run) - 1, 0, -1):
+                b.insert(0, np.array([sum(m.step[s][i] * e[t][i] * b[0][i] for i in range(k)) for s in range(k)]))
+            total = a[-1].sum()
+            likelihood += math.log(total)
+            for t, v in enumerate(run):
+                g = a[t] * b[t] / total
+                w, first, second = w + g, first + g * v, second + g * v * v
+                starts = starts + g if t == 0 else starts
+                if t:
+                    moves += np.array([[a[t - 1][i] * m.step[i][s] * e[t][s] * b[t][s] / total for s in range(k)] for i in range(k)])
+        m = hidden.Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), first / w, np.maximum(second / w - (first / w) ** 2, least_var))
+    return m, likelihood
+
+
+def plain_filter(m, x):
+    """Bar by bar: the probabilities of before, moved and weighted."""
+    out, p = [], None
+    for v in x:
+        if not np.isfinite(v):
+            p = None
+            out.append([np.nan] * len(m.mean))
+            continue
+        a = (m.start if p is None else p @ m.step) * np.exp(-0.5 * (v - m.mean) ** 2 / m.var) / np.sqrt(m.var)
+        p = a / a.sum()
+        out.append(p)
+    return np.array(out)
+
+
+def hidden_series(n, seed):
+    rng = np.random.default_rng(seed)
+    state = np.cumsum(rng.random(n) < 0.03) % 2
+    return rng.normal(np.where(state, 0.001, -0.0005), np.where(state, 0.02, 0.004))
+
+
+def test_hidden_states_are_those_of_plain_steps():
+    """Rounds of the scan are those of sums bar by bar, for any place of gaps; the better of two starts wins."""
+    x = hidden_series(150, 2)
+    x[[0, 40, 41, 99]] = np.nan
+    good = x[np.isfinite(x)]
+    starts = hidden.first_models(2, len(good), good.mean(), good.var(), 1e-12)
+    plain = [plain_em(x, m, 12, 1e-12) for m in starts]
+    got = hidden.fit_returns(x, 2, 12, -math.inf, 1e-12)
+    want = max(plain, key=lambda f: f[1])[0].ordered()
+    for a, b_ in zip((got.start, got.step, got.mean, got.var), (want.start, want.step, want.mean, want.var), strict=True):
+        assert np.allclose(a, b_, rtol=1e-7, atol=1e-9)
+    assert np.allclose(hidden.filtered(got, x), plain_filter(got, x), atol=1e-10, equal_nan=True)
+    more = hidden.fit_returns(x, 2, 100)
+    likelihood = lambda m: hidden.expected(m, x, False, m.start, np.ones(2), 0.0)[0]
+    assert likelihood(more) >= max(likelihood(m) for m in starts) and likelihood(more) >= likelihood(got) - 1e-3
+    three = hidden.fit_returns(np.concatenate([hidden_series(400, 5), np.random.default_rng(1).normal(0, 0.2, 200)]), 3)
+    assert (np.diff(three.var) > 0).all() and three.var[2] > 0.02
+
+
+def test_levels_are_found_too():
+    """States of one spread at two levels, which a start by spread alone misses."""
+    rng = np.random.default_rng(3)
+    state = np.cumsum(rng.random(800) < 0.02) % 2
+    m = hidden.fit_returns(rng.normal(np.where(state, 2.0, -2.0), 1.0))
+    assert np.allclose(np.sort(m.mean), [-2, 2], atol=0.25) and np.allclose(m.var, 1, atol=0.35)
+
+
+def test_blocks_give_what_one_pass_gives(spark):
+    """Symbols of many blocks, of one, and of too few bars: fit by rounds over blocks and filter with what enters each block."""
+    prices, rows = {}, []
+    for symbol, n in (("long", 700), ("short", 50), ("two", 2), ("gap", 300)):
+        close = 100 * np.exp(np.cumsum(hidden_series(n, n)))
+        if symbol == "gap":
+            close[[64, 127, 128, 200]] = -1.0
+        prices[symbol] = close
+        rows += [(symbol, k, float(c)) for k, c in enumerate(close)]
+    bars = spark.createDataFrame(rows, "symbol string, pos long, close double").repartition(5)
+    d = hidden.HmmDetector(rounds=4, tolerance=-math.inf, block=64).fit(bars)
+    models = {r["symbol"]: hidden.Model.unpack(r["model"]) for r in d.models.collect()}
+    got = {}
+    for r in d.proba(bars).collect():
+        got.setdefault(r["symbol"], {})[r["pos"]] = r["proba"]
+    for symbol, close in prices.items():
+        with np.errstate(all="ignore"):
+            x = np.concatenate([[np.nan], np.diff(np.log(close))])
+        want = hidden.fit_returns(x, 2, 4, -math.inf, 1e-8)
+        for a, b_ in zip((models[symbol].start, models[symbol].step, models[symbol].mean, models[symbol].var), (want.start, want.step, want.mean, want.var), strict=True):
+            assert np.allclose(a, b_, rtol=1e-8, atol=1e-12), symbol
+        plain = plain_filter(want, x)
+        assert sorted(got[symbol]) == list(range(len(x)))
+        for k, p in got[symbol].items():
+            assert p is None if not np.isfinite(x[k]) else np.allclose(p, plain[k], atol=1e-9)
+    other = spark.createDataFrame([("new", 0, 1.0), ("new", 1, 2.0)], "symbol string, pos long, close double")
+    assert {(r["regime"]) for r in d.regimes(other).collect()} == {-1} and d.proba(other.filter("false")).count() == 0
+    assert hidden.HmmDetector(block=64).fit(bars.filter("symbol = 'long'")).models.count() == 1  # ends by itself
+
+
 def test_detectors(spark):
     rng = np.random.default_rng(4)
     calm, wild = rng.normal(0, 0.001, 150), rng.normal(0, 0.02, 150)

@@ -1,137 +1,18 @@
-"""Regimes of a symbol's returns: a Gaussian hidden Markov model, filtered forward, and change points by pruned search.
+"""Regimes of a symbol: change points of its closes by pruned search, and the detectors by name (hidden states are in hidden.py).
 
-Both recursions run along one symbol's bars, so they are grouped by symbol, a task each; a symbol's bars (17 million
-for fifty years of minutes) fit an executor as arrays of a few columns."""
+The search runs along one symbol's bars, so it is grouped by symbol, a task each; a symbol's bars (17 million for fifty years of
+minutes) fit an executor as arrays of a few columns."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-@dataclass
-class Hmm:
-    start: np.ndarray
-    step: np.ndarray
-    mean: np.ndarray
-    var: np.ndarray
-
-    def emission(self, x: np.ndarray) -> np.ndarray:
-        d = x[:, None] - self.mean[None]
-        return np.maximum(np.exp(-0.5 * d * d / self.var) / np.sqrt(2 * math.pi * self.var), 1e-300)
-
-
-def fit_hmm(x: np.ndarray, states: int = 2, seed: int = 7, rounds: int = 50, tolerance: float = 1e-4, least_var: float = 1e-12) -> Hmm:
-    """Baum-Welch from quantile means with a small seeded jitter; a flat model where there are fewer finite values than states."""
-    x, k, rng = x[np.isfinite(x)], states, np.random.default_rng(seed)
-    if len(x) < k:
-        return Hmm(np.full(k, 1 / k), np.full((k, k), 1 / k), np.linspace(-1, 1, k), np.full(k, max(1.0, least_var)))
-    m = Hmm(np.full(k, 1 / k), np.abs(np.full((k, k), 1 / k) + rng.normal(0, 1e-3, (k, k))), np.quantile(x, np.linspace(0, 1, k + 2)[1:-1]) + rng.normal(0, 1e-6, k), np.full(k, max(float(x.var()), least_var)))
-    m.step /= m.step.sum(1, keepdims=True)
-    before = -math.inf
-    for _ in range(rounds):
-        e = m.emission(x)
-        alpha, scale = np.empty_like(e), np.empty(len(x))
-        p = m.start
-        for t in range(len(x)):
-            a = e[t] * (p if t == 0 else p @ m.step)
-            scale[t] = a.sum() or 1.0
-            alpha[t] = p = a / scale[t]
-        beta = np.ones_like(e)
-        for t in range(len(x) - 2, -1, -1):
-            beta[t] = m.step @ (e[t + 1] * beta[t + 1]) / scale[t + 1]
-        gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
-        pairs = alpha[:-1, :, None] * m.step[None] * (e[1:] * beta[1:])[:, None, :]
-        pairs /= np.maximum(pairs.sum((1, 2), keepdims=True), 1e-300)
-        moves, weight = pairs.sum(0), gamma.sum(0)
-        mean = gamma.T @ x / weight
-        var = np.maximum((gamma * (x[:, None] - mean) ** 2).sum(0) / weight, least_var)
-        m = Hmm(gamma[0], moves / np.maximum(moves.sum(1, keepdims=True), 1e-300), mean, var)
-        now = float(np.log(scale).sum())
-        if abs(now - before) < tolerance:
-            break
-        before = now
-    return m
-
-
-def filter_hmm(m: Hmm, x: np.ndarray) -> np.ndarray:
-    """State probabilities given the past alone; a value that isn't finite starts anew and has none."""
-    out, p = np.full((len(x), len(m.start)), np.nan), None
-    good = np.isfinite(x)
-    e = m.emission(np.where(good, x, 0.0))
-    for t in range(len(x)):
-        if not good[t]:
-            p = None
-            continue
-        a = e[t] * (m.start if p is None else p @ m.step)
-        p = a / (a.sum() or 1.0)
-        out[t] = p
-    return out
-
-
-def _returns(pdf: pd.DataFrame) -> np.ndarray:
-    close = pdf["close"].to_numpy("f8")
-    with np.errstate(all="ignore"):
-        return np.concatenate([[np.nan], np.diff(np.log(close))])
-
-
-PARAMETERS = "symbol string, start array<double>, step array<array<double>>, mean array<double>, var array<double>"
-
-
-def _model(row) -> Hmm:
-    return Hmm(*(np.array([list(v) for v in row[c]] if c == "step" else list(row[c]), "f8") for c in ("start", "step", "mean", "var")))
-
-
-class HmmDetector:
-    """Regimes of log returns: fit learns a model of each symbol, regimes and proba filter forward with it. States are by
-    rising variance; a bar without a return has regime -1 and no probabilities, and so has a symbol that wasn't fitted."""
-
-    def __init__(self, states: int = 2, seed: int = 7, rounds: int = 50, tolerance: float = 1e-4, least_var: float = 1e-8):
-        if states < 2 or rounds < 1 or least_var <= 0:
-            raise ValueError("at least two states, one round and a positive least variance are needed")
-        self.states, self.settings, self.models = states, (seed, rounds, tolerance, least_var), None
-
-    def fit(self, bars: DataFrame) -> HmmDetector:
-        """Learns from all of bars: give it history that ends before what is to be labelled."""
-        states, settings = self.states, self.settings
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            m = fit_hmm(_returns(pdf.sort_values("pos")), states, *settings)
-            order = np.argsort(m.var, kind="stable")
-            return pd.DataFrame({"symbol": pdf["symbol"].iloc[:1], "start": [m.start[order].tolist()], "step": [m.step[order][:, order].tolist()], "mean": [m.mean[order].tolist()], "var": [m.var[order].tolist()]})
-
-        self.models = bars.select("symbol", "pos", "close").groupBy("symbol").applyInPandas(run, PARAMETERS)
-        return self
-
-    def proba(self, bars: DataFrame) -> DataFrame:
-        """(symbol, pos, proba: an array by state, null where there is no return), from the past alone."""
-        if self.models is None:
-            raise ValueError("the detector isn't fitted")
-
-        def run(pdf: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("pos")
-            p = filter_hmm(_model(models.iloc[0]), _returns(pdf)) if len(models) else np.full((len(pdf), 1), np.nan)
-            return pd.DataFrame({"symbol": pdf["symbol"], "pos": pdf["pos"], "proba": [row.tolist() if np.isfinite(row[0]) else None for row in p]})
-
-        return bars.select("symbol", "pos", "close").groupBy("symbol").cogroup(self.models.groupBy("symbol")).applyInPandas(run, "symbol string, pos long, proba array<double>")
-
-    def regimes(self, bars: DataFrame) -> DataFrame:
-        top = F.array_position("proba", F.array_max("proba")) - 1
-        return self.proba(bars).select("symbol", "pos", F.coalesce(top, F.lit(-1)).cast("int").alias("regime"))
-
-
-def hmm_regimes(bars: DataFrame, states: int = 2, train: int = 200, seed: int = 7) -> DataFrame:
-    """(symbol, pos, regime, p_high): the model is fitted to the first `train` bars of each symbol; -1 and null where there is no
-    return, p_high is the probability of the state of the largest variance."""
-    p = HmmDetector(states, seed).fit(bars.filter(F.col("pos") < train)).proba(bars)
-    top = F.array_position("proba", F.array_max("proba")) - 1
-    return p.select("symbol", "pos", F.coalesce(top, F.lit(-1)).cast("int").alias("regime"), F.element_at("proba", -1).alias("p_high"))
+from .hidden import HmmDetector, hmm_regimes  # noqa: F401
 
 
 def _square(s: np.ndarray, q: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
