@@ -10,8 +10,10 @@ and its rest begins the next window. What is left at a shard's end is cut into p
 
 from __future__ import annotations
 
-import sys
+import json
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import map_batches, materialize, small_batches, texts_of, tidy
 
 #: BM25's parameters: saturation of frequencies and weight of a document's length.
@@ -28,11 +31,22 @@ SATURATION, BY_LENGTH = 1.2, 0.75
 SHARD, SHARED = 1_000_000, 32
 
 
+#: How the vocabulary file normalises and splits texts.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters from A to y with diaeresis, which normalising leaves alone but for their case; texts of these and of visible ASCII are plain.
+LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+#: Without "<", with which special tokens begin.
+PLAIN = re.compile(f"[!-;=-~ \n{LATIN}]*")
+
+
 class Words:
     """Ids of texts by the tokenizers library. Neither the split nor the merges reach over a space or a line's end, so what stands between
-    them is encoded once and looked up from then on."""
+    them is encoded once and looked up from then on. In plain texts words of letters are merged by the other installed encoder: the
+    file's ids follow the order of its merges, and a word's last letter has a byte of its own (none is a capital), as the file
+    has tokens of its own for the ends of words. All else, and any other kind of file, goes to the library."""
 
-    MOST, LONGEST = 500_000, 48
+    MOST, LONGEST = 400_000, 48
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,24 +54,77 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.vocabulary = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
-        self.width = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {"": b""}
+        self.width, self.code = ("<u2", "H") if self.vocabulary <= 1 << 16 else ("<u4", "I")
+        self.known, self.old, self.words = {"": b""}, {}, {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.direct = (spec["normalizer"] or {}).get("normalizers") == NORMAL and split[0].get("pattern") == {"Regex": SPLIT} and [x["type"] for x in split] == ["Split", "ByteLevel"] and not split[1]["add_prefix_space"] and all(t["content"].startswith("<") for t in spec["added_tokens"])
+        self.cut = re.compile(SPLIT.replace(r"\p{L}", "a-z" + LATIN.lower()).replace(r"\p{N}", "0-9"))
+        letters = {b: c for c, b in byte_letters().items()}
+        self.bytes = {ord(c): "".join(letters[b] for b in c.encode()) for c in LATIN.lower()}
+        self.pieces = self._merger(spec["model"]) if self.direct else None
+
+    def _merger(self, model: dict):
+        """An encoder of words of letters as bytes whose last one is a final one, where the file allows it."""
+        import tiktoken
+
+        end = model["end_of_word_suffix"]
+        inner = {*range(97, 123), *(b for c in LATIN.lower() for b in c.encode())}
+        spare = iter(b for b in range(256) if b not in inner)
+        last = {b: b - 32 if 97 <= b <= 122 else None for b in sorted(inner)}
+        free = (b for b in spare if b not in last.values())
+        last = {b: x if x is not None else next(free) for b, x in last.items()}
+        self.final = {c: bytes([*c.encode()[:-1], last[c.encode()[-1]]]) for c in "abcdefghijklmnopqrstuvwxyz" + LATIN.lower()}
+        of, ranks = byte_letters(), {}
+        for t, i in model["vocab"].items():
+            ends = t.endswith(end) and t != end
+            raw = bytes(of[c] for c in (t[: -len(end)] if ends else t))
+            if inner.issuperset(raw):
+                ranks[raw[:-1] + bytes([last[raw[-1]]]) if ends else raw] = i
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if made != sorted(made) or not inner | set(last.values()) <= {b[0] for b in ranks if len(b) == 1}:
+            return None
+        return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            if self.pieces and word.isalpha():
+                ids = self.pieces(word[:-1].encode() + self.final[word[-1]])
+            else:
+                ids = [t.id for t in self.model.tokenize(word.translate(self.bytes))]
+            got = array(self.code, ids).tobytes()
+            if len(word) <= self.LONGEST:
+                if len(self.words) >= self.MOST:
+                    self.words.clear()
+                self.words[word] = got
+        return got
 
-    def _one(self, part: str) -> bytes:
-        got = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, self.width).tobytes()
+    def _part(self, part: str, plain: bool) -> bytes:
+        """What a part that isn't known gives. The parts of before the last time that the table was full are still looked up."""
+        got = self.old.get(part)
+        if got is None:
+            if plain:
+                got = b"".join(map(self._word, self.cut.findall(part.lower())))
+            else:
+                got = array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         if len(part) <= self.LONGEST:
             if len(self.known) >= self.MOST:
-                self.known = {"": b""}
-            self.known[sys.intern(part)] = got
+                self.known, self.old = {"": b""}, self.known
+            self.known[part] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
         parts = text.replace("\n", " ").split(" ")
         got = list(map(self.known.get, parts))
         if None in got:
+            plain = self.direct and PLAIN.fullmatch(text) is not None
             for k in [k for k, x in enumerate(got) if x is None]:
-                got[k] = self.known.get(parts[k]) or self._one(parts[k])
+                x = self.known.get(parts[k])
+                got[k] = self._part(parts[k], plain) if x is None else x
         return np.frombuffer(b"".join(got), self.width)
 
 
