@@ -562,6 +562,28 @@ def test_segments_are_those_of_a_full_search():
             assert got[t_ - 1] == (want if t_ >= 2 * least else 1), (k, t_)
 
 
+def test_drifting_series_keep_few_starts():
+    """Where a level drifts, or wanders, no start is ruled out by the best cut alone; by their parabolas nearly all are, and the cuts stay
+    those of a full search."""
+    rng = np.random.default_rng(6)
+    for x, penalty in ((np.arange(600) * 0.05 + rng.normal(0, 0.1, 600), 50.0), (np.cumsum(rng.normal(0, 1, 600)), 40.0), (np.full(600, 3.0), 1.0)):
+        for least, jump in ((1, 1), (5, 1), (2, 3)):
+            live = []
+            got = regimes.segments(x, penalty, least, jump, live=live)
+            y = x - x[0]
+            s, q = np.concatenate([[0.0], np.cumsum(y)]), np.concatenate([[0.0], np.cumsum(y * y)])
+            best, pieces = np.full(601, np.inf), np.zeros(601, int)
+            best[0] = -penalty
+            for t_ in range(least, 601):
+                a = np.arange(0, t_ - least + 1)
+                total = best[a] + q[t_] - q[a] - (s[t_] - s[a]) ** 2 / (t_ - a)
+                k = int(np.argmin(total))
+                assert got[t_ - 1] == (pieces[k] + 1 if t_ >= 2 * least else 1), (least, jump, t_)
+                if t_ % jump == 0 and t_ >= least:
+                    best[t_], pieces[t_] = total[k] + penalty, pieces[k] + 1
+            assert max(live) < 60 and np.mean(live) < 40  # the best cut alone rules out none of 600
+
+
 def plain_em(x, m, rounds, least_var):
     """Expectation maximisation bar by bar, with the sums of each pair of states written out; gaps cut x into runs."""
     k = len(m.mean)

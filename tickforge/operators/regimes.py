@@ -27,24 +27,54 @@ def _normal(s: np.ndarray, q: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
 COSTS = {"l2": _square, "normal": _normal}
 
 
-def segments(x: np.ndarray, penalty: float, least: int = 2, jump: int = 1, cost: str = "l2") -> np.ndarray:
+def _widest(centre: np.ndarray, width: np.ndarray) -> tuple[float, float]:
+    """The longest interval that the intervals around centre cover together."""
+    order = np.argsort(centre - width)
+    lo, hi = (centre - width)[order], np.maximum.accumulate((centre + width)[order])
+    first = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
+    last = np.append(first[1:], len(lo)) - 1
+    k = int(np.argmax(hi[last] - lo[first]))
+    return float(lo[first[k]]), float(hi[last[k]])
+
+
+def segments(x: np.ndarray, penalty: float, least: int = 2, jump: int = 1, cost: str = "l2", live: list | None = None) -> np.ndarray:
     """By prefix, the number of segments of the best cut of x[: t + 1], at multiples of `jump`, into pieces of `least` values or
-    more with the smallest sum of costs plus the penalty for each cut (1 where a prefix is shorter than two pieces).
+    more with the smallest sum of costs plus the penalty for each cut (1 where a prefix is shorter than two pieces). live gets the number of
+    starts that each prefix was priced with.
 
     A start that does worse at t than the best cut of t can never win once a piece fits behind t, so it is dropped from
-    t + least on: the pass over all prefixes is one exact search."""
+    t + least on. With squared deviations the cost from a start is a parabola over the level of its piece, and two starts' parabolas
+    differ by one that later values don't change. So when a start comes in, each older one keeps only the levels at which it is not worse than
+    the new one (low to high), the new one only those at which no older one is as good (not gone to back), and a start goes when
+    no level is left. Few stay even where levels drift, and the pass over all prefixes is one exact search."""
     n, price = len(x), COSTS[cost]
     x = x - (x[0] if n else 0.0)  # sums of squares stay small
     s, q = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
     best, pieces, out = np.full(n + 1, math.inf), np.zeros(n + 1, "i8"), np.ones(n, "i8")
     best[0] = -penalty
     starts, until = np.array([0]), np.array([n + 1])
+    low, high, gone, back = np.array([-math.inf]), np.array([math.inf]), np.array([math.inf]), np.array([-math.inf])
     for t in range(least, n + 1):
-        if (t - least) % jump == 0 and t - least >= least:
-            starts, until = np.append(starts, t - least), np.append(until, n + 1)
         keep = until > t
-        starts, until = starts[keep], until[keep]
+        if (t - least) % jump == 0 and t - least >= least:
+            new = t - least
+            if cost == "l2":
+                size = new - starts
+                level = (s[new] - s[starts]) / size
+                apart = (best[new] - best[starts] - (q[new] - q[starts])) / size + level * level
+                slack = 1e-11 * (1.0 + abs(best[new]) + q[new] - q[starts]) / size  # rounding drops nothing
+                width = np.sqrt(np.maximum(apart + slack, 0.0))
+                low, high = np.maximum(low, level - width), np.minimum(high, level + width)
+                keep &= (apart + slack >= 0) & (low <= high) & ((low < gone) | (high > back))
+                lost = _widest(level, np.sqrt(np.maximum(apart - slack, 0.0)))
+            else:
+                lost = (math.inf, -math.inf)
+            starts, until, low, high, gone, back = (np.append(a[keep], v) for a, v in ((starts, new), (until, n + 1), (low, -math.inf), (high, math.inf), (gone, lost[0]), (back, lost[1])))
+        elif not keep.all():
+            starts, until, low, high, gone, back = (a[keep] for a in (starts, until, low, high, gone, back))
         total = best[starts] + price(s, q, starts, t)
+        if live is not None:
+            live.append(len(starts))
         k = int(np.argmin(total))
         count = pieces[starts[k]] + 1
         out[t - 1] = count if t >= 2 * least else 1
