@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickforge import config
 from tickforge.config import INSTRUMENTS, PRESETS, AccountRules, Costs
 from tickforge.functions.recursive import ewm
-from tickforge.operators import account, audit, crossval, features, hidden, labels, reconcile, regimes, statistics, stitch
+from tickforge.operators import account, audit, crossval, features, hidden, labels, reconcile, regimes, statistics, stitch, sweeps
 from tickforge.operators import trading as t
 from tickforge.sources import bars as b
 from tickforge.sources import snapshots
@@ -562,6 +562,37 @@ def test_segments_are_those_of_a_full_search():
             assert got[t_ - 1] == (want if t_ >= 2 * least else 1), (k, t_)
 
 
+@pytest.mark.parametrize("block", [7, 64, 1 << 16])
+def test_sweeps_over_blocks(spark, monkeypatch, block):
+    """Blocks of any size give the changes that window functions over whole symbols give: nulls, ties, short symbols, long windows."""
+    rng = np.random.default_rng(block)
+    rows = []
+    for symbol, n in (("a", 90), ("b", 40), ("c", 1), ("d", 3)):
+        close = np.round(100 + np.cumsum(rng.normal(0, 1, n)), 1)
+        for k, c in enumerate(close.tolist()):
+            rows.append((symbol, k, c - 0.2, None if symbol == "b" and k % 9 == 4 else c + 0.3, c - 0.4, None if symbol == "b" and k % 13 == 6 else c, 1.0))
+    bars = spark.createDataFrame(rows, "symbol string, pos long, open double, high double, low double, close double, volume double").withColumn("ts", F.timestamp_seconds(F.col("pos") * 60)).repartition(3)
+    combos = [(k, {"window": w}) for k, w in enumerate((1, 2, 3, 5, 8, 13, 20, 20, 33, 89, 500))]
+    plain = t.trades(t.causal(t.signal_over_grid(bars, "donchian", combos)), MES)
+    monkeypatch.setattr(sweeps.target_changes, "__defaults__", (block,))
+    got = t.grid_trades(bars, "donchian", combos, MES)
+    assert "Window" not in sweeps.target_changes(bars, combos[:1], sweeps.donchian_changes, 1)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[1]
+    want = sorted(map(tuple, plain.collect()), key=str)
+    assert len(want) > 60 and sorted(map(tuple, got.select(*plain.columns).collect()), key=str) == want
+
+
+def test_extremes_of_windows():
+    x = np.array([3.0, np.nan, 1.0, 7.0, 7.0, -2.0, np.nan, np.nan, 4.0, 0.0, 5.0])
+    for longest in (1, 2, 5, 11):
+        top, low = sweeps.Extremes(x, longest), sweeps.Extremes(x, longest, np.fmin)
+        for w in range(1, longest + 1):
+            for k in range(len(x)):
+                own = x[max(0, k - w + 1) : k + 1]
+                for got, of in ((top, np.nanmax), (low, np.nanmin)):
+                    want = of(own) if np.isfinite(own).any() else np.nan
+                    assert np.array_equal(got.ending(w)[k], want, equal_nan=True)
+
+
 def test_drifting_series_keep_few_starts():
     """Where a level drifts, or wanders, no start is ruled out by the best cut alone; by their parabolas nearly all are, and the cuts stay
     those of a full search."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Costs, Instrument
 from ..sources.bars import by_time
+from .sweeps import donchian_changes, target_changes
 
 KEYS = ("combo_id", "symbol")
 
@@ -57,17 +58,20 @@ def _ma_cross_columns(bars: DataFrame, combos: list[tuple[int, dict]]) -> tuple[
 @dataclass(frozen=True)
 class Signal:
     """A signal that can be swept. columns(bars, combos) gives bars with a column for each distinct raw target, over one sort,
-    and each combination's column; least has the required parameters' least values; check says what else is wrong."""
+    and each combination's column; least has the required parameters' least values; check says what else is wrong. changes, where there is
+    one, gives the targets over arrays of a block of bars (see sweeps.py), of which each looks reach(combos) bars back."""
 
     columns: Callable[[DataFrame, list[tuple[int, dict]]], tuple[DataFrame, dict[int, str]]]
     least: dict[str, float]
     check: Callable[[dict], str | None] = lambda p: None
     fractions: tuple[str, ...] = ()
+    changes: Callable | None = None
+    reach: Callable[[list[tuple[int, dict]]], int] | None = None
 
 
 #: Signals by name.
 SIGNALS: dict[str, Signal] = {
-    "donchian": Signal(_donchian_columns, {"window": 1}),
+    "donchian": Signal(_donchian_columns, {"window": 1}, changes=donchian_changes, reach=lambda combos: max(int(p["window"]) for _, p in combos)),
     "ma_cross": Signal(_ma_cross_columns, {"fast": 1, "slow": 2, "vol_window": 2, "target": 0}, lambda p: "fast isn't below slow" if p["fast"] >= p["slow"] else None, ("target",)),
 }
 
@@ -117,7 +121,13 @@ def signal_over_grid(bars: DataFrame, signal: str, combos: list[tuple[int, dict]
 
 def grid_trades(bars: DataFrame, signal: str, combos: list[tuple[int, dict]], instrument: Instrument, qty: float = 1.0) -> DataFrame:
     """trades(causal(signal_over_grid(...))), without a row for each bar and combination: only bars where a combination's
-    position changes are unpivoted."""
+    position changes are made. A signal with changes over blocks is swept without window functions over bars."""
+    known = SIGNALS.get(signal)
+    if known is not None and known.changes is not None:
+        starts = target_changes(bars, combos, known.changes, known.reach(combos))
+        last = bars.groupBy("symbol").agg(F.max(F.struct("pos", "ts", "open")).alias("_last"))
+        starts = starts.join(last, "symbol").withColumn("_exit", F.coalesce(F.lead(F.struct("pos", "ts", "open"), 1).over(_w(KEYS)), F.col("_last")))
+        return _round_turns(starts.filter((F.col("held") != 0) & (F.col("_exit.pos") > F.col("pos"))), instrument, qty, KEYS)
     df, column = _signal_columns(bars, signal, combos)
     w = by_time()
     names = sorted(set(column.values()))

@@ -92,6 +92,14 @@ def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t.sweep(spark, event_bars(spark, d), "donchian", [{"window": w} for w in GRID] + [{"window": 0}], COSTS, MES))
 
 
+#: Windows of the wide sweep: 500 combinations.
+WIDE = range(2, 502)
+
+
+def sweep_wide(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(t.sweep(spark, event_bars(spark, d), "donchian", [{"window": w} for w in WIDE], COSTS, MES))
+
+
 def sweep_best(spark: SparkSession, d: str) -> DataFrame:
     table = t.sweep(spark, event_bars(spark, d), "donchian", [{"window": w} for w in GRID], COSTS, MES)
     return table.filter("error = 0").orderBy(F.desc("sharpe_net"), "combo_id").limit(1).select("combo_id", F.round("sharpe_net", 6).alias("sharpe_net"))
@@ -109,7 +117,7 @@ def account_equity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(eq.join(t.drawdowns(log, ("symbol",), 100_000.0), "symbol"))
 
 
-QUERIES = {q.__name__: q for q in (bars_hourly, bars_daily, indicators_window, indicators_recursive, frac_diff, feature_matrix, donchian_trades, donchian_metrics, ma_cross_positions, delayed_fills, event_path_trades, path_parity, sweep_grid, sweep_best, slice_matrix, account_equity)}
+QUERIES = {q.__name__: q for q in (bars_hourly, bars_daily, indicators_window, indicators_recursive, frac_diff, feature_matrix, donchian_trades, donchian_metrics, ma_cross_positions, delayed_fills, event_path_trades, path_parity, sweep_grid, sweep_wide, sweep_best, slice_matrix, account_equity)}
 
 _W = "PARTITION BY symbol ORDER BY pos"
 
@@ -139,7 +147,20 @@ def donchian_ctes(windows: list[int], bars: str = EVENT_SQL) -> str:
         for k, n in enumerate(windows)
     )
     return f"""bars AS ({bars}), changes AS ({parts}),
-        raws AS (SELECT combo_id, symbol, pos, open, CAST(coalesce(last_value(change IGNORE NULLS) OVER (PARTITION BY combo_id, symbol ORDER BY pos ROWS UNBOUNDED PRECEDING), 0.0) AS DOUBLE) AS raw FROM changes),
+        {held_ctes()}"""
+
+
+def wide_ctes(windows: range, bars: str = EVENT_SQL) -> str:
+    """The same CTEs by one join of bars and windows, whose frames differ by row."""
+    return f"""bars AS ({bars}), sizes AS (SELECT x - {windows.start} AS combo_id, x AS n FROM range({windows.start}, {windows.stop}) r(x)),
+        every AS (SELECT combo_id, n, b.* FROM sizes CROSS JOIN bars b),
+        changes AS (SELECT combo_id, symbol, pos, open, CASE WHEN count(close) OVER w >= n AND close > max(high) OVER w THEN 1.0 WHEN count(close) OVER w >= n AND close < min(low) OVER w THEN -1.0 END AS change
+            FROM every WINDOW w AS (PARTITION BY combo_id, symbol ORDER BY pos ROWS BETWEEN n PRECEDING AND 1 PRECEDING)),
+        {held_ctes()}"""
+
+
+def held_ctes() -> str:
+    return f"""raws AS (SELECT combo_id, symbol, pos, open, CAST(coalesce(last_value(change IGNORE NULLS) OVER (PARTITION BY combo_id, symbol ORDER BY pos ROWS UNBOUNDED PRECEDING), 0.0) AS DOUBLE) AS raw FROM changes),
         {trades_ctes()}"""
 
 
@@ -196,6 +217,16 @@ _RECURSIVE = f"""moves AS (SELECT *, greatest(close - {_lag("close")}, 0.0) AS u
 _BAR_COLUMNS = f"symbol, pos, {_r(['open', 'high', 'low', 'close', 'volume'])}"
 _BOLL = f"""{_full("avg", "close", 20)} AS bb_mid, {_full("stddev_samp", "close", 20)} AS dev"""
 
+def _sweep_sql(ctes: str, grid: str) -> str:
+    return f"""WITH {ctes}, {metrics_sql('combo_id')},
+        late AS (SELECT l.combo_id, CASE WHEN side = 'long' THEN 1.0 ELSE -1.0 END * (b.open - a.open) * 5.0 * qty - 3.52 * qty AS net
+            FROM log l JOIN bars a ON a.symbol = l.symbol AND a.pos = l.entry_pos + 1 JOIN bars b ON b.symbol = l.symbol AND b.pos = l.exit_pos + 1),
+        late_s AS (SELECT combo_id, {_SHARPE.format(x="net")} AS sharpe_delay1 FROM late GROUP BY combo_id),
+        grid(combo_id, error) AS ({grid})
+        SELECT CAST(g.combo_id AS BIGINT) AS combo_id, coalesce(n_trades, 0) AS n_trades, {", ".join(f"round(coalesce({m}, 0.0), 6) AS {m}" for m in t.METRICS if m != "n_trades")}, error
+        FROM grid g LEFT JOIN combined c ON g.combo_id = c.combo_id LEFT JOIN late_s s ON g.combo_id = s.combo_id"""
+
+
 SQL = {
     "bars_hourly": f"SELECT {_BAR_COLUMNS} FROM ({EVENT_SQL})",
     "bars_daily": f"SELECT {_BAR_COLUMNS} FROM ({DAILY_SQL})",
@@ -230,13 +261,8 @@ SQL = {
         m AS (SELECT symbol, coalesce(a.n, 0) AS an, coalesce(a.net, 0.0) AS anet, coalesce(b.n, 0) AS bn, coalesce(b.net, 0.0) AS bnet FROM a FULL JOIN b USING (symbol))
         SELECT symbol, an AS vector_trades, round(anet, 6) AS vector_net, bn AS event_trades, round(bnet, 6) AS event_net, abs(an - bn) AS trades_off, round(abs(anet - bnet), 6) AS net_off,
             abs(an - bn) <= an / 100.0 AND abs(anet - bnet) <= 1e-6 * greatest(1.0, abs(anet)) AS agree FROM m""",
-    "sweep_grid": f"""WITH {donchian_ctes(GRID)}, {metrics_sql('combo_id')},
-        late AS (SELECT l.combo_id, CASE WHEN side = 'long' THEN 1.0 ELSE -1.0 END * (b.open - a.open) * 5.0 * qty - 3.52 * qty AS net
-            FROM log l JOIN bars a ON a.symbol = l.symbol AND a.pos = l.entry_pos + 1 JOIN bars b ON b.symbol = l.symbol AND b.pos = l.exit_pos + 1),
-        late_s AS (SELECT combo_id, {_SHARPE.format(x="net")} AS sharpe_delay1 FROM late GROUP BY combo_id),
-        grid(combo_id, error) AS (VALUES {", ".join(f"({k}, 0.0::DOUBLE)" for k in range(len(GRID)))}, ({len(GRID)}, 1.0::DOUBLE))
-        SELECT CAST(g.combo_id AS BIGINT) AS combo_id, coalesce(n_trades, 0) AS n_trades, {", ".join(f"round(coalesce({m}, 0.0), 6) AS {m}" for m in t.METRICS if m != "n_trades")}, error
-        FROM grid g LEFT JOIN combined c ON g.combo_id = c.combo_id LEFT JOIN late_s s ON g.combo_id = s.combo_id""",
+    "sweep_grid": _sweep_sql(donchian_ctes(GRID), f"VALUES {', '.join(f'({k}, 0.0::DOUBLE)' for k in range(len(GRID)))}, ({len(GRID)}, 1.0::DOUBLE)"),
+    "sweep_wide": _sweep_sql(wide_ctes(WIDE), f"SELECT k, 0.0::DOUBLE FROM range({len(WIDE)}) r(k)"),
     "sweep_best": f"WITH {donchian_ctes(GRID)}, {metrics_sql('combo_id')} SELECT CAST(combo_id AS BIGINT) AS combo_id, round(sharpe_net, 6) AS sharpe_net FROM combined ORDER BY combined.sharpe_net DESC, combo_id LIMIT 1",
     "slice_matrix": f"""WITH {donchian_ctes(GRID)}, edges AS (SELECT k AS slice_id, CAST(trunc(size * k / 8.0) AS BIGINT) AS lo, CAST(trunc(size * (k + 1) / 8.0) AS BIGINT) AS hi FROM range(8) r(k) CROSS JOIN (SELECT max(pos) + 1 AS size FROM bars)),
         configs AS (SELECT c AS config_id FROM range({len(GRID)}) r(c)),
