@@ -581,6 +581,24 @@ def test_sweeps_over_blocks(spark, monkeypatch, block):
     assert len(want) > 60 and sorted(map(tuple, got.select(*plain.columns).collect()), key=str) == want
 
 
+def test_long_fractional_weights(spark):
+    """Blocks give the weighted sums to 1e-9 for some thousands of weights, and nothing where a value of the window is missing."""
+    weights = np.array(features.ffd_weights(0.4, 1e-6))
+    rng = np.random.default_rng(2)
+    x = 5000 * np.exp(np.cumsum(rng.normal(0, 1e-3, 3 * len(weights))))
+    got = features.convolved(x, weights)
+    assert len(weights) > 2000 and np.isnan(got[: len(weights) - 1]).all()
+    for k in (len(weights) - 1, len(weights), 2 * len(weights) + 7, len(x) - 1):
+        assert abs(got[k] - math.fsum(weights * x[k - len(weights) + 1 : k + 1][::-1])) < 1e-9
+    close = [float(v) for v in x[:400]]
+    close[200] = None
+    df = spark.createDataFrame([("s", k, v) for k, v in enumerate(close)] + [("t", 0, 1.0)], "symbol string, pos long, close double").repartition(4)
+    want = {(r["symbol"], r["pos"]): r["y"] for r in df.select("symbol", "pos", features.frac_diff("close", 0.4, 1e-3).alias("y")).collect()}
+    for block in (None, 64, 150):
+        made = {(r["symbol"], r["pos"]): r["fracdiff"] for r in features.frac_diff_blocks(df, "close", 0.4, 1e-3, block=block).collect()}
+        assert made.keys() == want.keys() and all(v is None if want[k] is None else abs(v - want[k]) < 1e-9 for k, v in made.items())
+
+
 def test_extremes_of_windows():
     x = np.array([3.0, np.nan, 1.0, 7.0, 7.0, -2.0, np.nan, np.nan, 4.0, 0.0, 5.0])
     for longest in (1, 2, 5, 11):

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +130,39 @@ def frac_diff(x: str = "close", d: float = 0.4, threshold: float = 1e-4) -> Colu
     return F.when(F.count(x).over(w) >= n, F.aggregate(F.zip_with(F.collect_list(x).over(w), lit, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
 
 
+def convolved(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """By place the sum of weights[k] x[place - k]; not a number where a value is missing or there are fewer. By the product of transforms, with the
+    mean taken out first so that rounding is relative to the deviations."""
+    n, out = len(weights), np.full(len(x), np.nan)
+    good = np.isfinite(x)
+    if len(x) < n or not good.any():
+        return out
+    seen = np.concatenate([[0], np.cumsum(good)])
+    level = float(x[good].mean())
+    size = 1 << (len(x) + n - 1).bit_length()
+    sums = np.fft.irfft(np.fft.rfft(np.where(good, x - level, 0.0), size) * np.fft.rfft(weights, size), size)[n - 1 : len(x)] + level * weights.sum()
+    out[n - 1 :] = np.where(seen[n:] - seen[:-n] == n, sums, np.nan)
+    return out
+
+
+def frac_diff_blocks(bars: DataFrame, x: str = "close", d: float = 0.4, threshold: float = 1e-4, name: str = "fracdiff", block: int | None = None) -> DataFrame:
+    """(symbol, pos, name): what frac_diff gives, over blocks of positions that come with the values before them that the weights reach, so
+    that a symbol uses many tasks and long weights cost the logarithm of their number. Blocks are four times the weights or more."""
+    weights = np.array(ffd_weights(d, threshold))
+    reach, size = len(weights) - 1, block or max(1 << 16, 1 << (4 * len(weights)).bit_length())
+    blocks = F.sequence(F.floor(F.col("pos") / size).cast("long"), F.floor((F.col("pos") + reach) / size).cast("long"))
+    rows = bars.select("symbol", F.col("pos").cast("long").alias("pos"), F.col(x).cast("double").alias("x"), F.explode(blocks).alias("block"))
+
+    def run(key, t):
+        t = t.sort_by("pos")
+        pos = t["pos"].to_numpy()
+        mine = pos // size == key[1].as_py()
+        got = convolved(t["x"].to_numpy(), weights)[mine]
+        return pa.table({"symbol": pa.array([key[0].as_py()] * len(got), pa.string()), "pos": pa.array(pos[mine]), name: pa.array(got, from_pandas=True)})
+
+    return rows.groupBy("symbol", "block").applyInArrow(run, f"symbol string, pos long, {name} double")
+
+
 @dataclass(frozen=True)
 class FeatureConfig:
     """Windows of the feature matrix."""
@@ -171,7 +206,7 @@ def build_features(bars: DataFrame, c: FeatureConfig = FeatureConfig()) -> DataF
         "volume_z": F.try_divide(F.col("volume") - full(F.avg("volume"), F.col("volume"), c.volume), full(F.stddev_samp("volume"), F.col("volume"), c.volume)),
         "dist_sma_fast": F.try_divide(close, sma("close", c.sma[0])) - 1, "dist_sma_slow": F.try_divide(close, sma("close", c.sma[1])) - 1,
         "dist_high_extreme": F.try_divide(close, full(F.max("close"), close, window, least)) - 1, "dist_low_extreme": F.try_divide(close, full(F.min("close"), close, window, least)) - 1,
-        "stoch_k": stochastic_k(c.stochastic) / 100, "fracdiff_close": frac_diff("close", c.frac_d, c.frac_threshold),
+        "stoch_k": stochastic_k(c.stochastic) / 100,
     }
-    df = df.withColumns(made)
+    df = df.withColumns(made).join(frac_diff_blocks(bars, "close", c.frac_d, c.frac_threshold, "fracdiff_close"), ["symbol", "pos"], "left")
     return df.select("symbol", "pos", "ts", *feature_names(c))

@@ -46,6 +46,11 @@ def frac_diff(spark: SparkSession, d: str) -> DataFrame:
     return rounded(event_bars(spark, d).select("symbol", "pos", f.frac_diff("close", 0.4, 1e-2).alias("fracdiff")))
 
 
+def frac_diff_long(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars with some hundreds of weights, over blocks of positions."""
+    return rounded(f.frac_diff_blocks(lineitem_bars(spark, d), "close", 0.4, 1e-4))
+
+
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(f.build_features(lineitem_bars(spark, d), _FEATURES).drop("ts"))
 
@@ -117,7 +122,7 @@ def account_equity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(eq.join(t.drawdowns(log, ("symbol",), 100_000.0), "symbol"))
 
 
-QUERIES = {q.__name__: q for q in (bars_hourly, bars_daily, indicators_window, indicators_recursive, frac_diff, feature_matrix, donchian_trades, donchian_metrics, ma_cross_positions, delayed_fills, event_path_trades, path_parity, sweep_grid, sweep_wide, sweep_best, slice_matrix, account_equity)}
+QUERIES = {q.__name__: q for q in (bars_hourly, bars_daily, indicators_window, indicators_recursive, frac_diff, frac_diff_long, feature_matrix, donchian_trades, donchian_metrics, ma_cross_positions, delayed_fills, event_path_trades, path_parity, sweep_grid, sweep_wide, sweep_best, slice_matrix, account_equity)}
 
 _W = "PARTITION BY symbol ORDER BY pos"
 
@@ -238,6 +243,7 @@ SQL = {
             round(100 * ((close - lowest) / nullif(highest - lowest, 0)), 6) AS stoch_k, round(volatility, 6) AS volatility, round((volume - vm) / nullif(vd, 0), 6) AS volume_z FROM made""",
     "indicators_recursive": f"WITH bars AS ({EVENT_SQL}), {_RECURSIVE} SELECT symbol, pos, round(ema12, 6) AS ema12, round(rsi, 6) AS rsi, round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal, round(macd - macd_signal, 6) AS macd_hist, round(atr, 6) AS atr FROM third",
     "frac_diff": f"WITH bars AS ({EVENT_SQL}) SELECT symbol, pos, round({_frac(0.4, 1e-2)}, 6) AS fracdiff FROM bars",
+    "frac_diff_long": f"WITH bars AS ({DAILY_SQL}) SELECT symbol, pos, round({_frac(0.4, 1e-4)}, 6) AS fracdiff FROM bars",
     "feature_matrix": f"""WITH bars AS ({DAILY_SQL}), {_RECURSIVE},
         fourth AS (SELECT *, ln(close / {_lag("close")}) AS lr, {_BOLL} FROM third),
         made AS (SELECT symbol, pos, close / {_lag("close", 1)} - 1 AS ret_1, close / {_lag("close", 5)} - 1 AS ret_5, close / {_lag("close", 10)} - 1 AS ret_10, close / {_lag("close", 21)} - 1 AS ret_21,
