@@ -599,6 +599,38 @@ def test_long_fractional_weights(spark):
         assert made.keys() == want.keys() and all(v is None if want[k] is None else abs(v - want[k]) < 1e-9 for k, v in made.items())
 
 
+def plain_netting(rows):
+    """Fill by fill."""
+    out = {}
+    for who, _, q, px in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2], r[3])):
+        qty, avg, won = out.get(who, (0.0, 0.0, 0.0))
+        if q == 0:
+            continue
+        if qty * q >= 0:
+            out[who] = (qty + q, (qty * avg + q * px) / (qty + q), won)
+        else:
+            won += min(abs(q), abs(qty)) * math.copysign(1, qty) * (px - avg)
+            now = qty + q
+            out[who] = (now, 0.0 if now == 0 else avg if now * qty > 0 else px, won)
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_netting_over_blocks(spark, block):
+    """Blocks of any size net as fill by fill: adds, cuts, flips, flat positions, ties of seq, null instruments, one hot instrument."""
+    rng = random.Random(block)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.randrange(200), float(rng.choice([-3, -2, -1, 0, 1, 2, 3])), round(rng.uniform(90, 110), 2)) for _ in range(400)]
+    rows += [("flat", 1, 2.0, 10.0), ("flat", 2, -2.0, 12.0), ("zero", 5, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "instrument string, seq long, qty double, price double").repartition(4)
+    got = {r["instrument"]: (r["qty"], r["avg_px"], r["realized"]) for r in reconcile.net_positions(df, block).collect()}
+    want = plain_netting(rows)
+    assert got.keys() == want.keys() and got["flat"] == (0.0, 0.0, 4.0)
+    for who, x in want.items():
+        assert got[who] == pytest.approx(x, abs=1e-8)
+    assert reconcile.net_positions(df.filter("false")).count() == 0
+    assert "InArrow" not in reconcile.net_positions(df)._jdf.queryExecution().toString()
+
+
 def test_extremes_of_windows():
     x = np.array([3.0, np.nan, 1.0, 7.0, 7.0, -2.0, np.nan, np.nan, 4.0, 0.0, 5.0])
     for longest in (1, 2, 5, 11):

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,39 +27,43 @@ def reconcile(broker_fills: DataFrame, local_fills: DataFrame, broker: DataFrame
     return fills.union(places).withColumnRenamed("instrument", "detail")
 
 
-POSITIONS = "instrument string, qty double, avg_px double, realized double"
+#: Fills of a block on average.
+FILLS = 4096
 
 
-def net_positions(fills: DataFrame) -> DataFrame:
+def _fold(state: Column, fill: Column) -> Column:
+    """One fill after others: the position, the average price as a A + B of the price a before them, the profit as W + V a."""
+    pos, q, px = state["pos"], fill["qty"], fill["price"]
+    now = pos + q
+    more, stays = (pos == 0) | (F.signum(pos) == F.signum(q)), F.signum(now) == F.signum(pos)
+    a = F.when(more, F.coalesce(F.try_divide(pos, now), F.lit(0.0))).when(stays, 1.0).otherwise(0.0)
+    b = F.when(more, F.coalesce(F.try_divide(q * px, now), F.lit(0.0))).when(stays | (now == 0), 0.0).otherwise(px)
+    closed = F.when(more, 0.0).otherwise(F.least(F.abs(q), F.abs(pos)) * F.signum(pos))
+    return F.struct(now.alias("pos"), (a * state["A"]).alias("A"), (a * state["B"] + b).alias("B"), (state["W"] + closed * (px - state["B"])).alias("W"), (state["V"] - closed * state["A"]).alias("V"))
+
+
+def net_positions(fills: DataFrame, block: int = FILLS) -> DataFrame:
     """(instrument, qty, avg_px, realized) of signed fills (instrument, seq, qty, price): a fill in the position's direction
     moves the average price, one against it realizes, and what passes zero opens anew.
 
-    Fills are dealt by instrument and sorted by it and seq; a fold runs along them, batch by batch, with one instrument's
-    state, so that no book is ever held whole."""
-
-    def run(batches):
-        name, qty, avg, won = None, 0.0, 0.0, 0.0
-        none = True
-        for b in batches:
-            out = []
-            for who, q, px in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if none or who != name:
-                    if not none:
-                        out.append((name, qty, avg, won))
-                    name, qty, avg, won, none = who, 0.0, 0.0, 0.0, False
-                now = qty + q
-                if qty == 0 or (qty > 0) == (q > 0):
-                    avg = (qty * avg + q * px) / now if now else 0.0
-                else:
-                    won += min(abs(q), abs(qty)) * (1 if qty > 0 else -1) * (px - avg)
-                    avg = 0.0 if now == 0 else avg if (now > 0) == (qty > 0) else px
-                qty = now
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.string(), *[pa.float64()] * 3), strict=True)], names=["instrument", "qty", "avg_px", "realized"])
-        if not none:
-            yield pa.RecordBatch.from_pylist([{"instrument": name, "qty": qty, "avg_px": avg, "realized": won}])
-
-    rows = fills.select("instrument", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"), "seq").filter("qty <> 0")
-    return rows.repartition("instrument").sortWithinPartitions("instrument", "seq", "qty", "price").select("instrument", "qty", "price").mapInArrow(run, POSITIONS)
+    A fill changes the average price by an affine map that the position before and after it fixes, and realizes what is affine in that
+    price. So fills are cut into blocks of seq (of about `block` fills where seq numbers all fills); sums by block give the position before
+    each, a block's fills are folded into one map, and an instrument's maps, one a block, are applied in order. One instrument uses as
+    many tasks as it has blocks, and everything runs in expressions."""
+    rows = fills.select("instrument", F.col("seq").cast("long").alias("seq"), F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price")).filter("qty <> 0")
+    low, high, n = rows.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    width = max(1, int(block * ((high or 0) - (low or 0) + 1) / max(1, n)))
+    rows = rows.withColumn("block", F.floor((F.col("seq") - F.lit(low or 0)) / F.lit(width)))
+    before = Window.partitionBy("instrument").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("instrument", "block").agg(F.sum("qty").alias("sum"))
+    starts = sums.select(F.col("instrument").alias("_of"), F.col("block").alias("_at"), F.coalesce(F.sum("sum").over(before), F.lit(0.0)).alias("start"))
+    lists = rows.groupBy("instrument", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "qty", "price"))).alias("fills"))
+    met = lists.join(starts, lists["instrument"].eqNullSafe(starts["_of"]) & (lists["block"] == starts["_at"]))
+    one, none = F.lit(1.0), F.lit(0.0)
+    maps = met.select("instrument", "block", F.aggregate("fills", F.struct(F.col("start").alias("pos"), one.alias("A"), none.alias("B"), none.alias("W"), none.alias("V")), _fold).alias("map"))
+    through = lambda s, m: F.struct(m["map"]["pos"].alias("pos"), (m["map"]["A"] * s["avg"] + m["map"]["B"]).alias("avg"), (s["won"] + m["map"]["W"] + m["map"]["V"] * s["avg"]).alias("won"))
+    got = maps.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("block", "map"))).alias("maps")).select("instrument", F.aggregate("maps", F.struct(none.alias("pos"), none.alias("avg"), none.alias("won")), through).alias("s"))
+    return got.select("instrument", F.col("s.pos").alias("qty"), F.col("s.avg").alias("avg_px"), F.col("s.won").alias("realized"))
 
 
 def mark_to_market(positions: DataFrame, closes: DataFrame, balance: float, multiplier: float) -> DataFrame:
