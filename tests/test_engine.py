@@ -409,6 +409,40 @@ def test_vendor_files(spark, tmp_path):
         FileProvider(spark, "x", False).list_contracts("A", "", "")
 
 
+def test_contract_files_are_one_scan(spark, tmp_path):
+    """Partitions are files; a filter on contracts opens theirs alone, one on times holds with or without pushdown."""
+    from tickforge.sources import contracts
+
+    head = "Date,Open,High,Low,Close,Volume,Open Interest\n"
+    day = lambda k: f"2024-01-{k:02d},1,2,0.5,{k},10,5\n"
+    (tmp_path / "A.csv").write_text(head + "".join(day(k) for k in range(1, 9)))
+    (tmp_path / "B.csv").mkdir()
+    for part in (1, 2):
+        (tmp_path / f"B.csv/part-{part}").write_text(head + day(part))
+    (tmp_path / "B.csv/_SUCCESS").write_text("")
+    (tmp_path / "C.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-03,1,2,0.5,3,10\n")
+    (tmp_path / "contracts.csv").write_text("symbol\nA\n")
+    (tmp_path / "notes.txt").write_text("x")
+    rows = lambda df: sorted((r["contract"], r["ts"].day, r["close"], r["open_interest"]) for r in df.collect())
+    every = [*(("A", k, float(k), 5.0) for k in range(1, 9)), ("B", 1, 1.0, 5.0), ("B", 2, 2.0, 5.0), ("C", 3, 3.0, None)]
+    before = spark.conf.get(contracts.PUSHDOWN, "false")
+    try:
+        for pushed in ("true", "false"):
+            spark.conf.set(contracts.PUSHDOWN, pushed)
+            df = contracts.contract_bars(spark, f"file://{tmp_path}")
+            assert df.rdd.getNumPartitions() == 4 and rows(df) == every
+            some = df.filter("contract IN ('A', 'C') AND ts >= timestamp'2024-01-03' AND ts < timestamp'2024-01-05'")
+            assert rows(some) == [("A", 3, 3.0, 5.0), ("A", 4, 4.0, 5.0), ("C", 3, 3.0, None)]
+            assert rows(df.filter("contract = 'B'")) == every[8:10] and rows(df.filter("contract = 'Z'")) == []
+    finally:
+        spark.conf.set(contracts.PUSHDOWN, before)
+    r = contracts.FilteredReader({"root": f"file://{tmp_path}"})
+    left = list(r.pushFilters([contracts.In(("contract",), ("A", "B")), contracts.EqualTo(("contract",), "B"), contracts.EqualTo(("close",), 1.0)]))
+    assert [p.contract for p in r.partitions()] == ["B", "B"] and len(left) == 1
+    with pytest.raises(ValueError):
+        contracts.ContractReader({})
+
+
 def test_fetch_saves_all_or_nothing(spark, tmp_path):
     bars, contracts, days = contract_bars(spark)
 

@@ -25,7 +25,7 @@ SCHEMAS = {
 
 def session(app: str = "tickforge", **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; further settings by keyword, dots as double underscores."""
-    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.python.filterPushdown.enabled", "true")
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()

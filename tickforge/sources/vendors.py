@@ -7,16 +7,17 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Record names by interval, price scale, and column names of daily files.
+from .contracts import DAILY_COLUMNS, contract_bars
+
+#: Record names by interval, and price scale.
 RECORDS = {"1m": "ohlcv-1m", "1h": "ohlcv-1h", "1d": "ohlcv-1d"}
 PRICE_SCALE = 1e-9
-DAILY_COLUMNS = {"Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume", "Open Interest": "open_interest"}
 OHLCV = "ts_event long, rtype int, instrument_id long, open long, high long, low long, close long, volume long"
 DEFINITIONS = "raw_symbol string, instrument_id long, activation long, expiration long"
 
 
 class Provider(Protocol):
-    """A source of contract bars."""
+    """A source of contract bars. One that also has fetch_all(contracts, start, end, interval), with a column contract, gives all in one scan."""
 
     def fetch_bars(self, contract: str, start: str, end: str, interval: str) -> DataFrame: ...
 
@@ -77,6 +78,11 @@ class FileProvider:
             raise ValueError("daily files only")
         return read_daily_csv(self.spark, f"{self.root}/{contract}.csv", contract).filter(F.col("ts").between(start, end))
 
+    def fetch_all(self, contracts: list[str], start: str, end: str, interval: str = "1d") -> DataFrame:
+        if interval != "1d":
+            raise ValueError("daily files only")
+        return contract_bars(self.spark, self.root).filter(F.col("contract").isin(contracts) & F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))).withColumn("symbol", F.col("contract"))
+
     def list_contracts(self, root: str, start: str, end: str) -> DataFrame:
         if not self.validation_grade:
             raise NotImplementedError("development data have no contracts")
@@ -92,8 +98,8 @@ def fetch_snapshot(provider: Provider, store, root: str, start: str, end: str, i
     names = [r["symbol"] for r in contracts.select("symbol").orderBy("expiry").collect()]  # a row a contract
     if not names:
         raise ValueError(f"{root} has no contracts")
-    bars = None
-    for n in names:
+    bars = provider.fetch_all(names, start, end, interval) if hasattr(provider, "fetch_all") else None
+    for n in () if hasattr(provider, "fetch_all") else names:
         part = provider.fetch_bars(n, start, end, interval).withColumn("contract", F.lit(n))
         bars = part if bars is None else bars.unionByName(part, allowMissingColumns=True)
     series = continuous(bars, contracts, rule, adjustment, symbol=root)
