@@ -392,6 +392,39 @@ def test_trials(spark, tmp_path):
     assert store.list_hash() == store.list_hash() != store.list_hash("f")
 
 
+def test_trials_of_many_writers(spark, tmp_path):
+    """Eight threads add 100 trials each: ids are 1 to 800, each writer's in its order; of equal trial_ids one is added."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/trials"
+    trial = lambda i: {"trial_id": i, "run_id": "r", "strategy_family": "f", "config_hash": "h", "params": {}, "metrics": {}}
+
+    def write(k):
+        store = TrialStore(spark, path)
+        for part in range(2):
+            store.append([trial(f"{k}-{n:03d}") for n in range(50 * part, 50 * part + 50)])
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(write, range(8)))
+    rows = TrialStore(spark, path).all().collect()
+    assert [r["id"] for r in rows] == list(range(1, 801)) and len({r["trial_id"] for r in rows}) == 800
+    for k in range(8):
+        own = [r["trial_id"] for r in rows if r["trial_id"].startswith(f"{k}-")]
+        assert own == sorted(own)
+
+    def same(k):
+        try:
+            TrialStore(spark, path).append([trial(f"new-{k}"), trial("same")])
+            return 1
+        except ValueError:
+            return 0
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(same, range(4))) == 1
+    store = TrialStore(spark, path)
+    assert store.count() == 802 and store.log.size() == 17 and not store.log.put(3, {})
+
+
 def test_vendor_files(spark, tmp_path):
     records = spark.createDataFrame([(1_700_000_000_000_000_000, 34, 1, 5_000_250_000_000, 5_001_000_000_000, 4_999_000_000_000, 5_000_500_000_000, 7)], "ts_event long, rtype int, instrument_id long, open long, high long, low long, close long, volume long")
     r = fixed_point_bars(records, "MES").first()
