@@ -318,11 +318,11 @@ def test_snapshots(spark, tmp_path):
     again, other = (synthetic_bars(spark, 20_000, k).orderBy("pos").collect() for k in (7, 8))
     rows = synthetic_bars(spark, 20_000).repartition(3).orderBy("pos").collect()
     assert rows == again != other
-    assert all(r["low"] <= min(r["open"], r["close"]) and max(r["open"], r["close"]) <= r["high"] and 50 <= r["volume"] < 5000 for r in rows)
+    assert all(r["low"] <= min(r["open"], r["close"]) and max(r["open"], r["close"]) <= r["high"] and 100 <= r["volume"] < 9100 for r in rows)
     assert all(abs(a["close"] - c["open"]) < 1e-6 for a, c in zip(rows, rows[1:]))
     gaps = [(c["ts"] - a["ts"]).total_seconds() for a, c in zip(rows, rows[1:])]
-    assert all(g == (3600 if (k + 1) % 1380 == 0 else 60) for k, g in enumerate(gaps))
-    assert abs(np.std(np.diff(np.log([r["close"] for r in rows]))) / 0.0009 - 1) < 0.05
+    assert all(g == (7200 if (k + 1) % 1320 == 0 else 60) for k, g in enumerate(gaps))
+    assert abs(np.std(np.diff(np.log([r["close"] for r in rows]))) / 0.0012 - 1) < 0.05
     with pytest.raises(ValueError, match="unknown columns"):
         b.validate(bars.withColumn("x", F.lit(1)))
 

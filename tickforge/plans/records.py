@@ -17,7 +17,7 @@ from ..sources import snapshots, vendors
 from ..sources.bars import DAILY_SQL, EVENT_SQL, event_bars, lineitem_bars, resample, union_bars
 from ..sources.trials import TrialStore
 from ..streaming import brokers, live, submit
-from . import research, validation
+from . import market, research, validation
 from .backtest import Strategy, event_log
 from .market import GRID, MES, WINDOW, _SHARPE, donchian_ctes, event_ctes, rounded
 from .validation import COSTS, _contracts, _indexed, _priced, _stitched_sql, _table
@@ -63,55 +63,62 @@ def snapshot_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synthetic_calendar(spark: SparkSession, d: str) -> DataFrame:
-    """Days of a synthetic snapshot: its bars by day, and how many hold together."""
+    """Sessions of a synthetic snapshot that has as many bars as there are events: its bars by session, and how many hold together."""
     store = snapshots.SnapshotStore(spark, new_path(spark, "snapshots"))
-    bars, _ = store.load(snapshots.synthetic_snapshot(store, 5_000, 3))
+    bars, _ = store.load(snapshots.synthetic_snapshot(store, _table(spark, d, "events").count(), 3))
     whole = (F.col("low") <= F.least("open", "close")) & (F.col("high") >= F.greatest("open", "close")) & (F.col("low") > 0)
-    return bars.groupBy(F.floor((F.col("pos")) / 1380).alias("session")).agg(F.count("*").alias("n"), F.sum(whole.cast("long")).alias("whole"), F.unix_seconds(F.min("ts")).alias("first"), F.unix_seconds(F.max("ts")).alias("last"))
+    return bars.groupBy(F.floor(F.col("pos") / snapshots.SESSION).alias("session")).agg(F.count("*").alias("n"), F.sum(whole.cast("long")).alias("whole"), F.unix_seconds(F.min("ts")).alias("first"), F.unix_seconds(F.max("ts")).alias("last"))
 
 
 def reference_bars(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(snapshots.reference_history(spark).select("pos", F.date_format("ts", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume"))
+    """The closed-form history of as many business days as have line items."""
+    days = _table(spark, d, "lineitem").select(F.to_date("l_shipdate")).distinct().count()
+    return rounded(snapshots.reference_history(spark, days).select("pos", F.date_format("ts", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume"))
 
 
 # Vendor files ------------------------------------------------------------------------------------------------------------------
 
 
-def vendor_fixed_point(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly bars of one symbol as records in units of 1e-9, written and read."""
-    at, one = new_path(spark, "records"), event_bars(spark, d).filter("symbol = 'click'")
-    raw = one.select((F.unix_micros("ts") * 1000).alias("ts_event"), F.lit(34).alias("rtype"), F.lit(7).alias("instrument_id"), *(F.round(F.col(c) * 1e9).cast("long").alias(c) for c in ("open", "high", "low", "close")), F.col("volume").cast("long").alias("volume"))
-    _one_array(raw, at)
-    return rounded(vendors.read_fixed_point(spark, at, "click").select("symbol", F.unix_seconds("ts").alias("at"), "open", "high", "low", "close", "volume"))
+def _definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Contract definitions of the events' types: known from the first event on (one of them doesn't say), expired with the last."""
+    nanos = lambda c: F.unix_micros(c.cast("timestamp")) * 1000
+    e = _table(spark, d, "events").groupBy("event_type").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    return e.select(F.col("event_type").alias("raw_symbol"), F.crc32(F.col("event_type").cast("binary")).alias("instrument_id"), F.when(F.col("event_type") != "view", nanos(F.col("lo"))).alias("activation"), nanos(F.col("hi")).alias("expiration"))
 
 
-def _one_array(df: DataFrame, at: str) -> None:
-    """Rows as one JSON array in one file, as vendors send them (a fixture of a few thousand rows)."""
-    df.coalesce(1).select(F.to_json(F.struct("*")).alias("x")).groupBy().agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("x")), F.lit("]")).alias("value")).coalesce(1).write.text(at)
+def vendor_fixed_point(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars of all symbols as records in units of 1e-9, a line each, read by the instruments' definitions."""
+    at, bars = new_path(spark, "records"), event_bars(spark, d)
+    _definitions(spark, d).write.json(f"{at}/definitions")
+    raw = bars.select((F.unix_micros("ts") * 1000).alias("ts_event"), F.lit(34).alias("rtype"), F.crc32(F.col("symbol").cast("binary")).alias("instrument_id"), *(F.round(F.col(c) * 1e9).cast("long").alias(c) for c in ("open", "high", "low", "close")), F.col("volume").cast("long").alias("volume"))
+    raw.write.json(f"{at}/records")
+    got = vendors.read_fixed_point(spark, f"{at}/records", vendors.read_definitions(spark, f"{at}/definitions", lines=True), lines=True)
+    return rounded(got.select("symbol", F.unix_seconds("ts").alias("at"), "open", "high", "low", "close", "volume"))
 
 
 def vendor_definitions(spark: SparkSession, d: str) -> DataFrame:
-    at, listed = new_path(spark, "definitions"), _contracts(spark, d)[1]
-    nanos = lambda c: (F.unix_seconds(F.col(c).cast("timestamp")) * 1_000_000_000)
-    _one_array(listed.select(F.col("symbol").alias("raw_symbol"), F.lit(1).alias("instrument_id"), F.when(F.col("symbol") != "3", nanos("expiry") - 86_400_000_000_000 * 365).alias("activation"), nanos("expiry").alias("expiration")), at)
-    return vendors.read_definitions(spark, at).select("symbol", F.date_format("expiry", "yyyy-MM-dd").alias("expiry"), F.date_format("first_trade", "yyyy-MM-dd").alias("first_trade"))
+    at = new_path(spark, "definitions")
+    _definitions(spark, d).write.json(at)
+    return vendors.read_definitions(spark, at, lines=True).select("symbol", F.date_format("expiry", "yyyy-MM-dd").alias("expiry"), F.date_format("first_trade", "yyyy-MM-dd").alias("first_trade"))
 
 
-def _daily_files(spark: SparkSession, d: str, last: str) -> DataFrame:
-    bars = lineitem_bars(spark, d).filter("symbol = 'N'")
-    return bars.select(F.date_format("ts", "yyyy-MM-dd").alias("Date"), *(F.col(c.lower()).alias(c) for c in ("Open", "High", "Low", "Close")), *([F.col("close").alias("Adj Close")] if last != "Open Interest" else []), F.col("volume").alias("Volume"), *([(F.col("pos") + 1).cast("double").alias("Open Interest")] if last == "Open Interest" else []))
+def _daily_files(spark: SparkSession, d: str, last: str, at: str) -> str:
+    """Daily bars of all symbols as named columns, in a folder for each symbol."""
+    bars = lineitem_bars(spark, d)
+    more = [(F.col("pos") + 1).cast("double").alias("Open Interest")] if last == "Open Interest" else []
+    dev = [] if more else [F.col("close").alias("Adj Close")]
+    bars.select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("Date"), *(F.col(c.lower()).alias(c) for c in ("Open", "High", "Low", "Close")), *dev, F.col("volume").alias("Volume"), *more).write.partitionBy("symbol").csv(at, header=True)
+    return at
 
 
 def vendor_daily(spark: SparkSession, d: str) -> DataFrame:
-    at = new_path(spark, "daily")
-    _daily_files(spark, d, "Open Interest").write.csv(at, header=True)
-    return rounded(vendors.read_daily_csv(spark, at, "N").select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume", "open_interest"))
+    at = _daily_files(spark, d, "Open Interest", new_path(spark, "daily"))
+    return rounded(vendors.read_daily_csv(spark, at, None).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume", "open_interest"))
 
 
 def vendor_development(spark: SparkSession, d: str) -> DataFrame:
-    at = new_path(spark, "dev")
-    _daily_files(spark, d, "Volume").write.csv(at, header=True)
-    return rounded(vendors.read_dev_csv(spark, at, "N").select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume", "validation_grade"))
+    at = _daily_files(spark, d, "Volume", new_path(spark, "dev"))
+    return rounded(vendors.read_dev_csv(spark, at, None).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume", "validation_grade"))
 
 
 def fetched_series(spark: SparkSession, d: str) -> DataFrame:
@@ -455,14 +462,14 @@ SQL = {
     "snapshot_round_trip": f"SELECT symbol, pos, {_OHLC} FROM ({EVENT_SQL})",
     "snapshot_listing": f"SELECT symbol, strftime(min(ts), '%Y-%m-%d %H') AS first, strftime(max(ts), '%Y-%m-%d %H') AS last, symbol <> 'view' AS validation_grade FROM ({EVENT_SQL}) GROUP BY symbol",
     "snapshot_union": f"SELECT symbol, CAST(epoch(ts) AS BIGINT) AS at, {_OHLC} FROM ({EVENT_SQL})",
-    "synthetic_calendar": "SELECT k // 1380 AS session, count(*) AS n, count(*) AS whole, min(1704153600 + 60 * k + 3540 * (k // 1380)) AS first, max(1704153600 + 60 * k + 3540 * (k // 1380)) AS last FROM range(5000) r(k) GROUP BY 1",
-    "reference_bars": """WITH d AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2021-12-31', INTERVAL 1 DAY)) AS day) WHERE isodow(day) < 6),
-        c AS (SELECT *, 1000.0 + sin(pos * 0.1) * 10 + pos * 0.25 AS close FROM d WHERE pos < 250)
+    "synthetic_calendar": "SELECT k // 1320 AS session, count(*) AS n, count(*) AS whole, min(1704153600 + 60 * k + 7140 * (k // 1320)) AS first, max(1704153600 + 60 * k + 7140 * (k // 1320)) AS last FROM (SELECT row_number() OVER () - 1 AS k FROM events) GROUP BY 1",
+    "reference_bars": """WITH d AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2059-12-31', INTERVAL 1 DAY)) AS day) WHERE isodow(day) < 6),
+        c AS (SELECT *, 1000.0 + sin(pos * 0.1) * 10 + pos * 0.25 AS close FROM d WHERE pos < (SELECT count(DISTINCT CAST(l_shipdate AS DATE)) FROM lineitem))
         SELECT pos, strftime(day, '%Y-%m-%d') AS day, round(coalesce(lag(close) OVER (ORDER BY pos), close), 6) AS open, round(close + 2, 6) AS high, round(close - 2, 6) AS low, round(close, 6) AS close, 5000.0::DOUBLE AS volume FROM c""",
-    "vendor_fixed_point": f"SELECT symbol, CAST(epoch(ts) AS BIGINT) AS at, {_OHLC} FROM ({EVENT_SQL}) WHERE symbol = 'click'",
-    "vendor_definitions": "SELECT CAST(k AS VARCHAR) AS symbol, strftime(e, '%Y-%m-%d') AS expiry, CASE WHEN k <> 3 THEN strftime(e - INTERVAL 365 DAY, '%Y-%m-%d') END AS first_trade FROM (SELECT k, make_date(1994 + k, 12, 28) AS e FROM range(1, 8) r(k))",
-    "vendor_daily": f"SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, {_OHLC}, CAST(pos + 1 AS DOUBLE) AS open_interest FROM ({DAILY_SQL}) WHERE symbol = 'N'",
-    "vendor_development": f"SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, {_OHLC}, FALSE AS validation_grade FROM ({DAILY_SQL}) WHERE symbol = 'N'",
+    "vendor_fixed_point": f"SELECT symbol, CAST(epoch(ts) AS BIGINT) AS at, {_OHLC} FROM ({EVENT_SQL})",
+    "vendor_definitions": """SELECT event_type AS symbol, strftime(max(ts), '%Y-%m-%d') AS expiry, CASE WHEN event_type <> 'view' THEN strftime(min(ts), '%Y-%m-%d') END AS first_trade FROM events GROUP BY event_type""",
+    "vendor_daily": f"SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, {_OHLC}, CAST(pos + 1 AS DOUBLE) AS open_interest FROM ({DAILY_SQL})",
+    "vendor_development": f"SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, {_OHLC}, FALSE AS validation_grade FROM ({DAILY_SQL})",
     "fetched_series": f"SELECT * EXCLUDE (contract) FROM ({_stitched_sql('ratio')})",
     "roll_dates_open_interest": f"""WITH {_interest()}, c AS (SELECT *, sum(CASE WHEN bv > fv THEN 1 ELSE 0 END) OVER (PARTITION BY seq1 ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS k FROM common)
         SELECT CAST(seq1 - 1 AS BIGINT) AS seq, strftime(min(ts), '%Y-%m-%d') AS day, round(arg_min(front_close, ts), 6) AS front_close, round(arg_min(back_close, ts), 6) AS back_close FROM c WHERE k = 3 GROUP BY seq1""",
@@ -483,7 +490,10 @@ SQL = {
         got AS (SELECT combo_id, count(*) AS n, sum(net_pnl_usd) AS net, {_SHARPE.format(x="net_pnl_usd")} AS sr FROM priced JOIN size ON entry_pos BETWEEN k AND 2 * k GROUP BY combo_id)
         SELECT g.combo_id, coalesce(n, 0) AS n_trades, round(coalesce(net, 0.0), 6) AS net_pnl, round(coalesce(sr, 0.0), 6) AS sharpe_net FROM grid g LEFT JOIN got USING (combo_id)""",
     "sharpe_errors": f"WITH {donchian_ctes(GRID)}, {_FLAT} SELECT CAST(combo_id AS BIGINT) AS combo_id, round(error, 6) AS error FROM e",
-    "deflated_sharpe": f"""WITH {donchian_ctes(GRID)}, {_FLAT}, x AS (SELECT *, sr / error - {statistics.expected_max_z(len(GRID))!r} AS x FROM e)
+    "deflated_sharpe": f"""WITH RECURSIVE {donchian_ctes(GRID)}, {_FLAT},
+        halved AS (SELECT k, p, -6.0::DOUBLE AS lo, 6.0::DOUBLE AS hi, 0 AS i FROM (VALUES (0, 1 - 1.0::DOUBLE / {len(GRID)}), (1, 1 - exp(-1.0::DOUBLE) / {len(GRID)})) v(k, p)
+            UNION ALL SELECT k, p, CASE WHEN c < p THEN mid ELSE lo END, CASE WHEN c < p THEN hi ELSE mid END, i + 1 FROM (SELECT *, {NORMAL_SQL.format(x="mid")} AS c FROM (SELECT *, (lo + hi) / 2 AS mid FROM halved)) WHERE i < 60),
+        luck AS (SELECT sum(CASE WHEN k = 0 THEN 1 - 0.5772156649015329 ELSE 0.5772156649015329 END * (lo + hi) / 2) AS z FROM halved WHERE i = 60), x AS (SELECT *, sr / error - (SELECT z FROM luck) AS x FROM e)
         SELECT CAST(combo_id AS BIGINT) AS combo_id, round(sr, 6) AS sharpe, n, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round({NORMAL_SQL.format(x="x")}, 6) AS dsr FROM x""",
     "meta_features": f"""WITH {donchian_ctes([WINDOW])}, r AS (SELECT *, {", ".join(f"close / lag(close, {h}) OVER w - 1 AS ret_{h}" for h in (1, 5, 20))} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
         v AS (SELECT *, CASE WHEN count(ret_1) OVER w = 20 THEN stddev_samp(ret_1) OVER w END AS vol_20 FROM r WINDOW w AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
@@ -513,9 +523,15 @@ SQL = {
     "quote_ticks": "SELECT CAST(user_id AS VARCHAR) AS instrument, count(*) AS n, round(sum(value), 6) AS total, min(CAST(floor(epoch(ts)) AS BIGINT)) AS first, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last FROM events GROUP BY 1",
     "streaming_submit": """SELECT DISTINCT concat_ws('-', user_id, event_type) AS client_order_id, event_type <> 'view' AND user_id % 7 <> 0 AS accepted,
         CASE WHEN event_type = 'view' THEN 'halted' WHEN user_id % 7 = 0 THEN 'refused' END AS reason, CASE WHEN event_type <> 'view' AND user_id % 7 <> 0 THEN CAST(user_id AS BIGINT) END AS order_id FROM events""",
-    "lookahead_audit": f"""WITH bars AS ({EVENT_SQL}), cuts AS (SELECT symbol, cut, CAST(floor(max(pos) * cut) AS BIGINT) AS spot, max(pos) AS last FROM bars CROSS JOIN (SELECT unnest([0.5, 0.75, 0.9])::DOUBLE AS cut) GROUP BY symbol, cut),
-        ops AS (SELECT unnest(['feature.rsi', 'feature.window', 'leaky.next_close', 'signal.donchian']) AS operator, unnest([1, 2, 1, 1]) AS k)
-        SELECT operator, cut, CAST(sum(spot + 1) * any_value(k) AS BIGINT) AS checked, CAST(CASE WHEN operator LIKE 'leaky%' THEN sum(CASE WHEN spot < last THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS mismatches FROM cuts CROSS JOIN ops GROUP BY operator, cut""",
+    "lookahead_audit": f"""WITH src AS ({EVENT_SQL}), cuts AS (SELECT symbol, cut, CAST(floor(max(pos) * cut) AS BIGINT) AS spot FROM src CROSS JOIN (SELECT unnest([0.5, 0.75, 0.9])::DOUBLE AS cut) GROUP BY symbol, cut),
+        bars AS (SELECT symbol || '|whole' AS symbol, symbol AS own, NULL::DOUBLE AS cut, pos, open, high, low, close, volume FROM src
+            UNION ALL SELECT s.symbol || '|' || c.cut, s.symbol, c.cut, pos, open, high, low, close, volume FROM src s JOIN cuts c ON s.symbol = c.symbol AND pos <= spot),
+        {market._RECURSIVE}, prior AS (SELECT *, {market._full("avg", "close", 20)} AS sma, 100 * ((close - {market._full("min", "low", 14)}) / nullif({market._full("max", "high", 14)} - {market._full("min", "low", 14)}, 0)) AS stoch,
+            lead(close) OVER ({market._W}) AS next_close, count(close) OVER b AS seen, max(high) OVER b AS top, min(low) OVER b AS bottom FROM third WINDOW b AS ({market._W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+        made AS (SELECT *, coalesce(last_value(CASE WHEN seen >= 20 AND close > top THEN 1.0 WHEN seen >= 20 AND close < bottom THEN -1.0 END IGNORE NULLS) OVER ({market._W} ROWS UNBOUNDED PRECEDING), 0.0)::DOUBLE AS raw FROM prior),
+        long AS (SELECT own, cut, pos, unnest(['feature.window', 'feature.window', 'feature.rsi', 'signal.donchian', 'leaky.next_close']) AS operator, unnest([1, 2, 1, 1, 1]) AS k, unnest([sma, stoch, rsi, raw, next_close]) AS v FROM made)
+        SELECT a.operator, b.cut, count(*) AS checked, CAST(sum(CASE WHEN a.v IS NOT DISTINCT FROM b.v OR coalesce(abs(a.v - b.v) <= 1e-9 + 1e-5 * abs(b.v), FALSE) THEN 0 ELSE 1 END) AS BIGINT) AS mismatches
+        FROM long a JOIN long b ON a.own = b.own AND a.pos = b.pos AND a.operator = b.operator AND a.k = b.k WHERE a.cut IS NULL AND b.cut IS NOT NULL GROUP BY a.operator, b.cut""",
     "streaming_risk": _risk_sql(research.replace_limits()),
     "streaming_stale": f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS account, epoch_ms(ts) AS ms, epoch_ms(max(ts) OVER ()) AS last FROM events),
         n AS (SELECT *, lead(ms) OVER (PARTITION BY account ORDER BY ms) AS next FROM e)

@@ -10,6 +10,7 @@ from ..operators import account, crossval, labels, reconcile, statistics, stitch
 from ..operators import trading as t
 from ..operators.features import trailing_volatility
 from ..operators.order import by_entry, dense_index
+from ..session import new_path
 from ..sources.bars import DAILY_SQL, EVENT_SQL, event_bars, lineitem_bars
 from . import market
 from .market import GRID, MES, WINDOW, _full, _lag, _SHARPE, donchian_ctes, rounded
@@ -58,7 +59,10 @@ def fixed_horizon(spark: SparkSession, d: str) -> DataFrame:
 def _intervals(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     o = _table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     day = F.unix_date(F.to_date("o_orderdate")).cast("long")
-    return dense_index(o, F.to_date("o_orderdate"), ["o_orderdate", "o_orderkey"], "pos").select("pos", day.alias("t0"), (day + 5).alias("t1")), o.count()  # a bucket a day
+    numbered = dense_index(o, F.to_date("o_orderdate"), ["o_orderdate", "o_orderkey"], "pos").select("pos", day.alias("t0"), (day + 5).alias("t1"))  # a bucket a day
+    path = new_path(spark, "intervals")  # read by the look at the intervals, by the groups' bounds and by the folds
+    numbered.write.parquet(path)
+    return spark.read.schema(numbered.schema).parquet(path), o.count()
 
 
 def _summary(folds: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contracts import DAILY_COLUMNS, contract_bars
@@ -32,39 +32,52 @@ def _no_nulls(df: DataFrame, columns: list[str], what: str) -> DataFrame:
     return df.withColumn(first, F.when(bad, F.raise_error(F.lit(f"{what} lacks a field")).cast(df.schema[first].dataType)).otherwise(F.col(first)))
 
 
-def fixed_point_bars(records: DataFrame, symbol: str) -> DataFrame:
-    """Records with nanosecond times and prices in units of 1e-9 as bars; a missing field raises."""
+def fixed_point_bars(records: DataFrame, symbol: str | DataFrame) -> DataFrame:
+    """Records with nanosecond times and prices in units of 1e-9 as bars; a missing field raises, and so does an instrument that
+    definitions (instrument_id, symbol) lack."""
     records = _no_nulls(records, ["ts_event", "open", "high", "low", "close", "volume"], "a record")
     price = lambda c: (F.col(c) * PRICE_SCALE).alias(c)
-    return records.select(F.lit(symbol).alias("symbol"), F.timestamp_micros(F.floor(F.col("ts_event") / 1000).cast("long")).alias("ts"), *(price(c) for c in ("open", "high", "low", "close")), F.col("volume").cast("double").alias("volume"))
+    own = F.lit(symbol) if isinstance(symbol, str) else F.coalesce("_symbol", F.raise_error(F.concat(F.lit("no such instrument: "), F.col("instrument_id").cast("string"))))
+    if not isinstance(symbol, str):
+        records = records.join(symbol.select("instrument_id", F.col("symbol").alias("_symbol")), "instrument_id", "left")
+    return records.select(own.alias("symbol"), F.timestamp_micros(F.floor(F.col("ts_event") / 1000).cast("long")).alias("ts"), *(price(c) for c in ("open", "high", "low", "close")), F.col("volume").cast("double").alias("volume"))
 
 
-def read_fixed_point(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    return fixed_point_bars(spark.read.schema(OHLCV).json(path, multiLine=True), symbol)
+def read_fixed_point(spark: SparkSession, path: str, symbol: str | DataFrame, lines: bool = False) -> DataFrame:
+    """Records as bars: of one symbol, or of all in definitions (instrument_id, symbol). A file is one array, which a task reads whole, or with
+    lines a record a line, which is split like any text."""
+    return fixed_point_bars(spark.read.schema(OHLCV).json(path, multiLine=not lines), symbol)
 
 
-def read_definitions(spark: SparkSession, path: str) -> DataFrame:
-    """symbol, expiry and first_trade (null where not given) of contract definitions."""
-    d = _no_nulls(spark.read.schema(DEFINITIONS).json(path, multiLine=True), ["raw_symbol", "expiration"], "a definition")
+def read_definitions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """symbol, expiry, first_trade (null where not given) and instrument_id of contract definitions."""
+    d = _no_nulls(spark.read.schema(DEFINITIONS).json(path, multiLine=not lines), ["raw_symbol", "expiration"], "a definition")
     day = lambda c: F.to_date(F.timestamp_micros(F.floor(F.col(c) / 1000).cast("long")))
-    return d.select(F.col("raw_symbol").alias("symbol"), day("expiration").alias("expiry"), day("activation").alias("first_trade"))
+    return d.select(F.col("raw_symbol").alias("symbol"), day("expiration").alias("expiry"), day("activation").alias("first_trade"), "instrument_id")
 
 
-def read_daily_csv(spark: SparkSession, path: str, symbol: str, open_interest: bool = True) -> DataFrame:
-    """Daily files with named columns, in UTC."""
+def _daily(spark: SparkSession, path: str, symbol: str | None, columns: str, **options) -> tuple[DataFrame, Column]:
+    """Daily files of one symbol, or of all in folders symbol=..., and their symbol."""
+    if symbol is not None:
+        return spark.read.schema(columns).csv(path, header=True, **options), F.lit(symbol)
+    return spark.read.schema(columns + ", symbol string").csv(path, header=True, **options), F.col("symbol")
+
+
+def read_daily_csv(spark: SparkSession, path: str, symbol: str | None, open_interest: bool = True) -> DataFrame:
+    """Daily files with named columns, in UTC: of one symbol, or (None) of all that have a folder symbol=... there."""
     names = [c for c in DAILY_COLUMNS if open_interest or c != "Open Interest"]
-    raw = spark.read.schema("Date date, " + ", ".join(f"`{c}` double" for c in names)).csv(path, header=True, enforceSchema=False)
-    return raw.select(F.lit(symbol).alias("symbol"), F.col("Date").cast("timestamp").alias("ts"), *(F.col(c).alias(DAILY_COLUMNS[c]) for c in names))
+    raw, own = _daily(spark, path, symbol, "Date date, " + ", ".join(f"`{c}` double" for c in names), enforceSchema=False)
+    return raw.select(own.alias("symbol"), F.col("Date").cast("timestamp").alias("ts"), *(F.col(c).alias(DAILY_COLUMNS[c]) for c in names))
 
 
 def read_contract_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("symbol string, expiration date, first_trade date").csv(path, header=True).select("symbol", F.col("expiration").alias("expiry"), "first_trade")
 
 
-def read_dev_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_dev_csv(spark: SparkSession, path: str, symbol: str | None) -> DataFrame:
     """Daily files with an adjusted close, which is dropped. Never of validation grade: validation_grade is false."""
-    raw = spark.read.schema("Date date, Open double, High double, Low double, Close double, `Adj Close` double, Volume double").csv(path, header=True)
-    return raw.select(F.lit(symbol).alias("symbol"), F.col("Date").cast("timestamp").alias("ts"), *(F.col(c).alias(DAILY_COLUMNS[c]) for c in ("Open", "High", "Low", "Close", "Volume")), F.lit(False).alias("validation_grade"))
+    raw, own = _daily(spark, path, symbol, "Date date, Open double, High double, Low double, Close double, `Adj Close` double, Volume double")
+    return raw.select(own.alias("symbol"), F.col("Date").cast("timestamp").alias("ts"), *(F.col(c).alias(DAILY_COLUMNS[c]) for c in ("Open", "High", "Low", "Close", "Volume")), F.lit(False).alias("validation_grade"))
 
 
 class FileProvider:
