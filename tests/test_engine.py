@@ -425,6 +425,34 @@ def test_trials_of_many_writers(spark, tmp_path):
     assert store.count() == 802 and store.log.size() == 17 and not store.log.put(3, {})
 
 
+def test_run_from_a_file_and_a_snapshot(spark, tmp_path):
+    """The gate, the report's sections, and a manifest that doesn't read the clock."""
+    from tickforge.plans.research import read_report, run_snapshot
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/snapshots")
+    bars = synthetic_bars(spark, 400)
+    meta = SnapshotMeta("MES", "synthetic", "1m", "a", "b", True, "now", continuous={"roll_rule": "volume"})
+    good, bad = store.save(bars, meta), store.save(bars, replace(meta, validation_grade=False))
+    write = lambda name, text: (tmp_path / name).write_text(text) and tmp_path / name
+    run = "run:\n  grid: {window: [5, 10, 20]}\n  bootstrap: 20\n  paths: 20\n"
+    with pytest.raises(DataIntegrityError):
+        run_snapshot(write("bad.yaml", f"snapshot_hash: {bad}\n{run}"), store, tmp_path / "out")
+    with pytest.raises(config.ConfigError):
+        run_snapshot(write("odd.yaml", f"snapshot_hash: {good}\nsettings: 1\n{run}"), store, tmp_path / "out")
+    path = write("run.yaml", f"snapshot_hash: {good}\n{run}")
+    report = run_snapshot(path, store, tmp_path / "out", TrialStore(spark, f"file://{tmp_path}/trials"))
+    assert report.manifest.snapshots == [good] and report.trials == 3 and report.manifest.created_at == run_snapshot(path, store, tmp_path / "again").manifest.created_at
+    found = read_report(tmp_path / "out" / report.manifest.run_id)
+    for title in ("Gates", "Numbers", "Costs", "Survival", "Data", "Trials", "Flags"):
+        assert f"## {title}" in found["report.md"]
+    html = (tmp_path / "out" / report.manifest.run_id / "report.html").read_text()
+    assert html.count("<table>") == 7 and "<pre>" not in html and good in html
+    tables = {title: dict((r[0], r[1]) for r in rows) for title, _, rows in report.tables()}
+    money = {k: float(v) for k, v in tables["Costs"].items()}
+    assert money["gross_pnl_usd"] - sum(money[c] for c in ("commission_usd", "fees_usd", "spread_cost_usd", "slippage_usd")) == pytest.approx(money["net_pnl_usd"], abs=0.05) and money["commission_usd"] > 0
+    assert tables["Data"]["features"] == "16" and int(tables["Data"]["labels"]) > 100 and "ci_lo" in tables["Survival"]
+
+
 def test_vendor_files(spark, tmp_path):
     records = spark.createDataFrame([(1_700_000_000_000_000_000, 34, 1, 5_000_250_000_000, 5_001_000_000_000, 4_999_000_000_000, 5_000_500_000_000, 7)], "ts_event long, rtype int, instrument_id long, open long, high long, low long, close long, volume long")
     r = fixed_point_bars(records, "MES").first()

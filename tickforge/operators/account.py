@@ -185,7 +185,8 @@ def survival(log: DataFrame, rules: AccountRules, paths: int = 1_000, days: int
     sizes = contracts or [1.0]
     n = log.count()
     if not n:
-        return log.sparkSession.createDataFrame([(float(s), paths, 1.0, 0.0, None) for s in sizes], "contracts double, n_paths long, p_survival double, p_target double, median_days_to_target double")
+        flat = log.sparkSession.createDataFrame([(float(s), paths, 1.0, 0.0, None, {}) for s in sizes], "contracts double, n_paths long, p_survival double, p_target double, median_days_to_target double, busts map<string,double>")
+        return flat.withColumns(dict(zip(("ci_lo", "ci_hi"), wilson(F.col("p_survival"), F.col("n_paths")), strict=True)))
     per_day = trades_per_day(log)
     block = block or block_length(log)
     one = to_days(resample(log, n, paths, days * per_day, block, seed, start), per_day)

@@ -4,7 +4,6 @@ manifest."""
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from ..config import INSTRUMENTS, Costs, config_hash
 from ..operators import trading as t
 from ..sources.snapshots import SnapshotStore, require_validation_grade
 from ..sources.trials import TrialStore
-from .manifest import Manifest, git_sha
+from .manifest import FIXED_AT, Manifest, git_sha
 
 #: No costs at all.
 FREE = Costs(0.0, 0.0, 0.0, 0.0, "fixed", 0.0, 0)
@@ -58,7 +57,7 @@ def totals(log: DataFrame, balance: float) -> dict[str, float]:
     return {n: float(row[n]) if row is not None else 0.0 for n in names}
 
 
-def backtest(bars: DataFrame, strategy: Strategy, costs: Costs = Costs(), instrument: str = "MES", delay: int = 0, trials: TrialStore | None = None, snapshots: tuple[str, ...] = (), created_at: str | None = None) -> Backtest:
+def backtest(bars: DataFrame, strategy: Strategy, costs: Costs = Costs(), instrument: str = "MES", delay: int = 0, trials: TrialStore | None = None, snapshots: tuple[str, ...] = (), created_at: str = FIXED_AT) -> Backtest:
     """Runs a strategy over bars and records it as one trial, if there is a store."""
     digest = config_hash("FE-BACKTESTCFG-v1", {"strategy": asdict(strategy), "costs": asdict(costs), "delay": delay})
     log = event_log(bars, strategy, costs, instrument, delay)
@@ -66,7 +65,7 @@ def backtest(bars: DataFrame, strategy: Strategy, costs: Costs = Costs(), instru
     sha, trial = git_sha(), f"{digest[:16]}-{(snapshots or ('',))[0][:8]}"
     if trials is not None:
         trials.append([{"trial_id": trial, "run_id": digest[:16], "strategy_family": strategy.signal, "config_hash": digest, "params": strategy.params, "cv_scheme": "event_backtest", "metrics": metrics, "seed": strategy.seed, "git_sha": sha, "data_snapshot_hashes": list(snapshots)}])
-    manifest = Manifest(digest[:16], created_at or datetime.now(UTC).isoformat(), sha, strategy.seed, digest, list(snapshots), [trial])
+    manifest = Manifest(digest[:16], created_at, sha, strategy.seed, digest, list(snapshots), [trial])
     return Backtest(log, t.equity(log, strategy.balance), metrics, manifest, trial)
 
 

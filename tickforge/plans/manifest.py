@@ -7,6 +7,10 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 
+#: When a run was made, where nobody says so: runs of the same input are the same.
+FIXED_AT = "2020-01-01T00:00:00+00:00"
+
+
 @dataclass(frozen=True)
 class Manifest:
     run_id: str

@@ -6,22 +6,23 @@ import html
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import INSTRUMENTS, PRESETS, Costs, FlagLimits, Gates, RunConfig, combinations, config_hash
+from ..config import INSTRUMENTS, PRESETS, Costs, FlagLimits, Gates, RunConfig, combinations, config_hash, read_yaml, strict
 from ..operators import account, audit, crossval, features, labels, metamodel, regimes, statistics
 from ..operators import trading as t
 from ..operators.order import by_entry, dense_index
 from ..sources.bars import by_time, event_bars
+from ..sources.snapshots import SnapshotStore, require_validation_grade
 from ..sources.trials import TrialStore
 from ..streaming import live
 from .backtest import Strategy, three_ways
-from .manifest import Manifest, git_sha
+from .manifest import FIXED_AT, Manifest, git_sha
 
 @dataclass(frozen=True)
 class Gate:
@@ -59,15 +60,27 @@ class Report:
     trials: int
     trial_hash: str
     table: list[dict]
+    #: Further tables of the report: a title, the columns' names and rows of text.
+    sections: list[tuple[str, tuple[str, ...], list[tuple[str, ...]]]] = field(default_factory=list)
+
+    def tables(self) -> list[tuple[str, tuple[str, ...], list[tuple[str, ...]]]]:
+        gates = [(g.name, "pass" if g.passed else "fail", g.detail) for g in self.verdict.gates]
+        flags = sorted(((kind, code) for code, kind in self.flags), key=lambda f: (f[0] != "fail", f[1]))
+        return [("Gates", ("gate", "result", "detail"), gates), ("Numbers", ("number", "value"), [(k, str(v)) for k, v in sorted(self.numbers.items())]), *self.sections, ("Flags", ("severity", "flag"), flags or [("none", "")])]
+
+    def summary(self) -> str:
+        return f"{json.dumps(self.best, sort_keys=True)} is the best of {self.trials} trials ({self.trial_hash[:12]})"
 
     def markdown(self) -> str:
-        rows = "\n".join(f"| {g.name} | {'pass' if g.passed else 'fail'} | {g.detail} |" for g in self.verdict.gates)
-        nums = "\n".join(f"| {k} | {v} |" for k, v in sorted(self.numbers.items()))
-        flags = "\n".join(f"- {code} ({kind})" for code, kind in self.flags) or "none"
-        return f"# {self.verdict.decision}\n\nBest: `{json.dumps(self.best, sort_keys=True)}` of {self.trials} trials ({self.trial_hash[:12]})\n\n| gate | result | detail |\n|-|-|-|\n{rows}\n\n| number | value |\n|-|-|\n{nums}\n\n## Flags\n\n{flags}\n"
+        line = lambda cells: "| " + " | ".join(str(c).replace("|", "\\|") for c in cells) + " |"
+        parts = ["\n".join([f"## {title}", "", line(names), "|" + "-|" * len(names), *map(line, rows)]) for title, names, rows in self.tables()]
+        return f"# {self.verdict.decision}\n\n{self.summary()}\n\n" + "\n\n".join(parts) + "\n"
 
     def html(self) -> str:
-        return f"<!doctype html><meta charset=utf-8><title>{self.verdict.decision}</title><pre>{html.escape(self.markdown())}</pre>\n"
+        row = lambda cells, tag: "<tr>" + "".join(f"<{tag}>{html.escape(str(c))}</{tag}>" for c in cells) + "</tr>"
+        parts = [f"<section><h2>{html.escape(title)}</h2><table><thead>{row(names, 'th')}</thead><tbody>{''.join(row(r, 'td') for r in rows)}</tbody></table></section>" for title, names, rows in self.tables()]
+        style = "body{font-family:sans-serif}td,th{text-align:left;padding:.2em .8em;border-bottom:1px solid #ccc}"
+        return f"<!doctype html><html lang=en><head><meta charset=utf-8><title>{self.verdict.decision}</title><style>{style}</style></head><body><h1>{self.verdict.decision}</h1><p>{html.escape(self.summary())}</p>{''.join(parts)}</body></html>\n"
 
     def write(self, folder: str | Path) -> None:
         """report.md, report.html, verdict.json and manifest.json, on the driver."""
@@ -103,7 +116,53 @@ def history(root: str | Path) -> list[dict]:
     return sorted(out, key=lambda r: r["created_at"], reverse=True)
 
 
-def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials: TrialStore | None = None, snapshots: tuple[str, ...] = (), created_at: str | None = None, confirmations: TrialStore | None = None) -> Report:
+COSTS = ("gross_pnl_usd", "commission_usd", "fees_usd", "spread_cost_usd", "slippage_usd", "net_pnl_usd")
+
+
+def features_and_labels(bars: DataFrame, interval: str = "1m", every: int = 200) -> tuple[int, int, int, float]:
+    """How many features there are, bars that have all of them, and labels, and the labels' mean uniqueness: barriers at twice the trailing volatility, 60 bars long, at
+    about `every` bars of those that have a volatility, evenly placed in each symbol."""
+    made = features.build_features(bars, features.FeatureConfig(interval=interval))
+    vol = features.trailing_volatility(bars).filter(F.col("vol").isNotNull()).select("symbol", "pos", "vol")
+    whole, n = made.na.drop().count(), vol.count()
+    if n < 3:
+        return len(features.feature_names()), whole, 0, 0.0
+    events = vol.filter(F.col("pos") % max(1, n // every) == 0)
+    got = labels.triple_barrier(events, bars, 2.0, 2.0, 60)
+    row = labels.uniqueness_weights(got, bars).agg(F.count("*").alias("n"), F.avg("weight").alias("weight")).first()
+    return len(features.feature_names()), whole, row["n"], float(row["weight"] or 0.0)
+
+
+@dataclass(frozen=True)
+class SnapshotRun:
+    """What a run's file says: the snapshot, and the run."""
+
+    snapshot_hash: str
+    run: RunConfig = field(default_factory=RunConfig)
+
+
+def run_snapshot(path: str | Path, store: SnapshotStore, out: str | Path, trials: TrialStore | None = None, confirmations: TrialStore | None = None, created_at: str = FIXED_AT) -> Report:
+    """A run from a file (snapshot_hash, and run: the fields of RunConfig) over a stored snapshot, which must be of validation
+    grade; the report is written to out/<run_id>."""
+    data = dict(read_yaml(path))
+    config = strict(SnapshotRun, {**data, "run": strict(RunConfig, data.get("run") or {}, "run")}, str(path))
+    bars, meta = store.load(config.snapshot_hash)
+    require_validation_grade(meta)
+    report = run_pipeline(store.spark, bars, config.run, trials, (config.snapshot_hash,), created_at, confirmations, meta.interval)
+    report.write(Path(out) / report.manifest.run_id)
+    return report
+
+
+def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials: TrialStore | None = None, snapshots: tuple[str, ...] = (), created_at: str = FIXED_AT, confirmations: TrialStore | None = None, interval: str = "1h") -> Report:
+    """research over cached bars."""
+    bars = bars.cache()
+    try:
+        return research(spark, bars, config, trials, snapshots, created_at, confirmations, interval)
+    finally:
+        bars.unpersist()
+
+
+def research(spark: SparkSession, bars: DataFrame, config: RunConfig, trials: TrialStore | None, snapshots: tuple[str, ...], created_at: str, confirmations: TrialStore | None, interval: str) -> Report:
     """A research run over bars: all combinations in one plan, counting the trades that enter in test parts of purged folds;
     the best one event-driven, net, gross and a bar late; and its statistics. Only the sweep's trials count as luck: the
     confirming runs go to confirmations, if given. The driver gets one row for each combination and a few numbers."""
@@ -111,7 +170,7 @@ def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials
     grid = combinations(config.grid)
     run_id = uuid.uuid5(uuid.NAMESPACE_URL, config_hash("FE-TRIALCFG-v1", asdict(config))).hex
     size = bars.agg(F.max("pos") + 1).first()[0]
-    bars = bars.cache()
+    n_features, n_whole, n_labels, uniqueness = features_and_labels(bars, interval)
     spans = bars.select("pos").distinct().select("pos", F.col("pos").alias("t0"), F.col("pos").alias("t1"))
     folds = crossval.purged_kfold(spans, size, config.splits, config.embargo)
     tested = bars.select("symbol", "pos").join(folds.filter("role = 'test'").select("pos").distinct(), "pos", "left_semi")
@@ -146,9 +205,16 @@ def run_pipeline(spark: SparkSession, bars: DataFrame, config: RunConfig, trials
     flagged = statistics.red_flags(spark.createDataFrame([(float(stats["sharpe"]) * yearly, net.metrics["win_rate"], net.metrics["max_drawdown"], float(stats["dev"] or 0.0), ratios["net"], ratios["gross"], ratios["delayed"])], "sharpe double, win_rate double, max_drawdown double, volatility double, sharpe_net double, sharpe_gross double, sharpe_delay1 double"), FlagLimits()).first()
     flags = [(f["code"], f["severity"]) for f in flagged["flags"]]
     numbers = {"dsr": round(float(stats["dsr"]), 6), "pbo": round(float(overfit), 6), "p_survival": round(float(survived["p_survival"]), 6), "sharpe": round(float(stats["sharpe"]), 6), "ci_lo": round(float(ci["lo"] or 0), 6), "ci_hi": round(float(ci["hi"] or 0), 6), "n_trades": n, **{f"sharpe_{way}": round(v, 6) for way, v in ratios.items()}}
-    bars.unpersist()
-    manifest = Manifest(run_id, created_at or datetime.now(UTC).isoformat(), git_sha(), config.seed, config_hash("FE-BACKTESTCFG-v1", asdict(config)), list(snapshots), [b.trial_id for b in runs.values()])
-    return Report(manifest, decide(numbers["dsr"], numbers["pbo"], numbers["p_survival"], flags), grid[k], numbers, flags, n_trials, trials.list_hash(config.strategy) if trials is not None else config_hash("FE-TRIALLIST-v1", rows), rows)
+    manifest = Manifest(run_id, created_at, git_sha(), config.seed, config_hash("FE-BACKTESTCFG-v1", asdict(config)), list(snapshots), [b.trial_id for b in runs.values()])
+    spent = net.trades.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in COSTS)).first()
+    survival = {k: v for k, v in survived.asDict().items() if k not in ("contracts", "busts")}
+    sections = [
+        ("Costs", ("item", "usd"), [(c, f"{spent[c]:.2f}") for c in COSTS]),
+        ("Survival", ("item", "value"), [*((k, "-" if v is None else f"{v:.6g}") for k, v in survival.items()), *((f"bust: {why}", f"{share:.4f}") for why, share in (survived.asDict().get("busts") or {}).items())]),
+        ("Data", ("item", "value"), [("interval", interval), ("snapshots", ", ".join(snapshots) or "none"), ("features", str(n_features)), ("bars with all features", str(n_whole)), ("labels", str(n_labels)), ("mean uniqueness", f"{uniqueness:.4f}")]),
+        ("Trials", ("item", "value"), [("run", run_id), ("family", config.strategy), ("trials", str(n_trials)), ("of them without an error", str(len(good))), ("validation", crossval.scheme("PurgedKFold", n_splits=config.splits, embargo=config.embargo)), ("seed", str(config.seed)), ("git", manifest.git_sha), ("configuration", manifest.config_hash)]),
+    ]
+    return Report(manifest, decide(numbers["dsr"], numbers["pbo"], numbers["p_survival"], flags), grid[k], numbers, flags, n_trials, trials.list_hash(config.strategy) if trials is not None else config_hash("FE-TRIALLIST-v1", rows), rows, sections)
 
 
 # Queries ---------------------------------------------------------------------------------------------------------------------
