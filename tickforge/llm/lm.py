@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -62,6 +63,18 @@ _LOG = np.log(UNPACKED + PRIOR).astype("f4")
 _STEP = np.searchsorted([0.5, 1.5, 2.5, 4.5, 8.5, 31.5, 1000], UNPACKED).astype("u1")
 
 
+def _by_pair() -> tuple[np.ndarray, np.ndarray]:
+    """Log odds, and steps of the larger count, of all pairs of counts: with an outcome 0 taken out, with a 1, and as they are."""
+    packed = np.arange(256)
+    less = np.where((packed > 0) & (packed < 32), packed - 1, packed)
+    b, a = np.meshgrid(packed, packed, indexing="ij")
+    every = ((less[a], b), (a, less[b]), (a, b))
+    return np.concatenate([(_LOG[y] - _LOG[x]).ravel() for x, y in every]), np.concatenate([_STEP[np.maximum(x, y)].ravel() for x, y in every])
+
+
+_ODDS, _WEIGHT = _by_pair()
+
+
 def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All words' bytes with a closing space each, and where each begins (one more for the end)."""
     buf = np.frombuffer(b" ".join(words) + b" " if words else b"", np.uint8)
@@ -134,20 +147,26 @@ class Mixer:
     weights: np.ndarray
     refined: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "pairs"}
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """Both counts of a slot in one number."""
+        return np.ascontiguousarray(self.counts.T).view("<u2").ravel()
+
     def inputs(self, where: list[np.ndarray], heads: bool, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each context (K x n) and the gate; with y, one occurrence of that outcome is taken out first."""
-        st, n = [], len(where[0])
-        gate = np.full(n, 32 * heads, "i8")
+        st, gate = np.empty((K, len(where[0])), "f4"), np.full(len(where[0]), 32 * heads, "i8")
+        out = (2 if y is None else y.astype("i8")) << 16
         for k, s in enumerate(where):
-            a, b = self.counts[0][s], self.counts[1][s]
-            if y is not None:
-                a, b = np.where((y == 0) & (a > 0) & (a < 32), a - 1, a), np.where((y == 1) & (b > 0) & (b < 32), b - 1, b)
-            st.append(_LOG[b] - _LOG[a])
+            v = self.pairs[s].astype("i8") + out
+            st[k] = _ODDS[v]
             if k == 3:
-                gate += _STEP[np.maximum(a, b)]
+                gate += _WEIGHT[v]
             elif k == (4 if heads else 2):
-                gate += 8 * (_STEP[np.maximum(a, b)] >> 1)
-        return np.stack(st), gate
+                gate += 8 * (_WEIGHT[v] >> 1)
+        return st, gate
 
     def mixed(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
         w = self.weights[gate]
@@ -187,47 +206,42 @@ class Mixer:
         return out
 
     def learn(self, words: list[bytes], weights: np.ndarray, classes: np.ndarray | None, batch: int = 512, fade: float = 0.995) -> None:
-        """Online Newton steps over batches of words in the given order, each word in proportion to its weight. Of a whole word
-        one byte after the first two teaches, which its spelling picks, for all of them. The curvature of each gate's weights
-        is summed up with a slow fading."""
+        """Online Newton steps over batches of words in the given order, each word in proportion to its weight, by all bytes after its first two
+        (given classes, by those two). The curvature of each gate's weights is summed up with a slow fading."""
         curve = np.tile(np.eye(K + 1) * 20.0, (GATES, 1, 1))
         for lo in range(0, len(words), batch):
             part = words[lo : lo + batch]
             buf, starts = spell(part)
             h, place = contexts(buf, starts, None if classes is None else classes[lo : lo + batch])
-            if classes is None:
-                more = np.diff(starts) - 2
-                picked = np.flatnonzero(more > 0)
-                use = starts[picked] + 2 + word_hashes([part[i] for i in picked.tolist()]) % more[picked]
-                w = (weights[lo : lo + batch] * more)[picked]
-            else:
-                use = np.flatnonzero(place < 2)
-                w = np.repeat(weights[lo : lo + batch], np.diff(starts))[use]
+            use = np.flatnonzero(place >= 2 if classes is None else place < 2)
             if not len(use):
                 continue
             h, b = h[:, use], buf[use].astype("u4")
-            w = w / weights.mean()
+            w = np.repeat(weights[lo : lo + batch], np.diff(starts))[use] / weights.mean()
             node = np.ones(len(use), "u4")
             for bit in range(7, -1, -1):
                 y = b >> np.uint32(bit) & np.uint32(1)
                 st, gate = self.inputs(slots(h, node), classes is not None, y)
-                z = self.mixed(st, gate)
+                order = np.argsort(gate.astype("u1"), kind="stable")  # by gate, so that each gate's sums are products
+                cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
+                gates = [(g, slice(cuts[g], cuts[g + 1])) for g in np.flatnonzero(np.diff(cuts)).tolist()]
+                x, yes, weight = np.concatenate([st, np.ones((1, len(use)), "f4")])[:, order], y[order], w[order]
+                z = np.empty(len(use))
+                for g, own in gates:
+                    z[own] = self.weights[g].astype("f4") @ x[:, own]
+                z = np.clip(z, -11, 11)
                 p = 1 / (1 + np.exp(-z))
-                x = np.concatenate([st, np.ones((1, len(z)))])
-                miss, bend = (y - p) * w, p * (1 - p) * w
-                slope = np.stack([np.bincount(gate, miss * x[k], GATES) for k in range(K + 1)], 1)
-                for i in range(K + 1):
-                    for j in range(i + 1):
-                        add = np.bincount(gate, bend * x[i] * x[j], GATES)
-                        curve[:, i, j] += add
-                        if i != j:
-                            curve[:, j, i] += add
+                miss, bent = ((yes - p) * weight).astype("f4"), x * (p * (1 - p) * weight).astype("f4")
+                slope = np.zeros((GATES, K + 1))
+                for g, own in gates:
+                    slope[g] = x[:, own] @ miss[own]
+                    curve[g] += bent[:, own] @ x[:, own].T
                 self.weights += np.clip(np.linalg.solve(curve, slope[:, :, None])[:, :, 0], -0.5, 0.5)
-                _, at, share = self.bits(z, node)
+                _, at, share = self.bits(z, node[order])
                 near = at + (share > 0.5)
                 size = self.refined.size
-                n = np.bincount(near, w, size)
-                ones = np.bincount(near, w * y, size)
+                n = np.bincount(near, weight, size)
+                ones = np.bincount(near, weight * yes, size)
                 step = 1 - 0.99 ** np.minimum(n, 64)
                 flat = self.refined.reshape(-1)
                 flat += step * (np.divide(ones, n, out=flat.copy(), where=n > 0) - flat)
@@ -263,6 +277,11 @@ class Known:
     best: np.ndarray
     often: np.ndarray
 
+    @cached_property
+    def levels(self) -> np.ndarray:
+        """0 to 4 by the training count."""
+        return np.minimum(4, np.log2(self.counts + 1.0).astype("i8") // 4)
+
 
 def spans(ends: np.ndarray, most: int = 200_000) -> list[tuple[int, int]]:
     """Ranges of texts with about `most` words each."""
@@ -281,8 +300,8 @@ class Trail:
         sizes = np.diff(np.append(begins, n))
         self.n, self.begins, self.first = n, begins, np.repeat(begins, sizes)
         self.place = np.arange(n) - self.first
-        text = np.repeat(np.arange(len(begins), dtype="u8"), sizes)
-        key = text << np.uint64(32) | flat.astype("u8")
+        width = np.uint64(int(flat.max(initial=0)) + 1)
+        key = np.repeat(np.arange(len(begins), dtype="u8"), sizes) * width + flat.astype("u8")
         self.order, self.run = self._grouped(key)  # by word within a text
         earlier = self._before(self.order, self.run)
         self.times = np.empty(n, "i8")
@@ -291,8 +310,9 @@ class Trail:
         # Where the same word, or the same two words, came before: the place of what followed.
         after = np.full(n, -1)
         after[1:] = np.where(inner[1:] & (earlier[:-1] >= 0), earlier[:-1] + 1, -1)
-        two = np.zeros(n, "u8")
-        two[2:] = key[1:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (flat[:-2].astype("u8") + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        two, group = np.zeros(n, "u8"), np.empty(n, "u8")
+        group[self.order] = self.run  # the word within its text
+        two[2:] = group[1:-1] * width + flat[:-2].astype("u8")
         at = np.flatnonzero(second)
         pair = np.full(n, -1)
         pair[at] = self._before(*self._grouped(two[at]), at)
@@ -314,15 +334,20 @@ class Trail:
         self.asked, self.hit = asked, [x & y for x, y in zip(asked, (hit_a, hit_b, hit_c, self.times > 0), strict=True)]
         # what training, or the distance, says of the candidate
         distance = lambda x: np.searchsorted([8, 64], np.arange(n) - x, side="right")
-        level = lambda x: np.minimum(4, np.log2(known.counts[np.maximum(x, 0)] + 1.0).astype("i8") // 4)
+        level = lambda x: known.levels[np.maximum(x, 0)]
         spread = np.minimum(4, np.log2(np.maximum(1, known.counts[before]) / np.maximum(1, often)).astype("i8").clip(0))
-        self.told = [level(a) * 3 + distance(pair), level(b) * 3 + distance(after), (np.clip(often, 1, 3) - 1) * 5 + spread, np.minimum(15, np.log2(np.maximum(1, self.place)).astype("i8"))]
+        self.told = [level(a) * 3 + distance(pair), level(b) * 3 + distance(after), (np.clip(often, 1, 3) - 1) * 5 + spread, np.minimum(15, np.frexp(np.maximum(1, self.place))[1] - 1).astype("i8")]
 
     @staticmethod
     def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The stable order of equal keys, and in that order where each one's group begins."""
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
+        shift = np.uint64(len(key).bit_length())
+        if int(key.max(initial=0)).bit_length() + int(shift) <= 64:  # sorted with their places in the low bits
+            packed = np.sort(key << shift | np.arange(len(key), dtype="u8"))
+            order, ranked = (packed & ((np.uint64(1) << shift) - np.uint64(1))).astype("i8"), packed >> shift
+        else:
+            order = np.argsort(key, kind="stable")
+            ranked = key[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = ranked[1:] != ranked[:-1]
         return order, np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0)) if len(key) else np.zeros(0, "i8")
