@@ -237,3 +237,5 @@ def test_broker_formats(spark):
     assert tuple(p.acks(one).filter("client_order_id = 'y'").first()) == ("y", False, "rejected", None)
     with pytest.raises(ValueError):
         codec("other")
+    with pytest.raises(NotImplementedError):
+        codec("rithmic")

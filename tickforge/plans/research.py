@@ -271,6 +271,15 @@ def replace_limits():
     return replace(LiveLimits(), stale_seconds=864_000.0)
 
 
+def streaming_disconnects(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on orders while the line of an account goes down and comes back: nothing is approved in between."""
+    e = live.event_stream(spark, d)
+    k = F.col("event_id")
+    kind = F.when(k % 11 == 3, "disconnect").when(k % 11 == 8, "reconnect").when(k % 2 == 0, "tick").otherwise("order")
+    rows = e.select(F.col("user_id").cast("string").alias("account"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), k.cast("string").alias("order_id"), F.lit(1).alias("qty"), F.lit(0.0).alias("value"))
+    return live.run_once(live.risk_decisions(rows, replace(replace_limits(), stale_seconds=1e9, orders_per_minute=10**6, max_contracts=10**6)), "disconnects").select("account", "order_id", "approved", "reason")
+
+
 def streaming_monitor(spark: SparkSession, d: str) -> DataFrame:
     e = live.event_stream(spark, d)
     fills = e.select(F.col("user_id").cast("string").alias("strategy"), F.col("event_id").alias("seq"), (F.col("value") % 50 - 25).alias("slippage_usd"), (F.col("value") - 100).alias("pnl_usd"))
@@ -282,9 +291,14 @@ def streaming_unique_orders(spark: SparkSession, d: str) -> DataFrame:
     return live.run_once(live.unique_orders(e, "3650 days").select("client_order_id"), "orders")
 
 
-QUERIES = {q.__name__: q for q in (research_verdict, lookahead_audit, hmm_regimes, change_point_regimes, meta_model, streaming_risk, streaming_monitor, streaming_unique_orders)}
+QUERIES = {q.__name__: q for q in (research_verdict, lookahead_audit, hmm_regimes, change_point_regimes, meta_model, streaming_risk, streaming_disconnects, streaming_monitor, streaming_unique_orders)}
 
 SQL = {
+    "streaming_disconnects": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS account, ts, CAST(event_id AS VARCHAR) AS order_id, CASE WHEN event_id % 11 = 3 THEN 'disconnect' WHEN event_id % 11 = 8 THEN 'reconnect' WHEN event_id % 2 = 0 THEN 'tick' ELSE 'order' END AS kind FROM events),
+        s AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('disconnect', 'reconnect') THEN kind END IGNORE NULLS) OVER w, 'reconnect') = 'disconnect' AS down, count(*) FILTER (WHERE kind = 'tick') OVER w = 0 AS never FROM e WINDOW w AS (PARTITION BY account ORDER BY ts, order_id ROWS UNBOUNDED PRECEDING)),
+        h AS (SELECT *, count(*) FILTER (WHERE kind = 'order' AND never AND NOT down) OVER (PARTITION BY account ORDER BY ts, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS halted FROM s),
+        r AS (SELECT account, order_id, CASE WHEN down THEN 'disconnected' WHEN halted THEN 'halted' WHEN never THEN 'stale_data' END AS reason FROM h WHERE kind = 'order')
+        SELECT account, order_id, reason IS NULL AS approved, reason FROM r""",
     "streaming_unique_orders": "SELECT DISTINCT concat_ws('-', user_id, event_type) AS client_order_id FROM events",
     "streaming_monitor": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS strategy, event_id, value % 50 - 25 AS s, value - 100 AS p FROM events),
         m AS (SELECT strategy, event_id AS seq, CAST(count(*) OVER w AS INTEGER) AS n, avg(abs(s)) OVER w AS slip, avg(p) OVER w AS mean, CASE WHEN count(*) OVER w >= 20 THEN coalesce(avg(p) OVER w / nullif(stddev_pop(p) OVER w, 0), 0.0) END AS sharpe

@@ -74,10 +74,14 @@ class Codec:
 
 
 BROKERS = ("tradovate", "projectx")
+#: Brokers whose gateway is binary: they have a name and no codec.
+WITHOUT_CODEC = ("rithmic",)
 
 
 def codec(broker: str) -> Codec:
     """A broker's public format. The second has no profit of open positions in its accounts: its equity is the balance."""
+    if broker in WITHOUT_CODEC:
+        raise NotImplementedError(f"{broker} has no text format")
     if broker not in BROKERS:
         raise ValueError(f"unknown broker {broker}")
     if broker == "tradovate":
