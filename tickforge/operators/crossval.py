@@ -6,15 +6,21 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions that are looked at together.
+BUCKET = 4096
+
 
 def interval_problems(labels: DataFrame) -> DataFrame:
     """One row: how many intervals there are, how many end before they start, and how many starts go back."""
-    after = labels.select((F.col("pos") - 1).alias("pos"), F.col("t0").alias("next_t0"))
-    bad = labels.join(after, "pos", "left").select((F.col("t1") < F.col("t0")).alias("ends"), F.coalesce(F.col("next_t0") < F.col("t0"), F.lit(False)).alias("back"))
-    return bad.agg(F.count("*").alias("n"), F.count_if("ends").alias("ends"), F.count_if("back").alias("back"))
+    bucket = F.floor(F.col("pos") / BUCKET)
+    rows = labels.select("pos", "t0", (F.col("t1") < F.col("t0")).alias("ends"), bucket.alias("bucket"))
+    rows = rows.withColumn("back", F.coalesce(F.lag("t0").over(Window.partitionBy("bucket").orderBy("pos")) > F.col("t0"), F.lit(False)))
+    each = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("ends").alias("ends"), F.count_if("back").alias("back"), F.min_by("t0", "pos").alias("first"), F.max_by("t0", "pos").alias("last"))
+    over = F.coalesce(F.lag("last").over(Window.orderBy("bucket")) > F.col("first"), F.lit(False)).cast("long")  # a row a bucket
+    return each.withColumn("over", over).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("ends"), F.lit(0)).alias("ends"), F.coalesce(F.sum(F.col("back") + F.col("over")), F.lit(0)).alias("back"))
 
 
 def validate_intervals(labels: DataFrame) -> DataFrame:
