@@ -200,6 +200,15 @@ def test_stale_feeds(spark, tmp_path):
     assert sorted((r["account"], second(r["last_tick"])) for r in got.collect()) == [("A", 0), ("A", 20), ("B", 1), ("B", 21)]
 
 
+def test_stale_feeds_round_to_milliseconds(spark, tmp_path):
+    """Half a millisecond and more counts as one, in the gap, at the end and in what comes out."""
+    us = lambda n: at(0) + pd.Timedelta(n, "us").to_pytimedelta()
+    rows = [[("A", us(1_499)), ("A", us(1_002_500)), ("B", us(2_500)), ("B", us(1_003_499)), ("C", us(500)), ("D", us(2_003_500))]]
+    got = live.run_once(live.stale_feeds(feed(spark, tmp_path / "in", rows, "account string, ts timestamp"), 1.001), "stale")
+    base = int(at(0).timestamp() * 1000)
+    assert sorted((r["account"], r["ms"] - base) for r in got.select("account", F.unix_millis("last_tick").alias("ms")).collect()) == [("A", 1), ("C", 1)]
+
+
 def test_account_without_ticks_is_halted(spark, tmp_path):
     """No order comes, and the halt is said by a timer; an order afterwards is refused."""
     import time

@@ -165,8 +165,10 @@ def risk_decisions(events: DataFrame, limits: LiveLimits = LiveLimits(), timer:
 def stale_feeds(ticks: DataFrame, seconds: float, delay: str = "0 seconds") -> DataFrame:
     """(account, last_tick, stale_at) for each time that an account of (account, ts) had no tick for more than so many seconds, by the ticks' own
     times: once its next tick shows it, or once the stream as a whole is that far. Ticks more than delay behind the latest
-    of the stream are left out, and times count in milliseconds."""
+    of the stream are left out, and times count in milliseconds, to the nearest (halves up)."""
     life = int(seconds * 1000)
+    us = F.unix_micros("ts") + 500
+    ticks = ticks.withColumn("ts", F.timestamp_micros(us - F.pmod(us, F.lit(1000))))
 
     def run(key, parts: Iterator[pd.DataFrame], state):
         out = []
@@ -181,7 +183,7 @@ def stale_feeds(ticks: DataFrame, seconds: float, delay: str = "0 seconds") -> D
                     out.append(last)
                 last = max(last, t)
             state.update((last,))
-            state.setTimeoutTimestamp(max(last + life, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(last + life + 1, state.getCurrentWatermarkMs() + 1))  # due once the watermark is there
         if out:
             yield pd.DataFrame({"account": key[0], "last_tick": pd.to_datetime(out, unit="ms"), "stale_at": pd.to_datetime([t + life for t in out], unit="ms")})
 
