@@ -1005,3 +1005,15 @@ def test_event_backtest_run(spark, tmp_path):
     assert ways["gross"].metrics["net_pnl"] == pytest.approx(sum(r["gross_pnl_usd"] for r in rows))
     late = {r["entry_pos"] for r in ways["delayed"].trades.collect()}
     assert late <= {r["entry_pos"] + 1 for r in rows} and len(late) >= len(rows) - 1
+
+
+def test_order_rate_by_running_counts(spark):
+    """The rows of the key's last span, by a plain count; ties, the row exactly a span before, and times before 1970 too."""
+    from tickforge.operators import reconcile
+
+    rnd = random.Random(3)
+    rows = [(k, "ab"[k % 2], rnd.randrange(-40, 200) * 500_000) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, k string, us long").withColumn("ts", F.timestamp_micros("us"))
+    made = reconcile.order_rate(df, "k", "ts", 10)
+    got = {r["id"]: r["n"] for r in made.collect()}
+    assert made.columns == ["id", "k", "us", "ts", "n"] and got == {i: sum(1 for _, b, u in rows if a == b and us - 10_000_000 < u <= us) for i, a, us in rows}
