@@ -1007,6 +1007,24 @@ def test_event_backtest_run(spark, tmp_path):
     assert late <= {r["entry_pos"] + 1 for r in rows} and len(late) >= len(rows) - 1
 
 
+def test_moments_of_few_trades(spark):
+    """Skew and kurtosis, the error of the ratio and its deflated form are null where there are too few values, or 0 and 3 by default."""
+    values = {1: [5.0], 2: [1.0, 2.0], 3: [1.0, 2.0, 4.0], 4: [1.0, 2.0, 4.0, 9.0], 5: [2.0] * 5}
+    df = spark.createDataFrame([(k, v) for k, x in values.items() for v in x], "k long, x double")
+
+    def rows(*undefined):
+        m = statistics.moments("x", *undefined)
+        flat = df.groupBy("k").agg(t.sharpe("x").alias("sharpe"), *(m[c].alias(c) for c in ("n", "skew", "kurt")))
+        return flat, {r["k"]: (r["skew"], r["kurt"]) for r in flat.collect()}
+
+    flat, got = rows((None, None))
+    assert got[1] == got[2] == got[5] == (None, None) and got[3][0] == pytest.approx(0.93521953) and got[3][1] is None and got[4] == (pytest.approx(1.33093774), pytest.approx(4.5))
+    assert rows()[1][1] == (0.0, 3.0)
+    error = flat.select("k", statistics.sharpe_error(F.col("sharpe"), F.col("n"), F.col("skew"), F.col("kurt")).alias("e"))
+    assert {r["k"] for r in error.collect() if r["e"] is not None} == {4}
+    assert {r["k"] for r in statistics.deflated_sharpe(flat, 4).collect() if r["dsr"] is not None} == {4}
+
+
 def test_order_rate_by_running_counts(spark):
     """The rows of the key's last span, by a plain count; ties, the row exactly a span before, and times before 1970 too."""
     from tickforge.operators import reconcile

@@ -213,7 +213,7 @@ def sweep_tested(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sharpe_errors(spark: SparkSession, d: str) -> DataFrame:
-    m = statistics.moments("net_pnl_usd")
+    m = statistics.moments("net_pnl_usd", (None, None))
     flat = _priced(spark, d, GRID).groupBy("combo_id").agg(t.sharpe("net_pnl_usd").alias("sharpe"), *(m[k].alias(k) for k in ("n", "skew", "kurt")))
     return rounded(flat.select("combo_id", statistics.sharpe_error(F.col("sharpe"), F.col("n"), F.col("skew"), F.col("kurt")).alias("error")))
 
