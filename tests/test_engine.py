@@ -1007,6 +1007,12 @@ def test_event_backtest_run(spark, tmp_path):
     assert late <= {r["entry_pos"] + 1 for r in rows} and len(late) >= len(rows) - 1
 
 
+def test_nothing_is_drawn_from_an_empty_log(spark):
+    log = spark.createDataFrame([], "idx long, net_pnl_usd double")
+    assert account.resample(log, 0, 2, 5, 3, 1).collect() == []
+    assert account.resample(log, 0, 2, 5, 3, 1, F.pmod(F.col("path_id"), F.lit(0))).collect() == []
+
+
 def test_moments_of_few_trades(spark):
     """Skew and kurtosis, the error of the ratio and its deflated form are null where there are too few values, or 0 and 3 by default."""
     values = {1: [5.0], 2: [1.0, 2.0], 3: [1.0, 2.0, 4.0], 4: [1.0, 2.0, 4.0, 9.0], 5: [2.0] * 5}
