@@ -1013,6 +1013,15 @@ def test_nothing_is_drawn_from_an_empty_log(spark):
     assert account.resample(log, 0, 2, 5, 3, 1, F.pmod(F.col("path_id"), F.lit(0))).collect() == []
 
 
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 4.0], [2.0] * 6, [float(k * k % 7) for k in range(12)], [float(k * k % 11) for k in range(25)]])
+def test_autocovariances_at_given_lags(spark, values):
+    """All lags asked for that the rows have: also of few rows, and of more lags than the rule for blocks needs."""
+    log = spark.createDataFrame(list(enumerate(values)), "idx long, net_pnl_usd double")
+    n, cov = account.autocovariances(log, span=8, lags=12)
+    e = np.array(values) - (sum(values) / len(values) if values else 0.0)
+    assert n == len(values) and np.allclose(cov, [e[: len(e) - k] @ e[k:] / len(e) for k in range(min(12, len(e)))], atol=1e-9)
+
+
 def test_moments_of_few_trades(spark):
     """Skew and kurtosis, the error of the ratio and its deflated form are null where there are too few values, or 0 and 3 by default."""
     values = {1: [5.0], 2: [1.0, 2.0], 3: [1.0, 2.0, 4.0], 4: [1.0, 2.0, 4.0, 9.0], 5: [2.0] * 5}

@@ -262,8 +262,8 @@ def survival_arithmetic(spark: SparkSession, d: str) -> DataFrame:
 
 def autocovariance(spark: SparkSession, d: str) -> DataFrame:
     log = _indexed(_priced(spark, d, [5]))
-    n, cov = account.autocovariances(log, span=64)
-    return rounded(spark.createDataFrame([(k, n, float(v)) for k, v in enumerate(cov[:12])], "lag long, n long, cov double"), 4)
+    n, cov = account.autocovariances(log, span=64, lags=12)
+    return rounded(spark.createDataFrame([(k, n, float(v)) for k, v in enumerate(cov)], "lag long, n long, cov double"), 4)
 
 
 # Orders and brokers --------------------------------------------------------------------------------------------------------------
