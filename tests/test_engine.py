@@ -1040,6 +1040,20 @@ def test_moments_of_few_trades(spark):
     assert {r["k"] for r in statistics.deflated_sharpe(flat, 4).collect() if r["dsr"] is not None} == {4}
 
 
+def test_the_best_combination_has_trades(spark, tmp_path):
+    """A combination without a trade isn't the best, and without any trade there is none."""
+    from tickforge.plans import market
+
+    def best(closes):
+        rows = [(k, "click", float(c)) for k, c in enumerate(closes)]
+        at = f"{tmp_path}/{len(rows)}"
+        spark.createDataFrame(rows, "event_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id") * 3600)).write.parquet(f"{at}/events.parquet")
+        return [(r["combo_id"], r["sharpe_net"] < 0) for r in market.sweep_best(spark, at).collect()]
+
+    assert best([3, 3, 3, 3, 3, 9, 8, 2, 3, 7]) == [(0, True)]
+    assert best([5.0] * 30) == []
+
+
 def test_order_rate_by_running_counts(spark):
     """The rows of the key's last span, by a plain count; ties, the row exactly a span before, and times before 1970 too."""
     from tickforge.operators import reconcile
