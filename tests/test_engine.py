@@ -1064,3 +1064,13 @@ def test_order_rate_by_running_counts(spark):
     made = reconcile.order_rate(df, "k", "ts", 10)
     got = {r["id"]: r["n"] for r in made.collect()}
     assert made.columns == ["id", "k", "us", "ts", "n"] and got == {i: sum(1 for _, b, u in rows if a == b and us - 10_000_000 < u <= us) for i, a, us in rows}
+
+
+def test_meta_model_of_one_class(spark, tmp_path):
+    """Labels of one class train no fold: a row of no predictions instead of an error."""
+    from tickforge.plans import research
+
+    rows = spark.range(400).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), F.lit("click").alias("event_type"), (100.0 + F.col("id") % 2).alias("value"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = research.meta_model(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0]["n"] == 0

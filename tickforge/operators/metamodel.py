@@ -19,6 +19,10 @@ from .statistics import classifier_metrics
 FEATURES = ["ret_1", "ret_5", "ret_20", "vol_20", "raw"]
 
 
+class NoFoldError(ValueError):
+    """No fold has a training part with both classes and a test part."""
+
+
 def meta_features(bars: DataFrame, primary: DataFrame) -> DataFrame:
     """symbol, pos and the model's features: returns over 1, 5 and 20 bars, their deviation over 20, and the primary signal."""
     df = bars.withColumns({f"ret_{h}": F.col("close") / F.nullif(lagged("close", h), F.lit(0.0)) - 1 for h in (1, 5, 20)})
@@ -87,7 +91,7 @@ def train(rows: DataFrame, folds: DataFrame, kind: str = "boosted", seed: int =
                 per_fold.append({"fold": k, "model": name, "n_train": n_train, "n_test": n_test, "accuracy": own["accuracy"], "auc": own["auc"]})
                 pooled[name] = got if name not in pooled else pooled[name].unionByName(got)
         if not pooled:
-            raise ValueError("no fold could be trained on")
+            raise NoFoldError("no fold could be trained on")
         metrics = {name: {c: float(v) for c, v in classifier_metrics(df).first().asDict().items()} for name, df in pooled.items()}
         model = _stages(kind, seed).fit(rows)
         artifact = f"{folder.rstrip('/')}/meta_{kind}_{run_id}" if folder else None
@@ -108,10 +112,13 @@ def load(artifact: str) -> PipelineModel:
 def fit(rows: DataFrame, folds: DataFrame, kind: str = "logistic", seed: int = 7) -> tuple[PipelineModel, DataFrame]:
     """The model on all rows (pos, FEATURES, y, weight) without null features, and its metrics pooled over the test parts of the
     folds (fold, pos, role). Folds whose training part is empty or of one class are skipped."""
-    rows, pooled = _complete(rows), None
-    for _, train_part, test_part in _folds(rows, folds):
-        test = predict(_stages(kind, seed).fit(train_part), test_part).select("y", "p")
-        pooled = test if pooled is None else pooled.unionByName(test)
-    if pooled is None:
-        raise ValueError("no fold could be trained on")
-    return _stages(kind, seed).fit(rows), classifier_metrics(pooled)
+    rows, pooled = _complete(rows).persist(), None
+    try:
+        for _, train_part, test_part in _folds(rows, folds):
+            test = predict(_stages(kind, seed).fit(train_part), test_part).select("y", "p")
+            pooled = test if pooled is None else pooled.unionByName(test)
+        if pooled is None:
+            raise NoFoldError("no fold could be trained on")
+        return _stages(kind, seed).fit(rows), classifier_metrics(pooled)
+    finally:
+        rows.unpersist()
