@@ -125,6 +125,37 @@ def test_submit_path(spark, tmp_path):
     assert line.acks() == want and sorted(line.sent) == ["a", "a", "b", "b", "d"] and line.pending() == []
 
 
+def test_first_orders_without_a_call_an_id(spark, tmp_path):
+    """Over Arrow batches of three rows: the smallest seq of a micro-batch, unless the id came before; known ids are Spark's own state."""
+    from tickforge.streaming import submit
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        batches = [[(f"i{k % 40}", 1000 - k, k) for k in range(400)] + [(None, 5, 1), (None, 4, 2), ("n", None, 1), ("n", 7, 2)], [("i3", 1, 0), ("new", 2, 0), ("new", 1, 1), (None, 1, 0)]]
+        first = submit.first_orders(feed(spark, tmp_path / "in", batches, "client_order_id string, seq long, qty int"))
+        got = sorted((tuple(r) for r in live.run_once(first, "first").collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted([*((f"i{k}", 1000 - 360 - k, 360 + k) for k in range(40)), (None, 4, 2), ("n", 7, 2), ("new", 1, 1)], key=str)
+    plan = first._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "WithState" not in plan
+
+
+def test_smallest_orders_over_several_rounds():
+    """More rows than are held at once: what is kept is compared again."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tickforge.streaming import submit
+
+    seq = np.random.default_rng(1).permutation(300_000)
+    ids = np.arange(300_000) % 100_000
+    table = pa.table({"client_order_id": pa.array(ids).cast(pa.string()), "seq": seq})
+    got = pa.Table.from_batches(submit._smallest_of(iter(table.to_batches(max_chunksize=10_000))))
+    assert dict(zip(got["client_order_id"].to_pylist(), got["seq"].to_pylist(), strict=True)) == {str(k): int(seq[k::100_000].min()) for k in range(100_000)}
+    assert list(submit._smallest_of(iter([]))) == []
+
+
 @pytest.mark.parametrize("kind", ["judged", "send", "acks"])
 def test_killed_between_two_writes(spark, tmp_path, kind):
     """Wherever the process is killed, three recoveries send each order once more at the most, and answers stay."""

@@ -15,7 +15,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -23,11 +25,37 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 ACKS = "client_order_id string, accepted boolean, reason string, order_id long"
 
 
+def _smallest(t: pa.Table) -> pa.Table:
+    """The row of the smallest seq of each client_order_id."""
+    t = t.sort_by("seq")
+    at = pa.table({"id": t["client_order_id"], "at": np.arange(t.num_rows)}).group_by("id", use_threads=False).aggregate([("at", "min")])
+    return t.take(at["at_min"])
+
+
+def _smallest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The row of the smallest seq of each client_order_id of a task. It holds a row an id, and as many that are still to be compared."""
+    kept, more, n = None, [], 0
+    for b in batches:
+        more.append(b)
+        n += b.num_rows
+        if n >= max(1 << 16, kept.num_rows if kept else 0):
+            kept, more, n = _smallest(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(more)])), [], 0
+    if more:
+        kept = _smallest(pa.concat_tables([*([kept] if kept else []), pa.Table.from_batches(more)]))
+    if kept:
+        yield from kept.to_batches(max_chunksize=1 << 14)
+
+
 def first_orders(orders: DataFrame, keep: str | None = None) -> DataFrame:
     """Of a stream's orders with one client_order_id the first to come, in a micro-batch the smallest by seq. Ids are remembered for good, or
-    for `keep` (such as "30 days") of the orders' time ts; orders that come later than that are dropped."""
+    for `keep` (such as "30 days") of the orders' time ts; orders that come later than that are dropped.
+
+    For good, a micro-batch is brought to a row an id by Arrow batches, and Spark's state drops the ids that it knows. With `keep` each id that
+    a micro-batch has is a call of Python (some milliseconds), as its time is counted from its last order."""
+    if not keep:
+        return orders.repartition("client_order_id").mapInArrow(_smallest_of, orders.schema).dropDuplicates(["client_order_id"])
     names = orders.columns
-    life = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else 0
+    life = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def run(key, parts: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
@@ -37,19 +65,16 @@ def first_orders(orders: DataFrame, keep: str | None = None) -> DataFrame:
         for p in parts:
             if not len(p):
                 continue
-            if life:
-                last = max(last, int(p["ts"].max().value // 1_000_000))
+            last = max(last, int(p["ts"].max().value // 1_000_000))
             if not known:
                 r = p.iloc[[int(p["seq"].to_numpy().argmin())]]
                 best = r if best is None or r["seq"].iloc[0] < best["seq"].iloc[0] else best
         state.update((last,))
-        if life:
-            state.setTimeoutTimestamp(max(last + life, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last + life, state.getCurrentWatermarkMs() + 1))
         if best is not None:
             yield best[names]
 
-    rows = orders.withWatermark("ts", keep) if keep else orders
-    return rows.groupBy("client_order_id").applyInPandasWithState(run, orders.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout if keep else GroupStateTimeout.NoTimeout)
+    return orders.withWatermark("ts", keep).groupBy("client_order_id").applyInPandasWithState(run, orders.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class Submitter:
