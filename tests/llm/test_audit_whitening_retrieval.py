@@ -186,6 +186,21 @@ def test_words_are_the_librarys():
         assert w.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_texts_are_merged_many_at_once(monkeypatch):
+    """Runs of signs, digits, short forms and Latin letters in any mixture, between texts that aren't plain; no table grows with new words."""
+    rnd, t = random.Random(4), Tokenizer.from_file(WORDS)
+    signs = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 60)
+    letters = "abstmdrelvBSTRÀÞßéþ 07\n"
+    texts = ["".join(rnd.choice(signs if rnd.random() < share else letters) for _ in range(rnd.randrange(40))) for share in (0.1, 0.4, 0.7) for _ in range(2000)]
+    monkeypatch.setattr(retrieval.Words, "AT_ONCE", 500)
+    w = retrieval.Words(WORDS)
+    assert [x.tolist() for x in w.encode_all(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert w.known == {"": b""}
+    mixed = [*texts[:50], "日本 word", *texts[50:60], "ÿ", "<b>", "", "x"]
+    assert [x.tolist() for x in w.encode_all(mixed)] == [x.ids for x in t.encode_batch(mixed, add_special_tokens=False)]
+    assert w.encode_all([]) == [] and w.encode_all(["", ""])[1].tolist() == []
+
+
 @pytest.mark.parametrize("shard", [1_000_000, 400])
 def test_packing_of_odd_rows(spark, shard):
     rows = [(1, None), (2, ""), (2, ""), (None, "no id"), (None, None), (3, "word " * 900), (4, "same text"), (4, "same text"), (4, "other text"), (5, "a\nb\tc d\x1ce  f\r\n"), (6, "<|endoftext|> It's <|startoftext|>x DON'T 12345 é É ẞ ΟΔΟΣ İ"), (7, "\ń mark"), (8, "w " * 63), (9, "日本語テキスト" * 40)]
