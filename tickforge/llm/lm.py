@@ -21,10 +21,9 @@ scored once a block.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import count
+from itertools import count, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, rows_of, squeeze, texts_of, unsqueeze
+from .common import discard, materialize, release, rows_of, squeeze, unsqueeze
 
 #: Text bytes of a block, and classes of a preceding word (the last is for none).
 BLOCK, CLASSES = 12 << 20, 64
@@ -42,6 +41,8 @@ BLOCK, CLASSES = 12 << 20, 64
 SLOTS = (1 << 16, 1 << 20, 1 << 20, 1 << 22, 1 << 19)
 STARTS = np.cumsum([0, *SLOTS])
 CHUNK = 1 << 14
+#: Words whose bytes are handled together, and text words likewise: their arrays stay in a core's cache.
+WORDS_AT_ONCE, SPAN = 4096, 1 << 15
 #: Distinct words of one partial table, and rows of blocks' dictionaries in a bucket of words.
 PARTIAL, BUCKET = 1_000_000, 400_000
 K = len(SLOTS)
@@ -82,6 +83,44 @@ def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def spelled(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What spell() gives, from its bytes alone: no word holds a space."""
+    buf = np.frombuffer(data, np.uint8)
+    return buf, np.concatenate([[0], np.flatnonzero(buf == 32) + 1])
+
+
+def respelled(buf: np.ndarray, starts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the given numbers, in that order."""
+    sizes = np.diff(starts)[order]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    return buf[np.repeat(starts[:-1][order] - begins[:-1], sizes) + np.arange(begins[-1])], begins
+
+
+def as_arrow(buf: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The words, each with its closing space."""
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype("<i4")), pa.py_buffer(np.ascontiguousarray(buf))])
+
+
+def arrow_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """An array's bytes and offsets."""
+    offsets = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1].astype("i8")
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def head_codes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The first two bytes of each word (of one byte: with its space) as a number; 0x2000 of the end."""
+    sizes = np.diff(starts)
+    return buf[starts[:-1]].astype("i8") << 8 | np.where(sizes > 1, buf[np.minimum(starts[:-1] + 1, len(buf) - 1)], 0)
+
+
+def code_of(head: bytes) -> int:
+    return (head[0] << 8 | (head + b" ")[1]) if head.strip(b" ") else 0x2000
+
+
+def head_of(code: int) -> bytes:
+    return b" " if code == 0x2000 else bytes([code >> 8, code & 255])
+
+
 def contexts(buf: np.ndarray, starts: np.ndarray, classes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each context at each byte (K x bytes, unsigned), and each byte's place in its word. classes: of the word
     before, by word, for heads; None for whole words, whose first two places aren't used then."""
@@ -125,12 +164,12 @@ def slots(h: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
 def tally(words: list[bytes], weights: np.ndarray, tables: np.ndarray, classes: np.ndarray | None = None) -> None:
     """Add words' decisions to the counts (2 x slots): of heads (given classes) the first two bytes, of words the rest."""
     flat, width = tables.reshape(-1), tables.shape[1]
-    for lo in range(0, len(words), 100_000):
-        part = words[lo : lo + 100_000]
+    for lo in range(0, len(words), WORDS_AT_ONCE):
+        part = words[lo : lo + WORDS_AT_ONCE]
         buf, starts = spell(part)
-        h, place = contexts(buf, starts, None if classes is None else classes[lo : lo + 100_000])
+        h, place = contexts(buf, starts, None if classes is None else classes[lo : lo + WORDS_AT_ONCE])
         use = np.flatnonzero(place >= 2 if classes is None else place < 2)
-        h, b, w = h[:, use], buf[use].astype("u4"), np.repeat(weights[lo : lo + 100_000], np.diff(starts))[use].astype("f4")
+        h, b, w = h[:, use], buf[use].astype("u4"), np.repeat(weights[lo : lo + WORDS_AT_ONCE], np.diff(starts))[use].astype("f4")
         node = np.ones(len(use), "u4")
         for bit in range(7, -1, -1):
             y = b >> np.uint32(bit) & np.uint32(1)
@@ -157,52 +196,57 @@ class Mixer:
 
     def inputs(self, where: list[np.ndarray], heads: bool, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each context (K x n) and the gate; with y, one occurrence of that outcome is taken out first."""
-        st, gate = np.empty((K, len(where[0])), "f4"), np.full(len(where[0]), 32 * heads, "i8")
-        out = (2 if y is None else y.astype("i8")) << 16
+        st, gate = np.empty((K, len(where[0])), "f4"), np.full(len(where[0]), 32 * heads, "u1")
+        odds, weight = (_ODDS, _WEIGHT) if y is not None else (_ODDS[2 << 16 :], _WEIGHT[2 << 16 :])
+        out = y.astype("i8") << 16 if y is not None else 0
         for k, s in enumerate(where):
-            v = self.pairs[s].astype("i8") + out
-            st[k] = _ODDS[v]
+            v = self.pairs[s].astype("i8")
+            v += out
+            st[k] = odds[v]
             if k == 3:
-                gate += _WEIGHT[v]
+                gate += weight[v]
             elif k == (4 if heads else 2):
-                gate += 8 * (_WEIGHT[v] >> 1)
+                gate += (weight[v] >> 1) << 3
         return st, gate
 
     def mixed(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        w = self.weights[gate]
-        z = w[:, K].copy()
+        w, gate = np.ascontiguousarray(self.weights.T, "f4"), gate.astype("i8")
+        z = w[K][gate]
         for k in range(K):
-            z += w[:, k] * st[k]
+            z += w[k][gate] * st[k]
         return np.clip(z, -11, 11)
 
-    def bits(self, z: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of a one after the refinement, and the two buckets' place and share that it came from."""
-        x = (z + 11) * ((BUCKETS - 1) / 22)
+    @staticmethod
+    def places(z: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lower of the two buckets that log odds lie between, and how far they are from it."""
+        x = (z + np.float32(11)) * np.float32((BUCKETS - 1) / 22)
         lo = np.minimum(x.astype("i8"), BUCKETS - 2)
-        part = x - lo
-        at = node.astype("i8") * BUCKETS + lo
-        r = self.refined.reshape(-1)
-        p = 0.5 / (1 + np.exp(-z)) + 0.5 * (r[at] * (1 - part) + r[at + 1] * part)
-        return np.clip(p, LEAST, 1 - LEAST), at, part
-
-    def log2(self, words: list[bytes], classes: np.ndarray | None = None) -> np.ndarray:
-        """Base-2 logarithm of each word's probability: of its first two bytes (given classes), or of the rest."""
-        out = np.zeros(len(words))
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
-            buf, starts = spell(part)
-            h, place = contexts(buf, starts, None if classes is None else classes[lo : lo + 50_000])
+        return node * np.int64(BUCKETS) + lo, x - lo.astype("f4")
+
+    def bits(self, z: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of a one after the refinement, and the lower bucket's place and the upper's share that it came from."""
+        at, part = self.places(z, node)
+        r = self.refined.reshape(-1).astype("f4")
+        p = np.float32(0.5) / (1 + np.exp(-z)) + np.float32(0.5) * (r[at] * (1 - part) + r[at + 1] * part)
+        return np.clip(p, LEAST, 1 - LEAST).astype("f8"), at, part  # in f8, so that it and its rest share one exactly
+
+    def log2(self, buf: np.ndarray, starts: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+        """Base-2 logarithm of each spelled word's probability: of its first two bytes (given classes), or of the rest."""
+        out = np.zeros(len(starts) - 1)
+        for lo in range(0, len(out), WORDS_AT_ONCE):
+            own = starts[lo : lo + WORDS_AT_ONCE + 1]
+            part, own = buf[own[0] : own[-1]], own - own[0]
+            h, place = contexts(part, own, None if classes is None else classes[lo : lo + WORDS_AT_ONCE])
             use = np.flatnonzero(place >= 2 if classes is None else place < 2)
-            h, b = h[:, use], buf[use].astype("u4")
-            node, total = np.ones(len(use), "u4"), np.zeros(len(use))
+            h, b = h[:, use], part[use].astype("u4")
+            node, chance = np.ones(len(use), "u4"), np.ones(len(use))  # of a byte at least LEAST to the eighth power
             for bit in range(7, -1, -1):
                 y = b >> np.uint32(bit) & np.uint32(1)
-                z = self.mixed(*self.inputs(slots(h, node), classes is not None))
-                p, _, _ = self.bits(z, node)
-                total += np.log2(np.where(y == 1, p, 1 - p))
+                p, _, _ = self.bits(self.mixed(*self.inputs(slots(h, node), classes is not None)), node)
+                chance *= np.where(y == 1, p, 1 - p)
                 node = node << np.uint32(1) | y
-            word = np.repeat(np.arange(len(part)), np.diff(starts))[use]
-            out[lo : lo + 50_000] = np.bincount(word, total, len(part))
+            word = np.repeat(np.arange(len(own) - 1), np.diff(own))[use]
+            out[lo : lo + WORDS_AT_ONCE] = np.bincount(word, np.log2(chance), len(own) - 1)
         return out
 
     def learn(self, words: list[bytes], weights: np.ndarray, classes: np.ndarray | None, batch: int = 512, fade: float = 0.995) -> None:
@@ -217,27 +261,30 @@ class Mixer:
             if not len(use):
                 continue
             h, b = h[:, use], buf[use].astype("u4")
-            w = np.repeat(weights[lo : lo + batch], np.diff(starts))[use] / weights.mean()
+            w = (np.repeat(weights[lo : lo + batch], np.diff(starts))[use] / weights.mean()).astype("f4")
             node = np.ones(len(use), "u4")
+            x = np.ones((K + 1, len(use)), "f4")
             for bit in range(7, -1, -1):
                 y = b >> np.uint32(bit) & np.uint32(1)
                 st, gate = self.inputs(slots(h, node), classes is not None, y)
-                order = np.argsort(gate.astype("u1"), kind="stable")  # by gate, so that each gate's sums are products
-                cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
+                order = np.argsort(gate, kind="stable")  # by gate, so that each gate's sums are products
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=GATES))])
                 gates = [(g, slice(cuts[g], cuts[g + 1])) for g in np.flatnonzero(np.diff(cuts)).tolist()]
-                x, yes, weight = np.concatenate([st, np.ones((1, len(use)), "f4")])[:, order], y[order], w[order]
-                z = np.empty(len(use))
+                for k in range(K):
+                    x[k] = st[k][order]
+                yes, weight = y[order].astype("f4"), w[order]
+                z, at_gate = np.empty(len(use), "f4"), self.weights.astype("f4")
                 for g, own in gates:
-                    z[own] = self.weights[g].astype("f4") @ x[:, own]
+                    z[own] = at_gate[g] @ x[:, own]
                 z = np.clip(z, -11, 11)
                 p = 1 / (1 + np.exp(-z))
-                miss, bent = ((yes - p) * weight).astype("f4"), x * (p * (1 - p) * weight).astype("f4")
+                miss, bent = (yes - p) * weight, x * (p * (1 - p) * weight)
                 slope = np.zeros((GATES, K + 1))
                 for g, own in gates:
                     slope[g] = x[:, own] @ miss[own]
                     curve[g] += bent[:, own] @ x[:, own].T
                 self.weights += np.clip(np.linalg.solve(curve, slope[:, :, None])[:, :, 0], -0.5, 0.5)
-                _, at, share = self.bits(z, node[order])
+                at, share = self.places(z, node[order])
                 near = at + (share > 0.5)
                 size = self.refined.size
                 n = np.bincount(near, weight, size)
@@ -254,10 +301,14 @@ def new_mixer(counts: np.ndarray) -> Mixer:
     return Mixer(counts, np.concatenate([np.full((GATES, K), 0.3), np.zeros((GATES, 1))], 1), np.tile(1 / (1 + np.exp(-z)), (256, 1)))
 
 
-def class_of(words: list[bytes]) -> np.ndarray:
-    """A class by the end of each word, which tells much of its language."""
-    out = np.fromiter((int.from_bytes(w[-3:], "big") for w in words), "u8", len(words))
-    return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype("i8") % (CLASSES - 1)
+def class_of(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A class by the end of each word, which tells much of its language; the end of a text has one of its own."""
+    out, sizes = np.zeros(len(starts) - 1, "u8"), np.diff(starts) - 1
+    for k in (3, 2, 1):
+        at = np.maximum(starts[1:] - 1 - k, 0)
+        out = out << np.uint64(8) | np.where(sizes >= k, buf[at], 0).astype("u8")
+    out = ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype("i8") % (CLASSES - 1)
+    return np.where(sizes > 0, out, CLASSES - 1)
 
 
 #: The bits before a literal word, and how many states each of a bit's contexts has: the last three outcomes, the word before
@@ -283,7 +334,7 @@ class Known:
         return np.minimum(4, np.log2(self.counts + 1.0).astype("i8") // 4)
 
 
-def spans(ends: np.ndarray, most: int = 200_000) -> list[tuple[int, int]]:
+def spans(ends: np.ndarray, most: int = SPAN) -> list[tuple[int, int]]:
     """Ranges of texts with about `most` words each."""
     if not len(ends):
         return []
@@ -307,12 +358,14 @@ class Trail:
         self.times = np.empty(n, "i8")
         self.times[self.order] = np.arange(n) - self.run
         inner, second = self.place >= 1, self.place >= 2
+        self.far = [inner, second, self.place >= 3]
         # Where the same word, or the same two words, came before: the place of what followed.
         after = np.full(n, -1)
         after[1:] = np.where(inner[1:] & (earlier[:-1] >= 0), earlier[:-1] + 1, -1)
-        two, group = np.zeros(n, "u8"), np.empty(n, "u8")
-        group[self.order] = self.run  # the word within its text
-        two[2:] = group[1:-1] * width + flat[:-2].astype("u8")
+        self.rank, self.group = np.empty(n, "i8"), np.empty(n, "i8")
+        self.rank[self.order], self.group[self.order] = np.arange(n), self.run  # the word within its text
+        two = np.zeros(n, "u8")
+        two[2:] = self.group[1:-1].astype("u8") * width + flat[:-2].astype("u8")
         at = np.flatnonzero(second)
         pair = np.full(n, -1)
         pair[at] = self._before(*self._grouped(two[at]), at)
@@ -332,11 +385,18 @@ class Trail:
         hit_c = told & right
         asked = [pair >= 0, (after >= 0) & (b != a) & ~hit_a, told & ~hit_a & ~hit_b, inner & ~hit_a & ~hit_b & ~hit_c]
         self.asked, self.hit = asked, [x & y for x, y in zip(asked, (hit_a, hit_b, hit_c, self.times > 0), strict=True)]
-        # what training, or the distance, says of the candidate
-        distance = lambda x: np.searchsorted([8, 64], np.arange(n) - x, side="right")
-        level = lambda x: known.levels[np.maximum(x, 0)]
-        spread = np.minimum(4, np.log2(np.maximum(1, known.counts[before]) / np.maximum(1, often)).astype("i8").clip(0))
-        self.told = [level(a) * 3 + distance(pair), level(b) * 3 + distance(after), (np.clip(often, 1, 3) - 1) * 5 + spread, np.minimum(15, np.frexp(np.maximum(1, self.place))[1] - 1).astype("i8")]
+        self.known, self.before, self.often, self.candidates = known, before, often, ((a, pair), (b, after))
+
+    def told(self, j: int, at: np.ndarray) -> np.ndarray:
+        """What training, or the distance, says of bit j's candidate at some places where it is asked."""
+        if j < 2:
+            word, where = (x[at] for x in self.candidates[j])
+            return self.known.levels[word] * 3 + np.searchsorted([8, 64], at - where, side="right")
+        if j == 2:
+            often = self.often[at]
+            spread = np.minimum(4, np.log2(np.maximum(1, self.known.counts[self.before[at]]) / often).astype("i8").clip(0))
+            return (np.minimum(often, 3) - 1) * 5 + spread
+        return np.minimum(15, np.frexp(self.place[at])[1] - 1).astype("i8")
 
     @staticmethod
     def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -373,58 +433,56 @@ class Trail:
         out[1:] = np.where(self.place[1:] >= 1, by[:-1], 0)
         return out
 
-    def _so_far(self, x: np.ndarray) -> np.ndarray:
-        """How often x held in the text before each place."""
-        c = np.cumsum(x, dtype="i8") - x
-        return c - c[self.first]
-
-    def _after_word(self, x: np.ndarray) -> np.ndarray:
-        """How often x held before each place after the same word of the text."""
-        follows = np.zeros(self.n, bool)
-        follows[:-1] = x[1:] & (self.place[1:] >= 1)
-        ranked = follows[self.order]
-        c = np.cumsum(ranked, dtype="i8") - ranked
-        by = np.empty(self.n, "i8")
-        by[self.order] = c - c[self.run]
-        out = np.zeros(self.n, "i8")
-        out[1:] = np.where(self.place[1:] >= 1, by[:-1], 0)
-        return out
+    @staticmethod
+    def _both(asked: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each was so before each place, in the low and the high half of a number, and what each place adds."""
+        x = hit.astype("i8") << 32
+        x += asked
+        return np.cumsum(x) - x, x
 
     def states(self, j: int) -> tuple[np.ndarray, ...]:
-        """The four contexts' states of bit j where it is asked, and the evidence for the word before, 0 to 3."""
+        """The four contexts' states of bit j where it is asked, the evidence for the word before, 0 to 3, and those places. No bit is
+        asked of a text's first word."""
         asked, hit = self.asked[j], self.hit[j]
-        last = np.zeros(self.n, "i8")
+        at = np.flatnonzero(asked)
+        last = np.zeros(self.n, "u1")
         for k in (1, 2, 3):
-            last[k:] += (hit[:-k] & (self.place[k:] >= k)) << (k - 1)
-        n, yes = self._after_word(asked), self._after_word(hit)
+            last[k:] |= (hit[:-k] & self.far[k - 1][k:]).view("u1") << np.uint8(k - 1)
+        so_far, x = self._both(asked, hit)
+        follows = np.zeros(self.n, "i8")
+        follows[:-1] = x[1:]
+        after = np.cumsum(follows := follows[self.order]) - follows
+        both = after[self.rank[at - 1]] - after[self.group[at - 1]]
+        n, yes = both & 0xFFFFFFFF, both >> 32
         some = np.minimum(n, 3)
         word = np.where(n == 0, 0, 1 + (some - 1) * 3 + np.where(yes == 0, 0, np.where(yes == n, 2, 1)))
-        n, yes = self._so_far(asked), self._so_far(hit)
-        whole = np.where(n == 0, 0, 1 + 7 * (n >= 8) + 6 * yes // np.maximum(1, n))
-        return tuple(x[asked] for x in (last, word, self.told[j], whole, some))
+        both = so_far[at] - so_far[self.first[at]]
+        n, yes = both & 0xFFFFFFFF, both >> 32
+        whole = np.where(n == 0, 0, 1 + 7 * (n >= 8) + (6 * yes / np.maximum(1, n)).astype("i8"))
+        return last[at].astype("i8"), word, self.told(j, at), whole, some, at
 
     def cells(self, j: int) -> np.ndarray:
         """(2 x CELLS) how often bit j was asked, and was right, by the states of its contexts."""
-        last, word, told, whole, _ = self.states(j)
+        last, word, told, whole, _, at = self.states(j)
         cell = ((last * 10 + word) * 16 + told) * 16 + whole
-        return np.stack([np.bincount(cell, minlength=CELLS), np.bincount(cell[self.hit[j][self.asked[j]]], minlength=CELLS)])
+        return np.stack([np.bincount(cell, minlength=CELLS), np.bincount(cell[self.hit[j][at]], minlength=CELLS)])
 
     def chances(self, j: int, model: Chances) -> np.ndarray:
         """The probability that bit j is right, 0 where it isn't asked."""
-        *states, evidence = self.states(j)
-        z = model.weights[j, evidence, 4].copy()
+        *states, evidence, at = self.states(j)
+        z = model.weights[j, :, 4][evidence]
         for k, x in enumerate(states):
-            z += model.weights[j, evidence, k] * model.odds[j][k][x]
-        p, bucket = 1 / (1 + np.exp(-np.clip(z, -9, 9))), np.searchsorted(EDGES, z)
-        asked, hit = self.asked[j], self.hit[j]
-        every = np.full(self.n, -1)
-        every[asked] = bucket
-        n, yes = np.zeros(len(p)), np.zeros(len(p))
+            z += (model.weights[j, :, k, None] * model.odds[j][k]).ravel()[evidence * STATES[k] + x]
+        p, bucket = 1 / (1 + np.exp(-np.clip(z, -9, 9))), sum((z > e).view("u1") for e in EDGES)
+        hit, begin = self.hit[j][at], (np.cumsum(self.asked[j]) - self.asked[j])[self.first[at]]
+        both = np.empty(len(at), "i8")
         for k in range(len(EDGES) + 1):
             own = bucket == k
-            n[own], yes[own] = self._so_far(every == k)[asked][own], self._so_far((every == k) & hit)[asked][own]
+            c, _ = self._both(own, own & hit)
+            own = np.flatnonzero(own)
+            both[own] = c[own] - c[begin[own]]
         out = np.zeros(self.n)
-        out[asked] = (KEEP * p + yes) / (KEEP + n)
+        out[at] = (KEEP * p + (both >> 32)) / (KEEP + (both & 0xFFFFFFFF))
         return out
 
     def log2(self, literal: np.ndarray, model: Chances) -> np.ndarray:
@@ -476,17 +534,27 @@ def learn_chances(total: np.ndarray) -> Chances:
     return Chances(odds, weights)
 
 
-def known_words(log2: np.ndarray, words: list[bytes], n: np.ndarray, whole: dict[bytes, tuple[int, int]]) -> np.ndarray:
+def known_words(log2: np.ndarray, buf: np.ndarray, starts: np.ndarray, n: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """log2 of the rest of each word after its first two bytes, mixed of its spelling and its share (n) of the training words
-    that begin alike; new words are expected as often as distinct words were met among those (Witten and Bell)."""
-    places, kinds = np.array([whole.get(w[:2], (0, 1)) for w in words], "f8").reshape(-1, 2).T
+    that begin alike; new words are expected as often as distinct words were met among those (Witten and Bell). whole: both, by code."""
+    places, kinds = whole[:, head_codes(buf, starts)]
     trust = places / (places + kinds)
     mixed = np.log2(trust * n / np.maximum(1, places) + (1 - trust) * np.exp2(np.maximum(log2, -900))) + np.where(log2 < -900, log2 + 900, 0)
-    return np.where(np.fromiter(map(len, words), "i8", len(words)) > 1, mixed, log2)
+    return np.where(np.diff(starts) > 2, mixed, log2)
+
+
+def listed(buf: np.ndarray) -> list[bytes]:
+    """The words of spelled bytes."""
+    return buf[:-1].tobytes().split(b" ") if len(buf) else []
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh32_intdigest(w, 7) for w in words), "u4", len(words))
+    return np.fromiter(map(xxhash.xxh32_intdigest, words, repeat(7)), "u4", len(words))
+
+
+def long_hashes(words: list[bytes]) -> np.ndarray:
+    """40 bits of a hash of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), "u8", len(words)) >> np.uint64(24)
 
 
 def successors(flat: np.ndarray, begins: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -498,16 +566,28 @@ def successors(flat: np.ndarray, begins: np.ndarray, use: np.ndarray) -> tuple[n
     return (pair >> np.uint64(32)).astype("i8"), (pair & np.uint64(0xFFFFFFFF)).astype("i8"), n
 
 
-def most_frequent(words: np.ndarray, after: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word once, with the successor of the largest n (of equal ones the smallest) and that n."""
-    order = np.lexsort((after, -n, words))
-    words = words[order]
-    first = np.concatenate([[True], words[1:] != words[:-1]]) if len(words) else np.zeros(0, bool)
-    return words[first], after[order][first], n[order][first]
+def together(words: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """An order by word (of 40 bits) in which equal pairs are neighbours: by one key, whose few ties between pairs are put right."""
+    key = words << np.uint64(24) | (after & np.uint32(0xFFFFFF)).astype("u8")
+    order = np.argsort(key)
+    key = key[order]
+    tie = np.flatnonzero((key[1:] == key[:-1]) & (after[order[1:]] != after[order[:-1]]))
+    if len(tie):
+        at = np.flatnonzero(np.isin(key, key[tie]))
+        order[at] = order[at][np.lexsort((after[order[at]], key[at]))]
+    return order
 
 
-def long_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), "u8", len(words))
+def most_frequent(words: np.ndarray, after: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word once, with the successor of the largest n (of equal ones the smallest) and that n."""
+    if not len(words):
+        return words, after, n
+    order = np.argsort(words)
+    words, after, n = words[order], after[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    most = np.maximum.reduceat(n, first)
+    least = np.where(n == np.repeat(most, np.diff(np.append(first, len(n)))), after, np.iinfo(after.dtype).max)
+    return words[first], np.minimum.reduceat(least, first), most
 
 
 def pack_ids(x: np.ndarray) -> bytes:
@@ -545,55 +625,59 @@ BLOCKS = "block string, size int, docs array<long>, held array<boolean>, ends ar
 
 
 def blocks_of(df: DataFrame, learns: Column, block_bytes: int = BLOCK) -> DataFrame:
-    """(doc_id, text) in blocks: documents, where their words end, word numbers (0 is the end of a text), the dictionary,
+    """(doc_id, text) in blocks: documents, where their words end, word numbers (0 is the end of a text), the spelled dictionary,
     training counts by word, and training counts by class and first two bytes."""
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), count()
-        state: dict = {}
-
-        def fresh():
-            place = defaultdict(count(1).__next__)
-            state.update(place=place, docs=[], held=[], ids=[], size=0)
+        docs, held, texts, size = [], [], [], 0
 
         def flush():
-            words = [b"", *state["place"]]
-            held, ids = np.array(state["held"], bool), state["ids"]
-            sizes = np.array([len(x) for x in ids], "i8")
-            flat = np.concatenate(ids)
-            order = np.concatenate([[0], 1 + np.argsort(-np.bincount(flat, minlength=len(words))[1:], kind="stable")])  # frequent words get small numbers
-            rank = np.empty(len(words), "u4")
-            rank[order] = np.arange(len(words), dtype="u4")
-            flat, words = rank[flat], [words[i] for i in order.tolist()]
-            learned = np.repeat(~held, sizes)
-            seen = np.bincount(flat[learned], minlength=len(words)).astype("<i4")
-            prefix: dict[bytes, int] = {}
-            head = np.array([prefix.setdefault((w + b" ")[:2], len(prefix)) for w in words])
-            cls = np.concatenate([[CLASSES - 1], class_of(words[1:])])
+            words = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.concat_arrays(texts)))
+            found = words.flatten().dictionary_encode()
+            number, none = found.indices.to_numpy(), pa.compute.index(found.dictionary, "").as_py()
+            real = number != none  # space at either end of a text splits off an empty string
+            sizes = np.diff(np.concatenate([[0], np.cumsum(real)])[words.offsets.to_numpy()]) + 1
+            ends = np.cumsum(sizes)
+            flat, word = np.zeros(ends[-1], "u4"), np.ones(ends[-1], bool)
+            word[ends - 1] = False
+            flat[word] = number[real] + 1
+            order = np.argsort(-np.bincount(flat, minlength=len(found.dictionary) + 1)[1:], kind="stable")  # frequent words get small numbers
+            order = order[order != none]
+            rank = np.zeros(len(found.dictionary) + 1, "u4")
+            rank[1 + order] = np.arange(1, len(order) + 1, dtype="u4")
+            flat = rank[flat]
+            letters, offsets = arrow_bytes(found.dictionary.take(pa.array(order)))
+            starts = np.concatenate([[0], offsets + np.arange(1, len(offsets) + 1)])
+            buf, letter = np.full(starts[-1], 32, "u1"), np.ones(starts[-1], bool)
+            letter[starts[1:] - 1] = False
+            buf[letter] = letters
+            learned = np.repeat(~np.array(held, bool), sizes)
+            seen = np.bincount(flat[learned], minlength=len(starts) - 1).astype("<i4")
+            names, head = np.unique(head_codes(buf, starts), return_inverse=True)
             before = np.concatenate([[0], flat[:-1]])  # the end of the last text stands for none
-            pair = cls[before] * len(prefix) + head[flat]
-            at, names = np.flatnonzero(np.bincount(pair, minlength=1)), list(prefix)
+            pair = class_of(buf, starts)[before] * len(names) + head[flat]
+            at = np.flatnonzero(np.bincount(pair, minlength=1))
             n = np.bincount(pair[learned], minlength=int(at[-1]) + 1)[at]
             del pair
             return pa.RecordBatch.from_pylist([{
-                "block": f"{part:06d}-{next(made):04d}", "docs": state["docs"], "size": len(words), "held": state["held"], "ends": np.cumsum(sizes).tolist(), "ids": pack_ids(flat),
-                "words": squeeze(b" ".join(words[1:])), "seen": seen.tobytes(), "heads": [names[i] for i in at % len(prefix)], "head_classes": (at // len(prefix)).tolist(), "head_counts": n.tolist(),
+                "block": f"{part:06d}-{next(made):04d}", "docs": docs, "size": len(starts) - 1, "held": held, "ends": ends.tolist(), "ids": pack_ids(flat),
+                "words": squeeze(buf.tobytes()), "seen": seen.tobytes(), "heads": [head_of(x) for x in names[at % len(names)].tolist()], "head_classes": (at // len(names)).tolist(), "head_counts": n.tolist(),
             }], schema=schema)
 
-        fresh()
         for b in rows_of(batches, "text"):
-            for one, held, t in zip(*(b.column(k).to_pylist() for k in range(2)), texts_of(b.column(2)), strict=True):
-                place = state["place"]
-                ids = [place[w] for w in (t or b"").lower().split()]
-                ids.append(0)
-                state["docs"].append(one)
-                state["held"].append(held)
-                state["ids"].append(np.array(ids, "u4"))
-                state["size"] += len(t or b"") + 64
-                if state["size"] >= block_bytes:
+            text = pa.compute.fill_null(b.column(2).cast(pa.string()), "")
+            lo = 0
+            for hi, n in enumerate(pa.compute.binary_length(text).to_pylist(), 1):
+                size += n + 64
+                if size >= block_bytes or hi == b.num_rows:
+                    docs, held = docs + b.column(0)[lo:hi].to_pylist(), held + b.column(1)[lo:hi].to_pylist()
+                    texts.append(text[lo:hi])
+                    lo = hi
+                if size >= block_bytes:
                     yield flush()
-                    fresh()
-        if state["docs"]:
+                    docs, held, texts, size = [], [], [], 0
+        if docs:
             yield flush()
 
     lists = {"docs": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "size": pa.int32(), "ends": pa.list_(pa.int64()), "heads": pa.list_(pa.binary()), "head_classes": pa.list_(pa.int32()), "head_counts": pa.list_(pa.int64())}
@@ -651,20 +735,22 @@ def best_successors(blocks: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                words, flat, ends = [b"", *unsqueeze(r["words"]).split()], unpack_ids(r["ids"]), np.array(r["ends"], "i8")
+                words, flat, ends = listed(spelled(unsqueeze(r["words"]))[0]), unpack_ids(r["ids"]), np.array(r["ends"], "i8")
                 begins = np.concatenate([[0], ends[:-1]])
                 before, after, n = successors(flat, begins, np.repeat(~np.array(r["held"], bool), ends - begins))
-                word, after = (long_hashes(words) >> np.uint64(24))[before], word_hashes(words)[after]
+                word, after = long_hashes(words)[before], word_hashes(words)[after]
                 bucket = ((word ^ after * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(17)) % np.uint64(spread)
-                order = np.lexsort((word, bucket))
-                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
-                    yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[part[0]]), "words": pack_planes(word[part], 5), "next": squeeze(after[part].view("u1").reshape(-1, 4).T.tobytes()), "next_n": squeeze(n[part].astype("<u4").view("u1").reshape(-1, 4).T.tobytes())}], schema=_arrow(PAIRS))
+                order = np.argsort(bucket << np.uint64(40) | word)
+                word, after, n = word[order], after[order], n[order].astype("<u4")
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype("i8"), minlength=spread))]).tolist()
+                rows = [{"bucket": k, "words": pack_planes(word[x:z], 5), "next": squeeze(after[x:z].view("u1").reshape(-1, 4).T.tobytes()), "next_n": squeeze(n[x:z].view("u1").reshape(-1, 4).T.tobytes())} for k, (x, z) in enumerate(pairwise(cuts)) if x < z]
+                yield pa.RecordBatch.from_pylist(rows, schema=_arrow(PAIRS))
 
     def total(key, t):
         word = np.concatenate([unpack_planes(x.as_py(), 5) for x in t["words"]])
         after, n = (np.concatenate([np.frombuffer(unsqueeze(x.as_py()), "u1").reshape(4, -1).T.copy().view("<u4").ravel() for x in t[c]]) for c in ("next", "next_n"))
         n = n.astype("<i8")
-        order = np.lexsort((after, word))
+        order = together(word, after)
         word, after, n = word[order], after[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (after[1:] != after[:-1])]))
         word, after, n = most_frequent(word[first], after[first], np.add.reduceat(n, first))
@@ -683,37 +769,37 @@ def count_words(blocks: DataFrame, buckets: int) -> DataFrame:
         schema = _arrow(ROUTED)
         for b in batches:
             for block, words, seen in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = [b"", *unsqueeze(words).split()]
-                seen = np.frombuffer(seen, "<i4")
-                bucket = (long_hashes(words) >> np.uint64(24)) % np.uint64(buckets)
+                buf, starts = spelled(unsqueeze(words))
+                bucket = (long_hashes(listed(buf)) % np.uint64(buckets)).astype("i8")
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                for part in np.split(order, cuts):
-                    yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[part[0]]), "block": block, "words": squeeze(b" ".join([words[i] for i in part.tolist()])), "no": pack_rising(part), "seen": squeeze(seen[part].tobytes())}], schema=schema)
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))]).tolist()
+                (buf, starts), seen = respelled(buf, starts, order), np.frombuffer(seen, "<i4")[order]
+                rows = [{"bucket": k, "block": block, "words": squeeze(buf[starts[x] : starts[z]].tobytes()), "no": pack_rising(order[x:z]), "seen": squeeze(seen[x:z].tobytes())} for k, (x, z) in enumerate(pairwise(cuts)) if x < z]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def merge(key, t):
-        place = defaultdict(count().__next__)
-        at, blocks, which, no, seen, winners = [], [], [], [], [], []
+        words, blocks, no, seen, winners = [], [], [], [], []
         for r in t.to_pylist():
             if r["block"] is None:
                 winners.append([np.frombuffer(unsqueeze(r[c]), kind) for c, kind in (("words", "<u8"), ("next", "<u4"), ("next_n", "<i8"))])
                 continue
-            own = [place[w] for w in unsqueeze(r["words"]).split(b" ")]
-            at.append(np.array(own, "<i4"))
-            which.append(np.full(len(own), len(blocks), "<i4"))
+            words.append(unsqueeze(r["words"]))
             blocks.append(r["block"])
             no.append(unpack_rising(r["no"]))
             seen.append(np.frombuffer(unsqueeze(r["seen"]), "<i4"))
-        at, which, no, seen = map(np.concatenate, (at, which, no, seen))
-        n = np.bincount(at, seen, len(place)).astype("<i8")
-        best, often = np.zeros(len(place), "<u4"), np.zeros(len(place), "<i8")
+        found = as_arrow(*spelled(b"".join(words))).dictionary_encode()
+        at, which = found.indices.to_numpy(), np.repeat(np.arange(len(blocks), dtype="<i4"), [len(x) for x in no])
+        no, seen = map(np.concatenate, (no, seen))
+        buf, starts = arrow_bytes(found.dictionary)
+        n = np.bincount(at, seen, len(starts) - 1).astype("<i8")
+        best, often = np.zeros(len(n), "<u4"), np.zeros(len(n), "<i8")
         if winners:
             word, after, times = most_frequent(*map(np.concatenate, zip(*winners, strict=True)))
-            own = long_hashes(list(place)) >> np.uint64(24)
+            own = long_hashes(listed(buf))
             found = np.minimum(np.searchsorted(word, own), len(word) - 1)
             met = word[found] == own
             best[met], often[met] = after[found[met]], times[found[met]]
-        row = {"bucket": key[0].as_py(), "words": b" ".join(place), "n": n.tobytes(), "next": best.tobytes(), "next_n": often.tobytes(), "blocks": blocks, "at_word": squeeze(at.tobytes()), "at_block": squeeze(which.tobytes()), "at_no": pack_rising(no)}
+        row = {"bucket": key[0].as_py(), "words": buf[:-1].tobytes(), "n": n.tobytes(), "next": best.tobytes(), "next_n": often.tobytes(), "blocks": blocks, "at_word": squeeze(at.tobytes()), "at_block": squeeze(which.tobytes()), "at_no": pack_rising(no)}
         return pa.Table.from_pylist([row], schema=_arrow(WORDS))
 
     return blocks.select("block", "words", "seen").mapInArrow(route, ROUTED).union(best_successors(blocks, buckets)).groupBy("bucket").applyInArrow(merge, WORDS)
@@ -765,17 +851,19 @@ def score_documents(df: DataFrame, learns: Column, block_bytes: int = BLOCK) ->
     def summed(batches):
         for b in batches:
             for text, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                starts: dict[bytes, list[int]] = {}
-                for w, k in zip(text.split(b" "), np.frombuffer(n, "<i8").tolist(), strict=True):
-                    if k:
-                        got = starts.setdefault(w[:2] if len(w) > 1 else w + b" ", [0, 0])
-                        got[0] += k
-                        got[1] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.binary()), pa.array([x[0] for x in starts.values()], pa.int64()), pa.array([x[1] for x in starts.values()], pa.int64())], names=["word", "n", "words"])
+                n = np.frombuffer(n, "<i8")
+                codes = head_codes(*spelled(text + b" "))
+                words, kinds = np.bincount(codes, n, 1 << 16).astype("i8"), np.bincount(codes[n > 0], minlength=1 << 16)
+                at = np.flatnonzero(words)
+                yield pa.RecordBatch.from_arrays([pa.array([head_of(x) for x in at.tolist()], pa.binary()), pa.array(words[at]), pa.array(kinds[at])], names=["word", "n", "words"])
 
     # Training words by first two bytes: at most 65536 rows, and one for each single byte and the end.
     starts = words.select("words", "n").mapInArrow(summed, "word binary, n long, words long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
     whole = {bytes(r["word"]): (r["n"], r["words"]) for r in starts}
+    by_code = np.zeros((2, 1 << 16))
+    by_code[1] = 1
+    for w, x in whole.items():
+        by_code[:, code_of(w)] = x
     tokens, distinct = sum(x[0] for x in whole.values()), sum(x[1] for x in whole.values())
 
     counts = count_tables(words.select("words", "n"), max(2, -(-distinct // PARTIAL)))
@@ -793,20 +881,22 @@ def score_documents(df: DataFrame, learns: Column, block_bytes: int = BLOCK) ->
     if len(met):
         met = met[np.random.default_rng(5).permutation(len(met))]
         mixer.learn([head_words[i] for i in met], head_n[met].astype("f8"), head_classes[met], 2048)
-    prefixes: dict[bytes, int] = {}
-    at = np.array([prefixes.setdefault(w, len(prefixes)) for w in head_words], "i8")
-    first = np.zeros((CLASSES, max(1, len(prefixes))), "f4")
-    first[head_classes, at] = mixer.log2(head_words, head_classes)
-    sent_words = spark.sparkContext.broadcast((mixer, whole))  # two bytes a slot, whatever the input
-
-    def spelled(batches):
+    codes = np.array([code_of(w) for w in head_words], "i8")
+    found, at = np.unique(codes, return_inverse=True)
+    prefixes = np.full(1 << 16, -1)
+    prefixes[found] = np.arange(len(found))
+    first = np.zeros((CLASSES, max(1, len(found))), "f4")
+    first[head_classes, at] = mixer.log2(*spell(head_words), head_classes)
+    sent_words = spark.sparkContext.broadcast((mixer, by_code))  # two bytes a slot, whatever the input
+
+    def scored(batches):
         m, whole = sent_words.value
         schema = _arrow(READY)
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                own, n, best, often = r["words"].split(b" "), np.frombuffer(r["n"], "<i8"), np.frombuffer(r["next"], "<u4"), np.frombuffer(r["next_n"], "<i8")
-                rest = known_words(m.log2(own), own, n, whole).astype("<f4")
+                own, n, best, often = spelled(r["words"] + b" "), np.frombuffer(r["n"], "<i8"), np.frombuffer(r["next"], "<u4"), np.frombuffer(r["next_n"], "<i8")
+                rest = known_words(m.log2(*own), *own, n, whole).astype("<f4")
                 word, block = (np.frombuffer(unsqueeze(r[c]), "<i4") for c in ("at_word", "at_block"))
                 no = unpack_rising(r["at_no"])
                 cuts = np.flatnonzero(np.diff(block)) + 1
@@ -826,14 +916,14 @@ def score_documents(df: DataFrame, learns: Column, block_bytes: int = BLOCK) ->
 
     empty = {c.split()[0]: c.split()[1] for c in READY.split(", ") if c.split()[0] in ("no", "counts", "best", "often", "rest")}
     bare = blocks.select("block", "docs", "held", "ends", "ids", "words", *(F.lit(None).cast(k).alias(c) for c, k in empty.items()))
-    ready, _ = materialize(bare.unionByName(words.mapInArrow(spelled, READY)).groupBy("block").applyInArrow(gather, READY), "ready")
+    ready, _ = materialize(bare.unionByName(words.mapInArrow(scored, READY)).groupBy("block").applyInArrow(gather, READY), "ready")
     discard(spark, words_at, blocks_at)
     release(spark)
 
     def followed(r: dict):
-        words = [b"", *unsqueeze(r["words"]).split()]
+        words = spelled(unsqueeze(r["words"]))
         flat, ends = unpack_ids(r["ids"]), np.array(r["ends"], "i8")
-        return words, flat, ends, np.concatenate([[0], ends[:-1]]), Known(word_hashes(words), np.frombuffer(unsqueeze(r["counts"]), "<i8"), np.frombuffer(r["best"], "<u4"), np.frombuffer(unsqueeze(r["often"]), "<i8"))
+        return words, flat, ends, np.concatenate([[0], ends[:-1]]), Known(word_hashes(listed(words[0])), np.frombuffer(unsqueeze(r["counts"]), "<i8"), np.frombuffer(r["best"], "<u4"), np.frombuffer(unsqueeze(r["often"]), "<i8"))
 
     def counted(batches):
         total = np.zeros((2, len(BITS), CELLS), "i8")
@@ -865,9 +955,7 @@ def score_documents(df: DataFrame, learns: Column, block_bytes: int = BLOCK) ->
                 words, flat, ends, begins, known = followed(r)
                 rest, n = np.frombuffer(r["rest"], "<f4"), known.counts
                 base = np.log10((n + 0.1) / (tokens + 0.1 * (distinct + 1)))
-                head = np.array([prefixes[w[:2]] for w in words])
-                cls = np.concatenate([[CLASSES - 1], class_of(words[1:])])
-                length = np.fromiter(map(len, words), "i8", len(words)) + 1
+                head, cls, length = prefixes[head_codes(*words)], class_of(*words), np.diff(words[1])
                 bits = np.empty(len(ends))
                 for lo, hi in spans(ends):
                     a, z = begins[lo], ends[hi - 1]
