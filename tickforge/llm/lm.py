@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, rows_of, squeeze, unsqueeze
+from .common import discard, materialize, release, rows_of, squeeze, tidy, unsqueeze
 
 #: Text bytes of a block, and classes of a preceding word (the last is for none).
 BLOCK, CLASSES = 12 << 20, 64
@@ -45,6 +45,8 @@ CHUNK = 1 << 14
 WORDS_AT_ONCE, SPAN = 4096, 1 << 15
 #: Distinct words of one partial table, and rows of blocks' dictionaries in a bucket of words.
 PARTIAL, BUCKET = 1_000_000, 400_000
+#: Rows of buckets in one batch.
+SENT = 32
 K = len(SLOTS)
 PRIOR, LEAST = 0.4, 1e-5
 #: Sets of weights: by evidence for the word so far and for the last three bytes (in heads: the class), apart for heads.
@@ -677,8 +679,13 @@ def blocks_of(df: DataFrame, learns: Column, block_bytes: int = BLOCK) -> DataFr
                 if size >= block_bytes:
                     yield flush()
                     docs, held, texts, size = [], [], [], 0
+                    tidy()
+                    pa.default_memory_pool().release_unused()
         if docs:
             yield flush()
+        texts.clear()
+        tidy()
+        pa.default_memory_pool().release_unused()
 
     lists = {"docs": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "size": pa.int32(), "ends": pa.list_(pa.int64()), "heads": pa.list_(pa.binary()), "head_classes": pa.list_(pa.int32()), "head_counts": pa.list_(pa.int64())}
     schema = pa.schema([(n, lists.get(n, pa.string() if n == "block" else pa.binary())) for n in (c.split()[0] for c in BLOCKS.split(", "))])
@@ -744,7 +751,10 @@ def best_successors(blocks: DataFrame, buckets: int) -> DataFrame:
                 word, after, n = word[order], after[order], n[order].astype("<u4")
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype("i8"), minlength=spread))]).tolist()
                 rows = [{"bucket": k, "words": pack_planes(word[x:z], 5), "next": squeeze(after[x:z].view("u1").reshape(-1, 4).T.tobytes()), "next_n": squeeze(n[x:z].view("u1").reshape(-1, 4).T.tobytes())} for k, (x, z) in enumerate(pairwise(cuts)) if x < z]
-                yield pa.RecordBatch.from_pylist(rows, schema=_arrow(PAIRS))
+                del flat, before, word, after, n, bucket, order
+                for k in range(0, len(rows), SENT):
+                    yield pa.RecordBatch.from_pylist(rows[k : k + SENT], schema=_arrow(PAIRS))
+        tidy()
 
     def total(key, t):
         word = np.concatenate([unpack_planes(x.as_py(), 5) for x in t["words"]])
@@ -775,7 +785,9 @@ def count_words(blocks: DataFrame, buckets: int) -> DataFrame:
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))]).tolist()
                 (buf, starts), seen = respelled(buf, starts, order), np.frombuffer(seen, "<i4")[order]
                 rows = [{"bucket": k, "block": block, "words": squeeze(buf[starts[x] : starts[z]].tobytes()), "no": pack_rising(order[x:z]), "seen": squeeze(seen[x:z].tobytes())} for k, (x, z) in enumerate(pairwise(cuts)) if x < z]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                for k in range(0, len(rows), SENT):
+                    yield pa.RecordBatch.from_pylist(rows[k : k + SENT], schema=schema)
+        tidy()
 
     def merge(key, t):
         words, blocks, no, seen, winners = [], [], [], [], []
