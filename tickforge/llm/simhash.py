@@ -17,6 +17,7 @@ of keys could cover, a join of the sets by their rarest shingles adds exactly th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import discard, map_batches, materialize, release, texts_of
+from .common import discard, map_batches, materialize, release, rows_of, small_batches, texts_of, tidy
 from .components import components
 
 #: Fixed value: the generator of the cyclic (23, 12) Golay code.
@@ -35,6 +36,8 @@ GENERATOR = 0b101011100011
 WORDS = 3
 #: Fingerprints of a key that are still paired.
 CROWD = 48
+#: Rows of a digest in a task that still go to one partition.
+TOGETHER = 64
 #: First bit and width of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 
@@ -178,25 +181,28 @@ def near_duplicates(df: DataFrame, width: int = WORDS, crowd: int = CROWD, text:
     return docs.join(ids, "fp", "left").select(key, "fp", "component_id")
 
 
-def _shingled(df: DataFrame, columns: tuple[str, ...], seen: shingles.Sketch) -> DataFrame:
-    """The columns (text among them) and, of each row: its number, the digest of its set of shingles, the SimHash of the
-    set, the shingles that it meets others by, and its MARKS."""
-    sent, at = df.sparkSession.sparkContext.broadcast(seen), columns.index("text")  # 36 MB at most
+def _shingled(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns (text among them) and, of each row: its number, the digest, the size and the SimHash of its set of shingles. Rows
+    of a digest lie together, by their numbers; of one that a task has very often, as many together as every task may have."""
+    at = columns.index("text")
 
-    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        digest, fp, keys, numbers = [], [], [], []
-        for t in texts_of(b.column(at)):
-            h = shingles.shingles(t or b"")
-            digest.append(xxhash.xxh3_128_digest(h.tobytes()))
-            fp.append(majority(h[lo : lo + (1 << 16)] for lo in range(0, len(h), 1 << 16)))
-            own, alone, odd = shingles.marks_of(h, sent.value)
-            keys.append(own.view("i8"))
-            numbers.append((len(h), alone, *odd.tolist()))
-        made = [pa.array(digest, pa.binary()), pa.array(np.array(fp, "u8").view("i8")), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, np.array(numbers, "i8").reshape(-1, len(shingles.MARKS)).T.copy())]
-        return pa.RecordBatch.from_arrays([*b.columns, *made], names=[*columns, "near_row", "digest", "fp", "keys", *shingles.MARKS])
+    def fn(batches):
+        times: Counter[bytes] = Counter()
+        for b in rows_of(batches):
+            made = []
+            for t in texts_of(b.column(at)):
+                h = shingles.shingles(t or b"")
+                digest = xxhash.xxh3_128_digest(h.tobytes())
+                made.append((digest, len(h), majority(h[lo : lo + (1 << 16)] for lo in range(0, len(h), 1 << 16)), times[digest] // TOGETHER))
+                times[digest] += 1
+            digest, size, fp, part = zip(*made, strict=True)
+            own = [pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(fp, "u8").view("i8")), pa.array(part, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*columns, "near_row", "digest", "size", "fp", "part"])
+        tidy()
 
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "near_row long, digest binary, fp long, keys array<long>", *(f"{c} long" for c in shingles.MARKS)])
-    return map_batches(df.select(*columns, F.monotonically_increasing_id().alias("near_row")), fn, schema)
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), "near_row long, digest binary, size long, fp long, part long"])
+    made = small_batches(df.select(*columns, F.monotonically_increasing_id().alias("near_row"))).mapInArrow(fn, schema)
+    return made.repartition("digest", "part").sortWithinPartitions("digest", "near_row").drop("part")
 
 
 def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) -> DataFrame:
@@ -206,41 +212,43 @@ def one_of_each(df: DataFrame, columns: tuple[str, ...], crowd: int = CROWD) ->
 
     Candidates are fingerprints within 2 bits (by Golay keys), and for each key of the rarest shingles its most common set with
     all others; then, of those sets of a key that aren't connected with that one, all with whatever else the key has.
-    Pairs whose MARKS rule the similarity out never leave the join; each other candidate is verified by the whole sets."""
+    Pairs whose MARKS rule the similarity out never leave the join; each other candidate is verified by the whole sets. A set
+    (node) goes by the smallest number of its rows."""
     spark = df.sparkSession
-    docs, _ = materialize(_shingled(df, columns, shingles.sketch(df)), "shingled")
+    docs, _ = materialize(_shingled(df, columns), "shingled")
+    release(spark)
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_row")).alias("best")
-    classes, classes_at = materialize(docs.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), own, *(F.first(c).alias(c) for c in shingles.MARKS)), "classes")
-    marks = classes.select(F.col("best.near_row").alias("near_row"), "digest", *shingles.MARKS)
+    classes, classes_at = materialize(docs.groupBy("digest").agg(F.first("fp").alias("fp"), own, F.min("near_row").alias("node")).drop("digest"), "classes")
+    sets, sets_at = materialize(shingles.shared_sets(docs), "sets")
+    release(spark)
 
-    keys = classes.select(F.col("best.near_row").alias("near_row"), F.explode("keys").alias("key"))
+    nodes = sets.join(classes.select(F.col("node").alias("near_row")), "near_row", "left_semi").withColumnRenamed("near_row", "node")
+    keys = nodes.select("node", F.explode(F.slice("h", F.lit(1), F.col("first").cast("int"))).alias("key"))
     twice = keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    shared, shared_at = materialize(keys.join(twice, "key").join(marks, "near_row").drop("near_row"), "shared")
-    needed = classes.join(shared.select("digest").distinct(), "digest", "left_semi").select(F.col("best.near_row").alias("near_row"))  # alike sets share a key
-    alone = (F.size("keys") == 0) & (F.col("size") > 0)  # a fifth of its shingles and more are in no other text, so it is like none
-    sets, sets_at = materialize(shingles.sets_of(docs.filter(~alone).join(needed, "near_row", "left_semi")), "sets")
+    shared, shared_at = materialize(keys.join(twice, "key").join(nodes.select("node", *shingles.MARKS), "node"), "shared")
 
     release(spark)
-    alike = classes.groupBy("fp").agg(F.min("digest").alias("first"))
+    alike = classes.groupBy("fp").agg(F.min("node").alias("first"))
     edges, linked_at = links(classes.select("fp").distinct(), crowd)
     met = edges.join(alike.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(alike.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-    met = met.union(classes.join(alike, "fp").select(F.col("first").alias("a"), F.col("digest").alias("b")))
-    hubs = shared.groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("size"), "digest", *shingles.MARKS)).alias("hub")).select("key", "hub.*")
-    met = met.union(hubs.alias("a").join(shared.alias("b"), (F.col("a.key") == F.col("b.key")) & shingles.may_be_alike("a", "b")).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")))
+    met = met.union(classes.join(alike, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")))
+    hubs = shared.groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("size"), "node", *shingles.MARKS)).alias("hub")).select("key", "hub.*")
+    met = met.union(hubs.alias("a").join(shared.alias("b"), (F.col("a.key") == F.col("b.key")) & shingles.may_be_alike("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     first, first_at = shingles.verified(met.filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")), sets)
     discard(spark, *linked_at)
     release(spark)
     joined, joined_at = components(first)
-    rooted, rooted_at = materialize(shared.join(joined.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "rooted")
-    main = rooted.groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("size"), "digest", "root")).alias("hub")).select("key", F.col("hub.root").alias("main"))
+    rooted, rooted_at = materialize(shared.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    main = rooted.groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("size"), "node", "root")).alias("hub")).select("key", F.col("hub.root").alias("main"))
     apart = rooted.join(main, "key").filter("root != main")
     rest = apart.alias("a").join(rooted.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & shingles.may_be_alike("a", "b"))
-    second, second_at = shingles.verified(rest.select(F.least("a.digest", "b.digest").alias("u"), F.greatest("a.digest", "b.digest").alias("v")), sets)
+    second, second_at = shingles.verified(rest.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")), sets)
     discard(spark, shared_at, sets_at, rooted_at, *joined_at)
-    nodes, nodes_at = components(first.union(second))
+    release(spark)
+    roots, roots_at = components(first.union(second))
     discard(spark, first_at, second_at)
-    chosen = classes.join(nodes.withColumnRenamed("node", "digest"), "digest", "left").groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("best").alias("best"))
+    chosen = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     chosen, _ = materialize(chosen.select(F.col("best.near_row").alias("near_row")), "chosen")
-    discard(spark, classes_at, *nodes_at)
+    discard(spark, classes_at, *roots_at)
     release(spark)
-    return docs.filter(alone).select(*columns).union(docs.filter(~alone).join(chosen, "near_row", "left_semi").select(*columns))
+    return docs.join(chosen, "near_row", "left_semi").select(*columns)
